@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 # The whitespace characters (the Unicode set), as the inside of a Java regex class.
 SPACE_CHARS = (
     r"\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0"
-    r"  -     　"
+    r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 # Token length limits. The lower one holds for words, the upper one for raw
 # whitespace-separated chunks before punctuation is removed.
