@@ -115,7 +115,7 @@ def topic_weights(vectors: DataFrame) -> DataFrame:
 def densify(weights: DataFrame, topics: int) -> DataFrame:
     """Long topic weights ``(pid, topic, v)`` as dense arrays, 0 where a topic is missing."""
     return (
-        weights.where(F.col("topic") < topics).groupBy("pid")
+        weights.groupBy("pid")
         .agg(*[F.coalesce(F.max(F.when(F.col("topic") == t, F.col("v"))), F.lit(0.0)).alias(f"_t{t}") for t in range(topics)])
         .select("pid", F.array(*[F.col(f"_t{t}") for t in range(topics)]).alias("vec"))
     )

@@ -7,7 +7,7 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import bucket, is_test
 from ..operators.cohorts import label
@@ -21,19 +21,19 @@ OTHER_CASE_WEIGHTS = (10, 100, 200)
 SEED = 17
 
 
-def learner(kind: str = "boosted"):
-    """An unfitted learner on columns ``features``, ``label`` and ``weight``."""
+def learner(kind: str = "boosted", **settings):
+    """An unfitted learner on columns ``features``, ``label`` and ``weight``; ``settings`` override."""
     common = dict(featuresCol="features", labelCol="label", weightCol="weight")
     if kind == "boosted":
-        return GBTClassifier(maxDepth=6, maxIter=100, stepSize=0.3, seed=SEED, **common)
+        return GBTClassifier(**common, **{"maxDepth": 6, "maxIter": 100, "stepSize": 0.3, "seed": SEED, **settings})
     if kind == "logistic":
-        return LogisticRegression(**common)
+        return LogisticRegression(**common, **settings)
     if kind == "forest":
-        return RandomForestClassifier(numTrees=100, seed=SEED, **common)
+        return RandomForestClassifier(**common, **{"numTrees": 100, "seed": SEED, **settings})
     if kind == "svm":
-        return LinearSVC(**common)
+        return LinearSVC(**common, **settings)
     if kind == "lasso":
-        regression = LinearRegression(elasticNetParam=1.0, **common)
+        regression = LinearRegression(elasticNetParam=1.0, **common, **settings)
         grid = ParamGridBuilder().addGrid(regression.regParam, [0.001, 0.01, 0.1]).build()
         return CrossValidator(estimator=regression, estimatorParamMaps=grid, numFolds=5, seed=SEED,
                               evaluator=RegressionEvaluator(labelCol="label", weightCol="weight"))
@@ -50,11 +50,11 @@ def labelled(matrix: DataFrame, cases: DataFrame, case_weight: float = CASE_WEIG
     )
 
 
-def fit(data: DataFrame, kind: str = "boosted") -> PipelineModel:
+def fit(data: DataFrame, kind: str = "boosted", **settings) -> PipelineModel:
     """Fit on the training part; the learner makes many passes, hence the persisted input."""
     rows = keep(data.where(~F.col("is_test")).select("features", "label", "weight"))
     try:
-        return Pipeline(stages=[learner(kind)]).fit(rows)
+        return Pipeline(stages=[learner(kind, **settings)]).fit(rows)
     finally:
         rows.unpersist()
 
@@ -68,8 +68,6 @@ def predict(model: PipelineModel, data: DataFrame) -> DataFrame:
 
 def coefficients(model: PipelineModel, names: list[str]) -> DataFrame:
     """``(column_name, coefficient)`` of a linear model."""
-    from pyspark.sql import SparkSession
-
     values = model.stages[-1].coefficients.toArray().tolist()
     return SparkSession.active().createDataFrame(list(zip(names, values)), "column_name string, coefficient double")
 
@@ -84,12 +82,12 @@ def load_model(path: str) -> PipelineModel:
 
 def train_and_check(matrix: DataFrame, cases: DataFrame, columns: list[str], run: str, tables: str,
                     kind: str = "boosted", case_weight: float = CASE_WEIGHT,
-                    model_path: str | None = None) -> tuple[DataFrame, DataFrame, PipelineModel]:
+                    model_path: str | None = None, **settings) -> tuple[DataFrame, DataFrame, PipelineModel]:
     """One learner on one table set: its result row, its error lists, and the model."""
     if not run:
         raise ValueError("a run needs a name")
     data = labelled(matrix, cases, case_weight)
-    model = fit(data, kind)
+    model = fit(data, kind, **settings)
     if model_path:
         save_model(model, model_path)
     said = keep(predict(model, data))
