@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # The whitespace characters (the Unicode set), as the inside of a Java regex class.
@@ -14,7 +16,8 @@ SPACE_CHARS = (
 MIN_TOKEN = 3
 MAX_TOKEN = 64
 # Chunks that look like web addresses.
-WEB_CHUNK = r"^http|^www|\.edu$|\.com$|\.org$"
+WEB_STARTS = ("http", "www")
+WEB_ENDS = (".edu", ".com", ".org")
 
 SPACE = f"[{SPACE_CHARS}]"
 
@@ -32,15 +35,21 @@ def tokens(text: Column, min_len: int = MIN_TOKEN, max_len: int = MAX_TOKEN) ->
     """Words of a text, in order, as ``array<string>``.
 
     A word is a run of at least ``min_len`` letters a-z inside a kept chunk. Most texts hold neither
-    a web address nor an over-long chunk; one cheap scan finds that out and only the others are
+    a web address nor an over-long chunk; a few byte searches find that out and only the others are
     taken apart chunk by chunk. The extraction of words is then a single pass.
     """
     lowered = F.lower(text)
-    suspicious = lowered.rlike(rf"http|www|\.(?:edu|com|org)|[^ \n]{{{max_len + 1}}}")
-    kept_chunks = F.filter(
-        F.split(lowered, f"{SPACE}+"),
-        lambda chunk: (F.length(chunk) <= max_len) & ~chunk.rlike(WEB_CHUNK),
+    suspicious = reduce(
+        lambda a, b: a | b,
+        [F.contains(lowered, F.lit(mark)) for mark in (*WEB_STARTS, *WEB_ENDS)],
+        lowered.rlike(rf"(?<![^ \n])[^ \n]{{{max_len + 1}}}"),
     )
+
+    def keep_chunk(chunk: Column) -> Column:
+        web = [F.startswith(chunk, F.lit(m)) for m in WEB_STARTS] + [F.endswith(chunk, F.lit(m)) for m in WEB_ENDS]
+        return (F.length(chunk) <= max_len) & ~reduce(lambda a, b: a | b, web)
+
+    kept_chunks = F.filter(F.split(lowered, f"{SPACE}+"), keep_chunk)
     kept = F.when(suspicious, F.array_join(kept_chunks, " ")).otherwise(lowered)
     return F.regexp_extract_all(kept, F.lit(f"[a-z]{{{min_len},}}"), F.lit(0))
 

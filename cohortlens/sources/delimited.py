@@ -4,48 +4,120 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..operators.ordering import top_n
 from .catalog import TableSpec
 
 CORRUPT = "_corrupt"
 FILE = "_file"
+BLOCK = "_block_start"
 LINE = "_line"
+# Files above this size are read block by block.
+DIVIDE_BYTES = 1 << 30
 
 
-def _options(spec: TableSpec, header: bool) -> dict:
+def _options(spec: TableSpec) -> dict:
     return dict(
-        sep=spec.delimiter, quote=spec.quote, escape=spec.quote, encoding=spec.encoding, header=header,
-        multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
+        sep=spec.delimiter, quote=spec.quote, escape=spec.quote, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
 
 
-def read_table(spark: SparkSession, path: str, spec: TableSpec, header: bool = True,
-               limit: int | None = None, report: bool = False) -> DataFrame:
+def _schema(spec: TableSpec) -> T.StructType:
+    return T.StructType([*spec.schema.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def _matching(reader, path: str, spec: TableSpec):
+    return reader if path.endswith(".csv") else reader.option("pathGlobFilter", spec.pattern)
+
+
+def largest_file(spark: SparkSession, path: str, spec: TableSpec) -> int:
+    """Bytes of the table's largest file; only the listing is read."""
+    listing = _matching(spark.read.format("binaryFile"), path, spec).load(path)
+    return listing.agg(F.max("length")).first()[0] or 0
+
+
+def read_table(spark: SparkSession, path: str, spec: TableSpec, header: bool = True, limit: int | None = None,
+               report: bool = False, divide: bool | None = None) -> DataFrame:
     """All rows of the table's files in a folder (or of one file), as strings.
 
     Columns are taken by position and a missing field is the empty string. A short, long or
     otherwise malformed row is kept with what could be read. ``report`` adds the row's file and
     ``_corrupt``, the raw text of a malformed row. ``limit`` keeps that many rows of each file.
 
-    Text fields may hold line breaks, so one task reads one file; convert to the Parquet store
-    once. ``read_large_table`` reads few very large files in parallel.
+    Fields may hold line breaks, so Spark's reader gives each file to one task. ``divide`` reads the
+    blocks of a file in parallel instead; by default files above ``DIVIDE_BYTES`` are.
     """
-    schema = T.StructType([*spec.schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.schema(schema).options(**_options(spec, header))
-    if not path.endswith(".csv"):
-        reader = reader.option("pathGlobFilter", spec.pattern)
-    rows = reader.csv(path)
-    if limit is not None or report:
-        rows = rows.withColumn(FILE, F.col("_metadata.file_path"))
-    rows = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in spec.columns],
-                       *[c for c in rows.columns if c not in spec.columns])
+    if divide is None:
+        divide = largest_file(spark, path, spec) > DIVIDE_BYTES
+    rows = _divided(spark, path, spec, header) if divide else _by_file(spark, path, spec, header)
+    rows = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in spec.columns], CORRUPT, FILE, BLOCK, LINE)
     if limit is not None:
-        rows = top_n(rows.withColumn(LINE, F.monotonically_increasing_id()), [FILE], [F.asc(LINE)], limit, "_n") \
-            .drop(LINE, "_n")
-    return rows if report else rows.select(*spec.columns)
+        rows = top_n(rows, [FILE], [F.asc(BLOCK), F.asc(LINE)], limit, "_n")
+    return rows.select(*spec.columns, CORRUPT, FILE) if report else rows.select(*spec.columns)
+
+
+def _by_file(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> DataFrame:
+    reader = spark.read.schema(_schema(spec)).options(**_options(spec), multiLine=True, header=header, encoding=spec.encoding)
+    rows = _matching(reader, path, spec).csv(path)
+    return rows.select("*", F.col("_metadata.file_path").alias(FILE), F.lit(0).cast("bigint").alias(BLOCK),
+                       F.monotonically_increasing_id().alias(LINE))
+
+
+def _divided(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> DataFrame:
+    """Rows of files whose fields may hold line breaks, read block by block.
+
+    A line starts a record where an even number of quotes precedes it in its file. Each block counts
+    its own quotes and record starts for both cases of what came before; a table with one row
+    per block then settles which case holds and which record a block's first lines continue.
+    Lines that are whole records are parsed where they are; only the lines of records that span
+    several are brought together. Quotes must be balanced, as exports that quote and double them are.
+    """
+    raw = _matching(spark.read.option("lineSep", "\n"), path, spec).text(path)
+    value = F.col("value") if spec.encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), spec.encoding)
+    lines = raw.select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
+                       F.monotonically_increasing_id().alias(LINE), value.alias("_text"))
+    quotes = F.length("_text") - F.length(F.replace("_text", F.lit(spec.quote), F.lit("")))
+    # A group is one block of the file system, so its size is bounded.
+    block = Window.partitionBy(FILE, BLOCK).orderBy(LINE)
+    so_far = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = (
+        lines.withColumn("_quotes", quotes)
+        .withColumn("_open", (F.sum("_quotes").over(so_far) - F.col("_quotes")) % 2)
+        .withColumn("_if_even", F.count_if(F.col("_open") == 0).over(so_far))
+        .withColumn("_if_odd", F.count_if(F.col("_open") == 1).over(so_far))
+    )
+    earlier = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.when(F.col("_carry") == 0, F.col("_evens")).otherwise(F.col("_odds"))
+    blocks = (
+        counted.groupBy(FILE, BLOCK)
+        .agg(F.sum("_quotes").alias("_sum"), F.max("_if_even").alias("_evens"), F.max("_if_odd").alias("_odds"))
+        .withColumn("_carry", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)) % 2)
+        .withColumn("_last", F.when(starts > 0, F.struct(F.col(BLOCK).alias("block"), starts.alias("record"))))
+        .withColumn("_before", F.last("_last", ignorenulls=True).over(earlier))
+        .select(FILE, BLOCK, "_carry", "_before")
+    )
+    placed = counted.join(blocks, [FILE, BLOCK]).select(
+        FILE, BLOCK, LINE, "_text", (F.col("_quotes") % 2).alias("_uneven"), (F.col("_open") == F.col("_carry")).alias("_starts"),
+        F.when(F.col("_carry") == 0, F.col("_if_even")).otherwise(F.col("_if_odd")).alias("_number"), "_before",
+    ).select(
+        FILE, BLOCK, LINE, "_text", (F.col("_starts") & (F.col("_uneven") == 0)).alias("_whole"),
+        F.when(F.col("_number") > 0, F.col(BLOCK)).otherwise(F.col("_before.block")).alias("_block"),
+        F.when(F.col("_number") > 0, F.col("_number")).otherwise(F.col("_before.record")).alias("_record"),
+    )
+    spanning = placed.where(~F.col("_whole")).groupBy(FILE, "_block", "_record").agg(
+        F.sort_array(F.collect_list(F.struct(BLOCK, LINE, "_text"))).alias("_parts"))
+    records = placed.where("_whole").select(FILE, BLOCK, LINE, "_text", "_block", "_record").unionByName(spanning.select(
+        FILE, F.col("_parts")[0][BLOCK].alias(BLOCK), F.col("_parts")[0][LINE].alias(LINE),
+        F.array_join("_parts._text", "\n").alias("_text"), "_block", "_record"))
+    if header:
+        records = records.where(~((F.col("_block") == 0) & (F.col("_record") == 1)))
+    text = F.regexp_replace(F.regexp_replace("_text", "\r\\z", ""), "^\ufeff", "")
+    parsed = F.from_csv("_text", _schema(spec).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
+                        {k: str(v).lower() if isinstance(v, bool) else v for k, v in _options(spec).items()})
+    return records.withColumn("_text", text).where(F.col("_text") != "").select(FILE, BLOCK, LINE, parsed.alias("_row")) \
+        .select("_row.*", FILE, BLOCK, LINE)
 
 
 def read_plain(spark: SparkSession, path: str, columns: list[str], delimiter: str = "|", quote: str = '"',

@@ -40,6 +40,41 @@ def test_read_table_edges(spark, tmp_path):
     assert limited.count() == 6
 
 
+def test_divided_files_equal_whole_files(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = []
+    for i in range(900):
+        field = "".join(rnd.choice(['a', 'é', ' ', '"', "|", "\n", "\r\n", "word", ""]) for _ in range(rnd.randint(0, 60)))
+        if i % 150 == 7:
+            field = "long\n" * 2000
+        rows.append((f"{i:032d}", str(i), field))
+
+    def cell(x):
+        return '"' + x.replace('"', '""') + '"' if any(c in x for c in '"|\n\r') else x
+
+    for name, end, part in (("a_Notes.csv", "\n", rows[:600]), ("b_Notes.csv", "\r\n", rows[600:])):
+        body = end.join(["STUDY_PAT_ID|D|T", *["|".join(map(cell, r)) for r in part], "", "shortrow|x"]) + end
+        (tmp_path / name).write_bytes(codecs.BOM_UTF8 + body.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = delimited.read_table(spark, str(tmp_path), SPEC, report=True, divide=True)
+        assert got.select("_file").rdd.getNumPartitions() > 0
+        assert sorted(map(tuple, got.where("_corrupt is null").select(*SPEC.columns).collect())) == sorted(rows)
+        assert [tuple(r) for r in got.where("_corrupt is not null").select(*SPEC.columns).collect()] == [("shortrow", "x", "")] * 2
+        limited = delimited.read_table(spark, str(tmp_path), SPEC, limit=450, divide=True)
+        assert sorted(int(r.D) for r in limited.where("D <> 'x'").collect()) == [*range(450), *range(600, 900)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    whole = delimited.read_table(spark, str(tmp_path), SPEC, divide=False)
+    assert whole.count() == 902
+    latin = catalog.TableSpec("L", ("STUDY_PAT_ID", "T"), (32, 10), encoding="ISO-8859-1")
+    (tmp_path / "L.csv").write_bytes('STUDY_PAT_ID|T\np|"ca\nfé"\n'.encode("latin-1"))
+    assert delimited.read_table(spark, str(tmp_path / "L.csv"), latin, divide=True).first().T == "ca\nfé"
+
+
 def test_latin1_and_header(spark, tmp_path):
     spec = catalog.TableSpec("N", ("STUDY_PAT_ID", "T"), (32, 10), encoding="ISO-8859-1")
     (tmp_path / "N.csv").write_bytes("STUDY_PAT_ID|T\np|café\n".encode("latin-1"))

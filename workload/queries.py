@@ -48,6 +48,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of long texts. A file with fewer splits than there are cores would leave most of
+    them idle, so it is spread; an input of many splits is read as it lies."""
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -157,13 +165,13 @@ def count_list_roundtrip(spark, sf):
 
 @query
 def tokenize(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("words"))
+    docs = texts(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("words"))
     return docs.select("doc_id", F.size("words").alias("n_tokens"), F.array_join("words", " ").alias("tokens"))
 
 
 @query
 def bigrams(spark, sf):
-    notes = table(spark, sf, "conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("words"))
+    notes = texts(spark, sf, "conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("words"))
     return notes.select("conv_id", "turn", F.array_join(text.ngrams(F.col("words"), 2), " ").alias("pairs"))
 
 
@@ -175,7 +183,7 @@ def slug(spark, sf):
 
 
 def notes_of(spark, sf):
-    return table(spark, sf, "conversations")
+    return texts(spark, sf, "conversations")
 
 
 @query
@@ -186,7 +194,7 @@ def patient_document(spark, sf):
 
 @query
 def blank_repeats(spark, sf):
-    docs = documents.whole(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
+    docs = documents.whole(texts(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id"), F.col("text"))
     return documents.blank_repeats(docs).select("pid", "part", "text")
 
 
@@ -206,7 +214,7 @@ def clean_document(spark, sf):
 
 
 def corpus(spark, sf):
-    return documents.whole(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
+    return documents.whole(texts(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id"), F.col("text"))
 
 
 def corpus_masks(spark, sf):
