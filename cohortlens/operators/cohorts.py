@@ -39,23 +39,21 @@ def code_cohorts(diagnoses: DataFrame, pid: Column, codes: Mapping[str, Column],
     """``(cohort, pid)`` for every rule in one scan: a patient belongs where any code begins
     with any of the cohort's prefixes for that code system.
 
-    The rules are expressions, so the scan reads the id and code columns only and the shuffle
-    carries distinct (cohort, patient) pairs.
+    The rules are expressions, so the scan reads the id and code columns only. Rows collapse to one
+    row of flags per patient before the shuffle, however many diagnoses a patient has.
     """
     normal = diagnoses.select(pid.cast("string").alias("pid"),
                               *[normal_code(c).alias(f"_{name}") for name, c in codes.items()])
-    matches = [
-        F.when(
-            reduce(lambda a, b: a | b,
-                   [_begins_with_any(F.col(f"_{system}"), prefixes) for system, prefixes in systems.items()]),
-            F.lit(cohort),
-        )
-        for cohort, systems in rules.items()
-    ]
-    return (
-        normal.select("pid", F.explode(F.array_compact(F.array(*matches))).alias("cohort"))
-        .select("cohort", "pid").distinct()
-    )
+    names = list(rules)
+    flags = normal.groupBy("pid").agg(*[
+        F.bool_or(reduce(
+            lambda a, b: a | b,
+            [_begins_with_any(F.col(f"_{system}"), prefixes) for system, prefixes in rules[name].items()],
+        )).alias(f"_in{i}")
+        for i, name in enumerate(names)
+    ])
+    held = F.array_compact(F.array(*[F.when(F.col(f"_in{i}"), F.lit(name)) for i, name in enumerate(names)]))
+    return flags.select(F.explode(held).alias("cohort"), "pid")
 
 
 def prefix_join(codes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -64,13 +62,15 @@ def prefix_join(codes: DataFrame, rules: DataFrame) -> DataFrame:
     ``codes`` is ``(pid, system, code)``. The prefix test becomes an equality: each code is cut at
     every length that occurs among the rules of its system (a handful), then joined on the cut.
     """
+    # One row per code system, with at most as many lengths as a code has characters.
     lengths = (
         rules.select("system", F.length("prefix").alias("_n")).distinct()
         .groupBy("system").agg(F.collect_set("_n").alias("_lengths"))
     )
-    distinct_codes = codes.select("pid", "system", normal_code(F.col("code")).alias("_code")).distinct()
+    distinct_codes = codes.select("pid", "system", "code").distinct() \
+        .select("pid", "system", normal_code(F.col("code")).alias("_code"))
     cuts = (
-        distinct_codes.join(lengths, "system")
+        distinct_codes.join(F.broadcast(lengths), "system")
         .select("pid", "system", "_code", F.explode("_lengths").alias("_n"))
         .where(F.length("_code") >= F.col("_n"))
         .select("pid", "system", F.col("_code").substr(F.lit(1), F.col("_n")).alias("prefix"))

@@ -49,7 +49,7 @@ def assemble(rows: DataFrame, pid: Column, text: Column, order: Sequence[Column]
     )
     sizes = rows.select(
         pid.cast("string").alias("pid"),
-        (F.length(text) if size is None else size).alias("_size"),
+        F.coalesce(F.length(text) if size is None else size, F.lit(0)).cast("bigint").alias("_size"),
     )
     long_ids = keep(
         sizes.groupBy("pid").agg(F.sum(F.col("_size") + len(separator)).alias("_total"))

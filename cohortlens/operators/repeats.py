@@ -9,11 +9,16 @@ shuffle on (patient, hash of the span), which spreads over the cluster.
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Send the small helpers below along with the plan, so executors need numpy and pandas only.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: characters per compared span.
 SPAN = 30
 # Characters per block when spans are cut: substring() walks from the start of its argument.

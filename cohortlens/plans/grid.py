@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import parse_date
 from ..functions.text import row_text
-from ..operators import cohorts, documents, history, lsi, terms, vectors
+from ..operators import cohorts, demographics, documents, history, lsi, terms, vectors
 from ..session import keep
 from ..sources import delimited, store
-from ..sources.catalog import DEFAULT_TABLES, CLINICAL_NOTES, DIAGNOSES, ID, TableSpec
+from ..sources.catalog import CLINICAL_NOTES, DEFAULT_TABLES, DEMOGRAPHICS, DIAGNOSES, ID, TableSpec
 from . import reports, training
 
 # The population subgroups by disease cohort; None is everyone.
@@ -24,6 +24,12 @@ SUBGROUPS: dict[str, tuple[str, ...] | None] = {
     "neuro": ("neuropathy",),
 }
 RESTRICTED = "restrict_"
+# The age and the category columns of the demographics table, in feature order.
+AGE = "CURR_AGE_YRS"
+CATEGORIES = ("GENDER_NM", "NIH_ETHNCTY", "NIH_RACE")
+
+# A table's vectors ``(pid, vec)`` with the names of their numbers.
+Features = tuple[DataFrame, list[str]]
 
 
 @dataclass(frozen=True)
@@ -107,6 +113,8 @@ def build_cohorts(spark: SparkSession, out: str, config: GridConfig) -> tuple[Da
     cohorts.require_members(disease, list(cohorts.DISEASE_RULES))
     notes = store.read_split(spark, f"{out}/{CLINICAL_NOTES.name}", [ID, "NOTE_DT"])
     days = history.note_days(notes, F.col(ID), parse_date(F.col("NOTE_DT")))
+    days = store.save(days, f"{out}/note_days")
+    store.save(history.note_dates(days), f"{out}/note_dates")
     flags = keep(history.history_flags(history.history(days), config.history))
     store.save(history.flag_overlap(flags), f"{out}/date_statistics")
     restricted = store.save(history.history_cohort(flags), f"{out}/history_cohort")
@@ -149,14 +157,20 @@ def build_features(docs: DataFrame, membership: DataFrame, scopes: Sequence[str]
     return result
 
 
-def train_scope(tables: Mapping[str, DataFrame], cases: DataFrame, topics: int, run: str, out: str,
-                config: GridConfig) -> DataFrame:
+def demographic_features(spark: SparkSession, out: str, spec: TableSpec = DEMOGRAPHICS) -> Features:
+    """Age and one-hot categories from a stored demographics table; the last record of a patient counts."""
+    rows = store.read_split(spark, f"{out}/{spec.name}")
+    order = [F.col(c) for c in spec.columns if c != spec.id]
+    wide = demographics.one_hot(demographics.latest(rows, F.col(spec.id), [AGE, *CATEGORIES], order), AGE, CATEGORIES)
+    return demographics.demographic_vector(wide, AGE)
+
+
+def train_scope(tables: Mapping[str, Features], cases: DataFrame, run: str, out: str, config: GridConfig) -> DataFrame:
     """Train on all tables, then on each alone; returns the false-positive overlap of the run."""
-    cut = {name: df.select("pid", F.slice("vec", 1, topics).alias("vec")) for name, df in tables.items()}
-    for i, only in enumerate([(), *[(name,) for name in cut]]):
-        chosen = only or tuple(cut)
-        matrix = keep(vectors.assemble_matrix(cut, only))
-        columns = [c for name in chosen for c in vectors.column_names(name, topics)]
+    frames = {name: df for name, (df, _) in tables.items()}
+    for i, only in enumerate([(), *[(name,) for name in frames]]):
+        matrix = keep(vectors.assemble_matrix(frames, only))
+        columns = [c for name in only or tuple(frames) for c in tables[name][1]]
         for kind in config.learners:
             tag = "lsi_all" if not only else f"lsi_{only[0]}"
             result, lists, model = training.train_and_check(
@@ -185,22 +199,30 @@ def run_grid(spark: SparkSession, raw: str, out: str, config: GridConfig = GridC
     disease, restricted = build_cohorts(spark, out, config)
     scopes = scope_names()
     stamp = datetime.now().strftime("%Y_%m_%d_%H_%M")
+    text_tables = [spec for spec in config.tables if spec.text]
     patients = None
-    for spec in config.tables:
+    for spec in text_tables:
         ids = store.load(spark, f"{out}/{spec.name}_clean").select("pid")
         patients = ids if patients is None else patients.union(ids)
     membership = store.save(scope_membership(patients, disease, restricted), f"{out}/scopes")
-    features = {
+    fitted = {
         spec.name: build_features(store.load(spark, f"{out}/{spec.name}_clean"), membership, scopes,
                                   f"{out}/features/{spec.name}", config)
-        for spec in config.tables
+        for spec in text_tables
     }
+    others = {spec.name: demographic_features(spark, out, spec) for spec in config.tables if spec.name == DEMOGRAPHICS.name}
     cases = cohorts.members(disease, "case")
     for scope in scopes:
         here_cases = cohorts.restrict(cases, restricted if scope.startswith(RESTRICTED) else None)
         for odds in config.odds:
-            tables = {name: df.where((F.col("scope") == scope) & (F.col("odds") == odds)) for name, df in features.items()}
+            here = (F.col("scope") == scope) & (F.col("odds") == odds)
             for topics in config.topics:
-                run = f"{stamp}_{'-'.join(features)}_{scope}_odds{odds:g}_topics{topics}"
-                train_scope(tables, here_cases, topics, run, out, config)
+                # A smaller topic count is a prefix of the largest.
+                tables: dict[str, Features] = {
+                    name: (df.where(here).select("pid", F.slice("vec", 1, topics).alias("vec")),
+                           vectors.column_names(name, topics))
+                    for name, df in fitted.items()
+                }
+                run = f"{stamp}_{'-'.join(s.name for s in config.tables)}_{scope}_odds{odds:g}_topics{topics}"
+                train_scope({**tables, **others}, here_cases, run, out, config)
     return store.load(spark, f"{out}/results")

@@ -133,6 +133,8 @@ def _world(folder):
 
     write(catalog.CLINICAL_NOTES, notes, ("STUDY_PAT_ID", "NOTE_DT", "RPT_TEXT"))
     dx = [(p, c, n, d, " ".join(rnd.choice(common) for _ in range(12))) for p, c, n, d in dx]
+    write(catalog.DEMOGRAPHICS, [(f"{i:032d}", str(30 + i % 50), "Male" if i % 2 else "Female") for i in range(160)],
+          ("STUDY_PAT_ID", "CURR_AGE_YRS", "GENDER_NM"))
     write(catalog.DIAGNOSES, dx, ("STUDY_PAT_ID", "ICD10_CODE", "ICD9_CODE", "DIAGNOSIS_START_DATE", "DX_NAME"))
 
 
@@ -142,12 +144,11 @@ def test_run_grid(spark, tmp_path, monkeypatch):
     _world(raw)
     monkeypatch.setattr(grid, "scope_names", lambda *a: ["restrict_all", "hfneuro"])
     config = grid.GridConfig(
-        tables=(catalog.DIAGNOSES, catalog.CLINICAL_NOTES), topics=(3,), odds=(50.0,), learners=("logistic",), case_weight=10,
+        tables=(catalog.DIAGNOSES, catalog.CLINICAL_NOTES, catalog.DEMOGRAPHICS), topics=(3,), odds=(50.0,), learners=("logistic",), case_weight=10,
         rules=terms.VocabularyRules(case_share=1.0, control_share=1.0, min_case_count=1, min_control_count=1, top_case_terms=30, total_terms=40))
     results = grid.run_grid(spark, str(raw), str(out), config).collect()
-    assert len(results) == 2 * 3
-    assert {r.tables for r in results} == {"lsi_all", "lsi_Diagnoses", "lsi_Clinical_Notes"}
-    assert {r.num_columns for r in results} == {3, 6}
+    assert len(results) == 2 * 4
+    assert {r.tables: r.num_columns for r in results} == {"lsi_all": 11, "lsi_Diagnoses": 3, "lsi_Clinical_Notes": 3, "lsi_Demographics": 5}
     info = {r.run: r for r in store.load(spark, f"{out}/manifest").collect()}
     assert len(info) == 2
     for r in results:

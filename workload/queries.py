@@ -15,7 +15,7 @@ from cohortlens.functions import dates, keys, text
 from cohortlens.operators import (cohorts, demographics, documents, evaluate, history, lsi, quality, terms,
                                   vectors)
 from cohortlens.plans import grid, reports, training
-from cohortlens.session import keep, work_folder
+from cohortlens.session import work_folder
 from cohortlens.sources import codes as code_source, delimited, store
 from cohortlens.sources.catalog import TableSpec
 
@@ -224,8 +224,10 @@ def corpus_masks(spark, sf):
 
 
 def counted(spark, sf):
+    """Counts written once: the vocabulary reads them several times and must not repeat the text work."""
     docs, masks = corpus(spark, sf), corpus_masks(spark, sf)
-    return keep(terms.term_counts(docs, masks, SCOPES)), terms.patient_counts(docs, masks, SCOPES)
+    counts = store.save(terms.term_counts(docs, masks, SCOPES), scratch(spark, "counts"))
+    return counts, terms.patient_counts(docs, masks, SCOPES)
 
 
 @query
@@ -247,17 +249,13 @@ def odds_ratio(spark, sf):
 
 def vocabulary_of(spark, sf, odds=(3.5,)):
     counts, people = counted(spark, sf)
-    path = scratch(spark, "vocabulary")
-    vocab = store.save(terms.vocabulary(counts, people, odds, VOCABULARY), path)
-    counts.unpersist()
-    return vocab
+    return store.save(terms.vocabulary(counts, people, odds, VOCABULARY), scratch(spark, "vocabulary"))
 
 
 @query
 def vocabulary(spark, sf):
-    docs, masks = corpus(spark, sf), corpus_masks(spark, sf)
-    return terms.vocabulary(terms.term_counts(docs, masks, SCOPES), terms.patient_counts(docs, masks, SCOPES),
-                            (2.0, 3.5), VOCABULARY).drop("scope")
+    counts, people = counted(spark, sf)
+    return terms.vocabulary(counts, people, (2.0, 3.5), VOCABULARY).drop("scope")
 
 
 def bag_of(spark, sf):
