@@ -175,22 +175,15 @@ def blank_pieces(pieces: DataFrame, piece_chars: int, key: str = "pid", span: in
             return codes.astype("<u4").tobytes().decode("utf-32-le")
         return pd.Series([one(t, a) for t, a in zip(texts, marks)])
 
-    blanked = pieces.join(marks, [key, "part"], "left").withColumn("text", blank_at("text", "_marks")).drop("_marks")
-    return _squeeze_pieces(blanked, key)
-
-
-def _squeeze_pieces(pieces: DataFrame, key: str) -> DataFrame:
-    """Squeeze each piece; a blank at a seam is dropped where the text before it ends in a blank.
-
-    A piece that is blank throughout passes its neighbour's state on, hence ``last`` over the
-    pieces' final characters (one short row per piece, not the text).
-    """
-    squeezed = pieces.withColumn("text", squeeze(F.col("text")))
-    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    tails = squeezed.select(key, "part", F.when(F.length("text") > 0, F.substring("text", -1, 1)).alias("_tail"))
-    seams = tails.select(key, "part", F.last("_tail", ignorenulls=True).over(before).alias("_before"))
+    marked = pieces.join(marks, [key, "part"], "left")
+    # A piece's end is blank if the text says so or its last repeat reaches the end; knowing
+    # that from the marks, the neighbours need no look at the finished text.
+    ends_blank = F.col("text").rlike("[ \t]\\z") | F.coalesce(F.array_max("_marks") + span >= F.length("text"), F.lit(False))
+    seams = marked.select(key, "part", ends_blank.alias("_ends_blank")).select(
+        key, "part", F.lag("_ends_blank").over(Window.partitionBy(key).orderBy("part")).alias("_after_blank"))
+    squeezed = marked.withColumn("text", squeeze(blank_at("text", "_marks")))
     return (
         squeezed.join(seams, [key, "part"])
-        .withColumn("text", F.when(F.col("_before") == " ", F.regexp_replace("text", "^ ", "")).otherwise(F.col("text")))
-        .drop("_before")
+        .withColumn("text", F.when(F.col("_after_blank"), F.regexp_replace("text", "^ ", "")).otherwise(F.col("text")))
+        .drop("_marks", "_after_blank")
     )

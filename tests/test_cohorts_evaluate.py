@@ -1,10 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from cohortlens.operators import cohorts, demographics, evaluate, history, quality
-from cohortlens.plans import grid, reports
+from cohortlens.plans import grid, reports, training
 from cohortlens.sources import codes
 
 
@@ -108,3 +109,28 @@ def test_codes_and_quality(spark):
     assert [r.code for r in codes.codes_about(table, "HEART").collect()] == ["I50"]
     census = quality.bucket_census(spark.createDataFrame([("a",), ("a",)], "p string"), F.col("p"), 10)
     assert census.count() == 10 and census.agg(F.sum("patients")).first()[0] == 1
+
+
+def test_report_against_mllib(spark):
+    rows = [(str(i), int(i % 5 == 0), int(i % 3 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "pid string, label int, prediction int")
+    both = df.select(F.col("prediction").cast("double"), F.col("label").cast("double"))
+    got = {r["class"]: r for r in evaluate.report(df).collect()}
+    for name, metric in (("precision", "weightedPrecision"), ("recall", "weightedRecall"), ("f1", "weightedFMeasure"), ("precision", "accuracy")):
+        line = "accuracy" if metric == "accuracy" else "weighted avg"
+        assert got[line][name] == pytest.approx(MulticlassClassificationEvaluator(metricName=metric).evaluate(both))
+
+
+@pytest.mark.parametrize("kind,settings", [("boosted", {"maxIter": 3}), ("logistic", {}), ("forest", {"numTrees": 5}), ("svm", {}), ("lasso", {})])
+def test_learners_separate_easy_classes(spark, tmp_path, kind, settings):
+    rows = [(f"p{i}", [float(i % 10 == 0) * 3 + (i % 7) / 10, float(i % 3)]) for i in range(300)]
+    matrix = spark.createDataFrame(rows, "pid string, features array<double>")
+    cases = spark.createDataFrame([(f"p{i}",) for i in range(0, 300, 10)], "pid string")
+    result, lists, model = training.train_and_check(matrix, cases, ["a", "b"], "run", "lsi_all", kind, 10, str(tmp_path / "m"), **settings)
+    row = result.first()
+    assert row.sensitivity == 1.0 and row.specificity == 1.0 and row.model == f"{kind}10" and row.tp + row.fp + row.tn + row.fn > 0
+    assert {r.kind for r in lists.collect()} == {"true_positives"}
+    again = training.predict(training.load_model(str(tmp_path / "m")), training.labelled(matrix, cases, 10))
+    assert again.where("label <> prediction").isEmpty()
+    with pytest.raises(ValueError):
+        training.train_and_check(matrix, cases, ["a"], "", "t", kind)

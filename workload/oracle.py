@@ -199,6 +199,8 @@ ORACLE: dict[str, str] = {
     "fixed_width_codes": """SELECT trim(p_brand) AS code, arg_max(trim(p_name), p_partkey) AS description FROM part GROUP BY p_brand""",
     "flag_table": "SELECT doc_id::VARCHAR AS doc_id, quality::INTEGER AS quality, toxic::INTEGER AS toxic FROM labels",
     "ingest_roundtrip": "SELECT conv_id::VARCHAR AS pid, turn::VARCHAR AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations",
+    "divided_ingest": """SELECT conv_id::VARCHAR AS pid, turn::VARCHAR AS turn, coalesce(role, '') AS role,
+        '"' || chr(10) || '|' || coalesce(text, '') AS text FROM conversations""",
     "count_list_roundtrip": "SELECT l_shipdate::DATE::VARCHAR AS token, count(*) AS cnt FROM lineitem GROUP BY 1",
     "tokenize": f"""SELECT doc_id, len(w)::INTEGER AS n_tokens, array_to_string(w, ' ') AS tokens
         FROM (SELECT doc_id, {words('text')} AS w FROM documents)""",
@@ -211,6 +213,12 @@ ORACLE: dict[str, str] = {
     "review_document": blanked(NOTES),
     "clean_document": blanked(f"SELECT pid, part, array_to_string({words('text')}, ' ') AS text FROM ({NOTES})"),
     "term_counts": f"WITH {COUNTS} SELECT token, case_df, case_tf, ctrl_df, ctrl_tf FROM counts",
+    "scope_term_counts": f"""WITH {COUNTS}, scoped AS (
+        SELECT 'all' AS scope, p.* FROM per p UNION ALL
+        SELECT CASE WHEN d.lang = 'en' THEN 'english' ELSE 'other' END, p.* FROM per p JOIN documents d ON d.doc_id::VARCHAR = p.pid)
+        SELECT scope, token, count(*) FILTER (label = 1) AS case_df, coalesce(sum(tf) FILTER (label = 1), 0)::BIGINT AS case_tf,
+        count(*) FILTER (label = 0) AS ctrl_df, coalesce(sum(tf) FILTER (label = 0), 0)::BIGINT AS ctrl_tf
+        FROM scoped GROUP BY scope, token""",
     "training_patients": f"WITH {COUNTS} SELECT 'all' AS scope, cases, controls FROM people",
     "odds_ratio": f"WITH {COUNTS} SELECT token, round(ratio, 6) AS odds_ratio FROM kept",
     "vocabulary": f"WITH {vocab('2.0, 3.5')} SELECT odds, term_id, token, cf FROM vocab",
@@ -242,6 +250,10 @@ ORACLE: dict[str, str] = {
         SELECT 'intersection', pid FROM (SELECT pid FROM one INTERSECT SELECT pid FROM mixed INTERSECT SELECT pid FROM seen) UNION ALL
         SELECT 'difference', pid FROM (SELECT pid FROM mixed EXCEPT SELECT pid FROM one)""",
     "scope_grid": scope_sql(),
+    "restricted_notes": """SELECT conv_id::VARCHAR AS pid, turn, role FROM conversations
+        WHERE conv_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
+    "case_labels": f"""WITH {FLAGS_CTE}, seen AS ({SEEN}) SELECT c_custkey::VARCHAR AS pid,
+        (c_custkey::VARCHAR IN (SELECT pid FROM seen))::INTEGER AS label FROM customer""",
     "code_describe": """WITH known AS (SELECT regexp_replace(upper(p_brand), '[^0-9A-Z]+', '', 'g') AS code, max(p_name) AS description FROM part GROUP BY 1)
         SELECT p_partkey, replace(lower(p_brand), '#', '.') AS code, coalesce(k.description, '') AS description FROM part
         LEFT JOIN known k ON k.code = upper(replace(p_brand, '#', '')) AND k.code <> 'BRAND25'""",
@@ -275,6 +287,7 @@ ORACLE: dict[str, str] = {
         FROM names x CROSS JOIN names y LEFT JOIN sizes s ON s.list = x.list LEFT JOIN pairs b ON b.list = x.list AND b.other = y.list""",
     "run_manifest": f"""WITH {PRED} SELECT 'run' AS run, count(*) FILTER (NOT is_test) AS train_patients, count(*) FILTER (is_test) AS test_patients,
         'boosted' AS models, 400.0::DOUBLE AS case_weight FROM pred""",
+    "patient_lists": f"""WITH {PRED} SELECT 'run' AS run, CASE WHEN is_test THEN 'test' ELSE 'train' END AS kind, pid FROM pred""",
     "review_export": f"""WITH chosen AS (SELECT DISTINCT doc_id::VARCHAR AS pid FROM labels WHERE toxic = 1),
         d AS (SELECT doc_id::VARCHAR AS pid, 0 AS table_no, 'documents' AS "table", 0 AS part, text FROM documents UNION ALL
               SELECT pid, 1, 'notes', part, text FROM ({NOTES}))

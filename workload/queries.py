@@ -151,6 +151,16 @@ def ingest_roundtrip(spark, sf):
     return store.read_split(spark, split, list(spec.columns))
 
 
+@query
+def divided_ingest(spark, sf):
+    spec = TableSpec("Notes", ("pid", "turn", "role", "text"), (32, 8, 16, 360_000), ("role", "text"), "turn", id="pid")
+    raw = scratch(spark, "raw")
+    rows = table(spark, sf, "conversations").select(
+        as_id("conv_id").alias("pid"), as_id("turn").alias("turn"), "role", F.concat(F.lit('"\n|'), F.coalesce("text", F.lit(""))).alias("text"))
+    delimited.write_delimited(rows, f"{raw}/Notes.csv", header=True)
+    return delimited.read_table(spark, f"{raw}/Notes.csv", spec, divide=True)
+
+
 @query
 def count_list_roundtrip(spark, sf):
     path = scratch(spark, "counts")
@@ -235,6 +245,18 @@ def term_counts(spark, sf):
     return terms.term_counts(corpus(spark, sf), corpus_masks(spark, sf), SCOPES).drop("scope")
 
 
+@query
+def scope_term_counts(spark, sf):
+    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    known = docs.join(labels, "doc_id").select(
+        as_id("doc_id").alias("pid"), "label",
+        F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("lang") == "en", F.lit("english")),
+                                          F.when(F.col("lang") != "en", F.lit("other"))))).alias("scope"))
+    scopes = ["all", "english", "other"]
+    return terms.term_counts(corpus(spark, sf), terms.membership_masks(known, scopes), scopes)
+
+
 @query
 def training_patients(spark, sf):
     return terms.patient_counts(corpus(spark, sf), corpus_masks(spark, sf), SCOPES)
@@ -434,6 +456,19 @@ def scope_grid(spark, sf):
     return grid.scope_sizes(membership)
 
 
+@query
+def restricted_notes(spark, sf):
+    chosen = table(spark, sf, "labels").where("quality = 1").select(as_id("doc_id").alias("pid"))
+    notes = table(spark, sf, "conversations").select(as_id("conv_id").alias("pid"), "turn", "role")
+    return cohorts.restrict(notes, chosen)
+
+
+@query
+def case_labels(spark, sf):
+    seen = history.history_cohort(flags_of(spark, sf))
+    return cohorts.label(table(spark, sf, "customer").select(as_id("c_custkey").alias("pid")), seen)
+
+
 @query
 def code_describe(spark, sf):
     parts = table(spark, sf, "part")
@@ -555,6 +590,11 @@ def run_manifest(spark, sf):
     return reports.manifest(predictions_of(spark, sf), "run", ["boosted"], 400)
 
 
+@query
+def patient_lists(spark, sf):
+    return reports.patient_lists(predictions_of(spark, sf), "run")
+
+
 @query
 def review_export(spark, sf):
     chosen = table(spark, sf, "labels").where("toxic = 1").select(as_id("doc_id").alias("pid"))
@@ -582,3 +622,12 @@ def logreg_coef(spark, sf):
     names = vectors.column_names("text", 64)
     _, _, model = training.train_and_check(matrix, cases, names, "run", "lsi_all", "logistic", 10)
     return training.coefficients(model, names)
+
+
+@query
+def learner_results(spark, sf):
+    matrix, cases = learning_matrix(spark, sf)
+    names = vectors.column_names("text", 64)
+    results = [training.train_and_check(matrix, cases, names, "run", "lsi_all", kind, 10, **settings)[0]
+               for kind, settings in (("forest", {"numTrees": 10}), ("svm", {"maxIter": 20}), ("lasso", {}))]
+    return results[0].union(results[1]).union(results[2])
