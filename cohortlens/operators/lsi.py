@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.mllib.linalg import VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -12,8 +13,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..session import keep, work_folder
 from .ordering import top_n
 
-TOPIC_SCHEMA = "term_id int, topic int, v double"
-
 
 def sparse_rows(weights: DataFrame, terms: int) -> DataFrame:
     """One row per patient in the layout in which Spark stores a sparse vector."""
@@ -45,9 +44,9 @@ def fit_topics(weights: DataFrame, terms: int, topics: int, folder: str | None =
     lead = np.abs(basis).argmax(axis=0)
     basis = basis * np.where(basis[lead, np.arange(basis.shape[1])] < 0, -1.0, 1.0)
     term_id, topic = np.nonzero(np.abs(basis) > 0)
-    loadings = spark.createDataFrame(
-        list(zip(term_id.tolist(), topic.tolist(), basis[term_id, topic].tolist())), TOPIC_SCHEMA
-    )
+    loadings = spark.createDataFrame(pa.table({
+        "term_id": pa.array(term_id, pa.int32()), "topic": pa.array(topic, pa.int32()), "v": pa.array(basis[term_id, topic]),
+    }))
     return loadings, spark.createDataFrame(list(enumerate(values.tolist())), "topic int, s double")
 
 

@@ -143,18 +143,28 @@ def overlap(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b.select("pid"), "pid", "left_semi"), [t.select("pid") for t in tables])
 
 
-def assemble_matrix(tables: Mapping[str, DataFrame], only: Sequence[str] = ()) -> DataFrame:
-    """``(pid, features)``: the vectors of all tables side by side, for patients found in every one.
-
-    ``only`` keeps some tables' numbers; the patients are those of the full overlap all the same. Each
-    table is hash-partitioned by patient once and every join reuses that.
-    """
-    joined = reduce(
+def join_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per patient found in every table, with one array column per table. Each table is
+    hash-partitioned by patient once and every join reuses that."""
+    return reduce(
         lambda a, b: a.join(b, "pid"),
-        [t.select("pid", F.col("vec").alias(f"_{name}")) for name, t in tables.items()],
+        [t.select("pid", F.col("vec").alias(_vec(name))) for name, t in tables.items()],
     )
-    chosen = [name for name in tables if not only or name in only]
-    return joined.select("pid", F.concat(*[F.col(f"_{name}") for name in chosen]).alias("features"))
+
+
+def _vec(name: str) -> str:
+    return f"_vec_{name}"
+
+
+def side_by_side(joined: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(pid, features)``: the numbers of the named tables, concatenated in that order."""
+    return joined.select("pid", F.concat(*[F.col(_vec(name)) for name in names]).alias("features"))
+
+
+def assemble_matrix(tables: Mapping[str, DataFrame], only: Sequence[str] = ()) -> DataFrame:
+    """``(pid, features)`` for patients found in every table; ``only`` keeps some tables' numbers
+    for those same patients."""
+    return side_by_side(join_tables(tables), [name for name in tables if not only or name in only])
 
 
 def as_vector(features: Column) -> Column:

@@ -167,10 +167,12 @@ def demographic_features(spark: SparkSession, out: str, spec: TableSpec = DEMOGR
 
 def train_scope(tables: Mapping[str, Features], cases: DataFrame, run: str, out: str, config: GridConfig) -> DataFrame:
     """Train on all tables, then on each alone; returns the false-positive overlap of the run."""
-    frames = {name: df for name, (df, _) in tables.items()}
-    for i, only in enumerate([(), *[(name,) for name in frames]]):
-        matrix = keep(vectors.assemble_matrix(frames, only))
-        columns = [c for name in only or tuple(frames) for c in tables[name][1]]
+    # Joined once; the matrix of a single table is a part of each row.
+    joined = keep(vectors.join_tables({name: df for name, (df, _) in tables.items()}))
+    for i, only in enumerate([(), *[(name,) for name in tables]]):
+        chosen = only or tuple(tables)
+        matrix = vectors.side_by_side(joined, chosen)
+        columns = [c for name in chosen for c in tables[name][1]]
         for kind in config.learners:
             tag = "lsi_all" if not only else f"lsi_{only[0]}"
             result, lists, model = training.train_and_check(
@@ -184,7 +186,7 @@ def train_scope(tables: Mapping[str, Features], cases: DataFrame, run: str, out:
             data = training.labelled(matrix, cases, config.case_weight)
             store.append(reports.patient_lists(data, run), f"{out}/patient_lists")
             store.append(reports.manifest(data, run, list(config.learners), config.case_weight), f"{out}/manifest")
-        matrix.unpersist()
+    joined.unpersist()
     spark = cases.sparkSession
     overlap = reports.false_positive_overlap(store.load(spark, f"{out}/error_lists").where(F.col("run") == run))
     store.append(overlap.withColumn("run", F.lit(run)), f"{out}/fp_overlap")

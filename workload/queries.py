@@ -318,7 +318,7 @@ def fixed_basis(spark, sf):
 @query
 def lsi_project(spark, sf):
     _, weights = weights_of(spark, sf)
-    vecs = vectors.project(weights, fixed_basis(spark, sf), TOPICS, VOCABULARY.total_terms)
+    vecs = vectors.project(weights, fixed_basis(spark, sf), TOPICS)
     return vecs.select("pid", F.posexplode("vec").alias("topic", "v")).select("pid", "topic", F.round("v", 6).alias("v"))
 
 
@@ -333,7 +333,7 @@ def densify(spark, sf):
 @query
 def vector_gaps(spark, sf):
     _, weights = weights_of(spark, sf)
-    vecs = vectors.project(weights, fixed_basis(spark, sf), TOPICS, VOCABULARY.total_terms)
+    vecs = vectors.project(weights, fixed_basis(spark, sf), TOPICS)
     return vectors.vector_gaps(table(spark, sf, "labels").select(as_id("doc_id").alias("pid")), vecs)
 
 
