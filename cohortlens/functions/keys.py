@@ -16,15 +16,15 @@ BUCKETS_PER_FOLDER = 100
 def bucket(pid: Column, buckets: int = NUM_BUCKETS) -> Column:
     """SHA-256 of the id, read as one 256-bit number, modulo ``buckets``.
 
-    The digest is taken as eight 32-bit words and reduced word by word, which keeps every
-    intermediate value inside a bigint.
+    The 64 hex digits are taken in five runs of up to 52 bits and reduced run by run, which keeps
+    every intermediate value inside a bigint.
     """
     digest = F.sha2(pid, 256)
-    shift = (1 << 32) % buckets
-    total = F.lit(0).cast("bigint")
-    for word in range(8):
-        chunk = F.conv(F.substring(digest, 8 * word + 1, 8), 16, 10).cast("bigint")
-        total = (total * F.lit(shift) + chunk) % F.lit(buckets)
+    total, start = F.lit(0).cast("bigint"), 1
+    for digits in (12, 13, 13, 13, 13):
+        run = F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
+        total = (total * F.lit((1 << 4 * digits) % buckets) + run) % F.lit(buckets)
+        start += digits
     return total.cast("int")
 
 

@@ -38,20 +38,23 @@ def tokens(text: Column, min_len: int = MIN_TOKEN, max_len: int = MAX_TOKEN) ->
     a web address nor an over-long chunk; a few byte searches find that out and only the others are
     taken apart chunk by chunk. The extraction of words is then a single pass.
     """
-    lowered = F.lower(text)
-    suspicious = reduce(
-        lambda a, b: a | b,
-        [F.contains(lowered, F.lit(mark)) for mark in (*WEB_STARTS, *WEB_ENDS)],
-        lowered.rlike(rf"(?<![^ \n])[^ \n]{{{max_len + 1}}}"),
-    )
+
+    def words(lowered: Column) -> Column:
+        suspicious = reduce(
+            lambda a, b: a | b,
+            [F.contains(lowered, F.lit(mark)) for mark in (*WEB_STARTS, *WEB_ENDS)],
+            lowered.rlike(rf"(?<![^ \n])[^ \n]{{{max_len + 1}}}"),
+        )
+        kept_chunks = F.filter(F.split(lowered, f"{SPACE}+"), keep_chunk)
+        kept = F.when(suspicious, F.array_join(kept_chunks, " ")).otherwise(lowered)
+        return F.regexp_extract_all(kept, F.lit(f"[a-z]{{{min_len},}}"), F.lit(0))
 
     def keep_chunk(chunk: Column) -> Column:
         web = [F.startswith(chunk, F.lit(m)) for m in WEB_STARTS] + [F.endswith(chunk, F.lit(m)) for m in WEB_ENDS]
         return (F.length(chunk) <= max_len) & ~reduce(lambda a, b: a | b, web)
 
-    kept_chunks = F.filter(F.split(lowered, f"{SPACE}+"), keep_chunk)
-    kept = F.when(suspicious, F.array_join(kept_chunks, " ")).otherwise(lowered)
-    return F.regexp_extract_all(kept, F.lit(f"[a-z]{{{min_len},}}"), F.lit(0))
+    # Through a one-element array the lower-cased text is made once and read several times.
+    return F.get(F.transform(F.array(F.lower(text)), words), F.lit(0))
 
 
 def token_text(text: Column) -> Column:
