@@ -11,6 +11,9 @@ NUM_BUCKETS = 10_000
 FIRST_TEST_BUCKET = 8_000
 # Buckets per storage folder: 100 folders in all, and the train share is exactly folders 0-79.
 BUCKETS_PER_FOLDER = 100
+# Column names of the stored split.
+FOLDER = "folder"
+BUCKET = "bucket"
 
 
 def bucket(pid: Column, buckets: int = NUM_BUCKETS) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.keys import bucket, is_test
+from ..functions.keys import BUCKETS_PER_FOLDER, FIRST_TEST_BUCKET, FOLDER, bucket, is_test
 from ..functions.text import tokens
 from .ordering import top_n
 
@@ -32,7 +32,10 @@ class VocabularyRules:
 
 
 def training(df: DataFrame) -> DataFrame:
-    """Rows of training patients; the split depends on the id alone."""
+    """Rows of training patients; the split depends on the id alone. On a stored split table
+    the test folders are not even opened."""
+    if FOLDER in df.columns:
+        return df.where(F.col(FOLDER) < FIRST_TEST_BUCKET // BUCKETS_PER_FOLDER)
     return df.where(~is_test(bucket(F.col("pid"))))
 
 
@@ -105,7 +108,7 @@ def term_counts(documents: DataFrame, masks: DataFrame, scopes: Sequence[str]) -
 
 def patient_counts(documents: DataFrame, masks: DataFrame, scopes: Sequence[str]) -> DataFrame:
     """``(scope, cases, controls)``: training patients with a document, also those without a word."""
-    patients = training(documents.where(F.col("part") == 0).select("pid"))
+    patients = training(documents.where(F.col("part") == 0)).select("pid")
     by_mask = patients.join(masks, "pid").groupBy("mask").agg(F.count("*").alias("n"))
     return (
         by_mask.select("n", F.inline(scope_labels(F.col("mask"), scopes)))

@@ -86,7 +86,7 @@ def ingest(spark: SparkSession, raw: str, out: str, tables: Iterable[TableSpec],
         rows = delimited.read_table(spark, raw, spec, limit=limit)
         store.write_split(rows, f"{out}/{spec.name}", spec.id, spec.text)
         if spec.text:
-            clean_table(spark, out, spec).write.parquet(f"{out}/{spec.name}_clean")
+            store.write_split(clean_table(spark, out, spec), f"{out}/{spec.name}_clean", "pid")
 
 
 def clean_table(spark: SparkSession, out: str, spec: TableSpec) -> DataFrame:
@@ -96,6 +96,11 @@ def clean_table(spark: SparkSession, out: str, spec: TableSpec) -> DataFrame:
                                      size=F.col(store.N_CHARS))
 
 
+def clean_document(spark: SparkSession, out: str, spec: TableSpec, pid: str) -> DataFrame:
+    """One patient's stored clean text, in reading order, from the one folder that can hold it."""
+    return documents.document_of(store.lookup(spark, f"{out}/{spec.name}_clean", pid, "pid"), pid)
+
+
 def review_table(spark: SparkSession, out: str, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """The raw and the repeat-blanked documents of a stored table."""
     spec.require_text()

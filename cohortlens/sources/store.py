@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.keys import (BUCKETS_PER_FOLDER, FIRST_TEST_BUCKET, NUM_BUCKETS, bucket, bucket_of, folder)
+from ..functions.keys import (BUCKET, BUCKETS_PER_FOLDER, FIRST_TEST_BUCKET, FOLDER, NUM_BUCKETS, bucket, bucket_of,
+                              folder)
 from .catalog import ID
 
-FOLDER = "folder"
-BUCKET = "bucket"
 N_CHARS = "n_chars"
 
 

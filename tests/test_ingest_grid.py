@@ -160,6 +160,10 @@ def test_run_grid(spark, tmp_path, monkeypatch):
     assert all(r.overlap_pct in (None, 100.0) for r in diagonal)
     sizes = {r.scope: r.patients for r in grid.scope_sizes(store.load(spark, f"{out}/scopes")).collect()}
     assert sizes["all"] == 160 and sizes["hfneuro"] == 120
+    one = grid.clean_document(spark, str(out), catalog.CLINICAL_NOTES, f"{5:032d}").collect()
+    assert len(one) == 1 and one[0].text.startswith("common")
+    stored = store.load(spark, f"{out}/Clinical_Notes_clean")
+    assert sorted(r.pid for r in terms.training(stored).collect()) == sorted(r.pid for r in terms.training(stored.drop("folder")).collect())
     docs = {"notes": grid.review_table(spark, str(out), catalog.CLINICAL_NOTES)[1]}
     export = reports.review_export(spark.createDataFrame([(f"{3:032d}",)], "pid string"), docs)
     reports.write_review(export, str(tmp_path / "review"))
