@@ -53,7 +53,7 @@ def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
     them idle, so it is spread; an input of many splits is read as it lies."""
     df = table(spark, sf, name)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def scratch(spark: SparkSession, name: str) -> str:
