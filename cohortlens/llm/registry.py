@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import language_id
+from . import language_id, line_quality
 
-MODULES = (language_id,)
+MODULES = (language_id, line_quality)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
