@@ -34,9 +34,10 @@ def least_by_hash(df: DataFrame, group: str, key: str, most: int) -> DataFrame:
     """At most about ``most`` rows (group, key) of each group, chosen by the hash of the key: a
     bounded sample that does not depend on row order. Groups of up to ``most`` rows come whole.
 
-    The cut-off follows from the group's size, so no group is ever sorted or gathered.
+    The cut-off follows from the group's size, so no group is ever sorted, gathered or shuffled.
+    Callers pass a bounded number of groups (labels, learned languages), as their sizes are broadcast.
     """
     keyed = df.select(F.col(group), F.col(key)).where(F.col(group).isNotNull())
     sizes = keyed.groupBy(group).agg(F.count("*").alias("_n"))
     place = F.xxhash64(F.col(key)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    return keyed.join(sizes, group).where(place * F.col("_n") < most).select(group, key)
+    return keyed.join(F.broadcast(sizes), group).where(place * F.col("_n") < most).select(group, key)
