@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import fold, least_by_hash, table
 
@@ -168,35 +167,35 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     of the id, of at most ``sample_chars`` characters each. Null labels and null texts teach nothing."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     chosen = least_by_hash(known, "label", "key", sample_rows).distinct()
+    # The sample's ids are bounded by its parameters, so the texts stay where they are.
     sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") <= sample_chars).join(
-        chosen, "key").orderBy("key", "label").collect()
+        F.broadcast(chosen), "key").orderBy("key", "label").collect()
     return fit([line_features(r.text)[0] for r in sample], np.array([r.label for r in sample]))
 
 
-def score_lines(docs: DataFrame, model: LineModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns key, score, n_lines, n_bad_lines for every text: the length-weighted mean of its lines'
-    probabilities of being good, and how many lines are more likely bad.
-
-    Whole texts of any length are scored. A null, empty or blank text counts as one empty line.
-    """
-    schema = "key bigint, score double, n_lines int, n_bad_lines int"
+def line_scores(model: LineModel, text: Column) -> Column:
+    """A struct of score, n_lines and n_bad_lines: the length-weighted mean of the lines' probabilities of
+    being good, the number of lines that are not blank, and how many of them are more likely bad."""
     transitions = model.transitions.tolist()
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = ([], [], [])
-            for body in batch.column(1):
-                x, lengths = line_features(body.as_py())
-                emission = with_neighbours(x, model.mean, model.spread, np.zeros(1, dtype=int)) @ model.weights
-                good = np.array(marginals(emission.tolist(), transitions))
-                for column, value in zip(out, (float(good @ lengths / lengths.sum()), len(good), int((good < 0.5).sum()))):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out[0], pa.float64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())],
-                names=["key", "score", "n_lines", "n_bad_lines"])
+    @F.pandas_udf("score double, n_lines int, n_bad_lines int")
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for body in texts:
+            x, lengths = line_features(body)
+            emission = with_neighbours(x, model.mean, model.spread, np.zeros(1, dtype=int)) @ model.weights
+            good = np.array(marginals(emission.tolist(), transitions))
+            out.append((float(good @ lengths / lengths.sum()), len(good), int((good < 0.5).sum())))
+        return pd.DataFrame(out, columns=["score", "n_lines", "n_bad_lines"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(scored, schema).withColumnRenamed("key", key)
+    return scored(text)
+
+
+def score_lines(docs: DataFrame, model: LineModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Columns key, score, n_lines, n_bad_lines for every row, by whole texts of any length; a null, empty
+    or blank text counts as one empty line."""
+    rows = docs.select(F.col(key), line_scores(model, F.col(text)).alias("_q"))
+    return rows.select(key, "_q.score", "_q.n_lines", "_q.n_bad_lines")
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,13 +207,12 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = CAN_PASS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``least``; repeated ids are judged one by one.
+    """The rows of ``docs`` whose text scores at least ``least``; each row is judged where it lies.
 
     The model learns from the labels of the same folds as the registered query.
     """
     model = learn(docs, labels.where(fold(F.col(key), 5) != 0), key, text)
-    good = score_lines(docs, model, key, text).where(F.col("score") >= least).select(key).distinct()
-    return docs.join(good, key, "left_semi")
+    return docs.withColumn("_quality", line_scores(model, F.col(text))).where(F.col("_quality.score") >= least).select(*docs.columns)
 
 
 QUERIES = {"op4_line_quality": op4_line_quality}
