@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import language_id, line_quality, near_dedup
+from . import embedding_dedup, language_id, line_quality, near_dedup, pivot_search
 
-MODULES = (language_id, line_quality, near_dedup)
+MODULES = (language_id, line_quality, pivot_search, near_dedup, embedding_dedup)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
