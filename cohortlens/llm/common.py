@@ -8,19 +8,36 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortlens.session import work_folder
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared work folder and read it back.
 
     The lineage ends in files that every executor reaches, so a lost executor never repeats the
-    work before this point and never changes a result that depends on row placement.
+    work before this point and never changes a result that depends on row placement. The shuffle
+    files of the step are removed when it ends, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``saved`` that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(key: Column, folds: int) -> Column:
     """The fold of a row: the CRC-32 of its id as text, modulo ``folds``."""
     return F.crc32(key.cast("string").cast("binary")) % folds

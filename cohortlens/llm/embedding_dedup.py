@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import saved, table
@@ -100,7 +101,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            widths = pa.compute.binary_length(batch.column(2)).to_numpy()
+            widths = pc.binary_length(batch.column(2)).to_numpy()
             for width in np.unique(widths):
                 part = batch.filter(pa.array(widths == width))
                 unit = _units(part.column(2))
@@ -113,8 +114,6 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
                      pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor), pa.array([k.tobytes() for k in own], pa.binary()),
                      listed], names=["node", "n", "unit", "code", "factor", "own", "keys"])
 
-    import pyarrow.compute  # noqa: F401  (pa.compute inside the tasks)
-
     placed = nodes.select("node", "n", "vec").mapInArrow(
         keyed, "node bigint, n bigint, unit binary, code binary, factor double, own binary, keys array<bigint>")
     placed = placed.select("node", "n", "unit", "code", "factor", "own", F.length("unit").alias("width"), F.posexplode("keys").alias("table", "bucket"))

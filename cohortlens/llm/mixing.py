@@ -11,6 +11,7 @@ ROUNDS = 200
 TOLERANCE = 1e-9
 MOST_CELLS = 200_000
 TEMPERATURE = 0.7
+KEEP = 0.8
 TOPICS = ("tabular", "shouted", "quoted", "short", "prose")
 
 
@@ -56,14 +57,26 @@ def tempered(tokens: Mapping[str, float], temperature: float = TEMPERATURE) -> d
     return {k: v / total for k, v in powered.items()} if total else {}
 
 
+def calibrated(ratio: np.ndarray, weights: np.ndarray, keep: float) -> np.ndarray:
+    """Probabilities min(1, c * ratio), with c such that a share ``keep`` of all weight is expected to stay.
+
+    No document is repeated, so cells that would need more than themselves are kept whole.
+    """
+    low, high = 0.0, 1.0 / ratio[ratio > 0].min() if (ratio > 0).any() else 1.0
+    for _ in range(100):
+        c = (low + high) / 2
+        low, high = (c, high) if (weights * np.minimum(1.0, c * ratio)).sum() < keep * weights.sum() else (low, c)
+    return np.minimum(1.0, high * ratio)
+
+
 def mix(docs: DataFrame, axes: Mapping[str, Column], tokens: Column, targets: Mapping[str, Mapping[str, float]] | None = None,
-        key: str = "doc_id", seed: int = 17) -> DataFrame:
+        key: str = "doc_id", keep: float = KEEP, seed: int = 17) -> DataFrame:
     """The sampled rows of ``docs``, with their own columns.
 
     Token counts by cell (one value of every axis) are raked to the target shares of each axis;
     without targets an axis aims at tempered shares of its own counts. A cell's probability is its
-    raked over its given weight, scaled so that the largest is 1: as much is kept as can be without
-    repeating a document. A document stays if the hash of its id falls below its probability, so
+    raked over its given weight, scaled so that a share ``keep`` of all tokens is expected to stay and
+    held at 1. A document stays if the hash of its id falls below its probability, so
     copies of an id stay or go together. Null values form a value of their own; the table of cells
     is bounded by MOST_CELLS and a larger one raises.
     """
@@ -91,8 +104,8 @@ def mix(docs: DataFrame, axes: Mapping[str, Column], tokens: Column, targets: Ma
             given = tempered(dict(zip(vs, sums)))
         goals.append(np.array([given.get(v, 0.0) for v in vs]))
     ratio = np.divide(rake(table, goals), table, out=np.zeros_like(table), where=table > 0)
-    ratio /= ratio.max()
-    rows = [(*(r[c] for c in cell), float(ratio[tuple(a[r[c]] for a, c in zip(at, cell))])) for r in counted]
+    chance = calibrated(ratio, table, keep)
+    rows = [(*(r[c] for c in cell), float(chance[tuple(a[r[c]] for a, c in zip(at, cell))])) for r in counted]
     chances = docs.sparkSession.createDataFrame(rows, ", ".join([*(f"{c} string" for c in cell), "_p double"]))
     place = F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     return marked.join(F.broadcast(chances), list(cell)).where(place < F.col("_p")).select(*docs.columns)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, line_quality, near_dedup, pivot_search
+from . import (embedding_dedup, language_id, license_scan, line_quality, near_dedup, passage_dedup, pivot_search,
+               token_files)
 
-MODULES = (language_id, line_quality, pivot_search, near_dedup, embedding_dedup)
+MODULES = (language_id, line_quality, pivot_search, token_files, near_dedup, passage_dedup, embedding_dedup, license_scan)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
