@@ -170,13 +170,13 @@ QUERIES = {"op9_embedding_dedup": op9_embedding_dedup}
 ORACLE = {"op9_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
           WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 roots AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
-SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+SELECT e.vec_id, CAST(coalesce(c.n_links, 0) AS BIGINT) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
 FROM embeddings e JOIN roots r ON r.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
 """}

@@ -118,8 +118,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least_coverag
     )
     coverage = F.col("covered") / F.col("size")
     verified = spans.where((coverage >= least_coverage) & (F.col("last") - F.col("first") < 2 * F.col("size") + 2 * DRIFT))
-    found = verified.groupBy("key", "row").agg(F.collect_set("label").alias("found"), F.max(coverage).alias("best"))
-    joined = read.drop("hits").join(found, read["key"].eqNullSafe(found["key"]) & (read["row"] == found["row"]), "left").drop(found["key"], found["row"])
+    found = verified.groupBy(F.col("key").alias("_key"), F.col("row").alias("_row")).agg(F.collect_set("label").alias("found"), F.max(coverage).alias("best"))
+    joined = read.drop("hits").join(found, F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")), "left")
     none = F.array().cast("array<string>")
     return joined.select(
         F.col("key").alias(key), "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
