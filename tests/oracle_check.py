@@ -45,7 +45,7 @@ def compare(spark, con, sf_dir: str, name: str, query, sql: str | None) -> str:
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
     kinds = [str(d[1]) for d in cursor.description]
-    names = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE"}
+    names = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
     types = {c: names.get(t, t) for c, t in df.dtypes}
     if types != dict(zip(columns, kinds)):
         return f"types {types} != {dict(zip(columns, kinds))}"
