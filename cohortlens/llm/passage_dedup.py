@@ -1,9 +1,11 @@
-"""Removal of long repeated byte strings, wherever they start: a suffix order by difference-cover names.
-
-Bytes are first rewritten in content-defined letters, so that the suffix order is built over about one
-letter per hundred bytes: every window of LENGTH bytes has an anchor, the place of its least gram hash,
-and the windows that share an anchor form a run. Equal windows have equal anchors at equal distances, so
-a window can only repeat where its anchor's gram does.
+"""Removal of long repeated byte strings, wherever they start, by names of the places of a difference cover.
+
+A difference cover is a set of sampled places such that any two suffixes have a sampled place at the same
+distance from their starts. The cover used here is content-defined: every window of LENGTH bytes has an
+anchor, the place of its least gram hash, and equal windows have equal anchors at equal distances. So, as
+with residues of a modulus, suffixes at sampled places are named first, and all remaining ones are
+compared by their distance to a sampled place and its name; yet there is one sampled place in about
+ninety bytes instead of two in three, so that the names of a corpus fit on its disks.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import rolling
 from .common import discard, saved, table
@@ -22,8 +24,9 @@ from .common import discard, saved, table
 LENGTH = 200
 GRAM = 24
 PIECE_BYTES = 1 << 22
-# Letters that a suffix is compared by: the names of the recursion hold three times three.
-PREFIX = 9
+# Rows of one gram that a task compares window by window; more are narrowed down node by node.
+HOT_ROWS = 20_000
+BATCH_ROWS = 20_000
 # Windows per node while the ends of a repeat are narrowed down.
 NODES = (32, 8, 1)
 
@@ -34,7 +37,7 @@ def digest(text: Column) -> Column:
 
 def runs_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Runs of windows with one anchor: lo (first window start), size (windows), off (from lo to the anchor),
-    gram (hash at the anchor) and name (hash of the bytes from this run's start to the next one's)."""
+    gram (hash at the anchor) and name (hash of all bytes of the run's windows and the anchor's place)."""
     parts = []
     width = length - gram + 1
     for first in range(0, max(0, len(data) - length + 1), PIECE_BYTES):
@@ -54,15 +57,16 @@ def runs_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[st
         anchors = (np.minimum(behind[starts], ahead[starts + width - 1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         lo = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
         end = np.append(lo[1:], len(starts))
-        parts.append((lo + first, end - lo, anchors[lo] - lo, hashes[anchors[lo]], rolling.span_hashes(sums, lo, end)))
+        parts.append((lo + first, end - lo, anchors[lo] - lo, hashes[anchors[lo]],
+                      rolling.span_hashes(sums, lo, end + (length - 1)) ^ rolling.mixed((anchors[lo] - lo).astype(np.uint64) + np.uint64(1))))
     columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)] * 2
     return dict(zip(("lo", "size", "off", "gram", "name"), columns))
 
 
-def letters(texts: DataFrame) -> DataFrame:
+def with_runs(texts: DataFrame) -> DataFrame:
     """Columns digest, n_bytes and runs (list of lo, size, off, gram, name) of every text."""
 
-    def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(len(b), runs_of(np.frombuffer(b, dtype=np.uint8))) for b in (t.as_py().encode() for t in batch.column(1))]
             ends = np.cumsum([0, *(len(r["lo"]) for _, r in found)]).astype(np.int32)
@@ -75,94 +79,7 @@ def letters(texts: DataFrame) -> DataFrame:
                 names=["digest", "n_bytes", "runs"])
 
     return texts.mapInArrow(
-        lettered, "digest binary, n_bytes bigint, runs array<struct<lo:bigint, size:int, off:int, gram:bigint, name:bigint>>")
-
-
-def ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Columns ``by`` and ``name``: the dense rank of each distinct value, from 1, by a range-partitioned sort."""
-    ordered = saved(
-        rows.select(*by).distinct().repartitionByRange(*by).sortWithinPartitions(*by)
-        .withColumn("_at", F.monotonically_increasing_id()), "names")
-    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ordered.groupBy(part.alias("_part")).agg((F.max(inside) + 1).alias("_n")).withColumn("_one", F.lit(0))
-    # A row for each partition of the sort.
-    before = Window.partitionBy("_one").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    return ordered.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*by, (F.col("_from") + inside + 1).alias(name))
-
-
-def suffixes(runs: DataFrame) -> DataFrame:
-    """The runs with ``names`` (this and the following letters, up to PREFIX), ``need`` (how many of them
-    cover all windows of the run; null if they do not), their place in a string of letters that lie
-    one after another, and the rank of the suffix where the place is in the difference cover {1, 2} mod 3.
-
-    Triples of letters at sampled places are sorted and named; the strings of names of either
-    residue are sorted by triples again, which orders sampled suffixes by PREFIX letters.
-    """
-    in_text = Window.partitionBy("uid").orderBy("lo")
-    new = F.coalesce(F.col("lo") != F.lag(F.col("lo") + F.col("size")).over(in_text), F.lit(True))
-    rows = runs.withColumn("new", new.cast("int")).withColumn("string", F.sum("new").over(in_text))
-    in_string = Window.partitionBy("uid", "string").orderBy("lo")
-    following = in_string.rowsBetween(0, PREFIX - 1)
-    rows = rows.withColumns({
-        "at": F.row_number().over(in_string) - 1, "names": F.collect_list("name").over(following),
-        "sizes": F.collect_list("size").over(following)}).drop("new")
-    covered = F.aggregate(
-        "sizes", F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("letters")),
-        lambda s, x: F.struct((s["bytes"] + x).alias("bytes"), (s["letters"] + F.when(s["bytes"] < F.col("size") + LENGTH - 1, 1).otherwise(0)).alias("letters")))
-    rows = saved(rows.withColumn("_c", covered).withColumn(
-        "need", F.when(F.col("_c.bytes") >= F.col("size") + LENGTH - 1, F.col("_c.letters"))).drop("_c", "sizes"), "suffixes")
-    letter = lambda i: F.coalesce(F.get("names", F.lit(i)), F.lit(0)).alias(f"t{i}")
-    triple = ["t0", "t1", "t2"]
-    sampled = rows.where("at % 3 <> 0").select("uid", "string", "at", "lo", *map(letter, range(3)))
-    named = sampled.join(ranked(sampled, triple, "name"), triple).select("uid", "string", "at", "lo", "name")
-    in_residue = Window.partitionBy("uid", "string", F.col("at") % 3).orderBy("at")
-    again = saved(named.select("uid", "lo", *[F.coalesce(F.lead("name", i).over(in_residue), F.lit(0)).alias(f"t{i}") for i in range(3)]), "triples")
-    order = again.join(ranked(again, triple, "rank"), triple).select("uid", "lo", "rank")
-    with_rank = rows.join(order, ["uid", "lo"], "left")
-    later = Window.partitionBy("uid", "string").orderBy("at")
-    return with_rank.withColumns({f"rank{i}": F.coalesce(F.lead("rank", i).over(later), F.lit(0)) for i in (1, 2)})
-
-
-def repeated_prefixes(rows: DataFrame) -> DataFrame:
-    """The distinct (uid, lo) of runs whose needed letters also start another suffix.
-
-    Any two residues of places have a distance at which both are sampled, so three sorts put every
-    suffix beside the one most like it: the residues 1 and 2 by rank; 0 and 1 by a letter and the rank
-    after it; 0 and 2 by two letters and the rank after them. Neighbours are compared letter by letter.
-    Two that a partition boundary parts are left to the exact check.
-    """
-    letter = lambda i: F.coalesce(F.get("names", F.lit(i)), F.lit(0))
-    orders = ((0, [F.col("rank")]), (2, [letter(0), F.col("rank1")]), (1, [letter(0), letter(1), F.col("rank2")]))
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            names = np.zeros((len(batch), PREFIX), dtype=np.int64)
-            held = batch.column(2)
-            counts = np.diff(held.offsets.to_numpy())
-            inside = np.arange(PREFIX) < counts[:, None]
-            names[inside] = held.flatten().to_numpy()
-            place = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-            need = batch.column(3).fill_null(PREFIX + 1).to_numpy()
-            if last is not None:
-                place, names, need, inside = (np.concatenate([a[None], b]) for a, b in zip(last, (place, names, need, inside)))
-            equal = (names[1:] == names[:-1]) & inside[1:] & inside[:-1]
-            common = np.cumprod(equal, axis=1).sum(axis=1)
-            found = np.append(False, common >= need[1:]) | np.append(common >= need[:-1], False)
-            last = place[-1], names[-1], need[-1], inside[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(place[found, 0]), pa.array(place[found, 1])], names=["uid", "lo"])
-
-    parts = []
-    for left_out, by in orders:
-        keyed = rows.where(F.col("at") % 3 != left_out).select("uid", "lo", "names", "need", *[k.alias(f"k{i}") for i, k in enumerate(by)])
-        keys = [f"k{i}" for i in range(len(by))]
-        # Equal suffixes are many where a passage is common; the tie spreads them over partitions.
-        tied = keyed.withColumn("tie", F.xxhash64("uid", "lo")).repartitionByRange(*keys, "tie").sortWithinPartitions(*keys, "tie")
-        parts.append(tied.select("uid", "lo", "names", "need").mapInArrow(compared, "uid bigint, lo bigint"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+        found_runs, "digest binary, n_bytes bigint, runs array<struct<lo:bigint, size:int, off:int, gram:bigint, name:bigint>>")
 
 
 def node_hashes(runs: DataFrame, windows: int) -> DataFrame:
@@ -202,6 +119,52 @@ def node_hashes(runs: DataFrame, windows: int) -> DataFrame:
         hashed, "uid bigint, lo bigint, node bigint, core bigint, span bigint, start bigint, stop bigint")
 
 
+def compared_windows(runs: DataFrame) -> DataFrame:
+    """Rows (uid, start, stop) of the bytes of all windows that a gram's runs share, runs of one gram in one task.
+
+    A task takes as many grams at a time as BATCH_ROWS runs have, or one gram of up to HOT_ROWS.
+    """
+
+    def shared(task: pa.Table) -> pa.RecordBatch:
+        uid, lo, size, off, gram = (task.column(i).to_numpy() for i in range(5))
+        data = task.column(5).to_pylist()
+        base = np.cumsum([0, *map(len, data)])[:-1]
+        sums = rolling.prefix_sums(np.frombuffer(b"".join(data), dtype=np.uint8))
+        ends = np.cumsum(size)
+        row = np.repeat(np.arange(len(uid)), size)
+        at = np.arange(len(row)) - (ends - size)[row]
+        start = base[row] + at
+        # A window's suffix: its distance to the anchor with the gram there, and its bytes.
+        key = rolling.span_hashes(sums, start, start + LENGTH) ^ rolling.mixed((off[row] - at).astype(np.uint64) + gram.view(np.uint64)[row])
+        order = np.argsort(key, kind="stable")
+        equal = key[order[1:]] == key[order[:-1]]
+        hit = np.zeros(len(key) + 2, dtype=bool)
+        hit[1:-1][order] = np.append(False, equal) | np.append(equal, False)
+        first = np.append(True, row[1:] != row[:-1])
+        # Ranges of neighbouring windows of one run.
+        begin = hit[1:-1] & (first | ~hit[:-2])
+        stop = hit[1:-1] & (np.append(first[1:], True) | ~hit[2:])
+        b, e = np.flatnonzero(begin), np.flatnonzero(stop)
+        return pa.RecordBatch.from_arrays([pa.array(uid[row[b]]), pa.array(lo[row[b]] + at[b]), pa.array(lo[row[e]] + at[e] + LENGTH)],
+                                          names=["uid", "start", "stop"])
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if len(held) >= BATCH_ROWS:
+                gram = held.column(4).to_numpy()
+                changes = np.flatnonzero(gram[1:] != gram[:-1]) + 1
+                if len(changes):
+                    yield shared(held.slice(0, changes[-1]))
+                    held = held.slice(changes[-1])
+        if held is not None and len(held):
+            yield shared(held)
+
+    placed = runs.repartition("gram").sortWithinPartitions("gram").select("uid", "lo", "size", "off", "gram", "data")
+    return placed.mapInArrow(tasks, "uid bigint, start bigint, stop bigint")
+
+
 def narrowed(runs: DataFrame) -> list[DataFrame]:
     """Tables (uid, start, stop) of the repeated bytes in the given runs, found exactly, node by node."""
     spans, asked, last, ratio = [], None, None, None
@@ -236,44 +199,48 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     Equal texts are taken once; if there are several of LENGTH bytes or more, all their bytes count.
     """
     texts = docs.select(digest(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    once = letters(texts).groupBy("digest").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("runs").alias("runs"))
-    distinct = saved(once.withColumn("uid", F.monotonically_increasing_id()), "letters")
+    once = with_runs(texts).groupBy("digest").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("runs").alias("runs"))
+    distinct = saved(once.withColumn("uid", F.monotonically_increasing_id()), "runs-of-texts")
     runs = distinct.select("uid", F.inline("runs"))
     common = runs.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram")
     runs = saved(runs.join(common, "gram"), "runs")
     ids = saved(distinct.select("digest", "copies", "n_bytes", "uid"), "texts")
     discard(distinct)
 
-    rows = saved(suffixes(runs), "ordered")
-    done = saved(repeated_prefixes(rows), "repeated")
-    marked = rows.join(done.withColumn("done", F.lit(True)), ["uid", "lo"], "left")
-    whole = F.xxhash64(F.slice("names", 1, F.coalesce("need", F.lit(PREFIX))), "size", "off")
-    marked = saved(marked.select("uid", "lo", "size", "off", "gram", F.coalesce("done", F.lit(False)).alias("done"), whole.alias("letters")), "marked")
-    discard(runs, rows, done)
-    found = [marked.where("done").select("uid", F.col("lo").alias("start"), (F.col("lo") + F.col("size") + (LENGTH - 1)).alias("stop"))]
-
-    # The exact check of the ends: runs left, and one of each kind of settled run with the same gram.
-    left = marked.where("not done")
-    kinds = marked.where("done").join(left.select("gram").distinct(), "gram", "left_semi").groupBy("gram", "letters").agg(
-        F.min(F.struct("uid", "lo", "size", "off")).alias("r")).select("gram", "r.*")
-    asked = left.select("gram", "uid", "lo", "size", "off").unionByName(kinds)
-    wanted = asked.join(ids, "uid").groupBy("digest", "uid").agg(F.collect_list(F.struct("lo", "size", "off")).alias("runs"))
+    # Equal names: sampled suffixes that agree in every window of their runs.
+    named = runs.groupBy("gram", "name").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "size", "off")).alias("first"))
+    kinds = saved(named, "kinds")
+    same = runs.join(kinds.where("n > 1").select("gram", "name"), ["gram", "name"], "left_semi")
+    found = [saved(same.select("uid", F.col("lo").alias("start"), (F.col("lo") + F.col("size") + (LENGTH - 1)).alias("stop")), "same")]
+    discard(runs)
+
+    # Names that differ though the gram is shared: the windows at the ends of a repeat. One run stands for each name.
+    several = kinds.groupBy("gram").agg(F.count("*").alias("names")).where("names > 1")
+    asked = saved(kinds.join(several, "gram").select("gram", "names", "first.*"), "asked")
+    wanted = asked.join(ids, "uid").groupBy("digest", "uid").agg(F.collect_list(F.struct("lo", "size", "off", "gram", "names")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [], [], [])
+            out = ([], [], [], [], [], [], [])
             for uid, body, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data = body.as_py().encode()
                 for r in listed.as_py():
-                    for column, value in zip(out, (uid, r["lo"], r["size"], r["off"], data[r["lo"]:r["lo"] + r["size"] + LENGTH - 1])):
+                    part = data[r["lo"]:r["lo"] + r["size"] + LENGTH - 1]
+                    for column, value in zip(out, (uid, r["lo"], r["size"], r["off"], r["gram"], r["names"], part)):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["uid", "lo", "size", "off", "data"])
-
-    bodies = texts.join(wanted, "digest").select("uid", "text", "runs").mapInArrow(
-        cut, "uid bigint, lo bigint, size bigint, off bigint, data binary")
-    bodies = saved(bodies.dropDuplicates(["uid", "lo"]), "run-bytes")
-    found += narrowed(bodies)
+            kinds = (*[pa.int64()] * 6, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
+                                             names=["uid", "lo", "size", "off", "gram", "names", "data"])
+
+    once = texts.groupBy("digest").agg(F.first("text").alias("text"))  # copies meet before the shuffle
+    bodies = once.join(wanted, "digest").select("uid", "text", "runs").mapInArrow(
+        cut, "uid bigint, lo bigint, size bigint, off bigint, gram bigint, names bigint, data binary")
+    bodies = saved(bodies, "run-bytes")
+    discard(asked, kinds)
+    found.append(saved(compared_windows(bodies.where(F.col("names") <= HOT_ROWS)), "ends"))
+    hot = bodies.where(F.col("names") > HOT_ROWS)
+    if not hot.isEmpty():
+        found += narrowed(hot)
     found.append(ids.where(f"copies > 1 and n_bytes >= {LENGTH}").select("uid", F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("stop")))
     spans = found[0]
     for more in found[1:]:

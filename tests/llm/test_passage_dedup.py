@@ -70,6 +70,17 @@ def test_repeated_ids_and_texts_without_repeats(spark):
     assert sorted((r.text, r.spans) for r in op.without_repeats(docs).collect()) == sorted([("", "s"), ("", "s"), (t, "s")])
 
 
+def test_hot_grams(spark, monkeypatch):
+    """Beyond HOT_ROWS runs of a gram the windows are narrowed down node by node, with the same result."""
+    monkeypatch.setattr(op, "HOT_ROWS", 1)
+    test_against_every_window(spark)
+
+
+def test_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(op, "BATCH_ROWS", 3)
+    test_against_every_window(spark)
+
+
 @pytest.mark.parametrize("k", [1, 2, 7])
 def test_runs_have_equal_anchors_in_equal_windows(k):
     import numpy as np
