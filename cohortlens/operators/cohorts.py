@@ -59,25 +59,18 @@ def code_cohorts(diagnoses: DataFrame, pid: Column, codes: Mapping[str, Column],
 def prefix_join(codes: DataFrame, rules: DataFrame) -> DataFrame:
     """``(cohort, pid)`` where rules are themselves a table ``(cohort, system, prefix)`` of any size.
 
-    ``codes`` is ``(pid, system, code)``. The prefix test becomes an equality: each code is cut at
-    every length that occurs among the rules of its system (a handful), then joined on the cut.
+    ``codes`` is ``(pid, system, code)``. Each distinct code is resolved to its cohorts once, by
+    equality of one of its beginnings with a prefix; the facts then meet that small table on the code alone.
     """
-    # One row per code system, with at most as many lengths as a code has characters.
-    lengths = (
-        rules.select("system", F.length("prefix").alias("_n")).distinct()
-        .groupBy("system").agg(F.collect_set("_n").alias("_lengths"))
+    facts = codes.select("pid", "system", normal_code(F.col("code")).alias("_code"))
+    beginnings = (
+        facts.select("system", "_code").distinct()
+        .select("system", "_code", F.explode(F.sequence(F.lit(0), F.length("_code"))).alias("_n"))
+        .select("system", "_code", F.col("_code").substr(F.lit(1), F.col("_n")).alias("prefix"))
     )
-    distinct_codes = codes.select("pid", "system", "code").distinct() \
-        .select("pid", "system", normal_code(F.col("code")).alias("_code"))
-    cuts = (
-        distinct_codes.join(F.broadcast(lengths), "system")
-        .select("pid", "system", "_code", F.explode("_lengths").alias("_n"))
-        .where(F.length("_code") >= F.col("_n"))
-        .select("pid", "system", F.col("_code").substr(F.lit(1), F.col("_n")).alias("prefix"))
-        .distinct()
-    )
-    return cuts.join(rules.select("cohort", "system", "prefix").distinct(), ["system", "prefix"]) \
-        .select("cohort", "pid").distinct()
+    resolved = beginnings.join(rules.select("cohort", "system", "prefix").distinct(), ["system", "prefix"]) \
+        .select("cohort", "system", "_code").distinct()
+    return facts.join(resolved, ["system", "_code"]).select("cohort", "pid").distinct()
 
 
 def require_members(cohorts: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from cohortlens.operators.history import FLAGS
 from cohortlens.plans.grid import RESTRICTED, SUBGROUPS
 
-from .queries import CODE_RULES, SCOPE_RULES, TOPICS
+from .queries import CODE_RULES, SCOPE_RULES, TIGHT_VOCABULARY, VECTOR_SIZE, VOCABULARY
 
 
 def bucket(expr: str, n: int = 10_000) -> str:
@@ -49,7 +49,8 @@ NOTES = """SELECT conv_id::VARCHAR AS pid, 0 AS part,
 IS_TEST = f"{bucket('pid')} >= 8000"
 
 COUNTS = f"""
-member AS (SELECT doc_id::VARCHAR AS pid, max(toxic) AS label FROM labels GROUP BY doc_id),
+member AS (SELECT doc_id::VARCHAR AS pid, (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))::INTEGER AS label
+           FROM (SELECT DISTINCT doc_id FROM documents)),
 train AS (SELECT d.doc_id::VARCHAR AS pid, m.label, {words('d.text')} AS words
           FROM documents d JOIN member m ON d.doc_id::VARCHAR = m.pid WHERE NOT ({bucket('d.doc_id::VARCHAR')} >= 8000)),
 people AS (SELECT count(*) FILTER (label = 1) AS cases, count(*) FILTER (label = 0) AS controls FROM train),
@@ -66,18 +67,18 @@ kept AS (SELECT * FROM ratios WHERE case_df > 0 AND ctrl_df > 0 AND case_df <= 0
     AND ctrl_df <= 0.6::DOUBLE * controls AND ratio IS NOT NULL)"""
 
 
-def vocab(odds: str) -> str:
+def vocab(odds: str, rules=VOCABULARY) -> str:
     return f"""{COUNTS},
 odds AS (SELECT unnest([{odds}]::DOUBLE[]) AS odds),
 first AS (SELECT odds, token, case_tf + ctrl_tf AS cf,
     row_number() OVER (PARTITION BY odds ORDER BY case_tf DESC, token) AS rn
-    FROM kept, odds WHERE case_tf >= 3 AND ctrl_tf >= 10 AND ratio < odds AND ratio > 1.0::DOUBLE / odds),
-top AS (SELECT * FROM first WHERE rn <= 200),
+    FROM kept, odds WHERE case_tf >= {rules.min_case_count} AND ctrl_tf >= {rules.min_control_count} AND ratio < odds AND ratio > 1.0::DOUBLE / odds),
+top AS (SELECT * FROM first WHERE rn <= {rules.top_case_terms}),
 rest AS (SELECT odds, token, ctrl_tf AS cf, row_number() OVER (PARTITION BY odds ORDER BY ctrl_tf DESC, token) AS rn
-    FROM ratios, odds WHERE case_df = 0 AND ctrl_tf >= 10 AND ctrl_df <= 0.6::DOUBLE * controls),
+    FROM ratios, odds WHERE case_df = 0 AND ctrl_tf >= {rules.min_control_count} AND ctrl_df <= 0.6::DOUBLE * controls),
 vocab AS (SELECT odds, (rn - 1)::INTEGER AS term_id, token, cf FROM top UNION ALL
     SELECT r.odds, (r.rn + coalesce(u.n, 0) - 1)::INTEGER, r.token, r.cf FROM rest r
-    LEFT JOIN (SELECT odds, count(*) AS n FROM top GROUP BY odds) u ON r.odds = u.odds WHERE r.rn + coalesce(u.n, 0) <= 300)"""
+    LEFT JOIN (SELECT odds, count(*) AS n FROM top GROUP BY odds) u ON r.odds = u.odds WHERE r.rn + coalesce(u.n, 0) <= {rules.total_terms})"""
 
 
 BOW = f"""{vocab('3.5')},
@@ -93,7 +94,7 @@ tfidf AS (SELECT pid, term_id, w / sqrt(sum(w * w) OVER (PARTITION BY pid)) AS w
 PROJECT = f"""{TFIDF},
 basis AS (SELECT vec_id AS term_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS topic FROM embeddings),
 vecs AS (SELECT t.pid, b.topic::INTEGER AS topic, sum(t.w * b.v) AS v FROM tfidf t JOIN basis b ON t.term_id = b.term_id
-         WHERE b.topic < {TOPICS} GROUP BY t.pid, b.topic)"""
+         WHERE b.topic < {VECTOR_SIZE} GROUP BY t.pid, b.topic)"""
 
 FLAG_SQL = """SELECT o_custkey::VARCHAR AS pid, min(o_orderdate::DATE) AS first_day, max(o_orderdate::DATE) AS last_day,
     count(DISTINCT o_orderdate::DATE) AS num_dates,
@@ -133,7 +134,7 @@ def scope_sql() -> str:
             if wanted:
                 tests.append(f"pid IN (SELECT pid FROM cohorts WHERE cohort IN ({', '.join(repr(w) for w in wanted)}))")
             parts.append(f"SELECT '{prefix}{name}' AS scope, pid FROM pats WHERE {' AND '.join(tests) or 'true'}")
-    return f"""WITH {FLAGS_CTE}, seen AS ({SEEN}), {rule_cohorts(SCOPE_RULES, 'l_quantity > 40')},
+    return f"""WITH {FLAGS_CTE}, seen AS ({SEEN}), {rule_cohorts(SCOPE_RULES)},
     pats AS (SELECT DISTINCT o_custkey::VARCHAR AS pid FROM orders)
     SELECT scope, count(*) AS patients, count(*) FILTER (pid IN (SELECT pid FROM cohorts WHERE cohort = 'case')) AS cases
     FROM ({' UNION ALL '.join(parts)}) GROUP BY scope"""
@@ -174,7 +175,7 @@ def report_sql() -> str:
 
 FEATURES = """docs AS (SELECT doc_id::VARCHAR AS pid, [n_chars::DOUBLE, length(lang)::DOUBLE] AS v FROM documents),
 notes AS (SELECT conv_id::VARCHAR AS pid, [count(*)::DOUBLE, max(turn)::DOUBLE] AS v FROM conversations GROUP BY conv_id),
-vecs AS (SELECT vec_id::VARCHAR AS pid, embedding[1:4]::DOUBLE[] AS v FROM embeddings)"""
+vecs AS (SELECT vec_id::VARCHAR AS pid, embedding::DOUBLE[] AS v FROM embeddings)"""
 
 LISTS = """lists AS (SELECT 'low' AS list, doc_id::VARCHAR AS pid FROM labels WHERE quality = 0 UNION
     SELECT 'toxic', doc_id::VARCHAR FROM labels WHERE toxic = 1 UNION
@@ -213,6 +214,7 @@ ORACLE: dict[str, str] = {
     "review_document": blanked(NOTES),
     "clean_document": blanked(f"SELECT pid, part, array_to_string({words('text')}, ' ') AS text FROM ({NOTES})"),
     "term_counts": f"WITH {COUNTS} SELECT token, case_df, case_tf, ctrl_df, ctrl_tf FROM counts",
+    "term_counts_pieces": f"WITH {COUNTS} SELECT token, case_df, case_tf, ctrl_df, ctrl_tf FROM counts",
     "scope_term_counts": f"""WITH {COUNTS}, scoped AS (
         SELECT 'all' AS scope, p.* FROM per p UNION ALL
         SELECT CASE WHEN d.lang = 'en' THEN 'english' ELSE 'other' END, p.* FROM per p JOIN documents d ON d.doc_id::VARCHAR = p.pid)
@@ -222,16 +224,16 @@ ORACLE: dict[str, str] = {
     "training_patients": f"WITH {COUNTS} SELECT 'all' AS scope, cases, controls FROM people",
     "odds_ratio": f"WITH {COUNTS} SELECT token, round(ratio, 6) AS odds_ratio FROM kept",
     "vocabulary": f"WITH {vocab('2.0, 3.5')} SELECT odds, term_id, token, cf FROM vocab",
+    "vocabulary_limits": f"WITH {vocab('2.0, 3.5', TIGHT_VOCABULARY)} SELECT odds, term_id, token, cf FROM vocab",
     "bow": f"WITH {BOW} SELECT pid, term_id, tf FROM bow",
     "bow_nested": f"WITH {BOW} SELECT pid, string_agg(term_id || ':' || tf, ' ' ORDER BY term_id) AS bow FROM bow GROUP BY pid",
     "tfidf": f"WITH {TFIDF} SELECT pid, term_id, round(w, 6) AS w FROM tfidf WHERE abs(w) > 1e-12",
     "lsi_project": f"WITH {PROJECT} SELECT pid, topic, round(v, 6) AS v FROM vecs",
     "vector_gaps": f"""WITH {PROJECT}, has AS (SELECT pid, min(abs(v)) AS low FROM vecs GROUP BY pid)
-        SELECT (SELECT count(*) FROM labels WHERE doc_id::VARCHAR NOT IN (SELECT pid FROM has)) AS no_vector,
+        SELECT (SELECT count(*) FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT pid FROM has)) AS no_vector,
         (SELECT count(*) FROM has WHERE low <= 1e-12) AS fewer_topics""",
-    "densify": f"""WITH e AS (SELECT vec_id::VARCHAR AS pid, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS topic FROM embeddings),
-        k AS (SELECT * FROM e WHERE v > 0.05)
-        SELECT p.pid, t.topic::INTEGER AS topic, coalesce(round(k.v, 6), 0.0) AS v FROM (SELECT DISTINCT pid FROM k) p, range({TOPICS}) t(topic)
+    "densify": f"""WITH k AS (SELECT conv_id::VARCHAR AS pid, turn AS topic, sum(length(text))::DOUBLE AS v FROM conversations GROUP BY ALL)
+        SELECT p.pid, t.topic::INTEGER AS topic, coalesce(round(k.v, 6), 0.0) AS v FROM (SELECT DISTINCT pid FROM k) p, range({VECTOR_SIZE}) t(topic)
         LEFT JOIN k ON k.pid = p.pid AND k.topic = t.topic""",
     "note_dates": """SELECT pid, string_agg(d, ',' ORDER BY d) AS dates FROM
         (SELECT DISTINCT o_custkey::VARCHAR AS pid, o_orderdate::DATE::VARCHAR AS d FROM orders) GROUP BY pid""",
@@ -242,9 +244,13 @@ ORACLE: dict[str, str] = {
     "history_cohort": f"WITH {FLAGS_CTE} {SEEN}",
     "code_cohorts": f"WITH {rule_cohorts(CODE_RULES)} SELECT * FROM cohorts",
     "prefix_cohorts": f"""WITH dx AS (SELECT DISTINCT pid, icd10 FROM ({DIAGNOSES})),
-        rules AS (SELECT DISTINCT p_type AS cohort, regexp_replace(p_brand, '[^0-9a-zA-Z]+', '', 'g') AS prefix FROM part WHERE p_size > 45)
-        SELECT DISTINCT cohort, pid FROM dx JOIN rules ON starts_with(icd10, prefix)""",
-    "cohort_algebra": f"""WITH {FLAGS_CTE}, seen AS ({SEEN}), {rule_cohorts(CODE_RULES, 'l_quantity > 45')},
+        nine AS (SELECT DISTINCT pid, icd9 FROM ({DIAGNOSES})),
+        rules AS (SELECT DISTINCT p_type AS cohort, regexp_replace(p_brand, '[^0-9a-zA-Z]+', '', 'g') AS prefix FROM part),
+        rules9 AS (SELECT DISTINCT p_brand AS cohort,
+            regexp_replace(split_part(p_type, ' ', 1) || ' ' || split_part(p_type, ' ', 2), '[^0-9a-zA-Z]+', '', 'g') AS prefix FROM part)
+        SELECT cohort, pid FROM dx JOIN rules ON starts_with(icd10, prefix) UNION
+        SELECT cohort, pid FROM nine JOIN rules9 ON starts_with(icd9, prefix)""",
+    "cohort_algebra": f"""WITH {FLAGS_CTE}, seen AS ({SEEN}), {rule_cohorts(CODE_RULES)},
         one AS (SELECT pid FROM cohorts WHERE cohort = 'one'), mixed AS (SELECT pid FROM cohorts WHERE cohort = 'mixed')
         SELECT 'union' AS kind, pid FROM (SELECT pid FROM one UNION SELECT pid FROM mixed) UNION ALL
         SELECT 'intersection', pid FROM (SELECT pid FROM one INTERSECT SELECT pid FROM mixed INTERSECT SELECT pid FROM seen) UNION ALL

@@ -20,8 +20,9 @@ from cohortlens.sources import codes as code_source, delimited, store
 from cohortlens.sources.catalog import TableSpec
 
 SCOPES = ["all"]
+VOCABULARY = terms.VocabularyRules()
 # Chosen so that both vocabulary limits bite at the smallest scales.
-VOCABULARY = terms.VocabularyRules(min_case_count=3, min_control_count=10, top_case_terms=200, total_terms=300)
+TIGHT_VOCABULARY = terms.VocabularyRules(min_case_count=3, min_control_count=10, top_case_terms=200, total_terms=300)
 HISTORY = history.HistoryRules(first_before="1995-07-01", last_after="2001-01-01", min_dates=8, min_days=1800)
 CODE_RULES = {
     "one": {"icd10": ["Brand25"], "icd9": []},
@@ -33,7 +34,9 @@ SCOPE_RULES = {
     "neuropathy": {"icd10": ["Brand7", "Brand13"], "icd9": []},
     "case": {"icd10": ["Brand1"], "icd9": ["PROMO"]},
 }
-TOPICS = 8
+# The numbers of a stored vector, and the topics fitted by default.
+VECTOR_SIZE = 64
+TOPICS = 100
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,14 +51,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table of long texts. A file with fewer splits than there are cores would leave most of
-    them idle, so it is spread; an input of many splits is read as it lies."""
-    df = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -175,13 +170,13 @@ def count_list_roundtrip(spark, sf):
 
 @query
 def tokenize(spark, sf):
-    docs = texts(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("words"))
+    docs = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("words"))
     return docs.select("doc_id", F.size("words").alias("n_tokens"), F.array_join("words", " ").alias("tokens"))
 
 
 @query
 def bigrams(spark, sf):
-    notes = texts(spark, sf, "conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("words"))
+    notes = table(spark, sf, "conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("words"))
     return notes.select("conv_id", "turn", F.array_join(text.ngrams(F.col("words"), 2), " ").alias("pairs"))
 
 
@@ -193,7 +188,7 @@ def slug(spark, sf):
 
 
 def notes_of(spark, sf):
-    return texts(spark, sf, "conversations")
+    return table(spark, sf, "conversations")
 
 
 @query
@@ -204,7 +199,7 @@ def patient_document(spark, sf):
 
 @query
 def blank_repeats(spark, sf):
-    docs = documents.whole(texts(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id"), F.col("text"))
+    docs = documents.whole(table(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id"), F.col("text"))
     return documents.blank_repeats(docs).select("pid", "part", "text")
 
 
@@ -224,12 +219,17 @@ def clean_document(spark, sf):
 
 
 def corpus(spark, sf):
-    return documents.whole(texts(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id"), F.col("text"))
+    return documents.whole(table(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id"), F.col("text"))
+
+
+def corpus_labels(spark, sf):
+    """``(pid, label)`` of every document: whoever is no case is a control, labelled or not."""
+    cases = table(spark, sf, "labels").where("toxic = 1").select(as_id("doc_id").alias("pid"))
+    return cohorts.label(table(spark, sf, "documents").select(as_id("doc_id").alias("pid")), cases)
 
 
 def corpus_masks(spark, sf):
-    membership = table(spark, sf, "labels").select(
-        F.lit("all").alias("scope"), as_id("doc_id").alias("pid"), F.col("toxic").alias("label"))
+    membership = corpus_labels(spark, sf).select(F.lit("all").alias("scope"), "pid", "label")
     return terms.membership_masks(membership, SCOPES)
 
 
@@ -237,7 +237,7 @@ def counted(spark, sf):
     """Counts written once: the vocabulary reads them several times and must not repeat the text work."""
     docs, masks = corpus(spark, sf), corpus_masks(spark, sf)
     counts = store.save(terms.term_counts(docs, masks, SCOPES), scratch(spark, "counts"))
-    return counts, terms.patient_counts(docs, masks, SCOPES)
+    return counts, store.save(terms.patient_counts(docs, masks, SCOPES), scratch(spark, "people"))
 
 
 @query
@@ -245,12 +245,19 @@ def term_counts(spark, sf):
     return terms.term_counts(corpus(spark, sf), corpus_masks(spark, sf), SCOPES).drop("scope")
 
 
+@query
+def term_counts_pieces(spark, sf):
+    """The same counts with every text held in small pieces."""
+    pieces = documents.assemble(table(spark, sf, "documents"), F.col("doc_id"), text.token_text(F.col("text")), [F.col("doc_id")],
+                                separator=" ", skip_empty=True, row_chars=10, piece_chars=64)
+    return terms.term_counts(documents.whole_words(pieces), corpus_masks(spark, sf), SCOPES).drop("scope")
+
+
 @query
 def scope_term_counts(spark, sf):
-    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    known = docs.join(labels, "doc_id").select(
-        as_id("doc_id").alias("pid"), "label",
+    docs = table(spark, sf, "documents").select(as_id("doc_id").alias("pid"), "lang")
+    known = docs.join(corpus_labels(spark, sf), "pid").select(
+        "pid", "label",
         F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("lang") == "en", F.lit("english")),
                                           F.when(F.col("lang") != "en", F.lit("other"))))).alias("scope"))
     scopes = ["all", "english", "other"]
@@ -280,6 +287,12 @@ def vocabulary(spark, sf):
     return terms.vocabulary(counts, people, (2.0, 3.5), VOCABULARY).drop("scope")
 
 
+@query
+def vocabulary_limits(spark, sf):
+    counts, people = counted(spark, sf)
+    return terms.vocabulary(counts, people, (2.0, 3.5), TIGHT_VOCABULARY).drop("scope")
+
+
 def bag_of(spark, sf):
     vocab = vocabulary_of(spark, sf)
     bag = vectors.bag_of_words(corpus(spark, sf), corpus_masks(spark, sf), SCOPES, vocab, VOCABULARY.total_terms)
@@ -318,23 +331,24 @@ def fixed_basis(spark, sf):
 @query
 def lsi_project(spark, sf):
     _, weights = weights_of(spark, sf)
-    vecs = vectors.project(weights, fixed_basis(spark, sf), TOPICS)
+    vecs = vectors.project(weights, fixed_basis(spark, sf), VECTOR_SIZE)
     return vecs.select("pid", F.posexplode("vec").alias("topic", "v")).select("pid", "topic", F.round("v", 6).alias("v"))
 
 
 @query
 def densify(spark, sf):
-    sparse = table(spark, sf, "embeddings").select(as_id("vec_id").alias("pid"), F.posexplode("embedding").alias("topic", "v")) \
-        .where(F.col("v") > 0.05).select("pid", "topic", F.col("v").cast("double").alias("v"))
-    return vectors.densify(sparse, TOPICS).select("pid", F.posexplode("vec").alias("topic", "v")) \
+    # Turns are the topics: a conversation has as many as it has turns.
+    sparse = table(spark, sf, "conversations").where("turn >= 0").groupBy(as_id("conv_id").alias("pid"), F.col("turn").cast("int").alias("topic")) \
+        .agg(F.sum(F.length("text")).cast("double").alias("v"))
+    return vectors.densify(sparse, VECTOR_SIZE).select("pid", F.posexplode("vec").alias("topic", "v")) \
         .select("pid", "topic", F.round("v", 6).alias("v"))
 
 
 @query
 def vector_gaps(spark, sf):
     _, weights = weights_of(spark, sf)
-    vecs = vectors.project(weights, fixed_basis(spark, sf), TOPICS)
-    return vectors.vector_gaps(table(spark, sf, "labels").select(as_id("doc_id").alias("pid")), vecs)
+    vecs = store.save(vectors.project(weights, fixed_basis(spark, sf), VECTOR_SIZE), scratch(spark, "vectors"))
+    return vectors.vector_gaps(table(spark, sf, "documents").select(as_id("doc_id").alias("pid")), vecs)
 
 
 def fitted(spark, sf):
@@ -406,15 +420,14 @@ def history_cohort(spark, sf):
 
 
 def diagnoses_of(spark, sf):
-    items = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     parts = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
     return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def cohorts_of(spark, sf, rules, rows=None):
-    rows = diagnoses_of(spark, sf) if rows is None else rows
-    return cohorts.code_cohorts(rows, F.col("o_custkey"), {"icd10": F.col("p_brand"), "icd9": F.col("p_type")}, rules)
+def cohorts_of(spark, sf, rules):
+    return cohorts.code_cohorts(diagnoses_of(spark, sf), F.col("o_custkey"), {"icd10": F.col("p_brand"), "icd9": F.col("p_type")}, rules)
 
 
 @query
@@ -428,15 +441,16 @@ def prefix_cohorts(spark, sf):
         F.struct(F.lit("icd10").alias("system"), F.col("p_brand").alias("code")),
         F.struct(F.lit("icd9").alias("system"), F.col("p_type").alias("code")))))
     # The rules are themselves a table: every brand of a large part names a cohort by type.
-    rules = table(spark, sf, "part").where(F.col("p_size") > 45).select(
-        F.col("p_type").alias("cohort"), F.lit("icd10").alias("system"),
-        cohorts.normal_code(F.col("p_brand")).alias("prefix")).distinct()
+    rules = table(spark, sf, "part").select(F.inline(F.array(
+        F.struct(F.col("p_type").alias("cohort"), F.lit("icd10").alias("system"), cohorts.normal_code(F.col("p_brand")).alias("prefix")),
+        F.struct(F.col("p_brand").alias("cohort"), F.lit("icd9").alias("system"),
+                 cohorts.normal_code(F.substring_index("p_type", " ", 2)).alias("prefix"))))).distinct()
     return cohorts.prefix_join(codes, rules)
 
 
 @query
 def cohort_algebra(spark, sf):
-    named = cohorts_of(spark, sf, CODE_RULES, diagnoses_of(spark, sf).where(F.col("l_quantity") > 45))
+    named = cohorts_of(spark, sf, CODE_RULES)
     one, mixed = cohorts.members(named, "one"), cohorts.members(named, "mixed")
     seen = history.history_cohort(flags_of(spark, sf))
     kinds = {
@@ -449,8 +463,7 @@ def cohort_algebra(spark, sf):
 
 @query
 def scope_grid(spark, sf):
-    rows = diagnoses_of(spark, sf).where(F.col("l_quantity") > 40)
-    disease = cohorts_of(spark, sf, SCOPE_RULES, rows)
+    disease = cohorts_of(spark, sf, SCOPE_RULES)
     patients = table(spark, sf, "orders").select(as_id("o_custkey").alias("pid"))
     membership = grid.scope_membership(patients, disease, history.history_cohort(flags_of(spark, sf)))
     return grid.scope_sizes(membership)
@@ -527,7 +540,7 @@ def feature_tables(spark, sf):
         "notes": table(spark, sf, "conversations").groupBy(as_id("conv_id").alias("pid")).agg(
             F.array(F.count("*").cast("double"), F.max("turn").cast("double")).alias("vec")),
         "vectors": table(spark, sf, "embeddings").select(
-            as_id("vec_id").alias("pid"), F.slice("embedding", 1, 4).cast("array<double>").alias("vec")),
+            as_id("vec_id").alias("pid"), F.col("embedding").cast("array<double>").alias("vec")),
     }
 
 
@@ -581,7 +594,7 @@ def fp_overlap(spark, sf):
         docs.where("n_chars > 2000").select(F.lit("long"), as_id("doc_id")),
     ]
     lists = lists[0].union(lists[1]).union(lists[2]).union(lists[3])
-    names = table(spark, sf, "region").select(F.lit("none").alias("list"))
+    names = spark.range(1).select(F.lit("none").alias("list"))  # a list that nobody is on
     return evaluate.list_overlap(lists, names).select("list", "other", F.round("overlap_pct", 6).alias("overlap_pct"))
 
 
@@ -612,7 +625,7 @@ def learning_matrix(spark, sf):
 def gbt_eval(spark, sf):
     matrix, cases = learning_matrix(spark, sf)
     result, _, _ = training.train_and_check(matrix, cases, vectors.column_names("text", 64), "run", "lsi_all",
-                                            "boosted", maxIter=5, maxDepth=4)
+                                            "boosted")
     return result
 
 
@@ -628,6 +641,5 @@ def logreg_coef(spark, sf):
 def learner_results(spark, sf):
     matrix, cases = learning_matrix(spark, sf)
     names = vectors.column_names("text", 64)
-    results = [training.train_and_check(matrix, cases, names, "run", "lsi_all", kind, 10, **settings)[0]
-               for kind, settings in (("forest", {"numTrees": 10}), ("svm", {"maxIter": 20}), ("lasso", {}))]
+    results = [training.train_and_check(matrix, cases, names, "run", "lsi_all", kind, 10)[0] for kind in ("forest", "svm", "lasso")]
     return results[0].union(results[1]).union(results[2])
