@@ -11,9 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import token_text
+from ..functions.text import ngrams, token_text, tokens
 from ..session import keep
-from .ordering import running_total
+from .ordering import positions, running_total
 from .repeats import blank_in_row, blank_pieces
 
 # Longest text kept in a single row, and the piece length beyond it, in characters.
@@ -115,6 +115,35 @@ def blank_repeats(documents: DataFrame, piece_chars: int = PIECE_CHARS) -> DataF
     return in_row.unionByName(blank_pieces(pieces, piece_chars).select(*SCHEMA))
 
 
+def whole_words(documents: DataFrame) -> DataFrame:
+    """Clean documents whose pieces end where a word ends: what a piece begins with of a word goes to the piece before.
+
+    Pieces were cut at fixed lengths, which no word of a clean text exceeds, so a word lies in two
+    pieces at most. The text as a whole stays the same; patients in one row are left alone.
+    """
+    rest = documents.where(F.col("parts") > 1)
+    head = F.regexp_extract("text", "^[^ ]*", 0)
+    ends_inside = rest.where(F.col("text").rlike("[^ ]\\z")).select("pid", (F.col("part") + 1).alias("part"), F.lit(True).alias("_goes_on"))
+    marked = rest.join(ends_inside, ["pid", "part"], "left").withColumn("_head", F.when(F.col("_goes_on"), head).otherwise(F.lit("")))
+    given = marked.where(F.col("_head") != "").select("pid", (F.col("part") - 1).alias("part"), F.col("_head").alias("_tail"))
+    moved = marked.join(given, ["pid", "part"], "left").select(
+        "pid", "part", "parts",
+        F.concat(F.substring("text", F.length("_head") + 1, F.length("text")), F.coalesce("_tail", F.lit(""))).alias("text"))
+    return documents.where(F.col("parts") == 1).unionByName(moved)
+
+
+def document_bigrams(documents: DataFrame) -> DataFrame:
+    """``(pid, part, pairs)``: the neighbouring words of clean documents, joined by ``_``; a pair that two
+    pieces hold belongs to the first of them. Pieces without a word do not appear."""
+    words = documents.select("pid", "part", tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
+    # Numbered, as a piece between two others may have no word left.
+    placed = words.join(positions(words.select("pid", "part"), ["pid"], ["part"], "_at"), ["pid", "part"])
+    following = placed.select("pid", (F.col("_at") - 1).alias("_at"), F.col("words")[0].alias("_next"))
+    row = placed.join(following, ["pid", "_at"], "left").select(
+        "pid", "part", F.concat("words", F.array_compact(F.array("_next"))).alias("_words"))
+    return row.select("pid", "part", ngrams(F.col("_words"), 2).alias("pairs"))
+
+
 def review_documents(rows: DataFrame, pid: Column, text: Column, order: Sequence[Column],
                      piece_chars: int = PIECE_CHARS, **limits) -> tuple[DataFrame, DataFrame]:
     """The raw document and the same with repeated spans blanked, for reading by people."""
@@ -132,7 +161,7 @@ def clean_documents(rows: DataFrame, pid: Column, text: Column, order: Sequence[
     limits.setdefault("size", F.length(text))
     words = assemble(rows, pid, token_text(text), order, separator=" ", skip_empty=True,
                      piece_chars=piece_chars, **limits)
-    return blank_repeats(words, piece_chars)
+    return whole_words(blank_repeats(words, piece_chars))
 
 
 def document_of(documents: DataFrame, pid: str) -> DataFrame:

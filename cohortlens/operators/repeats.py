@@ -14,7 +14,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Send the small helpers below along with the plan, so executors need numpy and pandas only.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -179,11 +179,10 @@ def blank_pieces(pieces: DataFrame, piece_chars: int, key: str = "pid", span: in
     # A piece's end is blank if the text says so or its last repeat reaches the end; knowing
     # that from the marks, the neighbours need no look at the finished text.
     ends_blank = F.col("text").rlike("[ \t]\\z") | F.coalesce(F.array_max("_marks") + span >= F.length("text"), F.lit(False))
-    seams = marked.select(key, "part", ends_blank.alias("_ends_blank")).select(
-        key, "part", F.lag("_ends_blank").over(Window.partitionBy(key).orderBy("part")).alias("_after_blank"))
+    seams = marked.select(key, (F.col("part") + 1).alias("part"), ends_blank.alias("_after_blank"))
     squeezed = marked.withColumn("text", squeeze(blank_at("text", "_marks")))
     return (
-        squeezed.join(seams, [key, "part"])
+        squeezed.join(seams, [key, "part"], "left")
         .withColumn("text", F.when(F.col("_after_blank"), F.regexp_replace("text", "^ ", "")).otherwise(F.col("text")))
         .drop("_marks", "_after_blank")
     )
