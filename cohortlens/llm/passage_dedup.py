@@ -202,10 +202,11 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     once = with_runs(texts).groupBy("digest").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("runs").alias("runs"))
     distinct = saved(once.withColumn("uid", F.monotonically_increasing_id()), "runs-of-texts")
     runs = distinct.select("uid", F.inline("runs"))
-    common = runs.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram")
+    # Counts are tables of their own, so that Spark can split a frequent gram when it joins.
+    common = saved(runs.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram"), "grams")
     runs = saved(runs.join(common, "gram"), "runs")
     ids = saved(distinct.select("digest", "copies", "n_bytes", "uid"), "texts")
-    discard(distinct)
+    discard(distinct, common)
 
     # Equal names: sampled suffixes that agree in every window of their runs.
     named = runs.groupBy("gram", "name").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "size", "off")).alias("first"))
@@ -215,7 +216,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     discard(runs)
 
     # Names that differ though the gram is shared: the windows at the ends of a repeat. One run stands for each name.
-    several = kinds.groupBy("gram").agg(F.count("*").alias("names")).where("names > 1")
+    several = saved(kinds.groupBy("gram").agg(F.count("*").alias("names")).where("names > 1"), "several")
     asked = saved(kinds.join(several, "gram").select("gram", "names", "first.*"), "asked")
     wanted = asked.join(ids, "uid").groupBy("digest", "uid").agg(F.collect_list(F.struct("lo", "size", "off", "gram", "names")).alias("runs"))
 
@@ -236,7 +237,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     bodies = once.join(wanted, "digest").select("uid", "text", "runs").mapInArrow(
         cut, "uid bigint, lo bigint, size bigint, off bigint, gram bigint, names bigint, data binary")
     bodies = saved(bodies, "run-bytes")
-    discard(asked, kinds)
+    discard(asked, kinds, several)
     found.append(saved(compared_windows(bodies.where(F.col("names") <= HOT_ROWS)), "ends"))
     hot = bodies.where(F.col("names") > HOT_ROWS)
     if not hot.isEmpty():
