@@ -30,10 +30,11 @@ def latest(df: DataFrame, pid: Column, columns: Sequence[str], order: Sequence[C
     )
 
 
-def one_hot(df: DataFrame, age: str, columns: Sequence[str]) -> DataFrame:
+def one_hot(df: DataFrame, age: str, columns: Sequence[str], seen: DataFrame | None = None) -> DataFrame:
     """``pid``, the age as integer (null if not a number), then one 0/1 column per category, in the
-    order of ``columns`` and alphabetically within each."""
-    found = categories(df, columns).limit(MAX_COLUMNS + 1).collect()
+    order of ``columns`` and alphabetically within each. Categories are those of ``seen``, all records
+    rather than each patient's last, where it is given."""
+    found = categories(df if seen is None else seen, columns).limit(MAX_COLUMNS + 1).collect()
     if len(found) > MAX_COLUMNS:
         raise ValueError(f"more than {MAX_COLUMNS} categories; use one_hot_long")
     names = {c: sorted(r["category"] for r in found if r["column"] == c) for c in columns}
@@ -52,10 +53,20 @@ def one_hot_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def demographic_vector(wide: DataFrame, age: str) -> tuple[DataFrame, list[str]]:
-    """``(pid, vec)`` and the names of its numbers, for use beside text vectors."""
+    """``(pid, vec)`` and the names of its numbers, for use beside text vectors.
+
+    A patient without a readable age stays, with age 0 and a flag of its own.
+    """
     names = [c for c in wide.columns if c != "pid"]
-    return wide.where(F.col(age).isNotNull()).select(
-        "pid", F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("vec")
-    ), names
+    cells = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in names]
+    missing = F.col(age).isNull().cast("double")
+    return wide.select("pid", F.array(*cells, missing).alias("vec")), [*names, f"{age}_missing"]
+
+
+def age_report(rows: DataFrame, age: str) -> DataFrame:
+    """One row: records, records without an age, and records whose age is not a number."""
+    text = F.trim(_text(age))
+    return rows.agg(F.count("*").alias("num_rows"), F.count_if(text == "").alias("no_age"),
+                    F.count_if((text != "") & F.expr(f"try_cast(`{age}` AS int)").isNull()).alias("bad_ages"))
 
 

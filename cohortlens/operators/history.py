@@ -28,6 +28,13 @@ def note_days(notes: DataFrame, pid: Column, day: Column) -> DataFrame:
         .where(F.col("day").isNotNull()).distinct()
 
 
+def date_report(notes: DataFrame, text: Column, day: Column) -> DataFrame:
+    """One row: records, records without a date, and records whose date cannot be read as ``day``."""
+    written = F.trim(F.coalesce(text.cast("string"), F.lit("")))
+    return notes.agg(F.count("*").alias("num_rows"), F.count_if(written == "").alias("no_date"),
+                     F.count_if((written != "") & day.isNull()).alias("bad_dates"))
+
+
 def note_dates(days: DataFrame) -> DataFrame:
     """``(pid, dates)``: each patient's days in ascending order."""
     return days.groupBy("pid").agg(F.sort_array(F.collect_list("day")).alias("dates"))

@@ -11,8 +11,12 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import keep, work_folder
+from ..sources import store
 from .ordering import top_n
 
+# Terms x topics that the driver may hold.
+MOST_NUMBERS = 50_000_000
+
 
 def sparse_rows(weights: DataFrame, terms: int) -> DataFrame:
     """One row per patient in the layout in which Spark stores a sparse vector."""
@@ -31,16 +35,21 @@ def fit_topics(weights: DataFrame, terms: int, topics: int, folder: str | None =
     Returns the basis ``(term_id, topic, v)`` and the singular values ``(topic, s)``. The matrix is
     written once to the shared folder, as the many passes of the solver should not repeat
     the text work and must outlive a lost executor. The driver holds terms x topics
-    numbers, which the vocabulary cap bounds. Each topic's largest loading is positive.
+    numbers; beyond MOST_NUMBERS it refuses. Fewer topics come back where the matrix has no more; the
+    rows of the singular values tell how many. Each topic's largest loading is positive.
     """
     spark = weights.sparkSession
     path = folder or f"{work_folder(spark)}/matrix-{uuid.uuid4().hex}"
     sparse_rows(weights, terms).write.mode("overwrite").parquet(path)
     rows = keep(spark.read.schema(T.StructType([T.StructField("row", VectorUDT())])).parquet(path))
     rank = min(topics, terms)
+    if rank * terms > MOST_NUMBERS:
+        raise ValueError(f"{terms} terms x {rank} topics are more than {MOST_NUMBERS} numbers")
     result = RowMatrix(rows, 0, terms).computeSVD(rank, computeU=False, rCond=1e-9)
     basis, values = result.V.toArray(), result.s.toArray()
     rows.unpersist()
+    if folder is None:
+        store.drop(spark, path)
     lead = np.abs(basis).argmax(axis=0)
     basis = basis * np.where(basis[lead, np.arange(basis.shape[1])] < 0, -1.0, 1.0)
     term_id, topic = np.nonzero(np.abs(basis) > 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -42,6 +43,10 @@ class GridConfig:
     history: history.HistoryRules = field(default_factory=history.HistoryRules)
     learners: Sequence[str] = ("boosted",)
     case_weight: float = training.CASE_WEIGHT
+    # Further weights to train with, such as training.OTHER_CASE_WEIGHTS.
+    other_case_weights: Sequence[float] = ()
+    # Write the documents of misjudged test patients for reading.
+    review: bool = True
     limit: int | None = None
 
 
@@ -83,7 +88,10 @@ def scope_sizes(membership: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, raw: str, out: str, tables: Iterable[TableSpec], limit: int | None = None) -> None:
     """Source files to the patient-split store, then to clean documents."""
     for spec in tables:
-        rows = delimited.read_table(spark, raw, spec, limit=limit)
+        rows = delimited.read_table(spark, raw, spec, limit=limit, report=True)
+        store.save(delimited.ingest_report(rows, spec), f"{out}/quality/ingest/{spec.name}")
+        # The place in its file tells which record of a patient is the last.
+        rows = rows.drop(delimited.CORRUPT) if not spec.text else rows.select(*spec.columns)
         store.write_split(rows, f"{out}/{spec.name}", spec.id, spec.text)
         if spec.text:
             store.write_split(clean_table(spark, out, spec), f"{out}/{spec.name}_clean", "pid")
@@ -117,6 +125,7 @@ def build_cohorts(spark: SparkSession, out: str, config: GridConfig) -> tuple[Da
     disease = store.save(disease, f"{out}/cohorts", ["cohort"])
     cohorts.require_members(disease, list(cohorts.DISEASE_RULES))
     notes = store.read_split(spark, f"{out}/{CLINICAL_NOTES.name}", [ID, "NOTE_DT"])
+    store.save(history.date_report(notes, F.col("NOTE_DT"), parse_date(F.col("NOTE_DT"))), f"{out}/quality/dates/{CLINICAL_NOTES.name}")
     days = history.note_days(notes, F.col(ID), parse_date(F.col("NOTE_DT")))
     days = store.save(days, f"{out}/note_days")
     store.save(history.note_dates(days), f"{out}/note_dates")
@@ -142,15 +151,16 @@ def build_features(docs: DataFrame, membership: DataFrame, scopes: Sequence[str]
     bag = store.save(vectors.bag_of_words(docs, masks, scopes, vocab, rows), f"{out}/bow", ["scope", "odds"])
     weights = store.save(vectors.tfidf(bag, vocab, rows), f"{out}/tfidf", ["scope", "odds"])
     topics = max(config.topics)
-    basis_path, topic_path = f"{out}/basis", f"{out}/topics"
-    store.drop(spark, basis_path)
-    store.drop(spark, topic_path)
+    basis_path, topic_path, value_path = f"{out}/basis", f"{out}/topics", f"{out}/singular_values"
+    for path in (basis_path, topic_path, value_path):
+        store.drop(spark, path)
     sizes = {(r["scope"], r["odds"]): r["n"] for r in
              vocab.groupBy("scope", "odds").agg(F.count("*").alias("n")).collect()}
     for (scope, odds), terms_here in sorted(sizes.items()):
         here = (F.col("scope") == scope) & (F.col("odds") == odds)
         train = terms.training(weights.where(here).select("pid", "term_id", "w"))
-        basis, _ = lsi.fit_topics(train, terms_here, topics)
+        basis, values = lsi.fit_topics(train, terms_here, topics)
+        store.append(values.select(F.lit(scope).alias("scope"), F.lit(odds).alias("odds"), "*"), value_path)
         tagged = basis.select(F.lit(scope).alias("scope"), F.lit(odds).alias("odds"), "term_id", "topic", "v")
         store.append(tagged, basis_path)
         listing = lsi.topic_terms(basis, vocab.where(here))
@@ -165,8 +175,9 @@ def build_features(docs: DataFrame, membership: DataFrame, scopes: Sequence[str]
 def demographic_features(spark: SparkSession, out: str, spec: TableSpec = DEMOGRAPHICS) -> Features:
     """Age and one-hot categories from a stored demographics table; the last record of a patient counts."""
     rows = store.read_split(spark, f"{out}/{spec.name}")
-    order = [F.col(c) for c in spec.columns if c != spec.id]
-    wide = demographics.one_hot(demographics.latest(rows, F.col(spec.id), [AGE, *CATEGORIES], order), AGE, CATEGORIES)
+    store.save(demographics.age_report(rows, AGE), f"{out}/quality/ages/{spec.name}")
+    order = [F.col(c) for c in (delimited.FILE, delimited.BLOCK, delimited.LINE)]
+    wide = demographics.one_hot(demographics.latest(rows, F.col(spec.id), [AGE, *CATEGORIES], order), AGE, CATEGORIES, rows)
     return demographics.demographic_vector(wide, AGE)
 
 
@@ -180,13 +191,17 @@ def train_scope(tables: Mapping[str, Features], cases: DataFrame, run: str, out:
         columns = [c for name in chosen for c in tables[name][1]]
         for kind in config.learners:
             tag = "lsi_all" if not only else f"lsi_{only[0]}"
-            result, lists, model = training.train_and_check(
-                matrix, cases, columns, run, tag, kind, config.case_weight, f"{out}/models/{run}/{kind}_{tag}")
-            reports.append_results(result, f"{out}/results")
-            store.append(lists, f"{out}/error_lists")
-            if kind in ("logistic", "svm"):
-                store.append(training.coefficients(model, columns).withColumn("run", F.lit(f"{run}/{tag}")),
-                             f"{out}/coefficients")
+            for weight in (config.case_weight, *config.other_case_weights):
+                name = f"{kind}{weight:g}"
+                said_path = f"{out}/predictions/{run}/{name}_{tag}"
+                result, lists, model = training.train_and_check(
+                    matrix, cases, columns, run, tag, kind, weight, f"{out}/models/{run}/{name}_{tag}", said_path)
+                reports.append_results(result, f"{out}/results")
+                store.append(lists, f"{out}/error_lists")
+                store.append(reports.classification(store.load(cases.sparkSession, said_path), run, name, tag), f"{out}/reports")
+                if kind in ("logistic", "svm"):
+                    store.append(training.coefficients(model, columns).withColumn("run", F.lit(f"{run}/{name}/{tag}")),
+                                 f"{out}/coefficients")
         if i == 0:
             data = training.labelled(matrix, cases, config.case_weight)
             store.append(reports.patient_lists(data, run), f"{out}/patient_lists")
@@ -195,9 +210,27 @@ def train_scope(tables: Mapping[str, Features], cases: DataFrame, run: str, out:
     spark = cases.sparkSession
     overlap = reports.false_positive_overlap(store.load(spark, f"{out}/error_lists").where(F.col("run") == run))
     store.append(overlap.withColumn("run", F.lit(run)), f"{out}/fp_overlap")
+    if config.review:
+        review_errors(spark, out, config.tables, run)
     return overlap
 
 
+def review_errors(spark: SparkSession, out: str, tables: Iterable[TableSpec], run: str) -> None:
+    """The raw documents of the test patients that a run's model on all tables misjudged, as text files.
+
+    Records are cut down to these patients before any document is put together.
+    """
+    lists = store.load(spark, f"{out}/error_lists").where(F.col("run") == run)
+    chosen = lists.where((F.col("tables") == "lsi_all") & F.col("kind").isin("false_positives", "false_negatives")).select("pid").distinct()
+    documents_of = {}
+    for spec in tables:
+        if spec.text:
+            rows = store.read_split(spark, f"{out}/{spec.name}").join(chosen.withColumnRenamed("pid", spec.id), spec.id, "left_semi")
+            documents_of[spec.name] = documents.assemble(rows, F.col(spec.id), row_text(*spec.text), [F.col(spec.sort)], size=F.col(store.N_CHARS))
+    if documents_of:
+        reports.write_review(reports.review_export(chosen, documents_of), f"{out}/review/{run}")
+
+
 def run_grid(spark: SparkSession, raw: str, out: str, config: GridConfig = GridConfig(),
              generate: bool = True) -> DataFrame:
     """Everything from source files to the results table, which is returned."""
@@ -205,7 +238,8 @@ def run_grid(spark: SparkSession, raw: str, out: str, config: GridConfig = GridC
         ingest(spark, raw, out, config.tables, config.limit)
     disease, restricted = build_cohorts(spark, out, config)
     scopes = scope_names()
-    stamp = datetime.now().strftime("%Y_%m_%d_%H_%M")
+    # Two runs never share a name, even if started in the same second.
+    stamp = f"{datetime.now():%Y_%m_%d_%H_%M_%S}_{uuid.uuid4().hex[:6]}"
     text_tables = [spec for spec in config.tables if spec.text]
     patients = None
     for spec in text_tables:

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.evaluate import list_overlap
+from ..operators.evaluate import list_overlap, report
 from ..sources import store
 from .training import CASE_WEIGHT
 
@@ -31,6 +31,12 @@ def manifest(data: DataFrame, run: str, models: list[str], case_weight: float =
     )
 
 
+def classification(said: DataFrame, run: str, model: str, tables: str) -> DataFrame:
+    """The classification report of the test patients among ``said``, tagged with its run."""
+    return report(said.where("is_test")).select(
+        F.lit(run).alias("run"), F.lit(model).alias("model"), F.lit(tables).alias("tables"), "*")
+
+
 def false_positive_overlap(lists: DataFrame) -> DataFrame:
     """Overlap of all false-positive lists, training ones included, per run."""
     chosen = lists.where(F.col("kind").isin("false_positives", "false_positives_train"))

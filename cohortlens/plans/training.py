@@ -14,6 +14,7 @@ from ..operators.cohorts import label
 from ..operators.evaluate import confusion, error_lists
 from ..operators.vectors import as_vector
 from ..session import keep
+from ..sources import store
 
 # The weight of a case in the default learner, and the other weights on offer.
 CASE_WEIGHT = 400
@@ -82,15 +83,20 @@ def load_model(path: str) -> PipelineModel:
 
 def train_and_check(matrix: DataFrame, cases: DataFrame, columns: list[str], run: str, tables: str,
                     kind: str = "boosted", case_weight: float = CASE_WEIGHT,
-                    model_path: str | None = None, **settings) -> tuple[DataFrame, DataFrame, PipelineModel]:
-    """One learner on one table set: its result row, its error lists, and the model."""
+                    model_path: str | None = None, predictions_path: str | None = None, **settings) -> tuple[DataFrame, DataFrame, PipelineModel]:
+    """One learner on one table set: its result row, its error lists, and the model.
+
+    ``predictions_path`` keeps the predictions, so that all that is derived from them reads files.
+    """
     if not run:
         raise ValueError("a run needs a name")
     data = labelled(matrix, cases, case_weight)
     model = fit(data, kind, **settings)
     if model_path:
         save_model(model, model_path)
-    said = keep(predict(model, data))
+    said = predict(model, data)
+    if predictions_path:
+        said = store.save(said, predictions_path)
     name = f"{kind}{case_weight:g}"
     result = confusion(said.where("is_test")).select(
         F.lit(run).alias("run"), F.lit(name).alias("model"), F.lit(tables).alias("tables"),

@@ -43,8 +43,8 @@ def read_table(spark: SparkSession, path: str, spec: TableSpec, header: bool = T
     """All rows of the table's files in a folder (or of one file), as strings.
 
     Columns are taken by position and a missing field is the empty string. A short, long or
-    otherwise malformed row is kept with what could be read. ``report`` adds the row's file and
-    ``_corrupt``, the raw text of a malformed row. ``limit`` keeps that many rows of each file.
+    otherwise malformed row is kept with what could be read. ``report`` adds the row's place (file,
+    block and line) and ``_corrupt``, the raw text of a malformed row. ``limit`` keeps that many rows of each file.
 
     Fields may hold line breaks, so Spark's reader gives each file to one task. ``divide`` reads the
     blocks of a file in parallel instead; by default files above ``DIVIDE_BYTES`` are.
@@ -55,7 +55,7 @@ def read_table(spark: SparkSession, path: str, spec: TableSpec, header: bool = T
     rows = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in spec.columns], CORRUPT, FILE, BLOCK, LINE)
     if limit is not None:
         rows = top_n(rows, [FILE], [F.asc(BLOCK), F.asc(LINE)], limit, "_n")
-    return rows.select(*spec.columns, CORRUPT, FILE) if report else rows.select(*spec.columns)
+    return rows.select(*spec.columns, CORRUPT, FILE, BLOCK, LINE) if report else rows.select(*spec.columns)
 
 
 def _by_file(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> DataFrame:

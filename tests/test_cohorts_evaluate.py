@@ -96,7 +96,12 @@ def test_demographics(spark):
     assert wide.columns == ["pid", "AGE", "SEX_female", "SEX_male", "RACE_asian", "RACE_not_known"]
     assert sorted(map(tuple, wide.collect())) == [("p1", 62, 0, 1, 1, 0), ("p2", None, 1, 0, 0, 1)]
     vecs, names = demographics.demographic_vector(wide, "AGE")
-    assert names[0] == "AGE" and [(r.pid, r.vec) for r in vecs.collect()] == [("p1", [62.0, 0.0, 1.0, 1.0, 0.0])]
+    # A patient without a readable age stays, flagged.
+    assert (names[0], names[-1]) == ("AGE", "AGE_missing")
+    assert sorted((r.pid, r.vec) for r in vecs.collect()) == [("p1", [62.0, 0.0, 1.0, 1.0, 0.0, 0.0]), ("p2", [0.0, 1.0, 0.0, 0.0, 1.0, 1.0])]
+    seen = demographics.one_hot(latest, "AGE", ["SEX", "RACE"], df)
+    assert seen.columns == ["pid", "AGE", "SEX_female", "SEX_male", "RACE_asian", "RACE_not_known", "RACE_white"]
+    assert demographics.age_report(df, "AGE").first().asDict() == {"num_rows": 3, "no_age": 0, "bad_ages": 1}
 
 
 def test_codes_and_quality(spark):

@@ -148,12 +148,17 @@ def test_run_grid(spark, tmp_path, monkeypatch):
         rules=terms.VocabularyRules(case_share=1.0, control_share=1.0, min_case_count=1, min_control_count=1, top_case_terms=30, total_terms=40))
     results = grid.run_grid(spark, str(raw), str(out), config).collect()
     assert len(results) == 2 * 4
-    assert {r.tables: r.num_columns for r in results} == {"lsi_all": 11, "lsi_Diagnoses": 3, "lsi_Clinical_Notes": 3, "lsi_Demographics": 5}
+    assert {r.tables: r.num_columns for r in results} == {"lsi_all": 12, "lsi_Diagnoses": 3, "lsi_Clinical_Notes": 3, "lsi_Demographics": 6}
     info = {r.run: r for r in store.load(spark, f"{out}/manifest").collect()}
     assert len(info) == 2
     for r in results:
         assert r.tp + r.fp + r.tn + r.fn == info[r.run].test_patients
         assert info[r.run].case_weight == 10.0
+    assert store.load(spark, f"{out}/quality/dates/Clinical_Notes").first().asDict() == {"num_rows": 640, "no_date": 0, "bad_dates": 0}
+    assert store.load(spark, f"{out}/quality/ages/Demographics").first().num_rows == 160
+    assert store.load(spark, f"{out}/quality/ingest/Demographics").first().malformed_rows == 0
+    assert store.load(spark, f"{out}/reports").count() == 2 * 4 * 5 and store.load(spark, f"{out}/features/Clinical_Notes/singular_values").count() == 6
+    assert all((out / "review" / run).exists() for run in info)
     lists = store.load(spark, f"{out}/patient_lists")
     assert lists.groupBy("run", "pid").count().where("count > 1").isEmpty()
     diagonal = store.load(spark, f"{out}/fp_overlap").where("list = other").collect()

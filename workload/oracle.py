@@ -5,7 +5,7 @@ from __future__ import annotations
 from cohortlens.operators.history import FLAGS
 from cohortlens.plans.grid import RESTRICTED, SUBGROUPS
 
-from .queries import CODE_RULES, SCOPE_RULES, TIGHT_VOCABULARY, VECTOR_SIZE, VOCABULARY
+from .queries import CODE_RULES, SCOPE_RULES, TIGHT_VOCABULARY, TOPICS, VECTOR_SIZE, VOCABULARY
 
 
 def bucket(expr: str, n: int = 10_000) -> str:
@@ -145,6 +145,7 @@ SLUG = "regexp_replace(regexp_replace(lower({0}), '^\\s+|\\s+$', '', 'g'), '\\s+
 PEOPLE = """people AS (SELECT c_custkey::VARCHAR AS pid, round(c_acctbal)::INTEGER AS age, c_mktsegment AS seg, r_name AS reg
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
@@ -238,6 +239,13 @@ ORACLE: dict[str, str] = {
     "note_dates": """SELECT pid, string_agg(d, ',' ORDER BY d) AS dates FROM
         (SELECT DISTINCT o_custkey::VARCHAR AS pid, o_orderdate::DATE::VARCHAR AS d FROM orders) GROUP BY pid""",
     "date_text": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderdate::DATE::VARCHAR END AS iso FROM orders""",
+    "bad_dates": """SELECT count(*) AS num_rows, count(*) FILTER (o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P') AS no_date,
+        count(*) FILTER (o_orderstatus = 'P') AS bad_dates FROM orders""",
+    "lsi_checks": f"""WITH {vocab('3.5')} SELECT t::INTEGER AS topic, 1 AS norm_ok, 1 AS orthonormal
+        FROM range(least({TOPICS}, (SELECT count(*) FROM vocab))) r(t)""",
+    "learner_tests": f"""WITH t AS (SELECT label FROM embeddings WHERE {bucket('vec_id::VARCHAR')} >= 8000)
+        SELECT m.model, {VECTOR_SIZE} AS num_columns, (SELECT count(*) FROM t WHERE label = 0) AS cases, (SELECT count(*) FROM t WHERE label <> 0) AS controls
+        FROM (SELECT unnest(['logistic10', 'svm10']) AS model) m""",
     "history_flags": f"""WITH {FLAGS_CTE} SELECT pid, first_day::VARCHAR AS first_day, last_day::VARCHAR AS last_day, num_dates, span_days,
         {', '.join(f'{f}::INTEGER AS {f}' for f in FLAGS)} FROM flags""",
     "flag_overlap": f"WITH {FLAGS_CTE} {overlap_cells()}",
@@ -269,6 +277,10 @@ ORACLE: dict[str, str] = {
     "one_hot": f"""WITH {PEOPLE} SELECT pid, age AS "AGE",
         {', '.join(f'''(seg = '{s}')::INTEGER AS "SEGMENT_{s.lower()}"''' for s in SEGMENTS)},
         {', '.join(f'''(reg = '{r}')::INTEGER AS "REGION_{r.lower().replace(' ', '_')}"''' for r in REGIONS)} FROM people""",
+    "one_hot_last_row": f"""WITH o AS (SELECT o_custkey::VARCHAR AS pid, arg_max(day(o_orderdate), o_orderkey)::INTEGER AS age,
+        arg_max(o_orderstatus, o_orderkey) AS s, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1)
+        SELECT pid, age AS "AGE", {', '.join(f"""(s = '{x}')::INTEGER AS "STATUS_{x.lower()}\"""" for x in 'FOP')},
+        {', '.join(f"""(p = '{x}')::INTEGER AS "PRIORITY_{x.lower().replace(" ", "_")}\"""" for x in PRIORITIES)} FROM o""",
     "one_hot_long": f"""WITH {PEOPLE} SELECT pid, 'SEGMENT_' || {SLUG.format('seg')} AS column_name FROM people UNION ALL
         SELECT pid, 'REGION_' || {SLUG.format('reg')} FROM people""",
     "categories": f"""WITH {PEOPLE} SELECT DISTINCT 'SEGMENT' AS "column", {SLUG.format('seg')} AS category FROM people UNION

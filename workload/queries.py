@@ -193,7 +193,9 @@ def notes_of(spark, sf):
 
 @query
 def patient_document(spark, sf):
-    raw = documents.assemble(notes_of(spark, sf), F.col("conv_id"), text.row_text("role", "text"), [F.col("turn")])
+    # Records are cut down to the chosen patients before documents are put together.
+    notes = notes_of(spark, sf).withColumn("pid", as_id("conv_id")).join(chosen, "pid", "left_semi")
+    raw = documents.assemble(notes, F.col("pid"), text.row_text("role", "text"), [F.col("turn")])
     return raw.select("pid", "part", "text")
 
 
@@ -363,6 +365,22 @@ def lsi_topics(spark, sf):
     return fitted(spark, sf)[3]
 
 
+@query
+def lsi_checks(spark, sf):
+    """For every fitted topic: whether the matrix stretches it by its singular value, and whether the
+    topics are orthonormal."""
+    _, weights, basis, values = fitted(spark, sf)
+    train = terms.training(weights.select("pid", "term_id", "w"))
+    stretched = train.join(basis, "term_id").groupBy("pid", "topic").agg(F.sum(F.col("w") * F.col("v")).alias("y")) \
+        .groupBy("topic").agg(F.sum(F.col("y") * F.col("y")).alias("norm"))
+    other = basis.select("term_id", F.col("topic").alias("_t"), F.col("v").alias("_v"))
+    inner = basis.join(other, "term_id").groupBy("topic", "_t").agg(F.sum(F.col("v") * F.col("_v")).alias("p")) \
+        .groupBy("topic").agg(F.max(F.abs(F.col("p") - (F.col("topic") == F.col("_t")).cast("int"))).alias("off"))
+    return values.join(stretched, "topic").join(inner, "topic").select(
+        "topic", (F.abs(F.col("norm") - F.col("s") * F.col("s")) <= 1e-6 * (1 + F.col("norm"))).cast("int").alias("norm_ok"),
+        (F.col("off") <= 1e-6).cast("int").alias("orthonormal"))
+
+
 @query
 def topic_terms(spark, sf):
     vocab, _, basis, _ = fitted(spark, sf)
@@ -402,6 +420,13 @@ def date_text(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", dates.iso_date(broken).alias("iso"))
 
 
+@query
+def bad_dates(spark, sf):
+    shown = F.date_format(F.col("o_orderdate"), "M/d/yyyy")
+    broken = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("13/"), shown)).when(F.col("o_orderpriority") == "1-URGENT", "").otherwise(shown)
+    return history.date_report(table(spark, sf, "orders"), broken, dates.parse_date(broken))
+
+
 @query
 def history_flags(spark, sf):
     return flags_of(spark, sf).select(
@@ -522,6 +547,16 @@ def one_hot(spark, sf):
     return demographics.one_hot(latest, "AGE", ["SEGMENT", "REGION"])
 
 
+@query
+def one_hot_last_row(spark, sf):
+    """The last of a customer's orders counts, and categories that only earlier ones have get columns too."""
+    orders = table(spark, sf, "orders").select(
+        "o_custkey", "o_orderkey", F.dayofmonth("o_orderdate").cast("string").alias("AGE"), F.col("o_orderstatus").alias("STATUS"),
+        F.col("o_orderpriority").alias("PRIORITY"))
+    latest = demographics.latest(orders, F.col("o_custkey"), ["AGE", "STATUS", "PRIORITY"], [F.col("o_orderkey")])
+    return demographics.one_hot(latest, "AGE", ["STATUS", "PRIORITY"], orders)
+
+
 @query
 def one_hot_long(spark, sf):
     people = people_of(spark, sf).withColumn("pid", as_id("c_custkey"))
@@ -629,6 +664,15 @@ def gbt_eval(spark, sf):
     return result
 
 
+@query
+def learner_tests(spark, sf):
+    """The test patients of every learner by class; which of them are found is the learner's own affair."""
+    matrix, cases = learning_matrix(spark, sf)
+    names = vectors.column_names("text", VECTOR_SIZE)
+    rows = [training.train_and_check(matrix, cases, names, "run", "lsi_all", kind, 10)[0] for kind in ("logistic", "svm")]
+    return rows[0].union(rows[1]).select("model", "num_columns", (F.col("tp") + F.col("fn")).alias("cases"), (F.col("fp") + F.col("tn")).alias("controls"))
+
+
 @query
 def logreg_coef(spark, sf):
     matrix, cases = learning_matrix(spark, sf)
