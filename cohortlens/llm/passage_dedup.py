@@ -307,4 +307,18 @@ def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_passage_dedup": op8_passage_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op8_passage_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM d WHERE len(h) >= 400)),
+again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT doc_id, p, coalesce(p > 200 + lag(p) OVER (PARTITION BY doc_id ORDER BY p), true)::INTEGER AS new FROM w SEMI JOIN again USING (k)),
+numbered AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM gone),
+spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY doc_id, span),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT c.doc_id, sum(c.b - c.a) AS n_removed, count(*) AS n_spans,
+  string_agg(substr(d.h, 2 * c.before + 1, 2 * (c.a - c.before)), '' ORDER BY c.a) || substr(any_value(d.h), 2 * max(c.b) + 1) AS h
+  FROM cuts c JOIN d ON d.doc_id = c.doc_id GROUP BY c.doc_id)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""}
