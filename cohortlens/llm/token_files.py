@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,18 @@ from .wavelet import WaveletMatrix, build
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-PARTITION_CHARS = 1 << 24
+# A partition's distinct words are encoded once, so large partitions encode fewer.
+PARTITION_CHARS = 1 << 26
 MOST_PARTITIONS = 20_000
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS, CACHED_PIECES = 500_000, 700_000
 # How word_bpe_49k.json divides normalised text (a fixed value of that file).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # Characters that normalisation only lower-cases, one by one.
 PLAIN = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
+BEYOND_PLAIN = regex.compile(r"[^\s\x21-\x7EÀ-ÖØ-öø-įĲ-ňŊ-ž]")
+# Byte-level vocabularies write a byte as itself where it is printable, the others as characters from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
@@ -43,13 +49,14 @@ class WordEncoder(dict):
         self.tokenizer, self.pieces = tokenizer, {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHED_CHUNKS:
             self.clear()
-            self.pieces.clear()
-        if "<|" in chunk or not PLAIN.fullmatch(chunk):
+        if chunk.isascii() and chunk.isalpha():
+            out = self.pieces.get(piece := chunk.lower()) or self.piece(piece)
+        elif "<|" in chunk or not PLAIN.fullmatch(chunk):
             out = self.whole(chunk)
         else:
             out = b"".join([self.pieces.get(p) or self.piece(p) for p in PIECES.findall(chunk.lower())])
@@ -57,10 +64,10 @@ class WordEncoder(dict):
         return out
 
     def piece(self, piece: str) -> bytes:
-        if piece.isascii():
-            out = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], dtype="<u4").tobytes()
-        else:
-            out = self.whole(piece)
+        if len(self.pieces) >= CACHED_PIECES:
+            self.pieces.clear()
+        written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        out = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
         self.pieces[piece] = out
         return out
 
@@ -68,6 +75,9 @@ class WordEncoder(dict):
         # These four separate words for Python but not for the tokenizer.
         if SEPARATORS.search(text):
             return self.whole(text)
+        # Case makes no difference, so fewer chunks are distinct without it; special tokens keep theirs.
+        if (text.isascii() or not BEYOND_PLAIN.search(text)) and "<|" not in text:
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.split()))
 
 
