@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F, types as T
 
 from ..operators.ordering import top_n
 from .catalog import TableSpec
@@ -47,7 +47,8 @@ def read_table(spark: SparkSession, path: str, spec: TableSpec, header: bool = T
     block and line) and ``_corrupt``, the raw text of a malformed row. ``limit`` keeps that many rows of each file.
 
     Fields may hold line breaks, so Spark's reader gives each file to one task. ``divide`` reads the
-    blocks of a file in parallel instead; by default files above ``DIVIDE_BYTES`` are.
+    blocks of a file in parallel instead, by the same rule for quotes; by default files above
+    ``DIVIDE_BYTES`` are.
     """
     if divide is None:
         divide = largest_file(spark, path, spec) > DIVIDE_BYTES
@@ -65,44 +66,84 @@ def _by_file(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> D
                        F.monotonically_increasing_id().alias(LINE))
 
 
+def _quote_states(text: Column, spec: TableSpec) -> tuple[Column, Column]:
+    """Whether a quoted field is open after a line, if none was open before it and if one was.
+
+    A quote opens a field only where the field begins; inside, a doubled quote is text and a single
+    one closes. Whatever follows up to the next delimiter is text, quotes included.
+    """
+    q, d = re.escape(spec.quote), re.escape(spec.delimiter)
+    inside = f"(?:[^{q}]++|{q}{q})*+"
+
+    def left_open(line: Column) -> Column:
+        # Closed fields go first, and what else stands in a field that does not begin with a quote.
+        rest = F.regexp_replace(line, f"(^|{d}){q}{inside}{q}(?!{q})[^{d}]*", "$1")
+        return rest.rlike(f"(^|{d}){q}{inside}$")
+
+    closes = text.rlike(f"^{inside}{q}(?!{q})")
+    after = F.regexp_replace(text, f"^{inside}{q}(?!{q})[^{d}]*", "")
+    quoted = F.contains(text, F.lit(spec.quote))
+    return (F.when(quoted, left_open(text)).otherwise(False).cast("int"),
+            F.when(quoted & closes, (after != "") & left_open(after)).otherwise(True).cast("int"))
+
+
+def _open_before(shut: str, opened: str, start: Column, before: WindowSpec) -> Column:
+    """The state before each row of an ordered window, from what every row makes of either state.
+
+    A row of which the state after does not depend on that before resets it; since the last such
+    row only those that turn the state around count.
+    """
+    turns = (F.col(shut) > F.col(opened)).cast("int")
+    turned = F.coalesce(F.sum(turns).over(before), F.lit(0))
+    reset = F.last(F.when(F.col(shut) == F.col(opened), F.struct(F.col("_turned").alias("turned"), F.col(shut).alias("state"))), ignorenulls=True).over(before)
+    return (F.coalesce(reset["state"], start) + turned - F.coalesce(reset["turned"], F.lit(0))) % 2
+
+
 def _divided(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> DataFrame:
     """Rows of files whose fields may hold line breaks, read block by block.
 
-    A line starts a record where an even number of quotes precedes it in its file. Each block counts
-    its own quotes and record starts for both cases of what came before; a table with one row
-    per block then settles which case holds and which record a block's first lines continue.
-    Lines that are whole records are parsed where they are; only the lines of records that span
-    several are brought together. Quotes must be balanced, as exports that quote and double them are.
+    A line starts a record where no quoted field is open. Each block counts its record starts for
+    both states that may come before it; a table with one row per block then settles which holds and
+    which record a block's first lines continue. Lines that are whole records are parsed where
+    they are; only the lines of records that span several are brought together.
     """
     raw = _matching(spark.read.option("lineSep", "\n"), path, spec).text(path)
     value = F.col("value") if spec.encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), spec.encoding)
     lines = raw.select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
                        F.monotonically_increasing_id().alias(LINE), value.alias("_text"))
-    quotes = F.length("_text") - F.length(F.replace("_text", F.lit(spec.quote), F.lit("")))
+    after_shut, after_open = _quote_states(F.col("_text"), spec)
     # A group is one block of the file system, so its size is bounded.
     block = Window.partitionBy(FILE, BLOCK).orderBy(LINE)
     so_far = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = (
-        lines.withColumn("_quotes", quotes)
-        .withColumn("_open", (F.sum("_quotes").over(so_far) - F.col("_quotes")) % 2)
-        .withColumn("_if_even", F.count_if(F.col("_open") == 0).over(so_far))
-        .withColumn("_if_odd", F.count_if(F.col("_open") == 1).over(so_far))
-    )
+    before = block.rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.sum((F.col("_shut") > F.col("_opened")).cast("int"))
+    counted = lines.withColumn("_shut", after_shut).withColumn("_opened", after_open).withColumn("_turned", turns.over(so_far))
+    for start in (0, 1):
+        state = F.col(f"_state{start}")
+        counted = (
+            counted.withColumn(f"_state{start}", _open_before("_shut", "_opened", F.lit(start), before))
+            .withColumn(f"_number{start}", F.count_if(state == 0).over(so_far))
+            .withColumn(f"_end{start}", F.when(state == 0, F.col("_shut")).otherwise(F.col("_opened")))
+        )
+    # One row for each block.
     earlier = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.when(F.col("_carry") == 0, F.col("_evens")).otherwise(F.col("_odds"))
+    up_to = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = F.when(F.col("_carry") == 0, F.col("_starts0")).otherwise(F.col("_starts1"))
     blocks = (
         counted.groupBy(FILE, BLOCK)
-        .agg(F.sum("_quotes").alias("_sum"), F.max("_if_even").alias("_evens"), F.max("_if_odd").alias("_odds"))
-        .withColumn("_carry", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)) % 2)
+        .agg(*[F.max_by(f"_end{s}", LINE).alias(name) for s, name in ((0, "_shut"), (1, "_opened"))],
+             *[F.max(f"_number{s}").alias(f"_starts{s}") for s in (0, 1)])
+        .withColumn("_turned", turns.over(up_to))
+        .withColumn("_carry", _open_before("_shut", "_opened", F.lit(0), earlier))
         .withColumn("_last", F.when(starts > 0, F.struct(F.col(BLOCK).alias("block"), starts.alias("record"))))
         .withColumn("_before", F.last("_last", ignorenulls=True).over(earlier))
         .select(FILE, BLOCK, "_carry", "_before")
     )
+    held = lambda name: F.when(F.col("_carry") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
     placed = counted.join(blocks, [FILE, BLOCK]).select(
-        FILE, BLOCK, LINE, "_text", (F.col("_quotes") % 2).alias("_uneven"), (F.col("_open") == F.col("_carry")).alias("_starts"),
-        F.when(F.col("_carry") == 0, F.col("_if_even")).otherwise(F.col("_if_odd")).alias("_number"), "_before",
+        FILE, BLOCK, LINE, "_text", "_shut", (held("_state") == 0).alias("_starts"), held("_number").alias("_number"), "_before",
     ).select(
-        FILE, BLOCK, LINE, "_text", (F.col("_starts") & (F.col("_uneven") == 0)).alias("_whole"),
+        FILE, BLOCK, LINE, "_text", (F.col("_starts") & (F.col("_shut") == 0)).alias("_whole"),
         F.when(F.col("_number") > 0, F.col(BLOCK)).otherwise(F.col("_before.block")).alias("_block"),
         F.when(F.col("_number") > 0, F.col("_number")).otherwise(F.col("_before.record")).alias("_record"),
     )
@@ -111,9 +152,10 @@ def _divided(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> D
     records = placed.where("_whole").select(FILE, BLOCK, LINE, "_text", "_block", "_record").unionByName(spanning.select(
         FILE, F.col("_parts")[0][BLOCK].alias(BLOCK), F.col("_parts")[0][LINE].alias(LINE),
         F.array_join("_parts._text", "\n").alias("_text"), "_block", "_record"))
+    first = (F.col("_block") == 0) & (F.col("_record") == 1)
     if header:
-        records = records.where(~((F.col("_block") == 0) & (F.col("_record") == 1)))
-    text = F.regexp_replace(F.regexp_replace("_text", "\r\\z", ""), "^\ufeff", "")
+        records = records.where(~first)
+    text = F.regexp_replace(F.when(first, F.regexp_replace("_text", "^\ufeff", "")).otherwise(F.col("_text")), "\r\\z", "")
     parsed = F.from_csv("_text", _schema(spec).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
                         {k: str(v).lower() if isinstance(v, bool) else v for k, v in _options(spec).items()})
     return records.withColumn("_text", text).where(F.col("_text") != "").select(FILE, BLOCK, LINE, parsed.alias("_row")) \

@@ -109,6 +109,21 @@ def test_write_read_and_store(spark, tmp_path):
     assert not store.exists(spark, path)
 
 
+def test_stray_quotes(spark, tmp_path):
+    """A quote inside a field that does not begin with one is text, however the file is read."""
+    lines = ['1|5" tall|a', '2|x|"b""c"', '3|"two', 'lines|in"|z', '4|q"|"', 'w"', '5|"closed" after|t', '6|"a|b"|"c""', 'd"', '7|y|z']
+    (tmp_path / "s_Notes.csv").write_text("\n".join(["STUDY_PAT_ID|D|T", *lines]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        forms = [sorted(map(tuple, delimited.read_table(spark, str(tmp_path), SPEC, divide=d).collect())) for d in (True, False)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert forms[0] == forms[1] and [r[0] for r in forms[0]] == [str(i) for i in range(1, 8)]
+
+
 def _world(folder):
     """Two small source tables in the declared layouts."""
     rnd = random.Random(11)

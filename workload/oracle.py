@@ -203,6 +203,7 @@ ORACLE: dict[str, str] = {
     "ingest_roundtrip": "SELECT conv_id::VARCHAR AS pid, turn::VARCHAR AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations",
     "divided_ingest": """SELECT conv_id::VARCHAR AS pid, turn::VARCHAR AS turn, coalesce(role, '') AS role,
         '"' || chr(10) || '|' || coalesce(text, '') AS text FROM conversations""",
+    "stray_quote_ingest": """SELECT p_partkey::VARCHAR AS pid, p_size || '" ' || p_type AS size, 'a|"' || p_name AS name FROM part""",
     "count_list_roundtrip": "SELECT l_shipdate::DATE::VARCHAR AS token, count(*) AS cnt FROM lineitem GROUP BY 1",
     "tokenize": f"""SELECT doc_id, len(w)::INTEGER AS n_tokens, array_to_string(w, ' ') AS tokens
         FROM (SELECT doc_id, {words('text')} AS w FROM documents)""",

@@ -156,6 +156,17 @@ def divided_ingest(spark, sf):
     return delimited.read_table(spark, f"{raw}/Notes.csv", spec, divide=True)
 
 
+@query
+def stray_quote_ingest(spark, sf):
+    """Inch marks in fields that are not quoted, read block by block."""
+    spec = TableSpec("Parts", ("pid", "size", "name"), (32, 60, 60), id="pid")
+    raw = scratch(spark, "raw")
+    lines = table(spark, sf, "part").select(F.concat_ws(
+        "|", as_id("p_partkey"), F.concat(F.col("p_size").cast("string"), F.lit('" '), "p_type"), F.concat(F.lit('"a|""'), "p_name", F.lit('"'))))
+    lines.write.text(f"{raw}/Parts.csv")
+    return delimited.read_table(spark, f"{raw}/Parts.csv", spec, header=False, divide=True)
+
+
 @query
 def count_list_roundtrip(spark, sf):
     path = scratch(spark, "counts")
