@@ -90,10 +90,25 @@ def _unit_counts(words: DataFrame) -> DataFrame:
     return both.unionByName(pieced)
 
 
+def token_table(documents: DataFrame) -> DataFrame:
+    """``(pid, token, tf)``: each patient's words once, from one pass over the texts. Written to a table, it
+    serves the counts and the bag of words."""
+    return documents.select("pid", F.explode(tokens(F.col("text"))).alias("token")).groupBy("pid", "token").agg(F.count("*").alias("tf"))
+
+
 def term_counts(documents: DataFrame, masks: DataFrame, scopes: Sequence[str]) -> DataFrame:
     """``(scope, token, case_df, case_tf, ctrl_df, ctrl_tf)`` over training documents of each scope."""
     words = document_tokens(training(documents)).join(masks, "pid")
-    by_mask = _unit_counts(words).groupBy("mask", "token").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    return _by_scope(_unit_counts(words).groupBy("mask", "token").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")), scopes)
+
+
+def counts_of_tokens(table: DataFrame, masks: DataFrame, scopes: Sequence[str]) -> DataFrame:
+    """``term_counts`` from a token table. The split is decided once per patient, on the masks."""
+    rows = table.join(masks.where(~is_test(bucket(F.col("pid")))), "pid")
+    return _by_scope(rows.groupBy("mask", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), scopes)
+
+
+def _by_scope(by_mask: DataFrame, scopes: Sequence[str]) -> DataFrame:
     rows = by_mask.select("token", "df", "tf", F.inline(scope_labels(F.col("mask"), scopes)))
     case, control = F.col("label") == 1, F.col("label") == 0
 

@@ -38,6 +38,18 @@ def bag_of_words(documents: DataFrame, masks: DataFrame, scopes: Sequence[str],
         words.join(_small(known, vocabulary_rows, BROADCAST_ROWS), "token", "left_semi")
         .groupBy("pid", "token").agg(F.count("*").alias("tf"))
     )
+    return _in_scopes(counts, masks, scopes, vocabulary, vocabulary_rows)
+
+
+def bag_of_tokens(table: DataFrame, masks: DataFrame, scopes: Sequence[str], vocabulary: DataFrame,
+                  vocabulary_rows: int | None = None) -> DataFrame:
+    """``bag_of_words`` from a token table ``(pid, token, tf)``, without another look at the texts."""
+    known = vocabulary.select("token").distinct()
+    counts = table.join(_small(known, vocabulary_rows, BROADCAST_ROWS), "token", "left_semi")
+    return _in_scopes(counts, masks, scopes, vocabulary, vocabulary_rows)
+
+
+def _in_scopes(counts: DataFrame, masks: DataFrame, scopes: Sequence[str], vocabulary: DataFrame, vocabulary_rows: int | None) -> DataFrame:
     in_scope = counts.join(masks, "pid").select(
         "pid", "token", "tf", F.inline(scope_labels(F.col("mask"), scopes))
     ).drop("label")

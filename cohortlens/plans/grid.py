@@ -142,13 +142,15 @@ def build_features(docs: DataFrame, membership: DataFrame, scopes: Sequence[str]
     count; a smaller count is a prefix of it. Only the solver runs once per (scope, odds)."""
     spark = docs.sparkSession
     masks = keep(terms.membership_masks(membership, scopes))
-    counts = store.save(terms.term_counts(docs, masks, scopes), f"{out}/term_counts")
+    # Each text is read once; the counts and the bag come from its words.
+    words = store.save(terms.token_table(docs), f"{out}/tokens")
+    counts = store.save(terms.counts_of_tokens(words, masks, scopes), f"{out}/term_counts")
     people = store.save(terms.patient_counts(docs, masks, scopes), f"{out}/patient_counts")
     store.save(terms.odds_ratios(counts, people, config.rules), f"{out}/odds_ratios")
     vocab = store.save(terms.vocabulary(counts, people, config.odds, config.rules), f"{out}/vocabulary")
     combos = len(scopes) * len(config.odds)
     rows = config.rules.total_terms * combos
-    bag = store.save(vectors.bag_of_words(docs, masks, scopes, vocab, rows), f"{out}/bow", ["scope", "odds"])
+    bag = store.save(vectors.bag_of_tokens(words, masks, scopes, vocab, rows), f"{out}/bow", ["scope", "odds"])
     weights = store.save(vectors.tfidf(bag, vocab, rows), f"{out}/tfidf", ["scope", "odds"])
     topics = max(config.topics)
     basis_path, topic_path, value_path = f"{out}/basis", f"{out}/topics", f"{out}/singular_values"

@@ -247,10 +247,12 @@ def corpus_masks(spark, sf):
 
 
 def counted(spark, sf):
-    """Counts written once: the vocabulary reads them several times and must not repeat the text work."""
+    """The words of all texts, the counts and the class sizes, written once: later steps read them several
+    times and must not repeat the text work."""
     docs, masks = corpus(spark, sf), corpus_masks(spark, sf)
-    counts = store.save(terms.term_counts(docs, masks, SCOPES), scratch(spark, "counts"))
-    return counts, store.save(terms.patient_counts(docs, masks, SCOPES), scratch(spark, "people"))
+    words = store.save(terms.token_table(docs), scratch(spark, "tokens"))
+    counts = store.save(terms.counts_of_tokens(words, masks, SCOPES), scratch(spark, "counts"))
+    return words, counts, store.save(terms.patient_counts(docs, masks, SCOPES), scratch(spark, "people"))
 
 
 @query
@@ -289,26 +291,26 @@ def odds_ratio(spark, sf):
     return ratios.select("token", F.round("odds_ratio", 6).alias("odds_ratio"))
 
 
-def vocabulary_of(spark, sf, odds=(3.5,)):
-    counts, people = counted(spark, sf)
-    return store.save(terms.vocabulary(counts, people, odds, VOCABULARY), scratch(spark, "vocabulary"))
+def words_and_vocabulary(spark, sf, odds=(3.5,)):
+    words, counts, people = counted(spark, sf)
+    return words, store.save(terms.vocabulary(counts, people, odds, VOCABULARY), scratch(spark, "vocabulary"))
 
 
 @query
 def vocabulary(spark, sf):
-    counts, people = counted(spark, sf)
+    _, counts, people = counted(spark, sf)
     return terms.vocabulary(counts, people, (2.0, 3.5), VOCABULARY).drop("scope")
 
 
 @query
 def vocabulary_limits(spark, sf):
-    counts, people = counted(spark, sf)
+    _, counts, people = counted(spark, sf)
     return terms.vocabulary(counts, people, (2.0, 3.5), TIGHT_VOCABULARY).drop("scope")
 
 
 def bag_of(spark, sf):
-    vocab = vocabulary_of(spark, sf)
-    bag = vectors.bag_of_words(corpus(spark, sf), corpus_masks(spark, sf), SCOPES, vocab, VOCABULARY.total_terms)
+    words, vocab = words_and_vocabulary(spark, sf)
+    bag = vectors.bag_of_tokens(words, corpus_masks(spark, sf), SCOPES, vocab, VOCABULARY.total_terms)
     return vocab, bag
 
 
