@@ -43,3 +43,15 @@ def test_text_is_kept(forms):
     whole, pieces = forms
     joined = pieces.groupBy("pid").agg(F.array_join(F.sort_array(F.collect_list(F.struct("part", "text")))["text"], "").alias("text"))
     assert flat(joined, "pid", "text") == flat(whole, "pid", "text")
+
+
+def test_token_table_serves_counts_and_bag(spark, forms):
+    whole, _ = forms
+    masks = terms.membership_masks(whole.select(F.lit("all").alias("scope"), "pid", (F.col("pid") % 3 == 0).cast("int").alias("label")), ["all"])
+    words = terms.token_table(whole)
+    columns = ["token", "case_df", "case_tf", "ctrl_df", "ctrl_tf"]
+    assert flat(terms.counts_of_tokens(words, masks, ["all"]), *columns) == flat(terms.term_counts(whole, masks, ["all"]), *columns)
+    known = words.select("token").distinct().orderBy("token").limit(100).select(
+        F.lit("all").alias("scope"), F.lit(3.5).alias("odds"), F.length("token").alias("term_id"), "token")
+    assert flat(vectors.bag_of_tokens(words, masks, ["all"], known), "pid", "term_id", "tf") == flat(
+        vectors.bag_of_words(whole, masks, ["all"], known), "pid", "term_id", "tf")
