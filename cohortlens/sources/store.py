@@ -17,13 +17,15 @@ def write_split(df: DataFrame, path: str, pid: str = ID, text: Sequence[str] = (
     """Write a table in patient folders, with its hash bucket and (for text tables) its text size.
 
     The rebalance hint lets Spark size the files of each folder by data volume, so a folder that
-    holds one huge patient becomes many files instead of one task.
+    holds one huge patient becomes many files instead of one task. Files are sorted by bucket and
+    id, so a lookup reads the row groups that may hold its patient and skips the others.
     """
     rows = df.withColumn(BUCKET, bucket(F.col(pid))).withColumn(FOLDER, folder(F.col(BUCKET)))
     if text:
         size = sum((F.coalesce(F.length(c), F.lit(0)).cast("bigint") for c in text), F.lit(len(text) - 1).cast("bigint"))
         rows = rows.withColumn(N_CHARS, size)
-    rows.hint("rebalance", F.col(FOLDER)).write.mode(mode).partitionBy(FOLDER).parquet(path)
+    placed = rows.hint("rebalance", F.col(FOLDER)).sortWithinPartitions(FOLDER, BUCKET, pid)
+    placed.write.mode(mode).partitionBy(FOLDER).parquet(path)
 
 
 def read_split(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Column | None = None,
