@@ -208,12 +208,14 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     ids = saved(distinct.select("digest", "copies", "n_bytes", "uid"), "texts")
     discard(distinct, common)
 
-    # Equal names: sampled suffixes that agree in every window of their runs.
-    named = runs.groupBy("gram", "name").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "size", "off")).alias("first"))
-    kinds = saved(named, "kinds")
-    same = runs.join(kinds.where("n > 1").select("gram", "name"), ["gram", "name"], "left_semi")
+    # Equal names: sampled suffixes that agree in every window of their runs. Places of a name are listed by blocks
+    # of up to 1,024 texts, so that the join with the names makes a row for each block, not for each place.
+    packed = saved(runs.groupBy("gram", "name", F.shiftright("uid", 10).alias("block")).agg(
+        F.collect_list(F.struct("uid", "lo", "size")).alias("places"), F.min(F.struct("uid", "lo", "size", "off")).alias("first")), "places")
+    kinds = saved(packed.groupBy("gram", "name").agg(F.sum(F.size("places")).alias("n"), F.min("first").alias("first")), "kinds")
+    same = packed.join(kinds.where("n > 1").select("gram", "name"), ["gram", "name"], "left_semi").select(F.inline("places"))
     found = [saved(same.select("uid", F.col("lo").alias("start"), (F.col("lo") + F.col("size") + (LENGTH - 1)).alias("stop")), "same")]
-    discard(runs)
+    discard(runs, packed)
 
     # Names that differ though the gram is shared: the windows at the ends of a repeat. One run stands for each name.
     several = saved(kinds.groupBy("gram").agg(F.count("*").alias("names")).where("names > 1"), "several")
