@@ -4,7 +4,6 @@ from conftest_llm import docs_of
 
 from cohortlens.llm import license_scan as op
 
-MIT = dict(op.TEMPLATES)  # the last of each label
 LONG_MIT = op.TEMPLATES[6][1]
 
 
