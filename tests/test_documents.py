@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.text import row_text
 from cohortlens.operators import documents, ordering, repeats
 from test_keys_text import spec_tokens
+from workload import queries
 
 
 def spec_blank(text, span=30):
@@ -109,3 +110,18 @@ def test_piece_size_guard(spark):
     df = spark.createDataFrame([("a", 0, 2, "x")], "pid string, part int, parts int, text string")
     with pytest.raises(ValueError):
         repeats.blank_pieces(df, 10)
+
+
+def test_patient_document_takes_all_and_review_export_only_its_patients(spark, monkeypatch):
+    sf, assembled, assemble = "/root/testdata/sf0.001", [], documents.assemble
+
+    def watched(rows, pid, *rest, **named):
+        assembled.append({r.pid for r in rows.select(pid.cast("string").alias("pid")).distinct().collect()})
+        return assemble(rows, pid, *rest, **named)
+
+    monkeypatch.setattr(documents, "assemble", watched)
+    everyone = {r.pid for r in queries.table(spark, sf, "conversations").select(queries.as_id("conv_id").alias("pid")).distinct().collect()}
+    chosen = {r.pid for r in queries.table(spark, sf, "labels").where("toxic = 1").select(queries.as_id("doc_id").alias("pid")).collect()}
+    assert {r.pid for r in queries.patient_document(spark, sf).collect()} == everyone == assembled[0]
+    queries.review_export(spark, sf)
+    assert assembled[1] == everyone & chosen < everyone
