@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import rolling
 from .common import saved, table
@@ -20,6 +20,9 @@ SIGNATURE = TREES * HASHES_PER_TREE
 # Prefix lengths of the sorted orders: a region that stays crowded is read at the next one.
 DEPTHS = (2, 4, 8, 16, 32, 64, 128)
 CROWDED = 16
+# Nodes of a crowded region meet block by block; one block has about so many rows and bytes at most.
+BLOCK_ROWS = 1024
+BLOCK_BYTES = 1 << 23
 SIMILAR_PERCENT = 75
 # Estimates below this share of equal hashes are five deviations from the threshold.
 LEAST_ESTIMATE = 0.56
@@ -109,20 +112,22 @@ def next_regions(crowded: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
     return rows.mapInArrow(keyed, "tree int, region bigint, node binary")
 
 
-def forest(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def forest(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The regions (tree, region, node) of two to CROWDED nodes, each at the depth where it got so small,
-    and the pairs (a, b) of every node with the first node of each region it was in at any depth.
+    the pairs (a, b) of every node with the first node of each region it was in at any depth, and
+    the larger regions of the first depth, whose nodes part without being compared at the next ones.
 
     Nodes alone in a region have no neighbour with that prefix and go no further. Regions that are
     crowded at the full depth hold equal signatures; their pairs with the first node stand for them.
     """
-    rows, small, stars = first_regions(nodes), [], []
+    rows, small, stars, large = first_regions(nodes), [], [], None
     for level, depth in enumerate(DEPTHS):
         found = rows.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
         shared = saved(rows.join(found, ["tree", "region"]), "regions")
         stars.append(shared.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")))
         small.append(shared.where(F.col("n") <= CROWDED).select(F.lit(level).alias("level"), "tree", "region", "node"))
-        crowded = shared.where(F.col("n") > CROWDED).select("node", "tree")
+        crowded = shared.where(F.col("n") > CROWDED).select("tree", "region", "node")
+        large = crowded if level == 0 else large
         if depth == DEPTHS[-1] or crowded.isEmpty():
             break
         rows = saved(next_regions(crowded, nodes, DEPTHS[level + 1]), "region-rows")
@@ -131,7 +136,7 @@ def forest(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         regions = regions.unionByName(more)
     for more in stars[1:]:
         pairs = pairs.unionByName(more)
-    return regions, pairs.distinct()
+    return regions, pairs.distinct(), large
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -149,21 +154,9 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar; sets are made anew from the texts concerned."""
+    """The pairs (a, b) whose whole shingle sets are similar."""
     pairs = saved(likely(pairs, nodes), "pairs")
-    needed = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select(
-        F.col("first_key").alias("_wanted"))
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t.as_py()).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in found], pa.binary()), pa.array(found, pa.binary())],
-                names=["node", "shingles"])
-
-    rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("text"))
-    rows = rows.join(needed.distinct(), F.col("_key").eqNullSafe(F.col("_wanted")), "left_semi").select("text")
-    sets = saved(rows.mapInArrow(listed, "node binary, shingles binary").dropDuplicates(["node"]), "shingles")
+    sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, key, text)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,20 +171,121 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, tex
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(compared, "a binary, b binary")
 
 
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Columns node, shingles of the wanted nodes at least, made anew from the texts concerned."""
+    needed = nodes.join(wanted.distinct(), "node", "left_semi").select(F.col("first_key").alias("_wanted"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py()).tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in found], pa.binary()), pa.array(found, pa.binary())],
+                names=["node", "shingles"])
+
+    rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("text"))
+    rows = rows.join(needed.distinct(), F.col("_key").eqNullSafe(F.col("_wanted")), "left_semi").select("text")
+    return saved(rows.mapInArrow(listed, "node binary, shingles binary").dropDuplicates(["node"]), "shingles")
+
+
+def in_blocks(rows: DataFrame, size: Column) -> DataFrame:
+    """Every row once for each pair of blocks (i, j) of its region in which its block stands."""
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(size) / BLOCK_BYTES)).cast("int")
+    counts = rows.groupBy("tree", "region").agg(blocks.alias("blocks"))
+    dealt = rows.join(counts, ["tree", "region"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def _open_pairs(batch: pa.RecordBatch, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of the two blocks and a matrix of the pairs that are likely, of different labels and in one region in no earlier tree."""
+    block, i, j, tree = batch["block"].to_numpy(), batch["i"][0].as_py(), batch["j"][0].as_py(), batch["tree"][0].as_py()
+    a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    signatures, sizes = _matrix(batch["signature"]), batch["n_shingles"].to_numpy()
+    left, right = np.ascontiguousarray(signatures[a].T), np.ascontiguousarray(signatures[b].T)
+    equal, met = np.zeros((len(a), len(b)), dtype=np.int16), np.zeros((len(a), len(b)), dtype=bool)
+    for c in range(SIGNATURE):
+        same = left[c][:, None] == right[c][None, :]
+        equal += same
+        t, place = divmod(c, HASHES_PER_TREE)
+        if t < tree and place < DEPTHS[0]:
+            prefix = same if place == 0 else prefix & same
+            if place == DEPTHS[0] - 1:
+                met |= prefix
+    na, nb = sizes[a][:, None], sizes[b][None, :]
+    found = (equal >= LEAST_ESTIMATE * SIGNATURE) & ~met & (labels[a][:, None] != labels[b][None, :])
+    found &= 100 * np.minimum(na, nb) >= SIMILAR_PERCENT * np.maximum(na, nb)
+    return a, b, np.triu(found, 1) if i == j else found
+
+
+def _one_batch(group: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows of a pair of blocks, and a number for each row's root."""
+    batch = group.combine_chunks().to_batches()[0]
+    return batch, batch["root"].dictionary_encode().indices.to_numpy().copy()
+
+
+def crowded_links(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Links (a, b) that join all similar nodes of crowded regions which ``roots`` leave apart.
+
+    All pairs of a region are compared by signature, block by block; nodes with a likely partner meet
+    again with their whole sets. A task returns a spanning forest of the links it finds, never pairs.
+    """
+    joined = saved(crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "crowded-roots")
+    split = joined.groupBy("tree", "region").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
+    apart = joined.join(split.select("tree", "region"), ["tree", "region"], "left_semi")
+    rows = saved(apart.join(nodes.select("node", "n_shingles", "signature"), "node"), "crowded")
+
+    def promising(group: pa.Table) -> pa.Table:
+        batch, labels = _one_batch(group)
+        a, b, found = _open_pairs(batch, labels)
+        at = pa.array(np.union1d(a[found.any(axis=1)], b[found.any(axis=0)]))
+        return pa.table([batch[c].take(at) for c in ("tree", "region", "node")], names=["tree", "region", "node"])
+
+    meeting = ["tree", "region", "i", "j"]
+    likely_rows = in_blocks(rows, F.lit(4 * SIGNATURE)).groupBy(*meeting).applyInArrow(promising, "tree int, region bigint, node binary")
+    likely_rows = saved(likely_rows.distinct(), "promising")
+    sets = shingle_sets(likely_rows.select("node"), nodes, docs, key, text)
+    rows = rows.join(likely_rows, ["tree", "region", "node"], "left_semi").join(sets, "node")
+
+    def linked(group: pa.Table) -> pa.Table:
+        batch, labels = _one_batch(group)
+        a, b, found = _open_pairs(batch, labels)
+        sizes, links = batch["n_shingles"].to_numpy(), []
+        if found.any():
+            ends = np.cumsum(sizes)
+            names = np.unique(np.frombuffer(b"".join(batch["shingles"].to_pylist()), dtype=np.uint64), return_inverse=True)[1]
+            has = np.zeros(len(names), dtype=bool)
+            for n in np.flatnonzero(found.any(axis=1)):
+                x = a[n]
+                own = names[ends[x] - sizes[x]:ends[x]]
+                has[own] = True
+                for y in b[found[n]]:
+                    if labels[x] != labels[y]:
+                        both = np.count_nonzero(has[names[ends[y] - sizes[y]:ends[y]]])
+                        if 100 * both >= SIMILAR_PERCENT * (sizes[x] + sizes[y] - both):
+                            labels[labels == labels[y]] = labels[x]
+                            links.append((x, y))
+                has[own] = False
+        sides = np.array(links, dtype=np.int64).reshape(-1, 2).T
+        return pa.table([batch["node"].take(pa.array(side)) for side in sides], names=["a", "b"])
+
+    return in_blocks(rows, 4 * SIGNATURE + 8 * F.col("n_shingles")).groupBy(*meeting).applyInArrow(linked, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns key, n_shingles, component_id, kept for every row: documents are linked when their shingle
     sets have a Jaccard similarity of SIMILAR_PERCENT or more, and a component keeps its smallest id.
 
     Rows with equal sets form one node first, so copies never meet in pairs. Each node is then
     compared with the first node of its regions; what these comparisons leave apart is compared
-    pair by pair within the final regions, of at most CROWDED nodes. Null, empty and blank texts
+    pair by pair within the final regions, of at most CROWDED nodes, and then block by block within
+    the larger regions of the first depth. Null, empty and blank texts
     have no shingles and link with nothing. Rows that repeat an id get a row each.
     """
     rows = saved(sketches(docs, key, text), "sketches")
     nodes = saved(
         rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("key", "n_shingles", "signature")).alias("r")).select(
             "node", F.col("r.key").alias("first_key"), "r.n_shingles", "r.signature"), "nodes")
-    regions, stars = forest(nodes)
+    regions, stars, crowded = forest(nodes)
     links = saved(confirmed(stars, nodes, docs, key, text), "links")
     roots = components(links)
     joined = regions.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -203,6 +297,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rest = left.join(right, ["level", "tree", "region"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")
     rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(confirmed(rest, nodes, docs, key, text))
+    if not crowded.isEmpty():
+        links = saved(links, "links")
+        links = links.unionByName(crowded_links(crowded, components(links), nodes, docs, key, text))
     roots = components(links).withColumnRenamed("root", "group")
     grouped = nodes.join(roots, "node", "left").withColumn("group", F.coalesce("group", "node"))
     names = grouped.groupBy("group").agg(F.min("first_key").alias("component_id"))

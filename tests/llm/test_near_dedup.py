@@ -76,3 +76,17 @@ def test_odd_tables(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 0, 2]
     nulls = docs.selectExpr("cast(null as bigint) doc_id", "text")
     assert all(r.kept and r.component_id is None for r in op.near_duplicates(nulls).collect())
+
+
+@pytest.mark.parametrize("block_rows", [100, 1024])
+def test_pairs_in_a_large_family_that_its_first_node_does_not_link(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(op, "BLOCK_ROWS", block_rows)
+    rng = random.Random(3)
+    shared = prose(rng, 124)
+    texts = [shared + " " + prose(rng, 26) for _ in range(500)]
+    for text in texts[:60]:
+        words = text.split(" ")
+        texts.append(" ".join(words[:131] + prose(rng, 19).split(" ")))
+    rng.shuffle(texts)
+    assert sum(not kept for *_, kept in brute(texts)) == 60
+    check(spark, texts)
