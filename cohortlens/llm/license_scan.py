@@ -73,9 +73,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least_coverag
 
     Each GRAM-word gram that occurs in a template votes for the diagonal (its place minus the place
     in the template). Votes are counted per diagonal; diagonals of one template within DRIFT words of
-    each other and in reach form one span, so that a few words put in or left out do no harm. A span
-    counts when its votes cover enough of the template's grams and it is not much longer than the
-    template. ``score`` is the best coverage found, BASE_SCORE at least where a base phrase stands.
+    each other form one span, so that a few words put in or left out do no harm. In a span a copy
+    begins where the place in the template steps back. A span counts when the votes of one of its copies,
+    or of all together, cover enough of the template's grams and are not spread much wider than the
+    template; so a notice repeated back to back counts like a single one. ``score`` is the best coverage found, BASE_SCORE at least where a base phrase stands.
     Null and empty texts have no words, no places and no labels. Equal rows get equal results.
     """
     grams = template_grams(docs.sparkSession)
@@ -106,18 +107,24 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least_coverag
     votes = read.where(F.size("hits") > 0).select("key", "row", F.explode("hits").alias("hit")).select(
         "key", "row", "hit.place", "hit.gram").join(F.broadcast(grams), "gram")
     of = ["key", "row", "template", "label", "size"]
-    diagonals = votes.withColumn("diagonal", F.col("place") - F.col("at")).groupBy(*of, "diagonal").agg(
-        F.collect_set("at").alias("seen"), F.min("place").alias("first"), F.max("place").alias("last"))
+    places_of = votes.select(*of, "place", "at", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
     order = Window.partitionBy("key", "row", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT), F.lit(True))
-    spans = (
-        diagonals.withColumn("apart", apart.cast("int"))
-        .withColumn("span", F.sum("apart").over(order))
-        .groupBy(*of, "span")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("covered"), F.min("first").alias("first"), F.max("last").alias("last"))
+    chains = places_of.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(order))
+    reading = Window.partitionBy("key", "row", "template", "span").orderBy("place", "at")
+    again = F.coalesce(F.col("at") <= F.lag("at").over(reading), F.lit(False))
+    copies = (
+        chains.withColumn("again", again.cast("int"))
+        .withColumn("copy", F.sum("again").over(reading))
+        .groupBy(*of, "span", "copy")
+        .agg(F.collect_set("at").alias("seen"), F.min("place").alias("first"), F.max("place").alias("last"))
     )
-    coverage = F.col("covered") / F.col("size")
-    verified = spans.where((coverage >= least_coverage) & (F.col("last") - F.col("first") < 2 * F.col("size") + 2 * DRIFT))
+    in_reach = F.col("last") - F.col("first") < 2 * F.col("size") + 2 * DRIFT
+    spans = copies.groupBy(*of, "span").agg(
+        F.max(F.when(in_reach, F.size("seen"))).alias("one"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("every"),
+        F.min("first").alias("first"), F.max("last").alias("last"))
+    coverage = F.greatest("one", F.when(in_reach, F.col("every"))) / F.col("size")
+    verified = spans.where(coverage >= least_coverage)
     found = verified.groupBy(F.col("key").alias("_key"), F.col("row").alias("_row")).agg(F.collect_set("label").alias("found"), F.max(coverage).alias("best"))
     joined = read.drop("hits").join(found, F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")), "left")
     none = F.array().cast("array<string>")

@@ -44,3 +44,11 @@ def test_repeated_rows_and_empty_table(spark):
 def test_no_python_on_the_executors(spark):
     plan = op.scan(docs_of(spark, ["MIT license"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_copies_back_to_back(spark):
+    short = [(label, text) for label, text in op.TEMPLATES if len(text.split()) <= 8]
+    cases = [(label, between.join([text] * n)) for label, text in short for between in (" ", " so ") for n in (1, 2, 3, 4, 5, 10, 50)]
+    docs = docs_of(spark, [t for _, t in cases])
+    for r in op.scan(docs.unionByName(docs.where("doc_id % 5 = 0"))).collect():
+        assert cases[r.doc_id][0] in r.labels.split(",") and r.score == 1, cases[r.doc_id]
