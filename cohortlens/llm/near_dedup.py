@@ -316,6 +316,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.join(kept, F.col(key).cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
 
 
+def keep_one_row(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Exactly one row of ``docs`` for each component, also where rows repeat an id or have none: the one
+    with the smallest id, then the smallest hash of its text. Rows without shingles all stay."""
+    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    place = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("digest"), F.col("_row").alias("row"))
+    least = near_duplicates(numbered, "_row", text).select("_row", "component_id").join(numbered.select("_row", place.alias("place")), "_row")
+    kept = least.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.row").alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(docs.columns)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that resemble one another, the one with the smallest id stays."""
-    return near_dedup.keep_one(docs)
+    """Of documents that resemble one another, one row with the smallest id stays."""
+    return near_dedup.keep_one_row(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

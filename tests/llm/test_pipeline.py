@@ -85,3 +85,15 @@ def test_stages(spark):
             docs = out
         counts.append(out.select("doc_id").distinct().count())
     assert counts[0] > counts[1] > counts[2] == counts[3] > counts[4] >= counts[5] > 0
+
+
+def test_a_document_delivered_twice_stays_once(spark):
+    rng = random.Random(4)
+    text, other, unnamed = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(80)) for _ in range(3))
+    docs = docs_of(spark, [text, other, unnamed, ""])
+    docs = docs.unionByName(docs.where("doc_id = 0")).withColumn("doc_id", F.expr("nullif(doc_id, 2)"))
+    docs = docs.unionByName(docs.where("doc_id is null"))
+    kept = corpus_pipeline.saved(corpus_pipeline.near_duplicates(spark, docs, SF), "test-once")
+    clean = corpus_pipeline.repeated_passages(spark, kept, SF)
+    assert clean.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in clean.collect()) == sorted([("0", text), ("1", other), ("3", ""), ("None", unnamed)])
