@@ -283,8 +283,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     rows = saved(sketches(docs, key, text), "sketches")
     nodes = saved(
-        rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("key", "n_shingles", "signature")).alias("r")).select(
-            "node", F.col("r.key").alias("first_key"), "r.n_shingles", "r.signature"), "nodes")
+        rows.where(F.col("node").isNotNull()).groupBy("node").agg(
+            F.min("key").alias("first_key"), F.min(F.struct("n_shingles", "signature")).alias("r")).select(
+            "node", "first_key", "r.n_shingles", "r.signature"), "nodes")
     regions, stars, crowded = forest(nodes)
     links = saved(confirmed(stars, nodes, docs, key, text), "links")
     roots = components(links)

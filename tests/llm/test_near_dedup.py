@@ -90,3 +90,8 @@ def test_pairs_in_a_large_family_that_its_first_node_does_not_link(spark, monkey
     rng.shuffle(texts)
     assert sum(not kept for *_, kept in brute(texts)) == 60
     check(spark, texts)
+
+
+def test_null_ids_do_not_name_a_component(spark):
+    docs = docs_of(spark, ["a b c d e f"] * 3).selectExpr("nullif(doc_id, 0) doc_id", "text")
+    assert {(r.doc_id, r.component_id, r.kept) for r in op.near_duplicates(docs).collect()} == {(None, 1, False), (1, 1, True), (2, 1, False)}
