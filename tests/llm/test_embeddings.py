@@ -99,3 +99,10 @@ def test_fewer_rows_than_asked(spark):
     vectors = [[random.Random(i).random() for _ in range(4)] for i in range(3)]
     got = sorted(tuple(r) for r in pivot_search.top_k(vectors_of(spark, vectors), "vec_id = 0", 5).collect())
     assert got == [x for x in brute_top(vectors, 3, 5)]
+
+
+def test_a_repeated_query_row_is_asked_once(spark):
+    vectors = [[1.0, 0.0], *([1.0 - i / 10, 0.5] for i in range(6))]
+    frame = vectors_of(spark, vectors)
+    rows = pivot_search.top_k(frame.unionByName(frame.where("vec_id = 0")), "vec_id = 0", 5).collect()
+    assert sorted((r["rank"], r.vec_id) for r in rows) == [(i, i) for i in range(1, 6)]
