@@ -31,13 +31,14 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """A raw-content dictionary per language, the most frequent language first: the letters of a bounded sample, joined.
 
     The fit is bounded by two parameters: about ``sample_rows`` rows of each language, chosen by
-    the hash of the id, and ``dictionary_bytes`` of their text; with more than MOST_LANGUAGES
-    labels the most frequent are learned. Rows with a null label or no letter teach nothing.
+    the hash of the id, and ``dictionary_bytes`` of their text; more than MOST_LANGUAGES
+    labels raise. Rows with a null label or no letter teach nothing.
     """
     known = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ranked = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    known = known.where(F.col("lang").isin(ranked))
+    ranked = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()]
+    if len(ranked) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels in {lang}")
     chosen = least_by_hash(known, "lang", "key", sample_rows).distinct()
     # No text gives more than its share, so that one long text does not fill a dictionary.
     share = max(1, dictionary_bytes // 32)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from conftest_llm import DOCS, docs_of
 from pyspark.sql import functions as F
 
@@ -46,3 +47,11 @@ def test_narrow_margins_are_rejected(spark):
 
 def test_null_labels_teach_nothing(spark):
     assert list(op.learn(corpus(spark, 30, 4).withColumn("lang", F.lit(None).cast("string")))) == []
+
+
+def test_more_labels_than_can_be_learned_raise(spark, monkeypatch):
+    monkeypatch.setattr(op, "MOST_LANGUAGES", 2)
+    docs = docs_of(spark, ["abc"] * 3).withColumn("lang", F.col("doc_id").cast("string"))
+    assert len(op.learn(docs.where("doc_id < 2"))) == 2
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        op.learn(docs)
