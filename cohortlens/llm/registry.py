@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from . import (embedding_dedup, language_id, license_scan, line_quality, near_dedup, passage_dedup, pivot_search,
-               token_files)
+               token_counts, token_files)
 
-MODULES = (language_id, line_quality, pivot_search, token_files, near_dedup, passage_dedup, embedding_dedup, license_scan)
+MODULES = (language_id, line_quality, pivot_search, token_files, near_dedup, passage_dedup, embedding_dedup, license_scan,
+           token_counts)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
