@@ -2,64 +2,31 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.mllib.linalg import VectorUDT
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from ..session import keep, work_folder
-from ..sources import store
+from .block_svd import truncated_svd
 from .ordering import top_n
 
-# Terms x topics that the driver may hold.
-MOST_NUMBERS = 50_000_000
+KEYS = ("scope", "odds")
 
 
-def sparse_rows(weights: DataFrame, terms: int) -> DataFrame:
-    """One row per patient in the layout in which Spark stores a sparse vector."""
-    grouped = weights.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("_e"))
-    return grouped.select(F.struct(
-        F.lit(0).cast("tinyint").alias("type"),
-        F.lit(terms).alias("size"),
-        F.col("_e.term_id").alias("indices"),
-        F.col("_e.w").alias("values"),
-    ).alias("row"))
+def fit_all_topics(weights: DataFrame, topics: int, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """Fit every combination of ``keys`` on ``(keys, pid, term_id, w)`` of training patients, all in the same jobs.
 
+    Returns the bases ``(keys, term_id, topic, v)`` and the singular values ``(keys, topic, s)``. Fewer topics
+    come back where a matrix has no more; the rows of the singular values tell how many. Each topic's largest loading is positive.
+    """
+    return truncated_svd(weights, keys, topics)
 
-def fit_topics(weights: DataFrame, terms: int, topics: int, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Fit on ``(pid, term_id, w)`` of training patients; ``terms`` is the vocabulary size.
 
-    Returns the basis ``(term_id, topic, v)`` and the singular values ``(topic, s)``. The matrix is
-    written once to the shared folder, as the many passes of the solver should not repeat
-    the text work and must outlive a lost executor. The driver holds terms x topics
-    numbers; beyond MOST_NUMBERS it refuses. Fewer topics come back where the matrix has no more; the
-    rows of the singular values tell how many. Each topic's largest loading is positive.
-    """
-    spark = weights.sparkSession
-    path = folder or f"{work_folder(spark)}/matrix-{uuid.uuid4().hex}"
-    sparse_rows(weights, terms).write.mode("overwrite").parquet(path)
-    rows = keep(spark.read.schema(T.StructType([T.StructField("row", VectorUDT())])).parquet(path))
-    rank = min(topics, terms)
-    if rank * terms > MOST_NUMBERS:
-        raise ValueError(f"{terms} terms x {rank} topics are more than {MOST_NUMBERS} numbers")
-    result = RowMatrix(rows, 0, terms).computeSVD(rank, computeU=False, rCond=1e-9)
-    basis, values = result.V.toArray(), result.s.toArray()
-    rows.unpersist()
-    if folder is None:
-        store.drop(spark, path)
-    lead = np.abs(basis).argmax(axis=0)
-    basis = basis * np.where(basis[lead, np.arange(basis.shape[1])] < 0, -1.0, 1.0)
-    term_id, topic = np.nonzero(np.abs(basis) > 0)
-    loadings = spark.createDataFrame(pa.table({
-        "term_id": pa.array(term_id, pa.int32()), "topic": pa.array(topic, pa.int32()), "v": pa.array(basis[term_id, topic]),
-    }))
-    return loadings, spark.createDataFrame(list(enumerate(values.tolist())), "topic int, s double")
+def fit_topics(weights: DataFrame, topics: int) -> tuple[DataFrame, DataFrame]:
+    """The same for the one matrix ``(pid, term_id, w)``: ``(term_id, topic, v)`` and ``(topic, s)``."""
+    return truncated_svd(weights, (), topics)
 
 
-def topic_terms(basis: DataFrame, vocabulary: DataFrame, n: int = 100) -> DataFrame:
-    """The ``n`` strongest terms of every topic: ``(topic, rank, token, v)``."""
-    named = basis.join(vocabulary.select("term_id", "token"), "term_id").select("topic", "token", "v")
-    return top_n(named, ["topic"], [F.desc(F.abs("v")), F.asc("token")], n, "rank").select("topic", "rank", "token", "v")
+def topic_terms(basis: DataFrame, vocabulary: DataFrame, n: int = 100, keys: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` strongest terms of every topic: ``(keys, topic, rank, token, v)``."""
+    named = basis.join(vocabulary.select(*keys, "term_id", "token"), [*keys, "term_id"]).select(*keys, "topic", "token", "v")
+    return top_n(named, [*keys, "topic"], [F.desc(F.abs("v")), F.asc("token")], n, "rank").select(*keys, "topic", "rank", "token", "v")

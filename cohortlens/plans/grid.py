@@ -139,8 +139,7 @@ def build_cohorts(spark: SparkSession, out: str, config: GridConfig) -> tuple[Da
 def build_features(docs: DataFrame, membership: DataFrame, scopes: Sequence[str], out: str,
                    config: GridConfig) -> DataFrame:
     """``(scope, odds, pid, vec)`` for one table, all scopes and odds in each job, at the largest topic
-    count; a smaller count is a prefix of it. Only the solver runs once per (scope, odds)."""
-    spark = docs.sparkSession
+    count; a smaller count is a prefix of it."""
     masks = keep(terms.membership_masks(membership, scopes))
     # Each text is read once; the counts and the bag come from its words.
     words = store.save(terms.token_table(docs), f"{out}/tokens")
@@ -153,21 +152,11 @@ def build_features(docs: DataFrame, membership: DataFrame, scopes: Sequence[str]
     bag = store.save(vectors.bag_of_tokens(words, masks, scopes, vocab, rows), f"{out}/bow", ["scope", "odds"])
     weights = store.save(vectors.tfidf(bag, vocab, rows), f"{out}/tfidf", ["scope", "odds"])
     topics = max(config.topics)
-    basis_path, topic_path, value_path = f"{out}/basis", f"{out}/topics", f"{out}/singular_values"
-    for path in (basis_path, topic_path, value_path):
-        store.drop(spark, path)
-    sizes = {(r["scope"], r["odds"]): r["n"] for r in
-             vocab.groupBy("scope", "odds").agg(F.count("*").alias("n")).collect()}
-    for (scope, odds), terms_here in sorted(sizes.items()):
-        here = (F.col("scope") == scope) & (F.col("odds") == odds)
-        train = terms.training(weights.where(here).select("pid", "term_id", "w"))
-        basis, values = lsi.fit_topics(train, terms_here, topics)
-        store.append(values.select(F.lit(scope).alias("scope"), F.lit(odds).alias("odds"), "*"), value_path)
-        tagged = basis.select(F.lit(scope).alias("scope"), F.lit(odds).alias("odds"), "term_id", "topic", "v")
-        store.append(tagged, basis_path)
-        listing = lsi.topic_terms(basis, vocab.where(here))
-        store.append(listing.select(F.lit(scope).alias("scope"), F.lit(odds).alias("odds"), "*"), topic_path)
-    basis = store.load(spark, basis_path)
+    train = terms.training(weights.select(*lsi.KEYS, "pid", "term_id", "w"))
+    basis, values = lsi.fit_all_topics(train, topics)
+    store.save(values, f"{out}/singular_values")
+    basis = store.save(basis, f"{out}/basis", ["scope", "odds"])
+    store.save(lsi.topic_terms(basis, vocab, keys=lsi.KEYS), f"{out}/topics")
     vecs = vectors.project(weights, basis, topics, rows)
     result = store.save(vecs, f"{out}/vectors", ["scope", "odds"])
     masks.unpersist()

@@ -1,165 +1,340 @@
-"""Delimited text tables with declared, positional schemas."""
+"""Delimited text tables with declared, positional schemas.
+
+Fields may hold line breaks, so whether a line begins a record depends on all quotes before it. Files are
+still read block by block: a first pass reduces every block where it lies to what it does with either
+state, open or closed, that the text before may leave; a scan over these few rows settles the state and the number of
+records at the start of each block; a second pass parses the blocks in place. Only the lines of records
+that reach over the end of a block are brought together. The rows of a file are the same however it is divided.
+"""
 
 from __future__ import annotations
 
+import csv
 import re
+import sys
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
 
-from ..operators.ordering import top_n
+from ..session import cut_lineage
 from .catalog import TableSpec
 
+# Task functions travel with the job, so executors need numpy and pyarrow but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CORRUPT = "_corrupt"
 FILE = "_file"
 BLOCK = "_block_start"
 LINE = "_line"
-# Files above this size are read block by block.
-DIVIDE_BYTES = 1 << 30
-
-
-def _options(spec: TableSpec) -> dict:
-    return dict(
-        sep=spec.delimiter, quote=spec.quote, escape=spec.quote, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
+# Rows (one per block) that may be broadcast; with blocks of 128 MB these are 25 TB of one table.
+MOST_BLOCKS = 200_000
+# A record is put together up to about this length; a longer one, in practice a quote that is never closed, is cut there and malformed.
+MOST_RECORD = 1 << 29
+FIELD_LIMIT = (1 << 31) - 1
+# Files of which the first rows are looked up together.
+FILES_AT_ONCE = 64
 
 
-def _schema(spec: TableSpec) -> T.StructType:
-    return T.StructType([*spec.schema.fields, T.StructField(CORRUPT, T.StringType())])
-
+class QuoteRule:
+    """Whether a quoted field is open after a line, if none was open before it and if one was.
 
-def _matching(reader, path: str, spec: TableSpec):
-    return reader if path.endswith(".csv") else reader.option("pathGlobFilter", spec.pattern)
+    A quote opens a field only where the field begins; inside, a doubled quote is text and a single
+    one closes. Whatever follows up to the next delimiter is text, quotes included.
+    """
 
+    def __init__(self, delimiter: str, quote: str):
+        q, d = re.escape(quote), re.escape(delimiter)
+        closing = f"(?:[^{q}]++|{q}{q})*+{q}(?!{q})[^{d}]*+"
+        field = f"(?:{q}{closing}|(?!{q})[^{d}]*+)"
+        self.closed = re.compile(f"{field}(?:{d}{field})*+", re.DOTALL)
+        self.closes = re.compile(f"{closing}(?:{d}{field})*+", re.DOTALL)
 
-def largest_file(spark: SparkSession, path: str, spec: TableSpec) -> int:
-    """Bytes of the table's largest file; only the listing is read."""
-    listing = _matching(spark.read.format("binaryFile"), path, spec).load(path)
-    return listing.agg(F.max("length")).first()[0] or 0
+    def after(self, line: str, is_open: bool) -> bool:
+        return not (self.closes if is_open else self.closed).fullmatch(line)
 
 
 def read_table(spark: SparkSession, path: str, spec: TableSpec, header: bool = True, limit: int | None = None,
-               report: bool = False, divide: bool | None = None) -> DataFrame:
+               report: bool = False) -> DataFrame:
     """All rows of the table's files in a folder (or of one file), as strings.
 
     Columns are taken by position and a missing field is the empty string. A short, long or
-    otherwise malformed row is kept with what could be read. ``report`` adds the row's place (file,
-    block and line) and ``_corrupt``, the raw text of a malformed row. ``limit`` keeps that many rows of each file.
+    otherwise malformed row is kept with what could be read. Lines end with ``\\n``, ``\\r\\n`` or ``\\r``, and a line break
+    inside a field becomes ``\\n``; empty lines between records are passed over. A quote that is never closed takes the rest of
+    its file into its field. ``report`` adds the row's place (file, block and number of the record) and
+    ``_corrupt``, the raw text of a malformed row.
 
-    Fields may hold line breaks, so Spark's reader gives each file to one task. ``divide`` reads the
-    blocks of a file in parallel instead, by the same rule for quotes; by default files above
-    ``DIVIDE_BYTES`` are.
+    ``limit`` keeps that many rows of each file and reads only so many lines of it as hold them, whatever its size; these
+    rows are written to the shared folder at once. The encoding must agree with ASCII where characters do.
     """
-    if divide is None:
-        divide = largest_file(spark, path, spec) > DIVIDE_BYTES
-    rows = _divided(spark, path, spec, header) if divide else _by_file(spark, path, spec, header)
-    rows = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in spec.columns], CORRUPT, FILE, BLOCK, LINE)
-    if limit is not None:
-        rows = top_n(rows, [FILE], [F.asc(BLOCK), F.asc(LINE)], limit, "_n")
-    return rows.select(*spec.columns, CORRUPT, FILE, BLOCK, LINE) if report else rows.select(*spec.columns)
+    if spec.encoding.upper().replace("-", "").startswith(("UTF16", "UTF32")):
+        raise ValueError(f"{spec.encoding} cannot be divided at line ends")
+    rows = _all(spark, path, spec, header) if limit is None else _first(spark, path, spec, header, limit)
+    return rows if report else rows.select(*spec.columns)
 
 
-def _by_file(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> DataFrame:
-    reader = spark.read.schema(_schema(spec)).options(**_options(spec), multiLine=True, header=header, encoding=spec.encoding)
-    rows = _matching(reader, path, spec).csv(path)
-    return rows.select("*", F.col("_metadata.file_path").alias(FILE), F.lit(0).cast("bigint").alias(BLOCK),
-                       F.monotonically_increasing_id().alias(LINE))
-
+def _matching(reader, path: str, spec: TableSpec):
+    return reader if path.endswith(".csv") else reader.option("pathGlobFilter", spec.pattern)
 
-def _quote_states(text: Column, spec: TableSpec) -> tuple[Column, Column]:
-    """Whether a quoted field is open after a line, if none was open before it and if one was.
 
-    A quote opens a field only where the field begins; inside, a doubled quote is text and a single
-    one closes. Whatever follows up to the next delimiter is text, quotes included.
+def _lines(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
+    raw = _matching(spark.read, path, spec).text(path)
+    utf8 = spec.encoding.upper() in ("UTF-8", "UTF8")
+    value = F.make_valid_utf8("value") if utf8 else F.decode(F.col("value").cast("binary"), spec.encoding)
+    return raw.select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK), value.alias("_text"))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
+    """The stretches of a batch that lie in one block: file, block and rows."""
+    if not len(batch):
+        return
+    file, block = batch[FILE].dictionary_encode().indices.to_numpy(), batch[BLOCK].to_numpy()
+    starts = np.flatnonzero(np.append(True, (file[1:] != file[:-1]) | (block[1:] != block[:-1])))
+    for a, b in zip(starts, np.append(starts[1:], len(batch))):
+        yield batch[FILE][a].as_py(), int(block[a]), batch.slice(a, b - a)
+
+
+def _summaries(lines: DataFrame, spec: TableSpec) -> DataFrame:
+    """One row per block: its characters and lines and, for either state before it, the state after it and how many records it begins."""
+    delimiter, quote = spec.delimiter, spec.quote
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule, place, size, count, states, numbers = QuoteRule(delimiter, quote), None, 0, 0, [False, True], [0, 0]
+
+        def summary() -> pa.RecordBatch:
+            values = (*place, size, count, *map(int, states), *numbers)
+            kinds = (pa.string(), *[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.int64()] * 2)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)],
+                                              names=[FILE, BLOCK, "_size", "_lines", "_shut", "_opened", "_starts0", "_starts1"])
+
+        for batch in batches:
+            for file, block, part in _parts(batch):
+                if (file, block) != place:
+                    if place is not None:
+                        yield summary()
+                    place, size, count, states, numbers = (file, block), 0, 0, [False, True], [0, 0]
+                text = part["_text"]
+                lengths = pc.utf8_length(text).to_numpy(zero_copy_only=False)
+                count += len(lengths)
+                size += int(lengths.sum()) + len(lengths)
+                filled = np.append(0, np.cumsum(lengths > 0))
+                quoted = np.flatnonzero(pc.match_substring(text, quote).to_numpy(zero_copy_only=False))
+                at = 0
+                for i in [*quoted.tolist(), len(lengths)]:
+                    # Lines without quotes leave the state as it is.
+                    for s in (0, 1):
+                        numbers[s] += 0 if states[s] else int(filled[i] - filled[at])
+                    if i < len(lengths):
+                        line = text[i].as_py()
+                        for s in (0, 1):
+                            numbers[s] += 0 if states[s] else 1
+                            states[s] = rule.after(line, states[s])
+                    at = i + 1
+        if place is not None:
+            yield summary()
+
+    return lines.mapInArrow(reduced, f"{FILE} string, {BLOCK} bigint, _size bigint, _lines bigint, _shut int, _opened int, _starts0 bigint, _starts1 bigint")
+
+
+def _open_before(before: WindowSpec) -> Column:
+    """The state before each block of a file, from what every block makes of either state.
+
+    A block after which the state does not depend on that before resets it; since the last such
+    block only those that turn the state around count.
     """
-    q, d = re.escape(spec.quote), re.escape(spec.delimiter)
-    inside = f"(?:[^{q}]++|{q}{q})*+"
+    turned = F.coalesce(F.sum((F.col("_shut") > F.col("_opened")).cast("int")).over(before), F.lit(0))
+    reset = F.last(F.when(F.col("_shut") == F.col("_opened"), F.struct(F.col("_turned").alias("turned"), F.col("_shut").alias("state"))), ignorenulls=True).over(before)
+    return (F.coalesce(reset["state"], F.lit(0)) + turned - F.coalesce(reset["turned"], F.lit(0))) % 2
 
-    def left_open(line: Column) -> Column:
-        # Closed fields go first, and what else stands in a field that does not begin with a quote.
-        rest = F.regexp_replace(line, f"(^|{d}){q}{inside}{q}(?!{q})[^{d}]*", "$1")
-        return rest.rlike(f"(^|{d}){q}{inside}$")
-
-    closes = text.rlike(f"^{inside}{q}(?!{q})")
-    after = F.regexp_replace(text, f"^{inside}{q}(?!{q})[^{d}]*", "")
-    quoted = F.contains(text, F.lit(spec.quote))
-    return (F.when(quoted, left_open(text)).otherwise(False).cast("int"),
-            F.when(quoted & closes, (after != "") & left_open(after)).otherwise(True).cast("int"))
-
-
-def _open_before(shut: str, opened: str, start: Column, before: WindowSpec) -> Column:
-    """The state before each row of an ordered window, from what every row makes of either state.
-
-    A row of which the state after does not depend on that before resets it; since the last such
-    row only those that turn the state around count.
-    """
-    turns = (F.col(shut) > F.col(opened)).cast("int")
-    turned = F.coalesce(F.sum(turns).over(before), F.lit(0))
-    reset = F.last(F.when(F.col(shut) == F.col(opened), F.struct(F.col("_turned").alias("turned"), F.col(shut).alias("state"))), ignorenulls=True).over(before)
-    return (F.coalesce(reset["state"], start) + turned - F.coalesce(reset["turned"], F.lit(0))) % 2
 
+def _blocks(lines: DataFrame, spec: TableSpec) -> DataFrame:
+    """For every block: whether it begins and ends inside a quoted field, how many records begin before it, and
+    whether the record that it continues is too long already."""
+    by_file = Window.partitionBy(FILE).orderBy(BLOCK)
+    earlier, up_to = by_file.rowsBetween(Window.unboundedPreceding, -1), by_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = F.when(F.col("_carry") == 0, F.col("_starts0")).otherwise(F.col("_starts1"))
+    total = F.sum("_size").over(up_to)
+    return (
+        _summaries(lines, spec)
+        .withColumn("_turned", F.sum((F.col("_shut") > F.col("_opened")).cast("int")).over(up_to))
+        .withColumn("_carry", _open_before(earlier))
+        .withColumn("_base", F.coalesce(F.sum(starts).over(earlier), F.lit(0)))
+        .withColumn("_before", F.last(F.when(starts > 0, total - F.col("_size")), ignorenulls=True).over(earlier))
+        .select(FILE, BLOCK, (F.col("_carry") == 1).alias("_carry"), "_base",
+                (F.when(F.col("_carry") == 0, F.col("_shut")).otherwise(F.col("_opened")) == 1).alias("_ends_open"),
+                F.coalesce(total - F.col("_size") - F.col("_before") > MOST_RECORD, F.lit(False)).alias("_too_long"))
+    )
 
-def _divided(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> DataFrame:
-    """Rows of files whose fields may hold line breaks, read block by block.
 
-    A line starts a record where no quoted field is open. Each block counts its record starts for
-    both states that may come before it; a table with one row per block then settles which holds and
-    which record a block's first lines continue. Lines that are whole records are parsed where
-    they are; only the lines of records that span several are brought together.
+def _row_schema(spec: TableSpec) -> str:
+    return ", ".join(f"`{c}` string" for c in (*spec.columns, CORRUPT, FILE)) + f", {BLOCK} bigint, {LINE} bigint"
+
+
+class _Parser:
+    """Records of one table as rows; a row that does not have all columns comes with its raw text."""
+
+    def __init__(self, columns: list[str], delimiter: str, quote: str):
+        self.columns, self.delimiter, self.quote = columns, delimiter, quote
+        csv.field_size_limit(FIELD_LIMIT)
+
+    def rows(self, texts: list[str], file: list[str], block: list[int], number: list[int], cut: list[bool] | None = None) -> pa.RecordBatch:
+        width, fields, corrupt = len(self.columns), [], []
+        whole = csv.reader(texts, delimiter=self.delimiter, quotechar=self.quote) if cut is None else \
+            (next(csv.reader([t], delimiter=self.delimiter, quotechar=self.quote)) for t in texts)
+        for i, (found, text) in enumerate(zip(whole, texts, strict=True)):
+            corrupt.append(text if len(found) != width or (cut and cut[i]) else None)
+            fields.append(found[:width] + [""] * (width - len(found)))
+        listed = list(zip(*fields)) if fields else [[]] * width
+        arrays = [pa.array(c, pa.string()) for c in (*listed, corrupt, file)] + [pa.array(c, pa.int64()) for c in (block, number)]
+        return pa.RecordBatch.from_arrays(arrays, names=[*self.columns, CORRUPT, FILE, BLOCK, LINE])
+
+
+class _Records:
+    """Puts lines together to records, with the number of each in its file."""
+
+    def __init__(self, rule: QuoteRule, quote: str, is_open: bool = False, number: int = 0, too_long: bool = False):
+        self.rule, self.quote, self.is_open, self.number, self.held = rule, quote, is_open, number, []
+        self.continues, self.too_long = is_open, too_long
+
+    def add(self, text: pa.Array) -> Iterator[tuple[str, int, bool]]:
+        """Records that end within ``text``, with their numbers and whether they began before the first line."""
+        for line, quoted in zip(text.to_pylist(), pc.match_substring(text, self.quote).to_pylist()):
+            if not self.is_open and not line:
+                continue
+            self.number += 0 if self.is_open else 1
+            self.is_open = self.rule.after(line, self.is_open) if quoted else self.is_open
+            self.held.append(line)
+            if not self.is_open:
+                yield from self.rest()
+                self.held, self.continues = [], False
+
+    def rest(self) -> Iterator[tuple[str, int, bool]]:
+        """What is held now; not what belongs to a record that is too long already."""
+        if self.held and not (self.continues and self.too_long):
+            yield "\n".join(self.held), self.number, self.continues
+
+
+def _without_mark(text: str, number: int) -> str:
+    """A byte-order mark before the first record is not text."""
+    return text.removeprefix("\ufeff") if number == 1 else text
+
+
+def _all(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> DataFrame:
+    lines = _lines(spark, path, spec)
+    # A few numbers per block, settled once and for all.
+    blocks = cut_lineage(_blocks(lines, spec))
+    count, spans = blocks.agg(F.count("*"), F.coalesce(F.max("_ends_open"), F.lit(False))).first()
+    known = lines.join(F.broadcast(blocks) if count <= MOST_BLOCKS else blocks, [FILE, BLOCK]).select(
+        FILE, BLOCK, "_text", "_carry", "_base", "_too_long")
+    columns, delimiter, quote = list(spec.columns), spec.delimiter, spec.quote
+
+    def records(batches: Iterator[pa.RecordBatch], spanning: bool) -> Iterator[tuple[str, int, list[tuple[str, int, bool]]]]:
+        """Per stretch of a block: its records, or the pieces of those that reach over its ends."""
+        rule, place, held = QuoteRule(delimiter, quote), None, None
+        for batch in batches:
+            for file, block, part in _parts(batch):
+                if (file, block) != place:
+                    if held is not None and spanning:
+                        yield *place, list(held.rest())
+                    place, held = (file, block), _Records(rule, quote, *(part[c][0].as_py() for c in ("_carry", "_base", "_too_long")))
+                yield file, block, [r for r in held.add(part["_text"]) if r[2] == spanning]
+        if held is not None and spanning:
+            yield *place, list(held.rest())
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _Parser(columns, delimiter, quote)
+        for file, block, found in records(batches, False):
+            found = [(_without_mark(t, n), n) for t, n, _ in found if not (header and n == 1)]
+            if found:
+                yield parser.rows([t for t, _ in found], [file] * len(found), [block] * len(found), [n for _, n in found])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, block, found in records(batches, True):
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file] * len(found), pa.string()), pa.array([block] * len(found), pa.int64()),
+                     pa.array([n for _, n, _ in found], pa.int64()), pa.array([t for t, *_ in found], pa.string())], names=[FILE, BLOCK, LINE, "_text"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _Parser(columns, delimiter, quote)
+        for batch in batches:
+            numbers = batch[LINE].to_pylist()
+            texts = [_without_mark(t, n) for t, n in zip(batch["_text"].to_pylist(), numbers)]
+            yield parser.rows(texts, batch[FILE].to_pylist(), batch[BLOCK].to_pylist(), numbers, batch["_cut"].to_pylist())
+
+    rows = known.mapInArrow(parsed, _row_schema(spec))
+    if not spans:
+        return rows
+    # A file's last record counts as one that reaches over an end if its quote is never closed.
+    reaching = known.mapInArrow(pieces, f"{FILE} string, {BLOCK} bigint, {LINE} bigint, _text string")
+    together = reaching.groupBy(FILE, LINE).agg(F.sort_array(F.collect_list(F.struct(BLOCK, "_text"))).alias("_parts"))
+    long = blocks.where("_too_long and _carry").select(FILE, F.col("_base").alias(LINE)).distinct().withColumn("_cut", F.lit(True))
+    together = together.join(long, [FILE, LINE], "left").select(
+        FILE, F.col("_parts")[0][BLOCK].alias(BLOCK), LINE, F.array_join("_parts._text", "\n").alias("_text"), F.coalesce("_cut", F.lit(False)).alias("_cut"))
+    together = together.where(F.col(LINE) > 1) if header else together
+    return rows.unionByName(together.mapInArrow(joined, _row_schema(spec)))
+
+
+def _first(spark: SparkSession, path: str, spec: TableSpec, header: bool, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each file.
+
+    Of every file so many first lines are taken as there are rows wanted, then more where these hold too few records. Spark
+    stops reading a file at the last line that is taken. Files are looked at some at a time, each by a task of its own.
     """
-    raw = _matching(spark.read.option("lineSep", "\n"), path, spec).text(path)
-    value = F.col("value") if spec.encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), spec.encoding)
-    lines = raw.select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
-                       F.monotonically_increasing_id().alias(LINE), value.alias("_text"))
-    after_shut, after_open = _quote_states(F.col("_text"), spec)
-    # A group is one block of the file system, so its size is bounded.
-    block = Window.partitionBy(FILE, BLOCK).orderBy(LINE)
-    so_far = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = block.rowsBetween(Window.unboundedPreceding, -1)
-    turns = F.sum((F.col("_shut") > F.col("_opened")).cast("int"))
-    counted = lines.withColumn("_shut", after_shut).withColumn("_opened", after_open).withColumn("_turned", turns.over(so_far))
-    for start in (0, 1):
-        state = F.col(f"_state{start}")
-        counted = (
-            counted.withColumn(f"_state{start}", _open_before("_shut", "_opened", F.lit(start), before))
-            .withColumn(f"_number{start}", F.count_if(state == 0).over(so_far))
-            .withColumn(f"_end{start}", F.when(state == 0, F.col("_shut")).otherwise(F.col("_opened")))
-        )
-    # One row for each block.
-    earlier = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    up_to = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = F.when(F.col("_carry") == 0, F.col("_starts0")).otherwise(F.col("_starts1"))
-    blocks = (
-        counted.groupBy(FILE, BLOCK)
-        .agg(*[F.max_by(f"_end{s}", LINE).alias(name) for s, name in ((0, "_shut"), (1, "_opened"))],
-             *[F.max(f"_number{s}").alias(f"_starts{s}") for s in (0, 1)])
-        .withColumn("_turned", turns.over(up_to))
-        .withColumn("_carry", _open_before("_shut", "_opened", F.lit(0), earlier))
-        .withColumn("_last", F.when(starts > 0, F.struct(F.col(BLOCK).alias("block"), starts.alias("record"))))
-        .withColumn("_before", F.last("_last", ignorenulls=True).over(earlier))
-        .select(FILE, BLOCK, "_carry", "_before")
-    )
-    held = lambda name: F.when(F.col("_carry") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
-    placed = counted.join(blocks, [FILE, BLOCK]).select(
-        FILE, BLOCK, LINE, "_text", "_shut", (held("_state") == 0).alias("_starts"), held("_number").alias("_number"), "_before",
-    ).select(
-        FILE, BLOCK, LINE, "_text", (F.col("_starts") & (F.col("_shut") == 0)).alias("_whole"),
-        F.when(F.col("_number") > 0, F.col(BLOCK)).otherwise(F.col("_before.block")).alias("_block"),
-        F.when(F.col("_number") > 0, F.col("_number")).otherwise(F.col("_before.record")).alias("_record"),
-    )
-    spanning = placed.where(~F.col("_whole")).groupBy(FILE, "_block", "_record").agg(
-        F.sort_array(F.collect_list(F.struct(BLOCK, LINE, "_text"))).alias("_parts"))
-    records = placed.where("_whole").select(FILE, BLOCK, LINE, "_text", "_block", "_record").unionByName(spanning.select(
-        FILE, F.col("_parts")[0][BLOCK].alias(BLOCK), F.col("_parts")[0][LINE].alias(LINE),
-        F.array_join("_parts._text", "\n").alias("_text"), "_block", "_record"))
-    first = (F.col("_block") == 0) & (F.col("_record") == 1)
-    if header:
-        records = records.where(~first)
-    text = F.regexp_replace(F.when(first, F.regexp_replace("_text", "^\ufeff", "")).otherwise(F.col("_text")), "\r\\z", "")
-    parsed = F.from_csv("_text", _schema(spec).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
-                        {k: str(v).lower() if isinstance(v, bool) else v for k, v in _options(spec).items()})
-    return records.withColumn("_text", text).where(F.col("_text") != "").select(FILE, BLOCK, LINE, parsed.alias("_row")) \
-        .select("_row.*", FILE, BLOCK, LINE)
+    listing = _matching(spark.read.format("binaryFile"), path, spec).load(path)
+    sizes = {r[FILE]: (r.path, r.length) for r in listing.select(F.col("_metadata.file_path").alias(FILE), "path", "length").collect()}
+    wanted, columns, delimiter, quote = limit + int(header), list(spec.columns), spec.delimiter, spec.quote
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser, place, held, left = _Parser(columns, delimiter, quote), None, None, limit
+
+        def rows(found: list[tuple[str, int, bool]], cut: list[bool] | None = None) -> pa.RecordBatch:
+            nonlocal left
+            found = [(_without_mark(t, n), n) for t, n, _ in found if not (header and n == 1)][:left]
+            left -= len(found)
+            return parser.rows([t for t, _ in found], [place] * len(found), [0] * len(found), [n for _, n in found], cut)
+
+        for batch in batches:
+            for file, block, part in _parts(batch):
+                if file != place:
+                    if held is not None:
+                        yield rows(list(held.rest()), [])
+                    place, held, left = file, _Records(QuoteRule(delimiter, quote), quote), limit
+                if block:
+                    raise ValueError(f"{file} was divided")
+                if left > 0:
+                    yield rows(list(held.add(part["_text"])))
+        if held is not None:
+            yield rows(list(held.rest()), [])
+
+    def beginnings(lines: dict[str, int]) -> DataFrame:
+        numbered = [_lines(spark, sizes[file][0], spec).withColumn("_at", F.monotonically_increasing_id()).limit(n) for file, n in lines.items()]
+        return reduce(DataFrame.unionByName, [part.sortWithinPartitions("_at").drop("_at") for part in numbered])
+
+    names, found = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"), []
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        # No file is divided.
+        for name in names:
+            spark.conf.set(name, str(max((size for _, size in sizes.values()), default=0) + 1))
+        files = sorted(sizes)
+        for i in range(0, len(files), FILES_AT_ONCE):
+            lines = dict.fromkeys(files[i:i + FILES_AT_ONCE], wanted)
+            short = lines
+            while short:
+                # Files that end before their last line asked for are read whole.
+                whole = {r[FILE]: r["_starts0"] - r["_shut"] for r in _summaries(beginnings(short), spec).collect() if r["_lines"] == lines[r[FILE]]}
+                short = {file: 2 * lines[file] * wanted // max(1, n) for file, n in whole.items() if n < wanted}
+                lines |= short
+            found.append(cut_lineage(beginnings(lines).mapInArrow(parsed, _row_schema(spec))))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _row_schema(spec))
 
 
 def read_plain(spark: SparkSession, path: str, columns: list[str], delimiter: str = "|", quote: str = '"',

@@ -1,5 +1,8 @@
 import codecs
+import csv
+import io
 import random
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,39 +43,103 @@ def test_read_table_edges(spark, tmp_path):
     assert limited.count() == 6
 
 
-def test_divided_files_equal_whole_files(spark, tmp_path):
-    rnd = random.Random(2)
-    rows = []
-    for i in range(900):
-        field = "".join(rnd.choice(['a', 'é', ' ', '"', "|", "\n", "\r\n", "word", ""]) for _ in range(rnd.randint(0, 60)))
-        if i % 150 == 7:
-            field = "long\n" * 2000
-        rows.append((f"{i:032d}", str(i), field))
-
-    def cell(x):
-        return '"' + x.replace('"', '""') + '"' if any(c in x for c in '"|\n\r') else x
-
-    for name, end, part in (("a_Notes.csv", "\n", rows[:600]), ("b_Notes.csv", "\r\n", rows[600:])):
-        body = end.join(["STUDY_PAT_ID|D|T", *["|".join(map(cell, r)) for r in part], "", "shortrow|x"]) + end
-        (tmp_path / name).write_bytes(codecs.BOM_UTF8 + body.encode())
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+@contextmanager
+def blocks_of(spark, size):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
-        spark.conf.set("spark.sql.files.openCostInBytes", "0")
-        got = delimited.read_table(spark, str(tmp_path), SPEC, report=True, divide=True)
-        assert got.select("_file").rdd.getNumPartitions() > 0
-        assert sorted(map(tuple, got.where("_corrupt is null").select(*SPEC.columns).collect())) == sorted(rows)
-        assert [tuple(r) for r in got.where("_corrupt is not null").select(*SPEC.columns).collect()] == [("shortrow", "x", "")] * 2
-        limited = delimited.read_table(spark, str(tmp_path), SPEC, limit=450, divide=True)
-        assert sorted(int(r.D) for r in limited.where("D <> 'x'").collect()) == [*range(450), *range(600, 900)]
+        spark.conf.set(names[0], str(size))
+        spark.conf.set(names[1], "0")
+        yield
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
-        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
-    whole = delimited.read_table(spark, str(tmp_path), SPEC, divide=False)
-    assert whole.count() == 902
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+
+
+def sequential(path, encoding="utf-8-sig"):
+    """The rows of one file by the rule, header left out, as (fields, whether malformed)."""
+    text = path.read_bytes().decode(encoding).replace("\r\n", "\n").replace("\r", "\n")
+    found = [r for r in csv.reader(io.StringIO(text.removesuffix("\n"), newline="\n"), delimiter="|") if r][1:]
+    return sorted(((r + ["", "", ""])[:3], len(r) != 3) for r in found)
+
+
+def read(spark, path):
+    rows = delimited.read_table(spark, str(path), SPEC, report=True).collect()
+    return sorted(([r[c] for c in SPEC.columns], r._corrupt is not None) for r in rows)
+
+
+@pytest.mark.parametrize("end,size", [("\n", 7), ("\r\n", 20), ("\r", 41), *((e, n) for e in ("\n", "\r\n", "\r") for n in (3000, 1 << 27))])
+def test_rows_do_not_depend_on_blocks(spark, tmp_path, end, size):
+    rnd = random.Random(size)
+    cell = lambda x: '"' + x.replace('"', '""') + '"' if any(c in x for c in '"|\n\r') else x
+    lines = []
+    for i in range(400 if size > 100 else 40):
+        field = "".join(rnd.choice(["a", "é", " ", '"', "|", "\n", "\r\n", "\r", "word", ""]) for _ in range(rnd.randint(0, 30)))
+        lines.append("|".join((f"{i:032d}", str(i), cell("long\n" * 500 if i % 150 == 7 and size > 100 else field))))
+        if i % 9 == 0:
+            lines += ["", "short|x", '5" stray|in"|z"', '"closed" after|q"|"', 'more"', "extra|b|c|d"]
+    files = {"a": end.join(lines), "b": end.join([*lines, "last|x|"]) + end, "c": end.join([*lines, 'x|y|"open', "to|the|end"]) + end,
+             "d": "", "e": "h|h|h", "f": 'h|h|h\n"only', "g": end * 5}
+    for name, body in files.items():
+        head = "" if name in "defg" else "STUDY_PAT_ID|D|T" + end
+        (tmp_path / f"{name}_Notes.csv").write_bytes((codecs.BOM_UTF8 if name in "ab" else b"") + (head + body).encode())
+    with blocks_of(spark, size):
+        got = read(spark, tmp_path)
+    assert got == sorted(r for name in files for r in sequential(tmp_path / f"{name}_Notes.csv"))
+
+
+def test_whole_records_stay_in_place(spark, tmp_path):
+    (tmp_path / "a_Notes.csv").write_text("h|h|h\n" + "".join(f"{i}|x|plain {i}\n" for i in range(3000)))
+    with blocks_of(spark, 2000):
+        rows = delimited.read_table(spark, str(tmp_path), SPEC)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+        assert rows.count() == 3000
+        (tmp_path / "a_Notes.csv").write_text("h|h|h\n" + "".join(f'{i}|x|"plain\n{i}"\n' for i in range(3000)))
+        rows = delimited.read_table(spark, str(tmp_path), SPEC)
+        moved = [m for m in (rows._jdf.queryExecution().analyzed().toString()).splitlines() if "collect_list" in m]
+        assert moved and rows.count() == 3000 and rows.where("T not like 'plain\n%'").count() == 0
+
+
+def test_too_long_records_are_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delimited, "MOST_RECORD", 100)
+    (tmp_path / "a_Notes.csv").write_text("h|h|h\n1|a|b\n2|a|\"" + "never closed\n" * 200)
+    (tmp_path / "b_Notes.csv").write_text("h|h|h\n3|a|\"" + "much text\n" * 60 + '"\n4|a|"two\nlines"\n5|a|b\n')
+    with blocks_of(spark, 50):
+        rows = {r[0]: r for r in delimited.read_table(spark, str(tmp_path), SPEC, report=True).collect()}
+    assert sorted(rows) == list("12345") and {k for k, r in rows.items() if r._corrupt} == {"2", "3"}
+    assert rows["4"].T == "two\nlines" and 50 <= len(rows["2"].T) <= 300
+
+
+def bytes_read(spark):
+    return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+def test_limit_reads_no_further(spark, tmp_path):
+    amounts = {}
+    for name, rows in (("small", 30_000), ("large", 600_000)):
+        folder = tmp_path / f"{name} é"
+        folder.mkdir()
+        for f in "xy":
+            (folder / f"{f}_Notes.csv").write_text("h|h|h\n" + "".join(f'{f}{i}|"d\n{i}"|text of some length to fill the line\n' for i in range(rows)))
+        before = bytes_read(spark)
+        with blocks_of(spark, 1 << 16):
+            got = delimited.read_table(spark, str(folder), SPEC, limit=300)
+        amounts[name] = bytes_read(spark) - before
+        assert sorted(r[0] for r in got.collect()) == sorted(f"{f}{i}" for f in "xy" for i in range(300))
+        assert {r.D for r in got.collect()} == {f"d\n{i}" for i in range(300)}
+    assert amounts["large"] < 1.5 * amounts["small"] and amounts["large"] < (tmp_path / "large é" / "x_Notes.csv").stat().st_size / 3
+    assert delimited.read_table(spark, str(tmp_path / "small é"), SPEC, limit=10**6).count() == 60_000
+
+
+def test_encodings(spark, tmp_path):
     latin = catalog.TableSpec("L", ("STUDY_PAT_ID", "T"), (32, 10), encoding="ISO-8859-1")
     (tmp_path / "L.csv").write_bytes('STUDY_PAT_ID|T\np|"ca\nfé"\n'.encode("latin-1"))
-    assert delimited.read_table(spark, str(tmp_path / "L.csv"), latin, divide=True).first().T == "ca\nfé"
+    assert delimited.read_table(spark, str(tmp_path / "L.csv"), latin).first().T == "ca\nfé"
+    (tmp_path / "B_Notes.csv").write_bytes(b"h|h|h\n1|2|a\xff\xfeb\n2|3|c\n")
+    assert [r.T for r in delimited.read_table(spark, str(tmp_path / "B_Notes.csv"), SPEC).orderBy("STUDY_PAT_ID").collect()] == ["a��b", "c"]
+    with pytest.raises(ValueError):
+        delimited.read_table(spark, str(tmp_path / "L.csv"), catalog.TableSpec("L", ("a",), (1,), encoding="UTF-16"))
 
 
 def test_latin1_and_header(spark, tmp_path):
@@ -109,21 +176,6 @@ def test_write_read_and_store(spark, tmp_path):
     assert not store.exists(spark, path)
 
 
-def test_stray_quotes(spark, tmp_path):
-    """A quote inside a field that does not begin with one is text, however the file is read."""
-    lines = ['1|5" tall|a', '2|x|"b""c"', '3|"two', 'lines|in"|z', '4|q"|"', 'w"', '5|"closed" after|t', '6|"a|b"|"c""', 'd"', '7|y|z']
-    (tmp_path / "s_Notes.csv").write_text("\n".join(["STUDY_PAT_ID|D|T", *lines]) + "\n")
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "20")
-        spark.conf.set("spark.sql.files.openCostInBytes", "0")
-        forms = [sorted(map(tuple, delimited.read_table(spark, str(tmp_path), SPEC, divide=d).collect())) for d in (True, False)]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
-        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
-    assert forms[0] == forms[1] and [r[0] for r in forms[0]] == [str(i) for i in range(1, 8)]
-
-
 def _world(folder):
     """Two small source tables in the declared layouts."""
     rnd = random.Random(11)

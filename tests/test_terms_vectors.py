@@ -130,7 +130,7 @@ def test_topics_against_numpy(spark):
     a = rng.random((70, 12)) * (rng.random((70, 12)) < 0.5)
     cells = [("s", 1.0, f"p{i}", j, float(a[i, j])) for i in range(70) for j in range(12) if a[i, j]]
     weights = spark.createDataFrame(cells, "scope string, odds double, pid string, term_id int, w double")
-    basis, values = lsi.fit_topics(weights.select("pid", "term_id", "w"), 12, 5)
+    basis, values = lsi.fit_topics(weights.select("pid", "term_id", "w"), 5)
     v = np.zeros((12, 5))
     for r in basis.collect():
         v[r.term_id, r.topic] = r.v

@@ -192,7 +192,8 @@ ORACLE: dict[str, str] = {
         length(text)::BIGINT AS n_chars, text FROM documents WHERE doc_id::VARCHAR = '7'""",
     "training_scan": f"""SELECT pid, o_orderkey, b::INTEGER AS bucket FROM (SELECT o_custkey::VARCHAR AS pid, o_orderkey, o_orderstatus,
         {bucket('o_custkey::VARCHAR')} AS b FROM orders) WHERE b < 8000 AND o_orderstatus = 'F'""",
-    "row_limit": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 500",
+    "row_limit": """SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus FROM
+        (SELECT *, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 500""",
     "id_quality": "SELECT count(*) AS num_rows, count(*) FILTER (length(doc_id::VARCHAR) <> 3) AS bad_ids FROM documents",
     "patient_index": "SELECT o_custkey::VARCHAR AS pid, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no FROM orders",
     "patient_list": """SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS position FROM
@@ -203,6 +204,12 @@ ORACLE: dict[str, str] = {
     "ingest_roundtrip": "SELECT conv_id::VARCHAR AS pid, turn::VARCHAR AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations",
     "divided_ingest": """SELECT conv_id::VARCHAR AS pid, turn::VARCHAR AS turn, coalesce(role, '') AS role,
         '"' || chr(10) || '|' || coalesce(text, '') AS text FROM conversations""",
+    "return_ingest": "SELECT conv_id::VARCHAR AS pid, turn::VARCHAR AS turn, coalesce(text, '') || chr(10) AS text FROM conversations",
+    "unclosed_quote_ingest": """WITH r AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 7 = 0),
+        q AS (SELECT min(k) AS q FROM r WHERE k % 16 = 0 AND k > 100)
+        SELECT k::VARCHAR AS o_orderkey, 1 AS n_rest, 0 AS n_lines FROM r, q WHERE k % 16 <> 0 OR k < q
+        UNION ALL SELECT any_value(q)::VARCHAR, (sum(length(chr(10) || k::VARCHAR || '|' || s)) - any_value(length(chr(10) || q::VARCHAR || '|')))::INTEGER,
+        count(*)::INTEGER - 1 FROM r, q WHERE k % 16 = 0 AND k >= q""",
     "stray_quote_ingest": """SELECT p_partkey::VARCHAR AS pid, p_size || '" ' || p_type AS size, 'a|"' || p_name AS name FROM part""",
     "count_list_roundtrip": "SELECT l_shipdate::DATE::VARCHAR AS token, count(*) AS cnt FROM lineitem GROUP BY 1",
     "tokenize": f"""SELECT doc_id, len(w)::INTEGER AS n_tokens, array_to_string(w, ' ') AS tokens
@@ -244,6 +251,8 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (o_orderstatus = 'P') AS bad_dates FROM orders""",
     "lsi_checks": f"""WITH {vocab('3.5')} SELECT t::INTEGER AS topic, 1 AS norm_ok, 1 AS orthonormal
         FROM range(least({TOPICS}, (SELECT count(*) FROM vocab))) r(t)""",
+    "lsi_scopes": """SELECT f || g AS scope, t::INTEGER AS topic, 1 AS norm_ok, 1 AS orthonormal
+        FROM (SELECT unnest(['', 'far_']) AS f), (SELECT unnest(['everyone', 'english', 'other', 'long']) AS g), range(5) r(t)""",
     "learner_tests": f"""WITH t AS (SELECT label FROM embeddings WHERE {bucket('vec_id::VARCHAR')} >= 8000)
         SELECT m.model, {VECTOR_SIZE} AS num_columns, (SELECT count(*) FROM t WHERE label = 0) AS cases, (SELECT count(*) FROM t WHERE label <> 0) AS controls
         FROM (SELECT unnest(['logistic10', 'svm10']) AS model) m""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -92,10 +93,29 @@ def training_scan(spark, sf):
     return store.read_split(spark, path, ["pid", "o_orderkey", "bucket"], F.col("o_orderstatus") == "F", training_only=True)
 
 
+@contextmanager
+def in_blocks_of(spark, size):
+    """Files are divided into blocks of ``size`` bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.conf.set(names[0], str(size))
+        spark.conf.set(names[1], "0")
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 @query
 def row_limit(spark, sf):
-    orders = quality.with_file(table(spark, sf, "orders"))
-    return quality.limit_per_file(orders, 500, [F.asc("o_orderkey")]).select("o_orderkey", "o_custkey", "o_orderstatus")
+    """The first rows of each of eight files."""
+    spec = TableSpec("Orders", ("o_orderkey", "o_custkey", "o_orderstatus"), (32, 32, 1), id="o_orderkey")
+    raw = scratch(spark, "raw")
+    rows = table(spark, sf, "orders").select("o_orderkey", as_id("o_custkey").alias("o_custkey"), "o_orderstatus")
+    dealt = rows.repartitionById(8, (F.col("o_orderkey") % 8).cast("int")).sortWithinPartitions("o_orderkey")
+    delimited.write_delimited(dealt, f"{raw}/Orders.csv", header=True)
+    return delimited.read_table(spark, f"{raw}/Orders.csv", spec, limit=500)
 
 
 @query
@@ -153,7 +173,20 @@ def divided_ingest(spark, sf):
     rows = table(spark, sf, "conversations").select(
         as_id("conv_id").alias("pid"), as_id("turn").alias("turn"), "role", F.concat(F.lit('"\n|'), F.coalesce("text", F.lit(""))).alias("text"))
     delimited.write_delimited(rows, f"{raw}/Notes.csv", header=True)
-    return delimited.read_table(spark, f"{raw}/Notes.csv", spec, divide=True)
+    with in_blocks_of(spark, 1 << 16):
+        return store.save(delimited.read_table(spark, f"{raw}/Notes.csv", spec), scratch(spark, "rows"))
+
+
+@query
+def return_ingest(spark, sf):
+    """Lines that end with carriage returns only, read block by block."""
+    spec = TableSpec("Notes", ("pid", "turn", "text"), (32, 8, 360_000), ("text",), "turn", id="pid")
+    raw = scratch(spark, "raw")
+    text = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('\n"'))
+    lines = table(spark, sf, "conversations").select(F.concat_ws("|", as_id("conv_id"), as_id("turn"), text).alias("value"))
+    lines.write.option("lineSep", "\r").text(f"{raw}/Notes.csv")
+    with in_blocks_of(spark, 1 << 16):
+        return store.save(delimited.read_table(spark, f"{raw}/Notes.csv", spec, header=False), scratch(spark, "rows"))
 
 
 @query
@@ -164,7 +197,23 @@ def stray_quote_ingest(spark, sf):
     lines = table(spark, sf, "part").select(F.concat_ws(
         "|", as_id("p_partkey"), F.concat(F.col("p_size").cast("string"), F.lit('" '), "p_type"), F.concat(F.lit('"a|""'), "p_name", F.lit('"'))))
     lines.write.text(f"{raw}/Parts.csv")
-    return delimited.read_table(spark, f"{raw}/Parts.csv", spec, header=False, divide=True)
+    with in_blocks_of(spark, 1 << 14):
+        return store.save(delimited.read_table(spark, f"{raw}/Parts.csv", spec, header=False), scratch(spark, "rows"))
+
+
+@query
+def unclosed_quote_ingest(spark, sf):
+    """A quote that is never closed takes the rest of its file, all other files stay as they are."""
+    spec = TableSpec("Orders", ("o_orderkey", "rest"), (32, 1000), id="o_orderkey")
+    raw = scratch(spark, "raw")
+    rows = table(spark, sf, "orders").where("o_orderkey % 7 = 0")
+    opened = F.col("o_orderkey") == rows.where("o_orderkey % 16 = 0 and o_orderkey > 100").agg(F.min("o_orderkey")).first()[0]
+    lines = rows.select("o_orderkey", F.concat_ws("|", as_id("o_orderkey"), F.concat(F.when(opened, F.lit('"')).otherwise(F.lit("")), "o_orderstatus")).alias("value"))
+    placed = lines.repartitionById(16, (F.col("o_orderkey") % 16).cast("int")).sortWithinPartitions("o_orderkey").select("value")
+    placed.write.text(f"{raw}/Orders.csv")
+    with in_blocks_of(spark, 1 << 10):
+        found = store.save(delimited.read_table(spark, f"{raw}/Orders.csv", spec, header=False), scratch(spark, "rows"))
+    return found.select("o_orderkey", F.length("rest").alias("n_rest"), F.regexp_count("rest", F.lit("\n")).alias("n_lines"))
 
 
 @query
@@ -366,8 +415,8 @@ def vector_gaps(spark, sf):
 
 def fitted(spark, sf):
     vocab, weights = weights_of(spark, sf)
-    n = vocab.count()
-    basis, values = lsi.fit_topics(terms.training(weights.select("pid", "term_id", "w")), n, TOPICS)
+    weights = store.save(weights, scratch(spark, "weights"))
+    basis, values = lsi.fit_topics(terms.training(weights.select("pid", "term_id", "w")), TOPICS)
     return vocab, weights, basis, values
 
 
@@ -376,22 +425,40 @@ def lsi_topics(spark, sf):
     return fitted(spark, sf)[3]
 
 
-@query
-def lsi_checks(spark, sf):
+def topic_checks(train, basis, values, keys=()):
     """For every fitted topic: whether the matrix stretches it by its singular value, and whether the
     topics are orthonormal."""
-    _, weights, basis, values = fitted(spark, sf)
-    train = terms.training(weights.select("pid", "term_id", "w"))
-    stretched = train.join(basis, "term_id").groupBy("pid", "topic").agg(F.sum(F.col("w") * F.col("v")).alias("y")) \
-        .groupBy("topic").agg(F.sum(F.col("y") * F.col("y")).alias("norm"))
-    other = basis.select("term_id", F.col("topic").alias("_t"), F.col("v").alias("_v"))
-    inner = basis.join(other, "term_id").groupBy("topic", "_t").agg(F.sum(F.col("v") * F.col("_v")).alias("p")) \
-        .groupBy("topic").agg(F.max(F.abs(F.col("p") - (F.col("topic") == F.col("_t")).cast("int"))).alias("off"))
-    return values.join(stretched, "topic").join(inner, "topic").select(
-        "topic", (F.abs(F.col("norm") - F.col("s") * F.col("s")) <= 1e-6 * (1 + F.col("norm"))).cast("int").alias("norm_ok"),
+    topic = [*keys, "topic"]
+    stretched = train.join(basis, [*keys, "term_id"]).groupBy(*topic, "pid").agg(F.sum(F.col("w") * F.col("v")).alias("y")) \
+        .groupBy(*topic).agg(F.sum(F.col("y") * F.col("y")).alias("norm"))
+    other = basis.select(*keys, "term_id", F.col("topic").alias("_t"), F.col("v").alias("_v"))
+    inner = basis.join(other, [*keys, "term_id"]).groupBy(*topic, "_t").agg(F.sum(F.col("v") * F.col("_v")).alias("p")) \
+        .groupBy(*topic).agg(F.max(F.abs(F.col("p") - (F.col("topic") == F.col("_t")).cast("int"))).alias("off"))
+    return values.join(stretched, topic).join(inner, topic).select(
+        *topic, (F.abs(F.col("norm") - F.col("s") * F.col("s")) <= 1e-6 * (1 + F.col("norm"))).cast("int").alias("norm_ok"),
         (F.col("off") <= 1e-6).cast("int").alias("orthonormal"))
 
 
+@query
+def lsi_checks(spark, sf):
+    _, weights, basis, values = fitted(spark, sf)
+    return topic_checks(terms.training(weights.select("pid", "term_id", "w")), basis, values)
+
+
+@query
+def lsi_scopes(spark, sf):
+    """Eight scopes fitted in the same jobs."""
+    _, weights = weights_of(spark, sf)
+    docs = table(spark, sf, "documents")
+    groups = {"everyone": F.lit(True), "english": F.col("lang") == "en", "other": F.col("lang") != "en", "long": F.col("n_chars") >= 1000}
+    names = [F.when(cond & (F.col("source") != "src0" if far else F.lit(True)), F.lit(f"{'far_' if far else ''}{name}"))
+             for name, cond in groups.items() for far in (False, True)]
+    scopes = docs.select(as_id("doc_id").alias("pid"), F.explode(F.array_compact(F.array(*names))).alias("scope"))
+    train = store.save(terms.training(weights.select("pid", "term_id", "w")).join(scopes, "pid").select("scope", "pid", "term_id", "w"), scratch(spark, "weights"))
+    basis, values = lsi.fit_all_topics(train, 5, ("scope",))
+    return topic_checks(train, basis, values, ("scope",))
+
+
 @query
 def topic_terms(spark, sf):
     vocab, _, basis, _ = fitted(spark, sf)
