@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortlens.session import work_folder
 
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a step is written: shuffle files go when it ends, and Python workers get texts a few megabytes at a time.
+STEP_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+ROW_GROUP_BYTES = 16 << 20
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -20,12 +22,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    before = {name: spark.conf.get(name, None) for name in STEP_SETTINGS}
+    for name, value in STEP_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     finally:
-        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,6 +42,16 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def apart(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` as one column ``row``, beside named ones: no name of its columns can clash with these."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def rejoined(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again from ``row``, some of them changed."""
+    return df.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def fold(key: Column, folds: int) -> Column:
     """The fold of a row: the CRC-32 of its id as text, modulo ``folds``."""
     return F.crc32(key.cast("string").cast("binary")) % folds
@@ -47,6 +61,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def words_and_end(text: Column) -> Column:
+    """Tokens of a text for weights and lengths: its words and an end mark; none if it is null or blank."""
+    n = F.regexp_count(text, F.lit(r"\S+"))
+    return F.when(n > 0, n + 1).otherwise(0)
+
+
 def least_by_hash(df: DataFrame, group: str, key: str, most: int) -> DataFrame:
     """At most about ``most`` rows (group, key) of each group, chosen by the hash of the key: a
     bounded sample that does not depend on row order. Groups of up to ``most`` rows come whole.

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import fold, least_by_hash, table
+from .common import apart, fold, least_by_hash, rejoined, table
 
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 30_000
@@ -209,10 +209,11 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = CAN_PASS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``least``; each row is judged where it lies.
 
-    The model learns from the labels of the same folds as the registered query.
+    The model learns from the labels of the same folds as the registered query. Columns stay as they are, whatever their names;
+    repeated rows are judged alike, an empty table stays empty.
     """
     model = learn(docs, labels.where(fold(F.col(key), 5) != 0), key, text)
-    return docs.withColumn("_quality", line_scores(model, F.col(text))).where(F.col("_quality.score") >= least).select(*docs.columns)
+    return rejoined(apart(docs, quality=line_scores(model, F.col(text))).where(F.col("quality.score") >= least), docs)
 
 
 QUERIES = {"op4_line_quality": op4_line_quality}

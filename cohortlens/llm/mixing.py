@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from .common import apart, rejoined, table, words_and_end
 
 ROUNDS = 200
 TOLERANCE = 1e-9
 MOST_CELLS = 200_000
 TEMPERATURE = 0.7
 KEEP = 0.8
+SEED = 17
+# Stands for null among the values of an axis.
+NULL = "\0null"
 TOPICS = ("tabular", "shouted", "quoted", "short", "prose")
 
 
@@ -69,33 +74,30 @@ def calibrated(ratio: np.ndarray, weights: np.ndarray, keep: float) -> np.ndarra
     return np.minimum(1.0, high * ratio)
 
 
-def mix(docs: DataFrame, axes: Mapping[str, Column], tokens: Column, targets: Mapping[str, Mapping[str, float]] | None = None,
-        key: str = "doc_id", keep: float = KEEP, seed: int = 17) -> DataFrame:
-    """The sampled rows of ``docs``, with their own columns.
-
-    Token counts by cell (one value of every axis) are raked to the target shares of each axis;
-    without targets an axis aims at tempered shares of its own counts. A cell's probability is its
-    raked over its given weight, scaled so that a share ``keep`` of all tokens is expected to stay and
-    held at 1. A document stays if the hash of its id falls below its probability, so
-    copies of an id stay or go together. Null values form a value of their own; the table of cells
-    is bounded by MOST_CELLS and a larger one raises.
+def chances(docs: DataFrame, axes: Mapping[str, Column], tokens: Column, targets: Mapping[str, Mapping[str, float]] | None = None,
+            key: str = "doc_id", keep: float = KEEP, seed: int = SEED) -> DataFrame:
+    """Every row of ``docs`` as ``row``, with its ``cell`` (the values of ``axes``), ``tokens``, ``probability`` and whether it is ``kept``.
+
+    Token counts by cell are raked to the target shares of each axis; without targets an axis aims at tempered shares of its own counts. A cell's
+    probability is its raked over its given weight, scaled so that a share ``keep`` of all tokens is expected to stay and
+    held at 1. A document is kept if the hash of its id falls below its probability, so
+    copies of an id stay or go together, as do all rows without an id in a cell. Null values form a value of their own; a row of no or null tokens counts as one token. The table of cells
+    is bounded by MOST_CELLS and a larger one raises. An empty table has no rows; columns of any name come back in ``row``.
     """
     names = list(axes)
-    cell = {f"_axis{i}": F.coalesce(axes[n].cast("string"), F.lit("\0null")) for i, n in enumerate(names)}
-    marked = docs.withColumns(cell)
     size = F.greatest(F.coalesce(tokens.cast("double"), F.lit(0.0)), F.lit(1.0))
-    counted = marked.groupBy(*cell).agg(F.sum(size).alias("w")).limit(MOST_CELLS + 1).collect()
+    cell = F.struct(*[F.coalesce(axes[n].cast("string"), F.lit(NULL)).alias(f"a{i}") for i, n in enumerate(names)])
+    marked = apart(docs, cell=cell, tokens=size, place=place(F.col(key), seed))
+    counted = marked.groupBy("cell").agg(F.sum("tokens").alias("w")).limit(MOST_CELLS + 1).collect()
     if len(counted) > MOST_CELLS:
         raise ValueError(f"more than {MOST_CELLS} cells of {names}")
-    if not counted:
-        return docs
-    values = [sorted({r[c] for r in counted}) for c in cell]
+    values = [sorted({r.cell[i] for r in counted}) for i in range(len(names))]
     if np.prod([len(v) for v in values], dtype=float) > 50 * MOST_CELLS:
         raise ValueError(f"the table of {names} is too large to rake")
     at = [{v: i for i, v in enumerate(vs)} for vs in values]
     table = np.zeros([len(v) for v in values])
     for r in counted:
-        table[tuple(a[r[c]] for a, c in zip(at, cell))] = r.w
+        table[tuple(a[v] for a, v in zip(at, r.cell))] = r.w
     goals = []
     for axis, (name, vs) in enumerate(zip(names, values)):
         given = (targets or {}).get(name)
@@ -105,7 +107,30 @@ def mix(docs: DataFrame, axes: Mapping[str, Column], tokens: Column, targets: Ma
         goals.append(np.array([given.get(v, 0.0) for v in vs]))
     ratio = np.divide(rake(table, goals), table, out=np.zeros_like(table), where=table > 0)
     chance = calibrated(ratio, table, keep)
-    rows = [(*(r[c] for c in cell), float(chance[tuple(a[r[c]] for a, c in zip(at, cell))])) for r in counted]
-    chances = docs.sparkSession.createDataFrame(rows, ", ".join([*(f"{c} string" for c in cell), "_p double"]))
-    place = F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    return marked.join(F.broadcast(chances), list(cell)).where(place < F.col("_p")).select(*docs.columns)
+    rows = [(tuple(r.cell), float(chance[tuple(a[v] for a, v in zip(at, r.cell))])) for r in counted]
+    known = docs.sparkSession.createDataFrame(rows, f"cell struct<{', '.join(f'a{i}: string' for i in range(len(names)))}>, probability double")
+    return marked.join(F.broadcast(known), "cell").select("row", "cell", "tokens", "probability", (F.col("place") < F.col("probability")).alias("kept"))
+
+
+def place(key: Column, seed: int) -> Column:
+    """A number from 0 to 1 for every id, from a digest of its text."""
+    digest = F.sha2(F.concat(F.coalesce(key.cast("string"), F.lit(NULL)), F.lit(f":{seed}")).cast("binary"), 256)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+
+
+def mix(docs: DataFrame, axes: Mapping[str, Column], tokens: Column, targets: Mapping[str, Mapping[str, float]] | None = None,
+        key: str = "doc_id", keep: float = KEEP, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that ``chances`` keeps, with their own columns."""
+    return rejoined(chances(docs, axes, tokens, targets, key, keep, seed).where("kept"), docs)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    axes = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(text)}
+    found = chances(table(spark, sf_dir, "documents"), axes, words_and_end(text))
+    return found.select("row.doc_id", "row.source", "row.lang", F.col("cell.a2").alias("topic"), F.col("tokens").cast("bigint").alias("n_tokens"),
+                        F.round("probability", 6).alias("probability"), "kept")
+
+
+QUERIES = {"op2_mixing": op2_mixing}
+ORACLE: dict[str, str] = {}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import rolling
-from .common import saved, table
+from .common import apart, rejoined, saved, table
 from .graph import components
 
 WORDS = 5
@@ -319,12 +319,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def keep_one_row(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Exactly one row of ``docs`` for each component, also where rows repeat an id or have none: the one
-    with the smallest id, then the smallest hash of its text. Rows without shingles all stay."""
-    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    place = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("digest"), F.col("_row").alias("row"))
-    least = near_duplicates(numbered, "_row", text).select("_row", "component_id").join(numbered.select("_row", place.alias("place")), "_row")
-    kept = least.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(docs.columns)
+    with the smallest id, then the smallest hash of its text. Rows without shingles all stay.
+
+    Where ids are unique, only ids travel besides what is compared. Else the rows are numbered in a copy of the table, as nothing else
+    tells them apart. No column of ``docs`` is touched, whatever its name; an empty table stays empty.
+    """
+    number = F.col(key).cast("bigint")
+    if docs.select(number.alias("id")).groupBy("id").count().where("id is null or count > 1").isEmpty():
+        dropped = near_duplicates(docs, key, text).where("not kept").select(F.col(key).alias("dropped"))
+        return rejoined(apart(docs, id=number).join(dropped, F.col("id") == F.col("dropped"), "left_anti"), docs)
+    numbered = saved(apart(docs, number=F.monotonically_increasing_id(), id=number, text=F.col(text)), "numbered")
+    place = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id"), F.xxhash64("text").alias("digest"), F.col("number").alias("own"))
+    least = near_duplicates(numbered, "number", "text").select("number", "component_id").join(numbered.select("number", place.alias("place")), "number")
+    kept = least.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.own").alias("number"))
+    return rejoined(numbered.join(kept, "number", "left_semi"), docs)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

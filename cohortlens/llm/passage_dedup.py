@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import rolling
-from .common import discard, saved, table
+from .common import apart, discard, rejoined, saved, table
 
 LENGTH = 200
 GRAM = 24
@@ -299,9 +299,9 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     def shortened(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else remaining(t.encode(), merged(list(s))).decode("utf-8", "ignore") for t, s in zip(texts, spans)])
 
-    spans = repeated_spans(docs, text).withColumnsRenamed({"digest": "_digest", "spans": "_spans"})
-    rows = docs.withColumn("_digest", digest(F.col(text))).join(spans, "_digest", "left")
-    return rows.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(shortened(F.col(text), F.col("_spans")))).select(*docs.columns)
+    own = F.col(f"row.`{text}`")
+    rows = apart(docs, digest=digest(F.col(text))).join(repeated_spans(docs, text), "digest", "left")
+    return rejoined(rows, docs, **{text: F.when(F.col("spans").isNull(), own).otherwise(shortened(own, F.col("spans")))})
 
 
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

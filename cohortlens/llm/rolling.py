@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.full(1 << bits, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """At least ``n`` powers of ``base``; tables come in sizes of powers of two."""
-    return _powers(base, max(16, int(n - 1).bit_length()))
+    """At least ``n`` powers of ``base``; tables come in sizes of powers of two and stay in the worker."""
+    bits = max(16, int(n - 1).bit_length())
+    if (base, bits) not in _POWERS:
+        out = np.full(1 << bits, base, dtype=np.uint64)
+        out[0] = 1
+        _POWERS[base, bits] = np.multiply.accumulate(out)
+    return _POWERS[base, bits]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

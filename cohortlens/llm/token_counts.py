@@ -28,33 +28,34 @@ NONE = np.int32(np.iinfo(np.int32).max)
 
 
 class Merges:
-    """The merges of a tokenizer file: symbols are the 256 bytes and then the products in order of rank."""
-
-    def __init__(self, content: str):
-        file = json.loads(content)
-        model, splitter = file["model"], file["pre_tokenizer"] or {}
-        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix",
-                                               "byte_fallback", "ignore_merges"))
-        if model["type"] != "BPE" or not plain or file["normalizer"] or splitter.get("type") != "ByteLevel" \
-                or splitter.get("add_prefix_space") or not splitter.get("use_regex", True):
-            raise ValueError("not a byte-level pair vocabulary with its usual division of texts")
-        if any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
-            raise ValueError("added tokens that look at their surroundings are not supported")
-        self.special = [t["content"] for t in file["added_tokens"]]
+    """The merges of a byte-level pair model. Symbols are the 256 bytes, the same at the end of a word if the model marks
+    these, and then the products in order of rank; ``ids`` has the vocabulary's id of each."""
+
+    def __init__(self, model: dict):
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError("not a plain pair vocabulary")
+        marks, suffix = byte_marks(), model.get("end_of_word_suffix") or ""
+        self.ends = 256 if suffix else 0
+        symbol = {mark: byte for byte, mark in marks.items()} | ({mark + suffix: 256 + byte for byte, mark in marks.items()} if suffix else {})
+        self.first = len(symbol)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        symbol = {mark: byte for byte, mark in byte_marks().items()}
         keys = np.empty(len(pairs), dtype=np.int64)
-        self.width = 256 + len(pairs)
+        self.width = self.first + len(pairs)
         for rank, (a, b) in enumerate(pairs):
             # A merge uses symbols that exist by then, and makes a new one: so ranks only grow while a sequence is merged.
-            if a not in symbol or b not in symbol or a + b in symbol or a + b not in model["vocab"]:
+            if a not in symbol or b not in symbol or a + b in symbol:
                 raise ValueError(f"the merge of {a!r} and {b!r} is out of order")
             keys[rank] = symbol[a] * self.width + symbol[b]
-            symbol[a + b] = 256 + rank
+            symbol[a + b] = self.first + rank
+        if any(token not in model["vocab"] for token in symbol):
+            raise ValueError("the vocabulary lacks a symbol")
+        self.ids = np.empty(self.width, dtype=np.int64)
+        for token, number in symbol.items():
+            self.ids[number] = model["vocab"][token]
         self.order = np.argsort(keys).astype(np.int32)
         self.keys = keys[self.order]
-        both = np.arange(256)
-        self.bytes = self._look_up((both[:, None] * self.width + both[None, :]).ravel()).reshape(256, 256)
+        both = np.arange(self.first)
+        self.pairs = self._look_up((both[:, None] * self.width + both[None, :]).ravel()).reshape(self.first, self.first)
         self.by_pair = None
 
     def _look_up(self, key: np.ndarray) -> np.ndarray:
@@ -62,56 +63,67 @@ class Merges:
         return np.where(self.keys[at] == key, self.order[at], NONE) if len(self.keys) else np.full(len(key), NONE)
 
     def counts(self, words: list[bytes]) -> np.ndarray:
-        """The number of symbols that each word is left with.
+        """The number of symbols that each word is left with."""
+        return self.merged(words)[0]
+
+    def merged(self, words: list[bytes], keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The number of symbols that each word is left with, and if ``keep`` these symbols, word by word.
 
         All words lie one after another in one array. A round finds every word's lowest rank among
         its adjacent pairs, merges all places of that pair in all words at once, and looks up anew
         only the pairs beside the merged places. Words without a pair left drop out.
         """
         out = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ended = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        short = np.flatnonzero((out > 0) & (out <= LONG))
         for i in np.flatnonzero(out > LONG):
-            out[i] = self.count_long(words[i])
-        short = np.flatnonzero((out > 1) & (np.fromiter(map(len, words), dtype=np.int64, count=len(words)) <= LONG))
-        data = np.frombuffer(b"".join([words[i] for i in short]), dtype=np.uint8)
+            left = self.merge_long(words[i])
+            out[i] = len(left)
+            ended.append((np.full(len(left), i), np.array(left, dtype=np.int64)))
         owner = np.repeat(short, out[short])
-        symbols = data.astype(np.int64)
-        rank = np.full(len(data), NONE, dtype=np.int32)
-        if len(data) > 1:
-            rank[:-1] = self.bytes[data[:-1], data[1:]]
+        symbols = np.frombuffer(b"".join([words[i] for i in short]), dtype=np.uint8).astype(np.int64)
+        if self.ends:
+            symbols[np.cumsum(out[short]) - 1] += self.ends
+        rank = np.full(len(symbols), NONE, dtype=np.int32)
+        if len(symbols) > 1:
+            rank[:-1] = self.pairs[symbols[:-1], symbols[1:]]
             rank[:-1][owner[:-1] != owner[1:]] = NONE
         while len(symbols):
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             least = np.minimum.reduceat(rank, starts)
-            sizes = np.diff(np.append(starts, len(owner)))
-            lowest = np.repeat(least, sizes)
-            at = np.flatnonzero((rank == lowest) & (lowest != NONE))
+            lowest = np.repeat(least, np.diff(np.append(starts, len(owner))))
+            going = lowest != NONE
+            if keep:
+                ended.append((owner[~going], symbols[~going]))
+            at = np.flatnonzero((rank == lowest) & going)
             if not len(at):
                 break
             # Where places of a pair overlap (a a a), every second one is merged, from the left.
             run = np.append(True, np.diff(at) != 1)
             first = np.flatnonzero(run)
             at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
-            symbols[at] = 256 + rank[at]
+            symbols[at] = self.first + rank[at]
             out -= np.bincount(owner[at], minlength=len(out))
-            keep = lowest != NONE
-            keep[at + 1] = False
+            going[at + 1] = False
             changed = np.zeros(len(symbols), dtype=bool)
             changed[at] = True
-            symbols, owner, rank, changed = symbols[keep], owner[keep], rank[keep], changed[keep]
+            symbols, owner, rank, changed = symbols[going], owner[going], rank[going], changed[going]
             changed[:-1] |= changed[1:]
             look = np.flatnonzero(changed)
             inside = look[(look + 1 < len(owner))]
             inside = inside[owner[inside] == owner[inside + 1]]
             rank[look] = NONE
             rank[inside] = self._look_up(symbols[inside] * self.width + symbols[inside + 1])
-        return out
+        owner, symbols = (np.concatenate(side) for side in zip(*ended))
+        return out, symbols[np.argsort(owner, kind="stable")]
 
-    def count_long(self, word: bytes) -> int:
+    def merge_long(self, word: bytes) -> list[int]:
         """The same for one long word: ranks come from a queue, each with all places of its pair."""
         if self.by_pair is None:
             self.by_pair = dict(zip(self.keys.tolist(), self.order.tolist()))
         rank_of, width = self.by_pair.get, self.width
         symbols, n = list(word), len(word)
+        symbols[-1] += self.ends
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         places: dict[int, list[int]] = {}
         queue: list[int] = []
@@ -127,21 +139,19 @@ class Merges:
 
         for i in range(n):
             offer(i)
-        left = n
         while queue:
             rank = heappop(queue)
             for i in sorted(places.pop(rank)):
                 j = after[i]
                 if symbols[i] < 0 or j < 0 or rank_of(symbols[i] * width + symbols[j]) != rank:
                     continue
-                symbols[i], symbols[j], after[i] = 256 + rank, -1, after[j]
+                symbols[i], symbols[j], after[i] = self.first + rank, -1, after[j]
                 if after[j] >= 0:
                     before[after[j]] = i
-                left -= 1
                 offer(i)
                 if before[i] >= 0:
                     offer(before[i])
-        return left
+        return [s for s in symbols if s >= 0]
 
 
 def byte_marks() -> dict[int, str]:
@@ -155,11 +165,18 @@ class Counter:
     """Tokens of texts; the counts of distinct pre-tokens are remembered, up to CACHED_PIECES of them."""
 
     def __init__(self, content: str):
-        self.merges, self.known = Merges(content), {}
+        file = json.loads(content)
+        splitter, added = file["pre_tokenizer"] or {}, file["added_tokens"]
+        if file["normalizer"] or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True) \
+                or file["model"].get("end_of_word_suffix"):
+            raise ValueError("not a byte-level pair vocabulary with its usual division of texts")
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at their surroundings are not supported")
+        self.merges, self.known = Merges(file["model"]), {}
         self.pieces = regex.compile(PIECES).findall
         self.own = Tokenizer.from_str(content)
         # Where added tokens begin at one place, the library takes the longest.
-        special = sorted(self.merges.special, key=len, reverse=True)
+        special = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
 
     def divided(self, text: str) -> list[str]:
@@ -192,7 +209,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text
     """
     with open(tokenizer_file, encoding="utf-8") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
-    Merges(content.value)  # refuses files of other kinds before any task starts
+    Counter(content.value)  # refuses files of other kinds before any task starts
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(content.value)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -17,111 +19,156 @@ from tokenizers import Tokenizer
 from cohortlens.session import work_folder
 
 from .common import table
+from .token_counts import Merges
 from .wavelet import WaveletMatrix, build
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-# A partition's distinct words are encoded once, so large partitions encode fewer.
+# A partition's distinct chunks are encoded once, so large partitions encode fewer.
 PARTITION_CHARS = 1 << 26
-MOST_PARTITIONS = 20_000
-CACHED_CHUNKS, CACHED_PIECES = 500_000, 700_000
-# How word_bpe_49k.json divides normalised text (a fixed value of that file).
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-# Characters that normalisation only lower-cases, one by one.
-PLAIN = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
+CACHED_CHUNKS = 600_000
+# Bytes of text encoded together.
+SLICE_BYTES = 1 << 23
+# Characters that the normaliser below only lower-cases, one by one.
 BEYOND_PLAIN = regex.compile(r"[^\s\x21-\x7EÀ-ÖØ-öø-įĲ-ňŊ-ž]")
-# Byte-level vocabularies write a byte as itself where it is printable, the others as characters from 256 on.
-PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_CHARS = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
-SEPARATORS = regex.compile("[\x1c-\x1f]")
+# The steps before the merges that make a chunk between white space independent of what stands around it (fixed values of such files).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTERS = {"type": "Split", "behavior": "Removed", "invert": True}
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# These separate words for other libraries but not for the tokenizer.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
-class WordEncoder(dict):
-    """Ids of the chunks between white space, as packed 32-bit numbers.
+def _ragged(data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The stretches of ``data`` from ``starts``, of ``counts`` numbers each, one after another."""
+    before = np.cumsum(counts) - counts
+    return data[np.repeat(starts - before, counts) + np.arange(int(counts.sum()))]
 
-    The tokenizer treats every such chunk alone, so each distinct one is encoded once and looked up
-    afterwards. Chunks of plain characters are further divided as the tokenizer divides them, which
-    makes the distinct pieces fewer; all others go to the tokenizer whole.
+
+class Encoder:
+    """Ids of texts, many at a time.
+
+    If the tokenizer's file has the normalisers and the splitter above, it treats every chunk between white space alone. Then texts of
+    plain characters are divided into chunks, the distinct ones that are new are merged together, and their ids, kept in one array, are
+    gathered for all places. The other texts, and all texts for other files, go to the tokenizer whole.
     """
 
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer, self.pieces = tokenizer, {}
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHED_CHUNKS:
-            self.clear()
-        if chunk.isascii() and chunk.isalpha():
-            out = self.pieces.get(piece := chunk.lower()) or self.piece(piece)
-        elif "<|" in chunk or not PLAIN.fullmatch(chunk):
-            out = self.whole(chunk)
-        else:
-            out = b"".join([self.pieces.get(p) or self.piece(p) for p in PIECES.findall(chunk.lower())])
-        self[chunk] = out
-        return out
-
-    def piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= CACHED_PIECES:
-            self.pieces.clear()
-        written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
-        out = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
-        self.pieces[piece] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        # These four separate words for Python but not for the tokenizer.
-        if SEPARATORS.search(text):
-            return self.whole(text)
-        # Case makes no difference, so fewer chunks are distinct without it; special tokens keep theirs.
-        if (text.isascii() or not BEYOND_PLAIN.search(text)) and "<|" not in text:
-            text = text.lower()
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-def write_shards(docs: DataFrame, tokenizer_file: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID,
-                 words_alone: bool = True) -> None:
+    def __init__(self, content: str):
+        self.tokenizer, file = Tokenizer.from_str(content), json.loads(content)
+        normalizer, splitter = file["normalizer"] or {}, file["pre_tokenizer"] or {}
+        steps = splitter.get("pretokenizers") or [{}]
+        self.by_chunk = normalizer.get("normalizers") == NORMALIZERS and len(steps) == 2 \
+            and steps[0] == SPLITTERS | {"pattern": {"Regex": PIECES}} and steps[1].get("type") == "ByteLevel" \
+            and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex", True) \
+            and not any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+        self.apart = [*SEPARATORS, *(t["content"] for t in file["added_tokens"])]
+        if self.by_chunk:
+            self.merges, self.pieces = Merges(file["model"]), regex.compile(PIECES).findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def plain(self, text: str) -> bool:
+        return self.by_chunk and (text.isascii() or not BEYOND_PLAIN.search(text)) and not any(s in text for s in self.apart)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Chunks of letters are one piece each, the others as many as the splitter finds."""
+        listed = [[c] if c.isalpha() else self.pieces(c) for c in chunks]
+        number = {p: i for i, p in enumerate(set().union(*listed))}
+        counts, symbols = self.merges.merged(list(map(str.encode, number)), keep=True)
+        starts = np.cumsum(counts) - counts
+        sizes = np.fromiter(map(len, listed), dtype=np.int64, count=len(listed))
+        pieces = np.fromiter(map(number.__getitem__, chain.from_iterable(listed)), dtype=np.int64, count=int(sizes.sum()))
+        found = _ragged(self.merges.ids[symbols].astype(np.uint32), starts[pieces], counts[pieces])
+        ends = np.append(0, np.cumsum(counts[pieces]))[np.append(0, np.cumsum(sizes))]
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+        self.starts = np.append(self.starts, ends[:-1] + len(self.ids))
+        self.counts = np.append(self.counts, np.diff(ends))
+        self.ids = np.append(self.ids, found)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and how many each has."""
+        listed = texts.to_pylist()
+        plain = np.fromiter(map(self.plain, listed), dtype=bool, count=len(listed))
+        counts = np.zeros(len(listed), dtype=np.int64)
+        odd = {i: self.whole(listed[i]) for i in np.flatnonzero(~plain).tolist()}
+        for i, found in odd.items():
+            counts[i] = len(found)
+        # Case makes no difference, so fewer chunks are distinct without it.
+        chunks = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(pa.array(plain))))
+        ends = chunks.offsets.to_numpy()
+        coded = chunks.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [c for c in distinct if c not in self.known]
+        if len(self.known) + len(new) > CACHED_CHUNKS:
+            self.forget()
+            new = distinct
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[coded.indices.to_numpy()]
+        sizes = self.counts[at] if len(at) else np.zeros(0, dtype=np.int64)
+        sums = np.append(0, np.cumsum(sizes))[ends - ends[0]]
+        counts[plain] = np.diff(sums)
+        data = _ragged(self.ids, self.starts[at], sizes) if len(at) else np.zeros(0, dtype=np.uint32)
+        if not odd:
+            return data, counts
+        places = np.cumsum(plain) - 1
+        return np.concatenate([odd[i] if i in odd else data[sums[places[i]]:sums[places[i] + 1]] for i in range(len(listed))]), counts
+
+
+def write_shards(docs: DataFrame, tokenizer_file: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
     """Encode every whole text, append ``end_id``, and write shards in ascending order of (key, text) to ``path``.
 
     Rows are range-partitioned; a partition writes its shards one by one, each of about SHARD_TOKENS
     (a longer text has a shard of its own), so memory does not grow with the data. A null text is
-    empty; null keys come first; repeated keys are kept. ``words_alone`` says that the tokenizer
-    treats chunks between white space alone and divides them by PIECES, as word_bpe_49k does.
+    empty; null keys come first; repeated keys are kept.
     """
     with open(tokenizer_file, encoding="utf-8") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
     bits = max(1, int(max(Tokenizer.from_file(tokenizer_file).get_vocab_size() - 1, end_id)).bit_length())
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, min(MOST_PARTITIONS, -(-chars // PARTITION_CHARS)))
+    parts = max(1, -(-chars // PARTITION_CHARS))
     placed = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_str(content.value)
-        encoder = WordEncoder(tokenizer)
-        part, number, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<u4").tobytes()
+        encoder = Encoder(content.value)
+        part, number = TaskContext.get().partitionId(), 0
         narrow = np.uint16 if bits <= 16 else np.uint32
 
+        def encoded(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+            """Some megabytes of the batch at a time: keys, ids with the end id after each text, and counts."""
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            a = 0
+            while a < len(batch):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, side="right")))
+                ids, counts = encoder.encode(batch.column(1).slice(a, b - a))
+                yield batch.column(0).slice(a, b - a).to_pylist(), np.insert(ids, np.cumsum(counts), end_id).astype(narrow), counts + 1
+                a = b
+
         def shard(keys: list, counts: list, data: list) -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(data), dtype="<u4").astype(narrow)
+            ids = np.concatenate(data)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()),
                  pa.array([build(ids, bits, keys, counts)], pa.binary())], names=["part", "number", "n_tokens", "file"])
 
         keys, counts, data, held = [], [], [], 0
         for batch in batches:
-            for k, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                body = body.as_py()
-                ids = (encoder.encode(body) if words_alone else encoder.whole(body)) + end
-                if held and held + len(ids) // 4 > SHARD_TOKENS:
-                    yield shard(keys, counts, data)
-                    keys, counts, data, held, number = [], [], [], 0, number + 1
-                keys.append(k)
-                counts.append(len(ids) // 4)
-                data.append(ids)
-                held += len(ids) // 4
+            for found, ids, sizes in encoded(batch):
+                at = taken = 0
+                for k, n in zip(found, sizes.tolist()):
+                    if held and held + n > SHARD_TOKENS:
+                        yield shard(keys, counts, [*data, ids[taken:at]])
+                        keys, counts, data, held, number, taken = [], [], [], 0, number + 1, at
+                    keys.append(k)
+                    counts.append(n)
+                    held, at = held + n, at + n
+                data.append(ids[taken:at])
         if held:
             yield shard(keys, counts, data)
 
@@ -147,11 +194,14 @@ def read_texts(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame
 
     rows = files.select("part", "number", "file").mapInArrow(
         decoded, "part int, number int, key bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
-    # Two levels: the partitions' totals, at most MOST_PARTITIONS, then the shards within a partition.
+    # Three levels: the totals of a thousand partitions, of a partition, then the shards within it.
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     sizes = files.select("part", "number", "n_tokens")
-    totals = sizes.groupBy("part").agg(F.sum("n_tokens").alias("all")).withColumn("one", F.lit(0))
-    totals = totals.withColumn("base", F.coalesce(F.sum("all").over(before("one", "part")), F.lit(0))).select("part", "base")
+    totals = sizes.groupBy("part").agg(F.sum("n_tokens").alias("all")).withColumn("run", F.floor(F.col("part") / 1000))
+    runs = totals.groupBy("run").agg(F.sum("all").alias("all")).withColumn("one", F.lit(0))
+    runs = runs.select("run", F.coalesce(F.sum("all").over(before("one", "run")), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("all").over(before("run", "part")), F.lit(0))
+    totals = totals.select("part", "run", inside.alias("inside")).join(runs, "run").select("part", (F.col("before") + F.col("inside")).alias("base"))
     starts = sizes.join(totals, "part").select(
         "part", "number", (F.col("base") + F.coalesce(F.sum("n_tokens").over(before("part", "number")), F.lit(0))).alias("from"))
     return rows.join(starts, ["part", "number"]).select(

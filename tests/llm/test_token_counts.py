@@ -82,8 +82,8 @@ def test_query_equals_the_library(spark):
 
 def test_other_files_raise():
     with pytest.raises(ValueError):
-        op.Merges(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+        op.Counter(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     file = json.loads(content())
     file["model"]["merges"].reverse()
     with pytest.raises(ValueError):
-        op.Merges(json.dumps(file))
+        op.Counter(json.dumps(file))

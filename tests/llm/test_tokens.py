@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from conftest_llm import docs_of
@@ -26,13 +27,30 @@ def test_wavelet_matrix(n, bits):
             assert m.count(token, a, b) == len(places) and m.occurrences(token, a, b) == places
 
 
-def test_words_alone_equal_whole_texts():
-    tokenizer = Tokenizer.from_file(FILE)
-    encoder, rng = op.WordEncoder(tokenizer), random.Random(1)
-    parts = [*"abz AB.'’,!?-_<|>09é ÉİıſKÅß\x1c\x1f\x85  ́̈ΣσςΑ\n\t𝔄中文ﬁ½²\x00\x7f", "'s", "'LL", "<|endoftext|>", "th", " the "]
-    for _ in range(3000):
-        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
-        assert encoder.encode(text) == encoder.whole(text), repr(text)
+def test_chunks_equal_whole_texts(monkeypatch):
+    monkeypatch.setattr(op, "CACHED_CHUNKS", 3000)
+    with open(FILE, encoding="utf-8") as file:
+        encoder = op.Encoder(file.read())
+    rng = random.Random(1)
+    parts = [*"abz AB.'’,!?-_<|>09é ÉİıſKÅß\x1c\x1f\x85  ́̈ΣσςΑ\n\t\r\x0b\x0c𝔄中文ﬁ½²\x00\x7f", "'s", "'LL", "<|endoftext|>", "th", " the ", "ing", "zzz" * 700]
+    plain = [p for p in parts if encoder.plain(p)]
+    texts = ["".join(rng.choices(rng.choice((parts, plain)), k=rng.randint(0, 14))) for _ in range(6000)]
+    assert encoder.by_chunk and 5000 > sum(map(encoder.plain, texts)) > 2000
+    for i in range(0, len(texts), 500):
+        ids, counts = encoder.encode(pa.array(texts[i:i + 500]))
+        got = [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [encoder.whole(t).tolist() for t in texts[i:i + 500]]
+
+
+def test_other_files_are_encoded_whole(spark, tmp_path):
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  words", "<|endoftext|> x", None]
+    op.write_shards(docs_of(spark, texts), file, str(tmp_path / "shards"))
+    tokenizer = Tokenizer.from_file(file)
+    got = {r.doc_id: r.ids_crc32 for r in op.read_texts(spark, str(tmp_path / "shards")).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, op.END_ID], dtype="<u4")
+        assert got[i] == zlib.crc32(ids.tobytes())
 
 
 def test_round_trip(spark, tmp_path, monkeypatch):
