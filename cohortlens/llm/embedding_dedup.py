@@ -122,7 +122,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
         "blocks", F.ceil(F.col("_size") / BLOCK_ROWS).cast("int"))
     split = placed.join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        *bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "unit", "code", "factor", "own")
+        *bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "unit", "code", "factor", "own", "blocks")
+    pair = [*bucket, "i", "j"]
+    # Pairs of blocks are dealt on their own, as the grouping would be content with rows that lie together by bucket.
+    dealt = [met.where("blocks = 1").drop("blocks"), met.where("blocks > 1").drop("blocks").repartition(*pair)]
 
     def compared(task: pa.Table) -> pa.Table:
         task = task.combine_chunks()
@@ -151,7 +154,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
         some = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
         return pa.table({"node": node[some], "links": links[some], "root": node[root[some]]})
 
-    found = saved(met.groupBy(*bucket, "i", "j").applyInArrow(compared, "node bigint, links bigint, root bigint"), "links")
+    few, many = (part.groupBy(*pair).applyInArrow(compared, "node bigint, links bigint, root bigint") for part in dealt)
+    found = saved(few.unionByName(many), "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     grouped = nodes.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -188,12 +188,14 @@ def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, key: str,
 
 
 def in_blocks(rows: DataFrame, size: Column) -> DataFrame:
-    """Every row once for each pair of blocks (i, j) of its region in which its block stands."""
+    """Every row once for each pair of blocks (i, j) of its region in which its block stands, every pair dealt on its own:
+    the grouping would be content with rows that lie together by region."""
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(size) / BLOCK_BYTES)).cast("int")
     counts = rows.groupBy("tree", "region").agg(blocks.alias("blocks"))
     dealt = rows.join(counts, ["tree", "region"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+    return dealt.repartition("tree", "region", "i", "j")
 
 
 def _open_pairs(batch: pa.RecordBatch, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

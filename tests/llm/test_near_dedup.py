@@ -2,6 +2,7 @@ import random
 
 import pytest
 from conftest_llm import docs_of
+from pyspark.sql import functions as F
 
 from cohortlens.llm import near_dedup as op
 
@@ -95,3 +96,16 @@ def test_pairs_in_a_large_family_that_its_first_node_does_not_link(spark, monkey
 def test_null_ids_do_not_name_a_component(spark):
     docs = docs_of(spark, ["a b c d e f"] * 3).selectExpr("nullif(doc_id, 0) doc_id", "text")
     assert {(r.doc_id, r.component_id, r.kept) for r in op.near_duplicates(docs).collect()} == {(None, 1, False), (1, 1, True), (2, 1, False)}
+
+
+def test_pairs_of_blocks_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_ROWS", 10)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(200).select(F.lit(0).alias("tree"), F.lit(1).cast("bigint").alias("region"), F.col("id").cast("string").cast("binary").alias("node"))
+        found = op.in_blocks(rows, F.lit(1))
+        plan = found.groupBy("tree", "region", "i", "j").count()._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(tree#" in plan and any("i#" in x and "j#" in x for x in plan.splitlines() if "Exchange hashpartitioning(tree#" in x)
+        assert found.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
