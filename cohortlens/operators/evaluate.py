@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import bitmaps
+
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
@@ -73,20 +75,11 @@ def error_lists(predictions: DataFrame) -> DataFrame:
 def list_overlap(lists: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """``(list, other, overlap_pct)`` from ``(list, pid)``: of each list, the share also in the other.
 
-    Every patient becomes the set of lists it is on and equal sets are counted first, so pairs are
-    formed per distinct set and never per patient. ``names`` adds lists that are empty; their
-    own row is null, as a share of nothing is undefined.
+    Lists become bitmaps over the patients on any of them, and pairs are formed per block of numbers, never per
+    patient. ``names`` adds lists that are empty; their own row is null, as a share of nothing is undefined.
     """
-    sets = (
-        lists.select("list", "pid").distinct()
-        .groupBy("pid").agg(F.sort_array(F.collect_list("list")).alias("_on"))
-        .groupBy("_on").agg(F.count("*").alias("_n"))
-    )
-    left = sets.select("_on", "_n", F.explode("_on").alias("list"))
-    shared = (
-        left.select("list", "_n", F.explode("_on").alias("other"))
-        .groupBy("list", "other").agg(F.sum("_n").alias("_both"))
-    )
+    sets = bitmaps.bitmaps(lists, bitmaps.numbered(lists), ["list"])
+    shared = bitmaps.overlaps(sets, "list").withColumnRenamed("patients", "_both")
     # The grid of list names: a report of (number of lists) squared rows.
     known = (lists.select("list") if names is None else names.select("list").union(lists.select("list"))).distinct()
     everyone = known.groupBy().agg(F.sort_array(F.collect_set("list")).alias("_names"))

@@ -7,6 +7,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import bitmaps
+
 
 @dataclass(frozen=True)
 class HistoryRules:
@@ -73,6 +75,16 @@ def flag_overlap(flags: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+def flag_overlap_of(sets: DataFrame) -> DataFrame:
+    """The same from stored bitmaps ``(flag, block, bits)``."""
+    order = F.array(*[F.lit(f) for f in FLAGS])
+    known = sets.sparkSession.createDataFrame([(a, b) for a in FLAGS for b in ("", *FLAGS)], "flag string, other string")
+    wanted = known.where((F.col("other") == "") | (F.array_position(order, F.col("flag")) < F.array_position(order, F.col("other"))))
+    alone = bitmaps.sizes(sets, ["flag"]).select("flag", F.lit("").alias("other"), "patients")
+    found = alone.unionByName(bitmaps.overlaps(sets, "flag").where("flag <> other"))
+    return wanted.join(found, ["flag", "other"], "left").select("flag", "other", F.coalesce("patients", F.lit(0)).alias("patients"))
+
+
 def history_cohort(flags: DataFrame) -> DataFrame:
     """Patients with enough dates over enough days, seen late enough. The first-date flag is not used."""
     condition = F.col(USED[0])

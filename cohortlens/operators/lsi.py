@@ -29,4 +29,4 @@ def fit_topics(weights: DataFrame, topics: int) -> tuple[DataFrame, DataFrame]:
 def topic_terms(basis: DataFrame, vocabulary: DataFrame, n: int = 100, keys: Sequence[str] = ()) -> DataFrame:
     """The ``n`` strongest terms of every topic: ``(keys, topic, rank, token, v)``."""
     named = basis.join(vocabulary.select(*keys, "term_id", "token"), [*keys, "term_id"]).select(*keys, "topic", "token", "v")
-    return top_n(named, [*keys, "topic"], [F.desc(F.abs("v")), F.asc("token")], n, "rank").select(*keys, "topic", "rank", "token", "v")
+    return top_n(named, [*keys, "topic"], F.abs("v"), [F.asc("token")], n, "rank").select(*keys, "topic", "rank", "token", "v")

@@ -1,4 +1,4 @@
-"""Checks and small reports on raw tables: id quality, row limits, patient index, bucket census."""
+"""Checks and small reports on raw tables: id quality, patient index, bucket census."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import NUM_BUCKETS, bucket, bucket_label
-from .ordering import positions, top_n
+from .ordering import positions
 
 # Fixed value: characters in a valid patient id.
 ID_LENGTH = 32
@@ -23,15 +23,6 @@ def id_report(df: DataFrame, pid: Column, length: int = ID_LENGTH) -> DataFrame:
     return flagged.agg(F.count("*").alias("num_rows"), F.count_if("bad_id").alias("bad_ids"))
 
 
-def limit_per_file(df: DataFrame, n: int, order: Sequence[Column], file: str = "_file") -> DataFrame:
-    """The first ``n`` rows of every file in ``order``. Add ``_file`` with ``with_file``."""
-    return top_n(df, [file], order, n, "_row").drop("_row")
-
-
-def with_file(df: DataFrame, name: str = "_file") -> DataFrame:
-    return df.withColumn(name, F.col("_metadata.file_path"))
-
-
 def patient_positions(df: DataFrame, pid: Column, order: Sequence[str]) -> DataFrame:
     """``(pid, row_no)``: the raw positions of every patient's rows, as rows rather than one list per
     patient, so that a patient with very many rows is no obstacle."""

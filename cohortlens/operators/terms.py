@@ -188,9 +188,9 @@ def vocabulary(counts: DataFrame, patients: DataFrame, odds: Sequence[float] = (
         .select("*", limits)
         .select("scope", "odds", "token", F.col("ctrl_tf").alias("_weight"), F.col("ctrl_tf").alias("cf"))
     )
-    keys, order = ["scope", "odds"], [F.desc("_weight"), F.asc("token")]
-    first = top_n(from_cases, keys, order, min(rules.top_case_terms, rules.total_terms), "_rank")
-    second = top_n(from_controls, keys, order, rules.total_terms, "_rank")
+    keys, ties = ["scope", "odds"], [F.asc("token")]
+    first = top_n(from_cases, keys, F.col("_weight"), ties, min(rules.top_case_terms, rules.total_terms), "_rank")
+    second = top_n(from_controls, keys, F.col("_weight"), ties, rules.total_terms, "_rank")
     # One row per (scope, odds) of the grid.
     used = first.groupBy(*keys).agg(F.count("*").alias("_used"))
     second = (

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,6 +17,7 @@ from ..session import keep
 from ..sources import delimited, store
 from ..sources.catalog import CLINICAL_NOTES, DEFAULT_TABLES, DEMOGRAPHICS, DIAGNOSES, ID, TableSpec
 from . import reports, training
+from .parallel import side_by_side
 
 # The population subgroups by disease cohort; None is everyone.
 SUBGROUPS: dict[str, tuple[str, ...] | None] = {
@@ -48,6 +50,9 @@ class GridConfig:
     # Write the documents of misjudged test patients for reading.
     review: bool = True
     limit: int | None = None
+    # Scopes that are trained, and fits of each that run, at the same time.
+    scopes_at_once: int = 2
+    fits_at_once: int = 4
 
 
 def scope_names(subgroups: Mapping[str, object] = SUBGROUPS) -> list[str]:
@@ -173,34 +178,40 @@ def demographic_features(spark: SparkSession, out: str, spec: TableSpec = DEMOGR
 
 
 def train_scope(tables: Mapping[str, Features], cases: DataFrame, run: str, out: str, config: GridConfig) -> DataFrame:
-    """Train on all tables, then on each alone; returns the false-positive overlap of the run."""
+    """Train on all tables and on each alone, some fits at a time; returns the false-positive overlap of the run.
+
+    All that a fit leaves behind stands under its run, model and tables, so a run that is repeated under its name, whole or in
+    part, replaces its rows.
+    """
+    spark = cases.sparkSession
     # Joined once; the matrix of a single table is a part of each row.
     joined = keep(vectors.join_tables({name: df for name, (df, _) in tables.items()}))
-    for i, only in enumerate([(), *[(name,) for name in tables]]):
+    joined.count()  # before the fits read it side by side
+
+    def fitted(only: tuple[str, ...], kind: str, weight: float) -> None:
         chosen = only or tuple(tables)
-        matrix = vectors.side_by_side(joined, chosen)
-        columns = [c for name in chosen for c in tables[name][1]]
-        for kind in config.learners:
-            tag = "lsi_all" if not only else f"lsi_{only[0]}"
-            for weight in (config.case_weight, *config.other_case_weights):
-                name = f"{kind}{weight:g}"
-                said_path = f"{out}/predictions/{run}/{name}_{tag}"
-                result, lists, model = training.train_and_check(
-                    matrix, cases, columns, run, tag, kind, weight, f"{out}/models/{run}/{name}_{tag}", said_path)
-                reports.append_results(result, f"{out}/results")
-                store.append(lists, f"{out}/error_lists")
-                store.append(reports.classification(store.load(cases.sparkSession, said_path), run, name, tag), f"{out}/reports")
-                if kind in ("logistic", "svm"):
-                    store.append(training.coefficients(model, columns).withColumn("run", F.lit(f"{run}/{name}/{tag}")),
-                                 f"{out}/coefficients")
-        if i == 0:
-            data = training.labelled(matrix, cases, config.case_weight)
-            store.append(reports.patient_lists(data, run), f"{out}/patient_lists")
-            store.append(reports.manifest(data, run, list(config.learners), config.case_weight), f"{out}/manifest")
+        columns, tag, name = [c for t in chosen for c in tables[t][1]], f"lsi_{only[0]}" if only else "lsi_all", f"{kind}{weight:g}"
+        said_path = f"{out}/predictions/{run}/{name}_{tag}"
+        result, lists, model = training.train_and_check(
+            vectors.side_by_side(joined, chosen), cases, columns, run, tag, kind, weight, f"{out}/models/{run}/{name}_{tag}", said_path)
+        store.replace(result, f"{out}/results", run, name, tag)
+        store.replace(lists, f"{out}/error_lists", run, name, tag)
+        store.replace(reports.classification(store.load(spark, said_path), run, name, tag), f"{out}/reports", run, name, tag)
+        if kind in ("logistic", "svm"):
+            found = training.coefficients(model, columns).withColumn("run", F.lit(f"{run}/{name}/{tag}"))
+            store.replace(found, f"{out}/coefficients", run, name, tag)
+
+    def described() -> None:
+        data = training.labelled(vectors.side_by_side(joined, tuple(tables)), cases, config.case_weight)
+        store.replace(reports.patient_lists(data, run), f"{out}/patient_lists", run)
+        store.replace(reports.manifest(data, run, list(config.learners), config.case_weight), f"{out}/manifest", run)
+
+    fits = [partial(fitted, only, kind, weight) for only in [(), *[(name,) for name in tables]] for kind in config.learners
+            for weight in (config.case_weight, *config.other_case_weights)]
+    side_by_side(spark, [*fits, described], config.fits_at_once)
     joined.unpersist()
-    spark = cases.sparkSession
-    overlap = reports.false_positive_overlap(store.load(spark, f"{out}/error_lists").where(F.col("run") == run))
-    store.append(overlap.withColumn("run", F.lit(run)), f"{out}/fp_overlap")
+    overlap = reports.false_positive_overlap(store.load_all(spark, f"{out}/error_lists").where(F.col("run") == run))
+    store.replace(overlap.withColumn("run", F.lit(run)), f"{out}/fp_overlap", run)
     if config.review:
         review_errors(spark, out, config.tables, run)
     return overlap
@@ -211,7 +222,7 @@ def review_errors(spark: SparkSession, out: str, tables: Iterable[TableSpec], ru
 
     Records are cut down to these patients before any document is put together.
     """
-    lists = store.load(spark, f"{out}/error_lists").where(F.col("run") == run)
+    lists = store.load_all(spark, f"{out}/error_lists").where(F.col("run") == run)
     chosen = lists.where((F.col("tables") == "lsi_all") & F.col("kind").isin("false_positives", "false_negatives")).select("pid").distinct()
     documents_of = {}
     for spec in tables:
@@ -223,14 +234,15 @@ def review_errors(spark: SparkSession, out: str, tables: Iterable[TableSpec], ru
 
 
 def run_grid(spark: SparkSession, raw: str, out: str, config: GridConfig = GridConfig(),
-             generate: bool = True) -> DataFrame:
-    """Everything from source files to the results table, which is returned."""
+             generate: bool = True, name: str | None = None) -> DataFrame:
+    """Everything from source files to the results table, which is returned. ``name`` begins the names of the runs; a
+    new one is made up if it is not given, and an earlier grid of the same name is replaced run by run."""
     if generate:
         ingest(spark, raw, out, config.tables, config.limit)
     disease, restricted = build_cohorts(spark, out, config)
     scopes = scope_names()
-    # Two runs never share a name, even if started in the same second.
-    stamp = f"{datetime.now():%Y_%m_%d_%H_%M_%S}_{uuid.uuid4().hex[:6]}"
+    # Two runs never share a made-up name, even if started in the same second.
+    stamp = name or f"{datetime.now():%Y_%m_%d_%H_%M_%S}_{uuid.uuid4().hex[:6]}"
     text_tables = [spec for spec in config.tables if spec.text]
     patients = None
     for spec in text_tables:
@@ -244,17 +256,18 @@ def run_grid(spark: SparkSession, raw: str, out: str, config: GridConfig = GridC
     }
     others = {spec.name: demographic_features(spark, out, spec) for spec in config.tables if spec.name == DEMOGRAPHICS.name}
     cases = cohorts.members(disease, "case")
-    for scope in scopes:
+
+    def trained(scope: str, odds: float, topics: int) -> DataFrame:
         here_cases = cohorts.restrict(cases, restricted if scope.startswith(RESTRICTED) else None)
-        for odds in config.odds:
-            here = (F.col("scope") == scope) & (F.col("odds") == odds)
-            for topics in config.topics:
-                # A smaller topic count is a prefix of the largest.
-                tables: dict[str, Features] = {
-                    name: (df.where(here).select("pid", F.slice("vec", 1, topics).alias("vec")),
-                           vectors.column_names(name, topics))
-                    for name, df in fitted.items()
-                }
-                run = f"{stamp}_{'-'.join(s.name for s in config.tables)}_{scope}_odds{odds:g}_topics{topics}"
-                train_scope({**tables, **others}, here_cases, run, out, config)
-    return store.load(spark, f"{out}/results")
+        here = (F.col("scope") == scope) & (F.col("odds") == odds)
+        # A smaller topic count is a prefix of the largest.
+        tables: dict[str, Features] = {
+            table: (df.where(here).select("pid", F.slice("vec", 1, topics).alias("vec")), vectors.column_names(table, topics))
+            for table, df in fitted.items()
+        }
+        run = f"{stamp}_{'-'.join(s.name for s in config.tables)}_{scope}_odds{odds:g}_topics{topics}"
+        return train_scope({**tables, **others}, here_cases, run, out, config)
+
+    combinations = [partial(trained, scope, odds, topics) for scope in scopes for odds in config.odds for topics in config.topics]
+    side_by_side(spark, combinations, config.scopes_at_once)
+    return store.load_all(spark, f"{out}/results")

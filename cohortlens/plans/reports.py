@@ -7,15 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.evaluate import list_overlap, report
-from ..sources import store
 from .training import CASE_WEIGHT
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    """Append to the results table; its schema names the columns once."""
-    store.append(results, path)
-
-
 def patient_lists(data: DataFrame, run: str) -> DataFrame:
     """``(run, kind, pid)`` of the training and the test patients."""
     return data.select(F.lit(run).alias("run"),

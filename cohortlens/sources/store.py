@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -55,8 +56,18 @@ def save(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFram
     return df.sparkSession.read.parquet(path)
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def replace(df: DataFrame, path: str, *key: str) -> None:
+    """Put ``df`` under its key in the results at ``path``, in place of what an earlier run wrote under it, also if ``df`` is empty.
+
+    Every key has a folder of its own, named by a digest; the values of the key stay columns of the rows, with their types.
+    """
+    name = hashlib.sha256("\0".join(key).encode()).hexdigest()[:32]
+    df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_all(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all keys at ``path``. A key's rows are files of their own, so a filter on it skips the files of others."""
+    return spark.read.option("recursiveFileLookup", True).parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
-from cohortlens.operators import cohorts, demographics, evaluate, history, quality
+from cohortlens.operators import bitmaps, cohorts, demographics, evaluate, history, quality
 from cohortlens.plans import grid, reports, training
 from cohortlens.sources import codes
 
@@ -139,3 +140,44 @@ def test_learners_separate_easy_classes(spark, tmp_path, kind, settings):
     assert again.where("label <> prediction").isEmpty()
     with pytest.raises(ValueError):
         training.train_and_check(matrix, cases, ["a"], "", "t", kind)
+
+
+def test_bitmaps_equal_sets(spark):
+    rnd = random.Random(9)
+    everyone = [f"p{i:06d}" for i in range(70_000)]
+    sets = {"a": set(rnd.sample(everyone, 40_000)), "b": set(rnd.sample(everyone[:33_000], 900)), "c": set(rnd.sample(everyone[40_000:], 10)), "d": {everyone[32_768]}}
+    rows = spark.createDataFrame([(s, p) for s, ps in sets.items() for p in [*ps, *list(ps)[:5]]] + [("a", "unknown"), ("e", None)], "cohort string, pid string")
+    numbers = bitmaps.numbered(spark.createDataFrame([(p,) for p in everyone], "pid string"))
+    made = bitmaps.bitmaps(rows, numbers, ["cohort"])
+    made.cache()
+    of = {s: made.where(F.col("cohort") == s) for s in sets}
+    pids = lambda df: {r.pid for r in bitmaps.members(df, numbers).collect()}
+    assert pids(bitmaps.union(of["a"], of["b"], of["d"])) == sets["a"] | sets["b"] | sets["d"]
+    assert pids(bitmaps.intersection(of["a"], of["b"])) == sets["a"] & sets["b"]
+    assert pids(bitmaps.intersection(of["b"], of["c"])) == set() and bitmaps.intersection(of["b"], of["c"]).count() == 0
+    assert pids(bitmaps.difference(of["a"], of["b"])) == sets["a"] - sets["b"] and pids(bitmaps.difference(of["d"], of["c"])) == sets["d"]
+    assert {r.cohort: r.patients for r in bitmaps.sizes(made, ["cohort"]).collect()} == {s: len(ps) for s, ps in sets.items()}
+    listed = {(r.cohort, r.pid) for r in bitmaps.members(made, numbers, ["cohort"]).collect()}
+    assert listed == {(s, p) for s, ps in sets.items() for p in ps}
+    assert {(r.cohort, r.other): r.patients for r in bitmaps.overlaps(made, "cohort").collect()} == {
+        (s, t): len(sets[s] & sets[t]) for s in sets for t in sets if sets[s] & sets[t]}
+    made.unpersist()
+
+
+def test_overlap_of_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(bitmaps, "LISTS_AT_ONCE", 300)
+    lists = spark.range(1000).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("k")).select(
+        F.format_string("l%04d", "n").alias("list"), ((F.col("n") * 7 + F.col("k") * 13) % 5000).cast("string").alias("pid"))
+    found = evaluate.list_overlap(lists)
+    rows = {(r["list"], r.other): r.overlap_pct for r in found.where("list in ('l0000', 'l0500', 'l0999')").collect()}
+    on = {n: {(n * 7 + k * 13) % 5000 for k in range(60)} for n in range(1000)}
+    assert len(rows) == 3000
+    for n in (0, 500, 999):
+        for m in range(1000):
+            assert abs(rows[f"l{n:04d}", f"l{m:04d}"] - 100 * len(on[n] & on[m]) / 60) < 1e-9
+
+
+def test_no_lists(spark):
+    none = spark.createDataFrame([], "list string, pid string")
+    assert evaluate.list_overlap(none).count() == 0
+    assert [tuple(r) for r in evaluate.list_overlap(none, spark.createDataFrame([("x",)], "list string")).collect()] == [("x", "x", None)]

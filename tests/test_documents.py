@@ -98,12 +98,27 @@ def test_running_total_with_a_hot_key(spark):
     assert got == want
 
 
-def test_top_n(spark):
-    rows = [(k, v % 50, v) for k in "ab" for v in range(1000)]
-    df = spark.createDataFrame(rows, "k string, v int, t int")
-    got = sorted((r.k, r.rank, r.v, r.t) for r in ordering.top_n(df, ["k"], [F.desc("v"), F.asc("t")], 60, "rank").collect())
-    want = [(k, i + 1, v, t) for k in "ab" for i, (_, v, t) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))[:60])]
-    assert got == want
+@pytest.mark.parametrize("n", [1, 60, 10_000])
+def test_top_n(spark, n):
+    rnd = random.Random(4)
+    weights = [0.0, -0.0, 1.0, 1.0, 2.0, 5e-324, 1e308, -1e308, -3.0, float("inf"), float("-inf"), None, float("nan"), *(rnd.lognormvariate(0, 3) for _ in range(400))]
+    rows = [(k, w, f"t{i:05d}{k}") for k in ("a", "b") for i, w in enumerate([*weights, *[7.0] * 150])]
+    df = spark.createDataFrame(rows + [("few", 1.0, "x")], "k string, v double, t string").repartition(7)
+    usual = [r for r in rows if r[1] is not None and r[1] == r[1]]
+    got = sorted((r.k, r.rank, r.v, r.t) for r in ordering.top_n(df.where("v is not null and not isnan(v)"), ["k"], F.col("v"), [F.asc("t")], n, "rank").collect())
+    want = [(k, i, v, t) for k in ("a", "b") for i, (_, v, t) in enumerate(sorted((r for r in usual if r[0] == k), key=lambda r: (-r[1], r[2]))[:n], 1)]
+    assert got == sorted([*want, ("few", 1, 1.0, "x")])
+    assert ordering.top_n(df, ["k"], F.col("v"), [F.asc("t")], n, "rank").where("k = 'a'").count() == min(n, len(rows) // 2)
+
+
+def test_top_n_ranks_little_more_than_n(spark):
+    df = spark.range(200_000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 199_999).alias("v"), "id")
+    found = ordering.top_n(df, ["k"], F.col("v"), [F.asc("id")], 50, "rank")
+    found.collect()
+    bins = df.groupBy("k", ordering.weight_bin(F.col("v"))).count().agg(F.max("count")).first()[0]
+    ranked = df.withColumn("b", ordering.weight_bin(F.col("v")))
+    cut = ranked.groupBy("k").agg(F.max("b").alias("top"))
+    assert found.count() == 150 and ranked.join(cut, "k").where("b >= top - 2").count() < 3 * (50 + 3 * bins)
 
 
 def test_piece_size_guard(spark):

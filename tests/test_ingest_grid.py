@@ -2,13 +2,17 @@ import codecs
 import csv
 import io
 import random
+import threading
+import time
 from contextlib import contextmanager
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import documents, terms
 from cohortlens.plans import grid, reports
+from cohortlens.plans.parallel import side_by_side
 from cohortlens.sources import catalog, delimited, store
 
 
@@ -216,7 +220,7 @@ def test_run_grid(spark, tmp_path, monkeypatch):
     results = grid.run_grid(spark, str(raw), str(out), config).collect()
     assert len(results) == 2 * 4
     assert {r.tables: r.num_columns for r in results} == {"lsi_all": 12, "lsi_Diagnoses": 3, "lsi_Clinical_Notes": 3, "lsi_Demographics": 6}
-    info = {r.run: r for r in store.load(spark, f"{out}/manifest").collect()}
+    info = {r.run: r for r in store.load_all(spark, f"{out}/manifest").collect()}
     assert len(info) == 2
     for r in results:
         assert r.tp + r.fp + r.tn + r.fn == info[r.run].test_patients
@@ -224,11 +228,11 @@ def test_run_grid(spark, tmp_path, monkeypatch):
     assert store.load(spark, f"{out}/quality/dates/Clinical_Notes").first().asDict() == {"num_rows": 640, "no_date": 0, "bad_dates": 0}
     assert store.load(spark, f"{out}/quality/ages/Demographics").first().num_rows == 160
     assert store.load(spark, f"{out}/quality/ingest/Demographics").first().malformed_rows == 0
-    assert store.load(spark, f"{out}/reports").count() == 2 * 4 * 5 and store.load(spark, f"{out}/features/Clinical_Notes/singular_values").count() == 6
+    assert store.load_all(spark, f"{out}/reports").count() == 2 * 4 * 5 and store.load(spark, f"{out}/features/Clinical_Notes/singular_values").count() == 6
     assert all((out / "review" / run).exists() for run in info)
-    lists = store.load(spark, f"{out}/patient_lists")
+    lists = store.load_all(spark, f"{out}/patient_lists")
     assert lists.groupBy("run", "pid").count().where("count > 1").isEmpty()
-    diagonal = store.load(spark, f"{out}/fp_overlap").where("list = other").collect()
+    diagonal = store.load_all(spark, f"{out}/fp_overlap").where("list = other").collect()
     assert all(r.overlap_pct in (None, 100.0) for r in diagonal)
     sizes = {r.scope: r.patients for r in grid.scope_sizes(store.load(spark, f"{out}/scopes")).collect()}
     assert sizes["all"] == 160 and sizes["hfneuro"] == 120
@@ -241,3 +245,58 @@ def test_run_grid(spark, tmp_path, monkeypatch):
     reports.write_review(export, str(tmp_path / "review"))
     assert "===== patient" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "review")).collect())
     assert documents.document_of(docs["notes"], f"{3:032d}").count() == 1
+
+
+def test_a_run_repeated_under_its_name_replaces_its_rows(spark, tmp_path):
+    rnd = random.Random(3)
+    people = [f"{i:032d}" for i in range(300)]
+    vecs = spark.createDataFrame([(p, [rnd.gauss(i % 3 == 0, 1), rnd.gauss(0, 1)]) for i, p in enumerate(people)], "pid string, vec array<double>")
+    cases = spark.createDataFrame([(p,) for i, p in enumerate(people) if i % 3 == 0], "pid string")
+    tables = {"a": (vecs, ["a0", "a1"]), "b": (vecs.where("vec[0] > -3"), ["b0", "b1"])}
+    out, names = str(tmp_path), ("results", "error_lists", "reports", "coefficients", "patient_lists", "manifest", "fp_overlap")
+
+    def config(*learners):
+        return grid.GridConfig(learners=learners, case_weight=2, review=False)
+
+    def rows():
+        return {t: sorted((tuple(str(v) for v in r) for r in store.load_all(spark, f"{out}/{t}").collect())) for t in names}
+
+    grid.train_scope(tables, cases, "first", out, config("logistic", "svm"))
+    grid.train_scope(tables, cases, "other", out, config("logistic"))
+    before = rows()
+    assert len(before["results"]) == 9 and {len(before[t]) for t in ("manifest",)} == {2}
+    # The whole run once more, then a half of it that broke off after other data had been trained on.
+    grid.train_scope(tables, cases, "first", out, config("logistic", "svm"))
+    assert rows() == before
+    grid.train_scope({"a": (vecs.where("pid < '" + people[150] + "'"), ["a0", "a1"]), "b": tables["b"]}, cases, "first", out, config("svm"))
+    half = rows()
+    assert {t: len(half[t]) for t in ("results", "reports", "manifest")} == {t: len(before[t]) for t in ("results", "reports", "manifest")}
+    grid.train_scope(tables, cases, "first", out, config("svm"))
+    assert {t: r for t, r in rows().items() if t != "fp_overlap"} == {t: r for t, r in before.items() if t != "fp_overlap"}
+    store.replace(spark.createDataFrame([], "a string, b int"), f"{out}/kept", "10", "2020-01-01")
+    store.replace(spark.createDataFrame([("10", 1)], "a string, b int"), f"{out}/kept", "10")
+    store.replace(spark.createDataFrame([("10", 2)], "a string, b int"), f"{out}/kept", "10")
+    assert [tuple(r) for r in store.load_all(spark, f"{out}/kept").collect()] == [("10", 2)]
+
+
+def test_side_by_side(spark):
+    began, lock, most = [], threading.Lock(), []
+
+    def task(i):
+        with lock:
+            began.append(i)
+            most.append(len(began))
+        spark.sparkContext.setJobDescription(f"task {i}")
+        n = spark.range(1000 + i).repartition(3).count()
+        with lock:
+            began.remove(i)
+        return n, spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+
+    found = side_by_side(spark, [partial(task, i) for i in range(9)], 3)
+    assert [n for n, _ in found] == [1000 + i for i in range(9)] and {p for _, p in found} == {"side-0", "side-1", "side-2"}
+    assert 1 < max(most) <= 3
+    ran = []
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, [lambda: 1 // 0, *[partial(lambda i: (time.sleep(0.2), ran.append(i)), i) for i in range(30)]], 2)
+    assert len(ran) < 30
+    assert side_by_side(spark, [], 4) == [] and side_by_side(spark, [lambda: 5], 4) == [5]

@@ -321,3 +321,6 @@ ORACLE: dict[str, str] = {
               SELECT pid, 1, 'notes', part, text FROM ({NOTES}))
         SELECT d.* FROM d JOIN chosen USING (pid)""",
 }
+# The same questions answered another way.
+ORACLE["cohort_bitmaps"] = ORACLE["cohort_algebra"]
+ORACLE["flag_bitmaps"] = ORACLE["flag_overlap"]

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.functions import dates, keys, text
-from cohortlens.operators import (cohorts, demographics, documents, evaluate, history, lsi, quality, terms,
+from cohortlens.operators import (bitmaps, cohorts, demographics, documents, evaluate, history, lsi, quality, terms,
                                   vectors)
 from cohortlens.plans import grid, reports, training
 from cohortlens.session import work_folder
@@ -517,6 +517,14 @@ def flag_overlap(spark, sf):
     return history.flag_overlap(flags_of(spark, sf))
 
 
+@query
+def flag_bitmaps(spark, sf):
+    """The same counts from bitmaps of the flags."""
+    flags = flags_of(spark, sf)
+    sets = bitmaps.flag_bitmaps(flags, bitmaps.numbered(flags), history.FLAGS, "flag")
+    return history.flag_overlap_of(store.save(sets, scratch(spark, "bitmaps")))
+
+
 @query
 def history_cohort(spark, sf):
     return history.history_cohort(flags_of(spark, sf))
@@ -556,14 +564,25 @@ def cohort_algebra(spark, sf):
     named = cohorts_of(spark, sf, CODE_RULES)
     one, mixed = cohorts.members(named, "one"), cohorts.members(named, "mixed")
     seen = history.history_cohort(flags_of(spark, sf))
-    kinds = {
-        "union": cohorts.union(one, mixed), "intersection": cohorts.intersection(one, mixed, seen),
-        "difference": cohorts.difference(mixed, one),
-    }
-    parts = [df.select(F.lit(name).alias("kind"), "pid") for name, df in kinds.items()]
+    return kinds_of(cohorts.union(one, mixed), cohorts.intersection(one, mixed, seen), cohorts.difference(mixed, one))
+
+
+def kinds_of(*found):
+    parts = [df.select(F.lit(name).alias("kind"), "pid") for name, df in zip(("union", "intersection", "difference"), found)]
     return parts[0].union(parts[1]).union(parts[2])
 
 
+@query
+def cohort_bitmaps(spark, sf):
+    """The same algebra on bitmaps of all cohorts, made once."""
+    named = cohorts_of(spark, sf, CODE_RULES).select("cohort", "pid").union(history.history_cohort(flags_of(spark, sf)).select(F.lit("seen"), "pid"))
+    numbers = bitmaps.numbered(table(spark, sf, "customer").select(as_id("c_custkey").alias("pid")))
+    sets = store.save(bitmaps.bitmaps(named, numbers, ["cohort"]), scratch(spark, "bitmaps"))
+    one, mixed, seen = (sets.where(F.col("cohort") == name) for name in ("one", "mixed", "seen"))
+    found = bitmaps.union(one, mixed), bitmaps.intersection(one, mixed, seen), bitmaps.difference(mixed, one)
+    return kinds_of(*(bitmaps.members(f, numbers) for f in found))
+
+
 @query
 def scope_grid(spark, sf):
     disease = cohorts_of(spark, sf, SCOPE_RULES)
