@@ -93,11 +93,12 @@ def scope_sizes(membership: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, raw: str, out: str, tables: Iterable[TableSpec], limit: int | None = None) -> None:
     """Source files to the patient-split store, then to clean documents."""
     for spec in tables:
-        rows = delimited.read_table(spark, raw, spec, limit=limit, report=True)
-        store.save(delimited.ingest_report(rows, spec), f"{out}/quality/ingest/{spec.name}")
+        found, counts = delimited.scan(spark, raw, spec, limit=limit)
+        rows, seen = delimited.watched(found, spec)
         # The place in its file tells which record of a patient is the last.
         rows = rows.drop(delimited.CORRUPT) if not spec.text else rows.select(*spec.columns)
         store.write_split(rows, f"{out}/{spec.name}", spec.id, spec.text)
+        store.save(delimited.watched_report(found, counts, seen, spec), f"{out}/quality/ingest/{spec.name}")
         if spec.text:
             store.write_split(clean_table(spark, out, spec), f"{out}/{spec.name}_clean", "pid")
 
@@ -184,16 +185,16 @@ def train_scope(tables: Mapping[str, Features], cases: DataFrame, run: str, out:
     part, replaces its rows.
     """
     spark = cases.sparkSession
-    # Joined once; the matrix of a single table is a part of each row.
-    joined = keep(vectors.join_tables({name: df for name, (df, _) in tables.items()}))
-    joined.count()  # before the fits read it side by side
+    # Joined once; the matrix of a single table is a part of each row. Every fit reads the files through a plan of its own.
+    matrix_path = f"{out}/matrices/{run}"
+    store.save(vectors.join_tables({name: df for name, (df, _) in tables.items()}), matrix_path)
 
     def fitted(only: tuple[str, ...], kind: str, weight: float) -> None:
         chosen = only or tuple(tables)
         columns, tag, name = [c for t in chosen for c in tables[t][1]], f"lsi_{only[0]}" if only else "lsi_all", f"{kind}{weight:g}"
         said_path = f"{out}/predictions/{run}/{name}_{tag}"
         result, lists, model = training.train_and_check(
-            vectors.side_by_side(joined, chosen), cases, columns, run, tag, kind, weight, f"{out}/models/{run}/{name}_{tag}", said_path)
+            vectors.side_by_side(store.load(spark, matrix_path), chosen), cases, columns, run, tag, kind, weight, f"{out}/models/{run}/{name}_{tag}", said_path)
         store.replace(result, f"{out}/results", run, name, tag)
         store.replace(lists, f"{out}/error_lists", run, name, tag)
         store.replace(reports.classification(store.load(spark, said_path), run, name, tag), f"{out}/reports", run, name, tag)
@@ -202,14 +203,14 @@ def train_scope(tables: Mapping[str, Features], cases: DataFrame, run: str, out:
             store.replace(found, f"{out}/coefficients", run, name, tag)
 
     def described() -> None:
-        data = training.labelled(vectors.side_by_side(joined, tuple(tables)), cases, config.case_weight)
+        data = training.labelled(vectors.side_by_side(store.load(spark, matrix_path), tuple(tables)), cases, config.case_weight)
         store.replace(reports.patient_lists(data, run), f"{out}/patient_lists", run)
         store.replace(reports.manifest(data, run, list(config.learners), config.case_weight), f"{out}/manifest", run)
 
     fits = [partial(fitted, only, kind, weight) for only in [(), *[(name,) for name in tables]] for kind in config.learners
             for weight in (config.case_weight, *config.other_case_weights)]
     side_by_side(spark, [*fits, described], config.fits_at_once)
-    joined.unpersist()
+    store.drop(spark, matrix_path)
     overlap = reports.false_positive_overlap(store.load_all(spark, f"{out}/error_lists").where(F.col("run") == run))
     store.replace(overlap.withColumn("run", F.lit(run)), f"{out}/fp_overlap", run)
     if config.review:

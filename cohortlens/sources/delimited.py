@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, WindowSpec, functions as F
 
+from ..operators.quality import ID_LENGTH
 from ..session import cut_lineage
 from .catalog import TableSpec
 
@@ -71,10 +72,20 @@ def read_table(spark: SparkSession, path: str, spec: TableSpec, header: bool = T
     ``limit`` keeps that many rows of each file and reads only so many lines of it as hold them, whatever its size; these
     rows are written to the shared folder at once. The encoding must agree with ASCII where characters do.
     """
+    rows, _ = scan(spark, path, spec, header, limit)
+    return rows if report else rows.select(*spec.columns)
+
+
+def scan(spark: SparkSession, path: str, spec: TableSpec, header: bool = True, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``read_table`` with their places, and ``(_file, num_rows)`` of every file that has rows, which the first pass knows."""
     if spec.encoding.upper().replace("-", "").startswith(("UTF16", "UTF32")):
         raise ValueError(f"{spec.encoding} cannot be divided at line ends")
-    rows = _all(spark, path, spec, header) if limit is None else _first(spark, path, spec, header, limit)
-    return rows if report else rows.select(*spec.columns)
+    if limit is not None:
+        rows = _first(spark, path, spec, header, limit)
+        return rows, rows.groupBy(FILE).agg(F.count("*").alias("num_rows"))
+    rows, blocks = _all(spark, path, spec, header)
+    counts = blocks.groupBy(FILE).agg((F.sum("_begins") - int(header)).alias("num_rows"))
+    return rows, counts.where("num_rows > 0")
 
 
 def _matching(reader, path: str, spec: TableSpec):
@@ -164,7 +175,7 @@ def _blocks(lines: DataFrame, spec: TableSpec) -> DataFrame:
         .withColumn("_carry", _open_before(earlier))
         .withColumn("_base", F.coalesce(F.sum(starts).over(earlier), F.lit(0)))
         .withColumn("_before", F.last(F.when(starts > 0, total - F.col("_size")), ignorenulls=True).over(earlier))
-        .select(FILE, BLOCK, (F.col("_carry") == 1).alias("_carry"), "_base",
+        .select(FILE, BLOCK, (F.col("_carry") == 1).alias("_carry"), "_base", starts.alias("_begins"),
                 (F.when(F.col("_carry") == 0, F.col("_shut")).otherwise(F.col("_opened")) == 1).alias("_ends_open"),
                 F.coalesce(total - F.col("_size") - F.col("_before") > MOST_RECORD, F.lit(False)).alias("_too_long"))
     )
@@ -223,7 +234,7 @@ def _without_mark(text: str, number: int) -> str:
     return text.removeprefix("\ufeff") if number == 1 else text
 
 
-def _all(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> DataFrame:
+def _all(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> tuple[DataFrame, DataFrame]:
     lines = _lines(spark, path, spec)
     # A few numbers per block, settled once and for all.
     blocks = cut_lineage(_blocks(lines, spec))
@@ -268,7 +279,7 @@ def _all(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> DataF
 
     rows = known.mapInArrow(parsed, _row_schema(spec))
     if not spans:
-        return rows
+        return rows, blocks
     # A file's last record counts as one that reaches over an end if its quote is never closed.
     reaching = known.mapInArrow(pieces, f"{FILE} string, {BLOCK} bigint, {LINE} bigint, _text string")
     together = reaching.groupBy(FILE, LINE).agg(F.sort_array(F.collect_list(F.struct(BLOCK, "_text"))).alias("_parts"))
@@ -276,7 +287,7 @@ def _all(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> DataF
     together = together.join(long, [FILE, LINE], "left").select(
         FILE, F.col("_parts")[0][BLOCK].alias(BLOCK), LINE, F.array_join("_parts._text", "\n").alias("_text"), F.coalesce("_cut", F.lit(False)).alias("_cut"))
     together = together.where(F.col(LINE) > 1) if header else together
-    return rows.unionByName(together.mapInArrow(joined, _row_schema(spec)))
+    return rows.unionByName(together.mapInArrow(joined, _row_schema(spec))), blocks
 
 
 def _first(spark: SparkSession, path: str, spec: TableSpec, header: bool, limit: int) -> DataFrame:
@@ -345,7 +356,7 @@ def read_plain(spark: SparkSession, path: str, columns: list[str], delimiter: st
     return read_table(spark, path, spec, header=False)
 
 
-def ingest_report(rows: DataFrame, spec: TableSpec, id_length: int = 32) -> DataFrame:
+def ingest_report(rows: DataFrame, spec: TableSpec, id_length: int = ID_LENGTH) -> DataFrame:
     """Per file: rows, malformed rows and rows whose id has the wrong length. Needs ``report=True``."""
     return rows.groupBy(FILE).agg(
         F.count("*").alias("num_rows"),
@@ -354,6 +365,24 @@ def ingest_report(rows: DataFrame, spec: TableSpec, id_length: int = 32) -> Data
     )
 
 
+def watched(rows: DataFrame, spec: TableSpec, id_length: int = ID_LENGTH) -> tuple[DataFrame, Observation]:
+    """``rows`` with an observation, made while they are written, of the files that have faulty rows. The set is the same however
+    often a lost task is repeated, and no longer than the list of files."""
+    seen = Observation()
+    faulty = F.col(CORRUPT).isNotNull() | (F.length(spec.id) != id_length)
+    return rows.observe(seen, F.collect_set(F.when(faulty, F.col(FILE))).alias("faulty")), seen
+
+
+def watched_report(rows: DataFrame, counts: DataFrame, seen: Observation, spec: TableSpec, id_length: int = ID_LENGTH) -> DataFrame:
+    """The report once the watched rows are written: counts from the first pass, and only faulty files are looked into again."""
+    faulty = sorted(seen.get["faulty"])
+    clean = counts.where(~F.col(FILE).isin(faulty)).select(FILE, "num_rows", F.lit(0).cast("bigint").alias("malformed_rows"), F.lit(0).cast("bigint").alias("bad_ids"))
+    if not faulty:
+        return clean
+    # A filter on the file's path leaves other files unread.
+    return clean.unionByName(ingest_report(rows.where(F.col(FILE).isin(faulty)), spec, id_length))
+
+
 def repair_header(df: DataFrame, id_name: str) -> DataFrame:
     """Rename the first column to the id's name where it merely contains it (a byte-order mark, junk)."""
     first = df.columns[0]

@@ -324,3 +324,18 @@ ORACLE: dict[str, str] = {
 # The same questions answered another way.
 ORACLE["cohort_bitmaps"] = ORACLE["cohort_algebra"]
 ORACLE["flag_bitmaps"] = ORACLE["flag_overlap"]
+
+ORACLE |= {
+    "topic_term_facts": f"""WITH {vocab('3.5')}, n AS (SELECT least(100, count(*)) AS n, least({TOPICS}, count(*)) AS k FROM vocab)
+        SELECT t::INTEGER AS topic, n AS n_terms, n::INTEGER AS last_rank, n AS n_ranks, 1 AS falling, n AS n_known FROM n, range(k) r(t)""",
+    "vector_facts": f"""WITH {vocab('3.5')} SELECT least({TOPICS}, count(*)) AS n_topics, least({TOPICS}, count(*)) AS n_sums_ok, 1 AS within FROM vocab""",
+    "learner_facts": f"""WITH t AS (SELECT label FROM embeddings WHERE {bucket('vec_id::VARCHAR')} >= 8000)
+        SELECT m.model, (SELECT count(*) FROM t WHERE label = 0) AS cases, (SELECT count(*) FROM t WHERE label <> 0) AS controls, 1 AS lists_ok
+        FROM (SELECT unnest(['boosted10', 'logistic10', 'forest10', 'lasso10']) AS model) m""",
+    "grid_facts": f"""WITH e AS (SELECT vec_id, label, {bucket('vec_id::VARCHAR')} >= 8000 AS test FROM embeddings),
+        t AS (SELECT unnest(['lsi_all', 'lsi_low', 'lsi_high']) AS tables), m AS (SELECT unnest(['logistic10', 'forest10']) AS model), b AS (SELECT * FROM e WHERE label <> 1)
+        SELECT 'result ' || model || ' ' || tables AS what, CASE tables WHEN 'lsi_all' THEN {VECTOR_SIZE} ELSE {VECTOR_SIZE // 2} END::BIGINT AS a,
+          (SELECT count(*) FROM b WHERE test AND label = 0) AS b, (SELECT count(*) FROM b WHERE test AND label <> 0) AS c FROM t, m
+        UNION ALL SELECT 'manifest logistic', count(*) FILTER (NOT test), count(*) FILTER (test), 10 FROM b
+        UNION ALL SELECT 'list ' || CASE WHEN test THEN 'test' ELSE 'train' END, count(*), count(*), 0 FROM b GROUP BY test""",
+}

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortlens.functions import dates, keys, text
 from cohortlens.operators import (bitmaps, cohorts, demographics, documents, evaluate, history, lsi, quality, terms,
@@ -786,3 +786,64 @@ def learner_results(spark, sf):
     names = vectors.column_names("text", 64)
     results = [training.train_and_check(matrix, cases, names, "run", "lsi_all", kind, 10)[0] for kind in ("forest", "svm", "lasso")]
     return results[0].union(results[1]).union(results[2])
+
+
+# --- exact facts of what is fitted --------------------------------------------------------------
+
+
+@query
+def topic_term_facts(spark, sf):
+    """For every topic: how many terms are listed, under ranks without gaps and in falling order, all of them from the vocabulary."""
+    vocab, _, basis, _ = fitted(spark, sf)
+    listing = store.save(lsi.topic_terms(basis, vocab), scratch(spark, "topics"))
+    after = F.lead(F.abs("v")).over(Window.partitionBy("topic").orderBy("rank"))
+    known = listing.withColumn("falls", F.coalesce(F.abs("v") >= after, F.lit(True))).join(vocab.select("token", F.lit(1).alias("known")), "token", "left")
+    return known.groupBy("topic").agg(
+        F.count("*").alias("n_terms"), F.max("rank").alias("last_rank"), F.count_distinct("rank").alias("n_ranks"),
+        F.min(F.col("falls").cast("int")).alias("falling"), F.count("known").alias("n_known"))
+
+
+@query
+def vector_facts(spark, sf):
+    """The training patients' vectors have the squares of the singular values as sums of squares, and nobody's vector is longer than 1."""
+    _, weights, basis, values = fitted(spark, sf)
+    tagged = basis.select(F.lit("all").alias("scope"), F.lit(3.5).alias("odds"), "term_id", "topic", "v")
+    vecs = store.save(vectors.topic_weights(vectors.project(weights, tagged, TOPICS, VOCABULARY.total_terms)), scratch(spark, "vectors"))
+    squares = terms.training(vecs).groupBy("topic").agg(F.sum(F.col("v") * F.col("v")).alias("sum"))
+    longest = vecs.groupBy("pid").agg(F.sum(F.col("v") * F.col("v")).alias("size")).agg(F.max("size").alias("longest"))
+    checked = values.join(squares, "topic").select("topic", (F.abs(F.col("sum") / (F.col("s") * F.col("s")) - 1) < 1e-6).cast("int").alias("sum_ok"))
+    return checked.agg(F.count("*").alias("n_topics"), F.sum("sum_ok").alias("n_sums_ok")).join(
+        F.broadcast(longest.select((F.col("longest") < 1 + 1e-9).cast("int").alias("within"))), F.lit(True))
+
+
+@query
+def learner_facts(spark, sf):
+    """Of every learner: its test patients by class, and whether its lists have the sizes that the confusion counts say."""
+    matrix, cases = learning_matrix(spark, sf)
+    names, found = vectors.column_names("text", VECTOR_SIZE), None
+    for kind, settings in (("boosted", {"maxIter": 5, "maxDepth": 3}), ("logistic", {}), ("forest", {"numTrees": 10}), ("lasso", {})):
+        result, lists, _ = training.train_and_check(matrix, cases, names, "run", "lsi_all", kind, 10, predictions_path=scratch(spark, "said"), **settings)
+        sizes = lists.groupBy("model").agg(*[F.count_if(F.col("kind") == k).alias(c) for k, c in (("true_positives", "l_tp"), ("false_positives", "l_fp"), ("false_negatives", "l_fn"))])
+        row = result.join(sizes, "model").select(
+            "model", (F.col("tp") + F.col("fn")).alias("cases"), (F.col("fp") + F.col("tn")).alias("controls"),
+            ((F.col("tp") == F.col("l_tp")) & (F.col("fp") == F.col("l_fp")) & (F.col("fn") == F.col("l_fn"))).cast("int").alias("lists_ok"))
+        found = row if found is None else found.union(row)
+    return found
+
+
+@query
+def grid_facts(spark, sf):
+    """What a small grid leaves behind when it has run twice under one name: results, manifest and patient lists, counted."""
+    vecs = table(spark, sf, "embeddings").select(as_id("vec_id").alias("pid"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    cases, out, half = vecs.where("label = 0").select("pid"), scratch(spark, "grid"), VECTOR_SIZE // 2
+    tables = {"low": (vecs.select("pid", F.slice("vec", 1, half).alias("vec")), vectors.column_names("low", half)),
+              "high": (vecs.where("label <> 1").select("pid", F.slice("vec", half + 1, half).alias("vec")), vectors.column_names("high", half))}
+    for learners in (("logistic", "forest"), ("logistic",)):
+        grid.train_scope(tables, cases, "run", out, grid.GridConfig(learners=learners, case_weight=10, review=False, fits_at_once=3))
+    results = store.load_all(spark, f"{out}/results").select(
+        F.concat_ws(" ", F.lit("result"), "model", "tables").alias("what"), F.col("num_columns").cast("bigint").alias("a"),
+        (F.col("tp") + F.col("fn")).alias("b"), (F.col("fp") + F.col("tn")).alias("c"))
+    manifest = store.load_all(spark, f"{out}/manifest").select(
+        F.concat_ws(" ", F.lit("manifest"), "models").alias("what"), "train_patients", "test_patients", F.col("case_weight").cast("bigint"))
+    lists = store.load_all(spark, f"{out}/patient_lists").groupBy("kind").agg(F.count("*").alias("a"), F.count_distinct("pid").alias("b"))
+    return results.union(manifest).union(lists.select(F.concat(F.lit("list "), "kind"), "a", "b", F.lit(0).cast("bigint")))
