@@ -61,6 +61,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stretches(text: Column, most: int, key: Column, count: int = 8) -> Column:
+    """An array of pieces of a text that hold ``most`` characters at most: the whole text if it is no longer, else ``count``
+    stretches from all over it, each at a place that the hash of ``key`` chooses within its share of the text."""
+    size, each = F.length(text), max(1, most // count)
+    room = (size - each).cast("double") / count
+
+    def stretch(i: int) -> Column:
+        place = F.xxhash64(key, F.lit(i)).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+        return F.substring(text, F.floor(room * (F.lit(i) + place)).cast("int") + 1, F.lit(each))
+
+    return F.when(size <= most, F.array(text)).otherwise(F.array(*[stretch(i) for i in range(count)]))
+
+
 def words_and_end(text: Column) -> Column:
     """Tokens of a text for weights and lengths: its words and an end mark; none if it is null or blank."""
     n = F.regexp_count(text, F.lit(r"\S+"))

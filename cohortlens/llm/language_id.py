@@ -9,15 +9,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import fold, least_by_hash, table
+from .common import fold, least_by_hash, stretches, table
 
 DICTIONARY_BYTES = 1 << 17
 SAMPLE_ROWS = 400
 MOST_LANGUAGES = 256
-SHORT_BYTES = 4096
-# Matches of four bytes tell more than the presets' five to seven; short texts afford a deeper search.
-LONG_SEARCH = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 4, "window_log": 19, "hash_log": 16, "chain_log": 16, "search_log": 3}
-SHORT_SEARCH = {"strategy": zstandard.STRATEGY_LAZY, "min_match": 4, "window_log": 19, "hash_log": 16, "chain_log": 17, "search_log": 4}
+# Matches of four bytes tell more than the presets' five to seven.
+SEARCH = {"strategy": zstandard.STRATEGY_LAZY, "min_match": 4, "window_log": 19, "hash_log": 16, "chain_log": 17, "search_log": 4}
 NARROW_BITS = 0.02
 
 
@@ -31,8 +29,9 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """A raw-content dictionary per language, the most frequent language first: the letters of a bounded sample, joined.
 
     The fit is bounded by two parameters: about ``sample_rows`` rows of each language, chosen by
-    the hash of the id, and ``dictionary_bytes`` of their text; more than MOST_LANGUAGES
-    labels raise. Rows with a null label or no letter teach nothing.
+    the hash of the id, and ``dictionary_bytes`` of their text, of long texts stretches from all over them; more than
+    MOST_LANGUAGES labels raise. Rows with a null label or no letter teach nothing; repeated rows come with their id, and
+    their text is then in the dictionary as often. An empty table teaches no language. Further columns are not read.
     """
     known = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -40,10 +39,10 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if len(ranked) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} labels in {lang}")
     chosen = least_by_hash(known, "lang", "key", sample_rows).distinct()
-    # No text gives more than its share, so that one long text does not fill a dictionary.
-    share = max(1, dictionary_bytes // 32)
-    sample = known.join(F.broadcast(chosen), ["lang", "key"]).select(
-        "lang", F.xxhash64("key").alias("place"), letters_only(F.substring("text", 1, share)).alias("text"))
+    # No text gives more than its share, from all over it, so that one long text does not fill a dictionary.
+    share = max(8, dictionary_bytes // 32)
+    taken = F.concat_ws(" ", stretches(F.col("text"), share, F.col("key")))
+    sample = known.join(F.broadcast(chosen), ["lang", "key"]).select("lang", F.xxhash64("key").alias("place"), letters_only(taken).alias("text"))
     texts: dict[str, list] = {}
     for row in sample.collect():
         texts.setdefault(row.lang, []).append((row.place, row.text))
@@ -58,27 +57,27 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id
     tie going to the language that comes first in ``dictionaries``. ``score`` falls from 1 towards 1/2 and below as the
     next languages come near; ``rejected`` marks texts whose margin is under ``narrow_bits`` bits
     a byte, and they keep their best guess. A text that is null or has no letter is ``und`` with
-    score 0, and rejected; so is every text if no language was learned.
+    score 0, and rejected; so is every text if no language was learned. Repeated rows are judged alike, an empty table
+    gives no rows, further columns are not read.
     """
     names = list(dictionaries)
     schema = "key bigint, lang_pred string, score double, rejected boolean, bits double"
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compressor(name: str, search: dict):
+        def compressor(name: str):
             parameters = zstandard.ZstdCompressionParameters(
-                write_checksum=False, write_content_size=False, write_dict_id=False, **search)
+                write_checksum=False, write_content_size=False, write_dict_id=False, **SEARCH)
             content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(compression_params=parameters)
             return zstandard.ZstdCompressor(compression_params=parameters, dict_data=content)
 
-        long = [compressor(n, LONG_SEARCH) for n in names]
-        short = [compressor(n, SHORT_SEARCH) for n in names]
+        compressors = [compressor(n) for n in names]
 
         def one(body: str | None, letters: bool):
             if not letters or not names:
                 return "und", 0.0, True, None
             data = body.encode()
-            sizes = [len(c.compress(data)) for c in (short if len(data) < SHORT_BYTES else long)]
+            sizes = [len(c.compress(data)) for c in compressors]
             best = min(sizes)
             # Code lengths are log-probabilities; their scale is damped, as errors within a text are not independent.
             scale = math.log(2) * 8 / max(1.0, math.sqrt(len(data)) / 4)

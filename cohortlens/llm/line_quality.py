@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import apart, fold, least_by_hash, rejoined, table
+from .common import apart, fold, least_by_hash, rejoined, stretches, table
 
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 30_000
@@ -164,12 +164,17 @@ def marginals(emission: list[float], transitions: list[list[float]]) -> list[flo
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
           sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> LineModel:
     """Fit on a bounded sample: about ``sample_rows`` labelled texts of each label, chosen by the hash
-    of the id, of at most ``sample_chars`` characters each. Null labels and null texts teach nothing."""
+    of the id. Of a text over ``sample_chars`` characters the whole lines of stretches from all over it are taken. Null labels and null texts
+    teach nothing, repeated rows as often as they come; an empty table gives a model that knows nothing. Further columns are not read."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     chosen = least_by_hash(known, "label", "key", sample_rows).distinct()
     # The sample's ids are bounded by its parameters, so the texts stay where they are.
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") <= sample_chars).join(
-        F.broadcast(chosen), "key").orderBy("key", "label").collect()
+    parts = stretches(F.col("text"), sample_chars, F.col("key"))
+    # A stretch within a text gives its whole lines, or itself if it has none.
+    whole = F.transform(parts, lambda p: F.when(F.regexp_count(p, F.lit("\n")) > 1, F.regexp_replace(p, r"\A[^\n]*\n|\n[^\n]*\z", "")).otherwise(p))
+    taken = F.when(F.size(parts) == 1, F.col("text")).otherwise(F.array_join(whole, "\n"))
+    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(
+        F.broadcast(chosen), "key").select("key", "label", taken.alias("text")).orderBy("key", "label").collect()
     return fit([line_features(r.text)[0] for r in sample], np.array([r.label for r in sample]))
 
 
@@ -193,9 +198,9 @@ def line_scores(model: LineModel, text: Column) -> Column:
 
 def score_lines(docs: DataFrame, model: LineModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns key, score, n_lines, n_bad_lines for every row, by whole texts of any length; a null, empty
-    or blank text counts as one empty line."""
-    rows = docs.select(F.col(key), line_scores(model, F.col(text)).alias("_q"))
-    return rows.select(key, "_q.score", "_q.n_lines", "_q.n_bad_lines")
+    or blank text counts as one empty line. Repeated rows and null ids get a row each, an empty table gives none, further columns are not read."""
+    rows = docs.select(F.col(key).alias("key"), line_scores(model, F.col(text)).alias("found"))
+    return rows.select(F.col("key").alias(key), "found.score", "found.n_lines", "found.n_bad_lines")
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

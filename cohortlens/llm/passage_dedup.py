@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import rolling
@@ -24,6 +25,8 @@ from .common import apart, discard, rejoined, saved, table
 LENGTH = 200
 GRAM = 24
 PIECE_BYTES = 1 << 22
+# Texts with more runs than this are in blocks of their own.
+BLOCK_RUNS = 1024
 # Rows of one gram that a task compares window by window; more are narrowed down node by node.
 HOT_ROWS = 20_000
 BATCH_ROWS = 20_000
@@ -192,6 +195,24 @@ def narrowed(runs: DataFrame) -> list[DataFrame]:
     return spans
 
 
+def joined_places(group: pa.Table) -> pa.Table:
+    """For every text of a block the ranges of bytes that the listed runs cover, neighbours joined."""
+    places = pc.list_flatten(group["places"].combine_chunks())
+    uid, lo, size = (pc.struct_field(places, i).to_numpy() for i in range(3))
+    order = np.lexsort((lo, uid))
+    uid, start, stop = uid[order], lo[order], lo[order] + size[order] + (LENGTH - 1)
+    # Texts are laid out one after another, so that one running maximum serves all.
+    first = np.append(True, uid[1:] != uid[:-1])
+    shift = (np.cumsum(first) - 1) * (int(stop.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(stop + shift)
+    new = np.flatnonzero(np.append(True, first[1:] | ((start + shift)[1:] > reach[:-1])))
+    ends = (reach - shift)[np.append(new[1:], len(uid)) - 1]
+    owner = np.flatnonzero(np.append(True, uid[new][1:] != uid[new][:-1]))
+    ranges = pa.StructArray.from_arrays([pa.array(start[new]), pa.array(ends)], names=["start", "stop"])
+    listed = pa.ListArray.from_arrays(np.append(owner, len(new)).astype(np.int32), ranges)
+    return pa.table({"uid": pa.array(uid[new][owner]), "spans": listed})
+
+
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Columns digest, spans: the byte ranges (start, stop, overlapping as found) of every distinct text of ``docs``
     that a string of LENGTH bytes covers which also starts elsewhere; texts without any do not appear.
@@ -201,20 +222,23 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = docs.select(digest(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     once = with_runs(texts).groupBy("digest").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("runs").alias("runs"))
     distinct = saved(once.withColumn("uid", F.monotonically_increasing_id()), "runs-of-texts")
-    runs = distinct.select("uid", F.inline("runs"))
+    # A block has up to 1,024 texts of up to 1,024 runs, or a mebibyte of a longer text.
+    block = F.when(F.col("n_runs") <= BLOCK_RUNS, F.shiftright("uid", 10)).otherwise(F.xxhash64("uid", F.shiftright("lo", 20)))
+    runs = distinct.select("uid", F.size("runs").alias("n_runs"), F.inline("runs")).withColumn("block", block).drop("n_runs")
     # Counts are tables of their own, so that Spark can split a frequent gram when it joins.
     common = saved(runs.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram"), "grams")
     runs = saved(runs.join(common, "gram"), "runs")
     ids = saved(distinct.select("digest", "copies", "n_bytes", "uid"), "texts")
     discard(distinct, common)
 
-    # Equal names: sampled suffixes that agree in every window of their runs. Places of a name are listed by blocks
-    # of up to 1,024 texts, so that the join with the names makes a row for each block, not for each place.
-    packed = saved(runs.groupBy("gram", "name", F.shiftright("uid", 10).alias("block")).agg(
+    # Equal names: sampled suffixes that agree in every window of their runs. Places of a name are listed by block,
+    # and stay listed until the ranges of a text are put together.
+    packed = saved(runs.groupBy("gram", "name", "block").agg(
         F.collect_list(F.struct("uid", "lo", "size")).alias("places"), F.min(F.struct("uid", "lo", "size", "off")).alias("first")), "places")
     kinds = saved(packed.groupBy("gram", "name").agg(F.sum(F.size("places")).alias("n"), F.min("first").alias("first")), "kinds")
-    same = packed.join(kinds.where("n > 1").select("gram", "name"), ["gram", "name"], "left_semi").select(F.inline("places"))
-    found = [saved(same.select("uid", F.col("lo").alias("start"), (F.col("lo") + F.col("size") + (LENGTH - 1)).alias("stop")), "same")]
+    same = packed.join(kinds.where("n > 1").select("gram", "name"), ["gram", "name"], "left_semi").select("block", "places")
+    same = saved(same.groupBy("block").applyInArrow(joined_places, "uid bigint, spans array<struct<start: bigint, stop: bigint>>"), "same")
+    found = []
     discard(runs, packed)
 
     # Names that differ though the gram is shared: the windows at the ends of a repeat. One run stands for each name.
@@ -249,6 +273,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     for more in found[1:]:
         spans = spans.unionByName(more)
     listed = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    listed = same.unionByName(listed).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return saved(listed.join(ids, "uid").select("digest", "spans"), "spans")
 
 

@@ -1,10 +1,13 @@
 import random
+import re
 
 import pytest
+import zstandard
 from conftest_llm import DOCS, docs_of
 from pyspark.sql import functions as F
 
 from cohortlens.llm import language_id as op
+from cohortlens.llm.common import stretches
 
 WORDS = {"xa": "shoren thing atble reath ondre", "yb": "queció ladoes miento arró uedos", "zc": "ßunge keitä schlich pfzu enver"}
 
@@ -55,3 +58,31 @@ def test_more_labels_than_can_be_learned_raise(spark, monkeypatch):
     assert len(op.learn(docs.where("doc_id < 2"))) == 2
     with pytest.raises(ValueError, match="more than 2 labels"):
         op.learn(docs)
+
+
+def test_long_texts_teach_from_all_over(spark):
+    rng = random.Random(5)
+    halves = [sentence(rng, "xa", 4000) + " " + "zebra quagga " * 8000, "short one"]
+    docs = docs_of(spark, halves)
+    learned = op.learn(docs, dictionary_bytes=1 << 14)["en"].decode()
+    first = set(halves[0].split()[:3900])
+    assert "zebra" in learned and first & set(learned.split()) and "short one" in learned
+    found = docs.select(stretches(F.col("text"), 80, F.col("doc_id")).alias("s")).collect()
+    assert [len(r.s) for r in found] == [8, 1] and all(len(s) == 10 and s in halves[0] for s in found[0].s)
+
+
+def test_one_setting_for_texts_of_any_length(spark):
+    """The smallest result wins, by the compressor alone."""
+    dictionaries = op.learn(corpus(spark, 100, 6))
+    rng = random.Random(7)
+    texts = [sentence(rng, rng.choice(list(WORDS)), n) for n in (3, 30, 300, 700, 900, 5000)]
+    parameters = zstandard.ZstdCompressionParameters(write_checksum=False, write_content_size=False, write_dict_id=False, **op.SEARCH)
+
+    def size(text, content):
+        kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        kept.precompute_compress(compression_params=parameters)
+        letters = re.sub(r"[^a-zßäöüáéíóúñ]+", " ", text.lower())
+        return len(zstandard.ZstdCompressor(compression_params=parameters, dict_data=kept).compress(letters.encode()))
+
+    want = {i: min(dictionaries, key=lambda n: size(t, dictionaries[n])) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.lang_pred for r in op.classify(docs_of(spark, texts), dictionaries).collect()} == want

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from conftest_llm import docs_of
 
@@ -70,6 +71,23 @@ def test_repeated_ids_and_texts_without_repeats(spark):
     assert sorted((r.text, r.spans) for r in op.without_repeats(docs).collect()) == sorted([("", "s"), ("", "s"), (t, "s")])
 
 
+def test_long_texts_are_in_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_RUNS", 2)
+    rng = random.Random(6)
+    s, t = prose(rng, 300), prose(rng, 80)
+    check(spark, [s, prose(rng, 50) + s[333:1200], s[:900], t, t + prose(rng, 10), prose(rng, 3), None])
+
+
+def test_joined_places():
+    rng = random.Random(1)
+    places = [(rng.randint(0, 5), rng.randint(0, 900), rng.randint(1, 60)) for _ in range(40)] + [(9, 0, 1)]
+    listed = [places[:7], [], places[7:30], places[30:]]
+    kind = pa.list_(pa.struct([("uid", pa.int64()), ("lo", pa.int64()), ("size", pa.int32())]))
+    group = pa.table({"block": [1] * 4, "places": pa.array([[dict(zip(("uid", "lo", "size"), p)) for p in ps] for ps in listed], kind)})
+    got = {r["uid"]: [(s["start"], s["stop"]) for s in r["spans"]] for r in op.joined_places(group).to_pylist()}
+    assert got == {u: op.merged([{"start": lo, "stop": lo + n + op.LENGTH - 1} for v, lo, n in places if v == u]) for u in {p[0] for p in places}}
+
+
 def test_hot_grams(spark, monkeypatch):
     """Beyond HOT_ROWS runs of a gram the windows are narrowed down node by node, with the same result."""
     monkeypatch.setattr(op, "HOT_ROWS", 1)
