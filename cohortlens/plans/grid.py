@@ -228,7 +228,7 @@ def review_errors(spark: SparkSession, out: str, tables: Iterable[TableSpec], ru
     documents_of = {}
     for spec in tables:
         if spec.text:
-            rows = store.read_split(spark, f"{out}/{spec.name}").join(chosen.withColumnRenamed("pid", spec.id), spec.id, "left_semi")
+            rows = store.read_patients(spark, f"{out}/{spec.name}", chosen, spec.id)
             documents_of[spec.name] = documents.assemble(rows, F.col(spec.id), row_text(*spec.text), [F.col(spec.sort)], size=F.col(store.N_CHARS))
     if documents_of:
         reports.write_review(reports.review_export(chosen, documents_of), f"{out}/review/{run}")

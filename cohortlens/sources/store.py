@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,6 +14,10 @@ from ..functions.keys import (BUCKET, BUCKETS_PER_FOLDER, FIRST_TEST_BUCKET, FOL
 from .catalog import ID
 
 N_CHARS = "n_chars"
+# Small enough that a patient's row group holds little else.
+ROW_GROUP_BYTES = 16 << 20
+# Patients whose ids may stand in a filter; more are joined.
+MOST_IDS = 400
 
 
 def write_split(df: DataFrame, path: str, pid: str = ID, text: Sequence[str] = (), mode: str = "errorifexists") -> None:
@@ -19,14 +25,15 @@ def write_split(df: DataFrame, path: str, pid: str = ID, text: Sequence[str] = (
 
     The rebalance hint lets Spark size the files of each folder by data volume, so a folder that
     holds one huge patient becomes many files instead of one task. Files are sorted by bucket and
-    id, so a lookup reads the row groups that may hold its patient and skips the others.
+    id, and every row group has a Bloom filter of its ids, so a lookup reads the row groups that hold its patient and skips the others.
     """
     rows = df.withColumn(BUCKET, bucket(F.col(pid))).withColumn(FOLDER, folder(F.col(BUCKET)))
     if text:
         size = sum((F.coalesce(F.length(c), F.lit(0)).cast("bigint") for c in text), F.lit(len(text) - 1).cast("bigint"))
         rows = rows.withColumn(N_CHARS, size)
     placed = rows.hint("rebalance", F.col(FOLDER)).sortWithinPartitions(FOLDER, BUCKET, pid)
-    placed.write.mode(mode).partitionBy(FOLDER).parquet(path)
+    options = {"parquet.block.size": ROW_GROUP_BYTES, f"parquet.bloom.filter.enabled#{pid}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+    placed.write.mode(mode).options(**options).partitionBy(FOLDER).parquet(path)
 
 
 def read_split(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Column | None = None,
@@ -43,11 +50,36 @@ def read_split(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 def lookup(spark: SparkSession, path: str, pid: str, id_column: str = ID,
            columns: Sequence[str] | None = None) -> DataFrame:
     """One patient's rows: one folder is opened and the bucket and id filters reach its files."""
-    number = bucket_of(pid, NUM_BUCKETS)
-    here = (
-        (F.col(FOLDER) == number // BUCKETS_PER_FOLDER) & (F.col(BUCKET) == number) & (F.col(id_column) == pid)
-    )
-    return read_split(spark, path, columns, here)
+    return read_split(spark, path, columns, _any_of([pid], id_column))
+
+
+def read_patients(spark: SparkSession, path: str, cohort: DataFrame, id_column: str = ID, columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows of the patients ``(pid)`` of a cohort.
+
+    The ids of a small cohort stand in the filter of the scan, which opens their folders only and there the row groups whose
+    buckets, ids and Bloom filters allow one of them. A larger cohort is joined by folder, bucket and id, so that Spark prunes folders by what
+    it finds in the cohort. An empty cohort has no rows.
+    """
+    few = [r.pid for r in cohort.select("pid").where(F.col("pid").isNotNull()).distinct().limit(MOST_IDS + 1).collect()]
+    if len(few) <= MOST_IDS:
+        return read_split(spark, path, columns, _any_of(few, id_column))
+    rows = read_split(spark, path)
+    number = bucket(F.col("pid"))
+    wanted = cohort.select("pid", number.alias("_bucket"), folder(number).alias("_folder")).distinct()
+    same = (F.col(FOLDER) == F.col("_folder")) & (F.col(BUCKET) == F.col("_bucket")) & (F.col(id_column) == F.col("_pid"))
+    found = rows.join(wanted.withColumnRenamed("pid", "_pid"), same, "left_semi")
+    return found if columns is None else found.select(*columns)
+
+
+def _any_of(ids: Sequence[str], id_column: str) -> Column:
+    """One of the ids, as equalities that reach the Parquet reader one by one."""
+    numbers = [bucket_of(i, NUM_BUCKETS) for i in ids]
+    if not ids:
+        return F.lit(False)
+    each = [(F.col(BUCKET) == n) & (F.col(id_column) == i) for n, i in zip(numbers, ids)]
+    while len(each) > 1:
+        each = [reduce(or_, each[i:i + 2]) for i in range(0, len(each), 2)]
+    return F.col(FOLDER).isin(sorted({n // BUCKETS_PER_FOLDER for n in numbers})) & each[0]
 
 
 def save(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ import time
 from contextlib import contextmanager
 from functools import partial
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -311,3 +312,33 @@ def test_side_by_side(spark):
         side_by_side(spark, [lambda: 1 // 0, *[partial(lambda i: (time.sleep(0.2), ran.append(i)), i) for i in range(30)]], 2)
     assert len(ran) < 30
     assert side_by_side(spark, [], 4) == [] and side_by_side(spark, [lambda: 5], 4) == [5]
+
+
+def scanned_rows(df):
+    """Rows that the scans of an executed plan handed on, after leaving out row groups."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()) if leaves.apply(i).metrics().contains("numOutputRows"))
+
+
+def test_lookups_read_the_row_groups_of_their_patients(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "ROW_GROUP_BYTES", 1 << 12)
+    pids = [f"{i:032d}" for i in range(6000)]
+    df = spark.createDataFrame([(p, f"text of {p} " * 5) for p in pids for _ in range(2)], "STUDY_PAT_ID string, T string")
+    path = str(tmp_path / "split")
+    store.write_split(df, path, text=["T"])
+    one = store.lookup(spark, path, pids[77])
+    assert one.count() == 2 and scanned_rows(one) < 600
+    few = [pids[i] for i in (3, 500, 501, 5999)]
+    cohort = spark.createDataFrame([(p,) for p in [*few, few[0], "absent", None]], "pid string")
+    rows = store.read_patients(spark, path, cohort)
+    assert sorted(r[0] for r in rows.collect()) == sorted(few * 2) and scanned_rows(rows) < 2500
+    many = spark.createDataFrame([(p,) for p in pids[:700]], "pid string")
+    assert sorted(r[0] for r in store.read_patients(spark, path, many, columns=["STUDY_PAT_ID"]).collect()) == sorted(pids[:700] * 2)
+    assert store.read_patients(spark, path, cohort.limit(0)).count() == 0
+    # The Bloom filter alone: an id that would lie among those of the files is found to be absent.
+    unpruned = spark.read.parquet(path).where(F.col("STUDY_PAT_ID") == pids[5] + "x")
+    assert scanned_rows(unpruned) < 3000
+    footer = spark.read.parquet(path).inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert pq.ParquetFile(footer).metadata.num_row_groups >= 1

@@ -339,3 +339,5 @@ ORACLE |= {
         UNION ALL SELECT 'manifest logistic', count(*) FILTER (NOT test), count(*) FILTER (test), 10 FROM b
         UNION ALL SELECT 'list ' || CASE WHEN test THEN 'test' ELSE 'train' END, count(*), count(*), 0 FROM b GROUP BY test""",
 }
+ORACLE["cohort_lookup"] = """WITH c AS (SELECT DISTINCT 'many' AS cohort, doc_id FROM labels UNION ALL SELECT DISTINCT 'few', doc_id FROM labels WHERE doc_id % 40 = 3)
+    SELECT cohort, doc_id::VARCHAR AS pid, lang, coalesce(length(text), 0) AS n_chars FROM c JOIN documents USING (doc_id)"""

@@ -85,6 +85,17 @@ def point_lookup(spark, sf):
     return store.lookup(spark, path, "7", "pid", ["pid", "bucket", "lang", "n_chars", "text"])
 
 
+@query
+def cohort_lookup(spark, sf):
+    """A small cohort's rows, by a filter of the scan, and a larger one's, by a join."""
+    path = scratch(spark, "split")
+    rows = table(spark, sf, "documents").select(as_id("doc_id").alias("pid"), "lang", "text")
+    store.write_split(rows, path, "pid", ["text"])
+    cohorts_read = {name: table(spark, sf, "labels").where(cond).select(as_id("doc_id").alias("pid")) for name, cond in (("few", "doc_id % 40 = 3"), ("many", "true"))}
+    found = [store.read_patients(spark, path, c, "pid", ["pid", "lang", "n_chars"]).select(F.lit(name).alias("cohort"), "*") for name, c in cohorts_read.items()]
+    return found[0].union(found[1])
+
+
 @query
 def training_scan(spark, sf):
     path = scratch(spark, "split")
