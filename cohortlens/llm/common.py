@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,6 +15,19 @@ STEP_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tru
 ROW_GROUP_BYTES = 16 << 20
 
 
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """STEP_SETTINGS hold within."""
+    before = {name: spark.conf.get(name, None) for name in STEP_SETTINGS}
+    for name, value in STEP_SETTINGS.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared work folder and read it back.
 
@@ -22,14 +37,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = {name: spark.conf.get(name, None) for name in STEP_SETTINGS}
-    for name, value in STEP_SETTINGS.items():
-        spark.conf.set(name, value)
-    try:
+    with step(spark):
         df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,15 +18,15 @@ from tokenizers import Tokenizer
 
 from cohortlens.session import work_folder
 
-from .common import table
+from .common import step, table
 from .token_counts import Merges
 from .wavelet import WaveletMatrix, build
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 # A partition's distinct chunks are encoded once, so large partitions encode fewer.
-PARTITION_CHARS = 1 << 26
-CACHED_CHUNKS = 600_000
+PARTITION_BYTES = 1 << 26
+CACHED_CHUNKS = 800_000
 # Bytes of text encoded together.
 SLICE_BYTES = 1 << 23
 # Characters that the normaliser below only lower-cases, one by one.
@@ -132,8 +132,8 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, key: str = "do
         content = docs.sparkSession.sparkContext.broadcast(file.read())
     bits = max(1, int(max(Tokenizer.from_file(tokenizer_file).get_vocab_size() - 1, end_id)).bit_length())
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // PARTITION_CHARS))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PARTITION_BYTES))
     placed = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,8 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, key: str = "do
         if held:
             yield shard(keys, counts, data)
 
-    placed.mapInArrow(sharded, "part int, number int, n_tokens bigint, file binary").write.parquet(path)
+    with step(docs.sparkSession):
+        placed.mapInArrow(sharded, "part int, number int, n_tokens bigint, file binary").write.parquet(path)
 
 
 def read_texts(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:

@@ -24,7 +24,7 @@ def build(ids: np.ndarray, bits: int, keys: list[int | None] = (), counts: list[
            np.array([NO_KEY if k is None else k for k in keys], dtype="<i8").tobytes(), np.array(counts, dtype="<u4").tobytes()]
     press, now = zstandard.ZstdCompressor(level=1), np.asarray(ids)
     for bit in range(bits - 1, -1, -1):
-        ones = (now >> now.dtype.type(bit)) & now.dtype.type(1) != 0
+        ones = (now & now.dtype.type(1 << bit)).astype(bool)
         zeros = now[~ones]
         plane = press.compress(np.packbits(ones, bitorder="little").tobytes())
         out += [struct.pack("<QQ", len(zeros), len(plane)), plane]
@@ -112,10 +112,11 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids in order, as unsigned 32-bit numbers."""
-        now = np.zeros(self.size, dtype=np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        now = np.zeros(self.size, dtype=kind)
         for level in range(self.bits - 1, -1, -1):
-            plane, above = self.planes[level], np.empty(self.size, dtype=np.uint32)
+            plane, above = self.planes[level], np.empty(self.size, dtype=kind)
             above[~plane.ones] = now[:plane.zeros]
-            above[plane.ones] = now[plane.zeros:] | np.uint32(1 << (self.bits - 1 - level))
+            above[plane.ones] = now[plane.zeros:] | kind(1 << (self.bits - 1 - level))
             now = above
-        return now
+        return now.astype(np.uint32)

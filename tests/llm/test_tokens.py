@@ -55,7 +55,7 @@ def test_other_files_are_encoded_whole(spark, tmp_path):
 
 def test_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(op, "SHARD_TOKENS", 50)
-    monkeypatch.setattr(op, "PARTITION_CHARS", 400)
+    monkeypatch.setattr(op, "PARTITION_BYTES", 400)
     texts = ["Hello there.", None, "", "word " * 300, "çé <|endoftext|> x", *(f"text {i} of some" for i in range(40))]
     docs = docs_of(spark, texts).unionByName(docs_of(spark, ["again"])).withColumnsRenamed({"lang": "part", "source": "number"})
     op.write_shards(docs, FILE, str(tmp_path / "shards"))
