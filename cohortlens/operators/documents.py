@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import ngrams, token_text, tokens
-from ..session import keep
+from ..session import cut_lineage
 from .ordering import positions, running_total
 from .repeats import blank_in_row, blank_pieces
 
@@ -51,7 +51,7 @@ def assemble(rows: DataFrame, pid: Column, text: Column, order: Sequence[Column]
         pid.cast("string").alias("pid"),
         F.coalesce(F.length(text) if size is None else size, F.lit(0)).cast("bigint").alias("_size"),
     )
-    long_ids = keep(
+    long_ids = cut_lineage(
         sizes.groupBy("pid").agg(F.sum(F.col("_size") + len(separator)).alias("_total"))
         .where(F.col("_total") > row_chars).select("pid")
     )

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import cut_lineage
 
+# Task functions travel with the job, so executors need numpy and pyarrow but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BINS_PER_OCTAVE = 64
 # Above the bins of the smallest number that is not zero.
 FIRST_BIN = 1075 * BINS_PER_OCTAVE
@@ -19,18 +26,41 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
     """Add ``name``: the sum of ``weight`` over the rows of the same key that sort before this row.
 
     Rows are range-partitioned by (keys, order), so a hot key spreads over many slices. Each slice
-    sums its own rows; a slice's starting value is the sum of the key's earlier slices, of which
+    adds up its own rows while they pass; a slice's starting value is the sum of the key's earlier slices, of which
     there are at most as many as partitions. Rows equal in every column are interchangeable.
     """
-    sliced = cut_lineage(
-        df.withColumn("_weight", weight)
+    marked = (
+        df.withColumn("_weight", weight.cast("bigint"))
         .withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
         .withColumn("_same", F.monotonically_increasing_id())
-        .repartitionByRange(*[F.col(c) for c in (*keys, *order, "_tie", "_same")])
-        .withColumn("_slice", F.spark_partition_id())
     )
+    columns = marked.columns
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, held = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            weights = pc.fill_null(batch["_weight"], 0).to_numpy()
+            new = np.append(True, np.zeros(n - 1, dtype=bool))
+            for key in keys:
+                code = pc.fill_null(batch[key].dictionary_encode().indices, -1).to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, n))
+            before = np.cumsum(weights) - weights
+            local = before - np.repeat(before[starts], sizes)
+            if tuple(batch[key][0].as_py() for key in keys) == last:
+                local[:sizes[0]] += held
+            last, held = tuple(batch[key][n - 1].as_py() for key in keys), int(local[-1] + weights[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, dtype=np.int32)), pa.array(local, pa.int64())],
+                                             names=[*columns, "_slice", "_local"])
+
+    schema = T.StructType([*marked.schema.fields, T.StructField("_slice", T.IntegerType()), T.StructField("_local", T.LongType())])
+    by = [F.col(c) for c in (*keys, *order, "_tie", "_same")]
+    sliced = cut_lineage(marked.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(summed, schema))
     group = [*keys, "_slice"]
-    within = Window.partitionBy(*group).orderBy(*order, "_tie", "_same")
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         sliced.groupBy(*group)
@@ -38,22 +68,14 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
         .withColumn("_start", F.coalesce(F.sum("_slice_sum").over(earlier), F.lit(0)))
         .drop("_slice_sum")
     )
-    local = F.coalesce(
-        F.sum("_weight").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    return (
-        sliced.withColumn("_local", local)
-        .join(starts, group)
-        .withColumn(name, F.col("_start") + F.col("_local"))
-        .drop("_weight", "_tie", "_same", "_slice", "_start", "_local")
-    )
+    # Without keys there is one row per slice.
+    found = sliced.join(starts if keys else F.broadcast(starts), group)
+    return found.withColumn(name, F.col("_start") + F.col("_local")).drop("_weight", "_tie", "_same", "_slice", "_start", "_local")
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: the 0-based position of each row within its key (or overall, with no key)."""
-    if keys:
-        return running_total(df, keys, order, F.lit(1).cast("bigint"), name)
-    return running_total(df.withColumn("_all", F.lit(0)), ["_all"], order, F.lit(1).cast("bigint"), name).drop("_all")
+    return running_total(df, keys, order, F.lit(1), name)
 
 
 def weight_bin(weight: Column) -> Column:
