@@ -185,16 +185,18 @@ def train_scope(tables: Mapping[str, Features], cases: DataFrame, run: str, out:
     part, replaces its rows.
     """
     spark = cases.sparkSession
-    # Joined once; the matrix of a single table is a part of each row. Every fit reads the files through a plan of its own.
-    matrix_path = f"{out}/matrices/{run}"
+    # Joined once; the matrix of a single table is a part of each row. Every fit reads files through plans of its own, as
+    # the expressions of one plan must not be sent out by several threads at the same time.
+    matrix_path, cases_path = f"{out}/matrices/{run}/joined", f"{out}/matrices/{run}/cases"
     store.save(vectors.join_tables({name: df for name, (df, _) in tables.items()}), matrix_path)
+    store.save(cases.select("pid").distinct(), cases_path)
 
     def fitted(only: tuple[str, ...], kind: str, weight: float) -> None:
         chosen = only or tuple(tables)
         columns, tag, name = [c for t in chosen for c in tables[t][1]], f"lsi_{only[0]}" if only else "lsi_all", f"{kind}{weight:g}"
         said_path = f"{out}/predictions/{run}/{name}_{tag}"
         result, lists, model = training.train_and_check(
-            vectors.side_by_side(store.load(spark, matrix_path), chosen), cases, columns, run, tag, kind, weight, f"{out}/models/{run}/{name}_{tag}", said_path)
+            vectors.side_by_side(store.load(spark, matrix_path), chosen), store.load(spark, cases_path), columns, run, tag, kind, weight, f"{out}/models/{run}/{name}_{tag}", said_path)
         store.replace(result, f"{out}/results", run, name, tag)
         store.replace(lists, f"{out}/error_lists", run, name, tag)
         store.replace(reports.classification(store.load(spark, said_path), run, name, tag), f"{out}/reports", run, name, tag)
@@ -203,14 +205,14 @@ def train_scope(tables: Mapping[str, Features], cases: DataFrame, run: str, out:
             store.replace(found, f"{out}/coefficients", run, name, tag)
 
     def described() -> None:
-        data = training.labelled(vectors.side_by_side(store.load(spark, matrix_path), tuple(tables)), cases, config.case_weight)
+        data = training.labelled(vectors.side_by_side(store.load(spark, matrix_path), tuple(tables)), store.load(spark, cases_path), config.case_weight)
         store.replace(reports.patient_lists(data, run), f"{out}/patient_lists", run)
         store.replace(reports.manifest(data, run, list(config.learners), config.case_weight), f"{out}/manifest", run)
 
     fits = [partial(fitted, only, kind, weight) for only in [(), *[(name,) for name in tables]] for kind in config.learners
             for weight in (config.case_weight, *config.other_case_weights)]
     side_by_side(spark, [*fits, described], config.fits_at_once)
-    store.drop(spark, matrix_path)
+    store.drop(spark, f"{out}/matrices/{run}")
     overlap = reports.false_positive_overlap(store.load_all(spark, f"{out}/error_lists").where(F.col("run") == run))
     store.replace(overlap.withColumn("run", F.lit(run)), f"{out}/fp_overlap", run)
     if config.review:
@@ -250,24 +252,26 @@ def run_grid(spark: SparkSession, raw: str, out: str, config: GridConfig = GridC
         ids = store.load(spark, f"{out}/{spec.name}_clean").select("pid")
         patients = ids if patients is None else patients.union(ids)
     membership = store.save(scope_membership(patients, disease, restricted), f"{out}/scopes")
-    fitted = {
-        spec.name: build_features(store.load(spark, f"{out}/{spec.name}_clean"), membership, scopes,
-                                  f"{out}/features/{spec.name}", config)
-        for spec in text_tables
-    }
-    others = {spec.name: demographic_features(spark, out, spec) for spec in config.tables if spec.name == DEMOGRAPHICS.name}
-    cases = cohorts.members(disease, "case")
+    fitted = [spec.name for spec in text_tables]
+    for spec in text_tables:
+        build_features(store.load(spark, f"{out}/{spec.name}_clean"), membership, scopes, f"{out}/features/{spec.name}", config)
+    others: dict[str, list[str]] = {}
+    for spec in config.tables:
+        if spec.name == DEMOGRAPHICS.name:
+            found, others[spec.name] = demographic_features(spark, out, spec)
+            store.save(found, f"{out}/features/{spec.name}/vectors")
+    cases = store.save(cohorts.members(disease, "case"), f"{out}/cases")
 
     def trained(scope: str, odds: float, topics: int) -> DataFrame:
-        here_cases = cohorts.restrict(cases, restricted if scope.startswith(RESTRICTED) else None)
+        here_cases = cohorts.restrict(store.load(spark, f"{out}/cases"), store.load(spark, f"{out}/history_cohort") if scope.startswith(RESTRICTED) else None)
         here = (F.col("scope") == scope) & (F.col("odds") == odds)
         # A smaller topic count is a prefix of the largest.
         tables: dict[str, Features] = {
-            table: (df.where(here).select("pid", F.slice("vec", 1, topics).alias("vec")), vectors.column_names(table, topics))
-            for table, df in fitted.items()
-        }
+            table: (store.load(spark, f"{out}/features/{table}/vectors").where(here).select("pid", F.slice("vec", 1, topics).alias("vec")), vectors.column_names(table, topics))
+            for table in fitted
+        } | {table: (store.load(spark, f"{out}/features/{table}/vectors"), names) for table, names in others.items()}
         run = f"{stamp}_{'-'.join(s.name for s in config.tables)}_{scope}_odds{odds:g}_topics{topics}"
-        return train_scope({**tables, **others}, here_cases, run, out, config)
+        return train_scope(tables, here_cases, run, out, config)
 
     combinations = [partial(trained, scope, odds, topics) for scope in scopes for odds in config.odds for topics in config.topics]
     side_by_side(spark, combinations, config.scopes_at_once)

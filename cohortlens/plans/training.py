@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -55,11 +56,20 @@ def fit(data: DataFrame, kind: str = "boosted", **settings) -> PipelineModel:
     """Fit on the training part; the learner makes many passes, hence the persisted input."""
     rows = keep(data.where(~F.col("is_test")).select("features", "label", "weight"))
     try:
-        return Pipeline(stages=[learner(kind, **settings)]).fit(rows)
+        return without_summary(Pipeline(stages=[learner(kind, **settings)]).fit(rows))
     finally:
         rows.unpersist()
 
 
+def without_summary(model: PipelineModel) -> PipelineModel:
+    """The model without the summaries of its training, which hold the session: a session that has made an observation
+    cannot be sent to executors, and so the model could not predict there."""
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 def predict(model: PipelineModel, data: DataFrame) -> DataFrame:
     """``(pid, label, is_test, prediction)`` with 0/1 predictions for train and test patients."""
     return model.transform(data).select(

@@ -12,7 +12,8 @@ from __future__ import annotations
 import csv
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -383,10 +384,32 @@ def watched_report(rows: DataFrame, counts: DataFrame, seen: Observation, spec:
     return clean.unionByName(ingest_report(rows.where(F.col(FILE).isin(faulty)), spec, id_length))
 
 
-def repair_header(df: DataFrame, id_name: str) -> DataFrame:
-    """Rename the first column to the id's name where it merely contains it (a byte-order mark, junk)."""
-    first = df.columns[0]
-    return df.withColumnRenamed(first, id_name) if re.search(re.escape(id_name), first, re.IGNORECASE) else df
+def repaired(names: Sequence[str], id_name: str) -> list[str]:
+    """The names of a header, the first one replaced by the id's where it merely contains it (a byte-order mark, junk)."""
+    first = [id_name if re.search(re.escape(id_name), n, re.IGNORECASE) else n for n in names[:1]]
+    return [*first, *names[1:]]
+
+
+def read_by_header(spark: SparkSession, path: str, spec: TableSpec, limit: int | None = None) -> DataFrame:
+    """The declared columns found by the name that each file's own header gives them, in whatever order; one that a file lacks is empty there.
+
+    Headers are read from the beginnings of the files and repaired, files of one header are read together. A name that stands twice
+    means its last column.
+    """
+    raw = replace(spec, columns=("header",), widths=(0,), text=(), sort=None, id="header")
+    beginnings = _first(spark, path, raw, False, 1).select(FILE, F.coalesce(CORRUPT, "header").alias("text")).collect()
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for r in beginnings:
+        names = repaired(next(csv.reader([r["text"]], delimiter=spec.delimiter, quotechar=spec.quote)), spec.id)
+        layouts.setdefault(tuple(names), []).append(r[FILE])
+    parts = []
+    for names, files in sorted(layouts.items()):
+        places = {name: f"c{i}" for i, name in enumerate(names)}
+        wide = replace(raw, columns=tuple(f"c{i}" for i in range(len(names))), widths=(0,) * len(names), id="c0")
+        rows, _ = scan(spark, path, wide, True, limit)
+        found = rows if len(layouts) == 1 else rows.where(F.col(FILE).isin(sorted(files)))
+        parts.append(found.select(*[(F.col(places[c]) if c in places else F.lit("")).alias(c) for c in spec.columns]))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in spec.columns))
 
 
 def write_delimited(df: DataFrame, path: str, delimiter: str = "|", quote: str = '"', encoding: str = "UTF-8",

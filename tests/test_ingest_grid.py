@@ -9,7 +9,7 @@ from functools import partial
 
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from cohortlens.operators import documents, terms
 from cohortlens.plans import grid, reports
@@ -164,9 +164,20 @@ def test_latin1_and_header(spark, tmp_path):
     spec = catalog.TableSpec("N", ("STUDY_PAT_ID", "T"), (32, 10), encoding="ISO-8859-1")
     (tmp_path / "N.csv").write_bytes("STUDY_PAT_ID|T\np|café\n".encode("latin-1"))
     assert delimited.read_table(spark, str(tmp_path / "N.csv"), spec).first().T == "café"
-    df = spark.createDataFrame([(1, 2)], "`xxstudy_pat_id` int, b int")
-    assert delimited.repair_header(df, "STUDY_PAT_ID").columns == ["STUDY_PAT_ID", "b"]
-    assert delimited.repair_header(df, "OTHER").columns == ["xxstudy_pat_id", "b"]
+    assert delimited.repaired(["xxstudy_pat_id", "b"], "STUDY_PAT_ID") == ["STUDY_PAT_ID", "b"]
+    assert delimited.repaired(["x", "STUDY_PAT_ID2"], "STUDY_PAT_ID") == ["x", "STUDY_PAT_ID2"] and delimited.repaired([], "a") == []
+
+
+def test_columns_by_header(spark, tmp_path):
+    (tmp_path / "a_Notes.csv").write_bytes(codecs.BOM_UTF8 + b'"#STUDY_PAT_ID"|T|D\n1|"t|1"|d1\n2|t2\n')
+    (tmp_path / "b_Notes.csv").write_text("D|STUDY_PAT_ID|extra\nd3|3|x\n")
+    (tmp_path / "c_Notes.csv").write_text("")
+    got = sorted(tuple(r) for r in delimited.read_by_header(spark, str(tmp_path), SPEC).collect())
+    assert got == [("1", "d1", "t|1"), ("2", "", "t2"), ("3", "d3", "")]
+    assert delimited.read_by_header(spark, str(tmp_path), SPEC, limit=1).count() == 2
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x_Notes.csv").write_text("")
+    assert delimited.read_by_header(spark, str(tmp_path / "none"), SPEC).columns == list(SPEC.columns)
 
 
 def test_write_read_and_store(spark, tmp_path):
@@ -267,6 +278,8 @@ def test_a_run_repeated_under_its_name_replaces_its_rows(spark, tmp_path):
     vecs = spark.createDataFrame([(p, [rnd.gauss(i % 3 == 0, 1), rnd.gauss(0, 1)]) for i, p in enumerate(people)], "pid string, vec array<double>")
     cases = spark.createDataFrame([(p,) for i, p in enumerate(people) if i % 3 == 0], "pid string")
     tables = {"a": (vecs, ["a0", "a1"]), "b": (vecs.where("vec[0] > -3"), ["b0", "b1"])}
+    seen = Observation()
+    vecs.observe(seen, F.count("*").alias("n")).count()  # a session that has observed something still trains and predicts
     out, names = str(tmp_path), ("results", "error_lists", "reports", "coefficients", "patient_lists", "manifest", "fp_overlap")
 
     def config(*others):

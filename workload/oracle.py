@@ -341,3 +341,4 @@ ORACLE |= {
 }
 ORACLE["cohort_lookup"] = """WITH c AS (SELECT DISTINCT 'many' AS cohort, doc_id FROM labels UNION ALL SELECT DISTINCT 'few', doc_id FROM labels WHERE doc_id % 40 = 3)
     SELECT cohort, doc_id::VARCHAR AS pid, lang, coalesce(length(text), 0) AS n_chars FROM c JOIN documents USING (doc_id)"""
+ORACLE["header_ingest"] = "SELECT conv_id::VARCHAR AS pid, turn::VARCHAR AS turn, coalesce(text, '') AS text FROM conversations"

@@ -200,6 +200,17 @@ def return_ingest(spark, sf):
         return store.save(delimited.read_table(spark, f"{raw}/Notes.csv", spec, header=False), scratch(spark, "rows"))
 
 
+@query
+def header_ingest(spark, sf):
+    """Files with their columns in different orders and a damaged id name, read by their headers."""
+    spec = TableSpec("part", ("pid", "turn", "text"), (32, 8, 360_000), ("text",), "turn", id="pid")
+    raw = scratch(spark, "raw")
+    rows = table(spark, sf, "conversations").select(as_id("conv_id").alias("pid"), as_id("turn").alias("turn"), "text")
+    delimited.write_delimited(rows.where("turn % 2 = 0"), f"{raw}/even", header=True)
+    delimited.write_delimited(rows.where("turn % 2 = 1").select(F.col("pid").alias("#PID"), F.lit("x").alias("other"), "text", "turn"), f"{raw}/odd", header=True)
+    return delimited.read_by_header(spark, f"{raw}/*", spec)
+
+
 @query
 def stray_quote_ingest(spark, sf):
     """Inch marks in fields that are not quoted, read block by block."""
