@@ -26,7 +26,7 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 # A partition's distinct chunks are encoded once, so large partitions encode fewer.
 PARTITION_BYTES = 1 << 26
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 750_000
 # Bytes of text encoded together.
 SLICE_BYTES = 1 << 23
 # Characters that the normaliser below only lower-cases, one by one.
@@ -54,7 +54,8 @@ class Encoder:
     """
 
     def __init__(self, content: str):
-        self.tokenizer, file = Tokenizer.from_str(content), json.loads(content)
+        # The library's tokenizer is made when the first text needs it.
+        self.content, self.tokenizer, file = content, None, json.loads(content)
         normalizer, splitter = file["normalizer"] or {}, file["pre_tokenizer"] or {}
         steps = splitter.get("pretokenizers") or [{}]
         self.by_chunk = normalizer.get("normalizers") == NORMALIZERS and len(steps) == 2 \
@@ -71,6 +72,7 @@ class Encoder:
         self.ids, self.starts, self.counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def whole(self, text: str) -> np.ndarray:
+        self.tokenizer = self.tokenizer or Tokenizer.from_str(self.content)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def plain(self, text: str) -> bool:
