@@ -133,4 +133,24 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_mixing": op2_mixing}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_mixing": rf"""
+WITH RECURSIVE t AS (SELECT *, coalesce(length(text), 0) AS size, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words FROM documents),
+d AS (SELECT doc_id, source, lang, CASE WHEN size = 0 THEN 'short' WHEN (size - length(replace(text, '|', '')))::DOUBLE / size > 0.02 THEN 'tabular'
+    WHEN (size - length(replace(text, '!', '')))::DOUBLE / size > 0.02 THEN 'shouted' WHEN (size - length(replace(text, '"', '')))::DOUBLE / size > 0.01 THEN 'quoted'
+    WHEN size < 400 THEN 'short' ELSE 'prose' END AS topic, CASE WHEN words > 0 THEN words + 1 ELSE 1 END AS n_tokens FROM t),
+cells AS (SELECT coalesce(source, '') AS a, coalesce(lang, '') AS b, topic AS c, sum(n_tokens)::DOUBLE AS w FROM d GROUP BY ALL),
+axes AS (SELECT 0 AS axis, a AS value, sum(w) AS w FROM cells GROUP BY a UNION ALL SELECT 1, b, sum(w) FROM cells GROUP BY b UNION ALL SELECT 2, c, sum(w) FROM cells GROUP BY c),
+goals AS (SELECT axis, value, pow(w, {TEMPERATURE}) / sum(pow(w, {TEMPERATURE})) OVER (PARTITION BY axis) * sum(w) OVER (PARTITION BY axis) AS goal FROM axes),
+raked AS (SELECT 0 AS step, a, b, c, c.w AS given, c.w, ga.goal AS ga, gb.goal AS gb, gc.goal AS gc FROM cells c JOIN goals ga ON ga.axis = 0 AND ga.value = a
+    JOIN goals gb ON gb.axis = 1 AND gb.value = b JOIN goals gc ON gc.axis = 2 AND gc.value = c
+  UNION ALL SELECT step + 1, a, b, c, given, w * CASE step % 3 WHEN 0 THEN ga WHEN 1 THEN gb ELSE gc END
+    / sum(w) OVER (PARTITION BY CASE step % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE c END), ga, gb, gc FROM raked WHERE step < {3 * ROUNDS}),
+ratios AS (SELECT a, b, c, given, w / given AS r FROM raked WHERE step = {3 * ROUNDS}),
+scales AS (SELECT r, ({KEEP} * sum(given) OVER () - coalesce(sum(given) OVER (ORDER BY r DESC, a, b, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(given * r) OVER (ORDER BY r DESC, a, b, c ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM ratios),
+scale AS (SELECT scale FROM scales WHERE scale * r <= 1 ORDER BY r DESC LIMIT 1),
+chances AS (SELECT a, b, c, least(1.0::DOUBLE, coalesce((SELECT scale FROM scale), 1e300) * r) AS p FROM ratios)
+SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, round(p, 6) AS probability,
+  ('0x' || substr(sha256(doc_id || ':{SEED}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < p AS kept
+FROM d JOIN chances ON a = coalesce(source, '') AND b = coalesce(lang, '') AND c = topic
+"""}
