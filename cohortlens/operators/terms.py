@@ -8,16 +8,27 @@ tokenised and counted once for all scopes rather than once per scope.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.keys import BUCKETS_PER_FOLDER, FIRST_TEST_BUCKET, FOLDER, bucket, is_test
-from ..functions.text import tokens
+from ..functions.text import token_text, tokens
+from ..session import cut_lineage
 from .ordering import top_n
 
+# Task functions travel with the job, so executors need numpy and pyarrow but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_SCOPES = 31
+# Rows that the counting of words hands over at a time.
+COUNTED_ROWS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -90,10 +101,47 @@ def _unit_counts(words: DataFrame) -> DataFrame:
     return both.unionByName(pieced)
 
 
+def training_masks(masks: DataFrame) -> DataFrame:
+    """The masks of training patients, decided once per patient. As the condition names the mask, Spark does not infer
+    it for the other side of a join on the id, where it would be worked out for every word."""
+    return masks.where(F.when(~is_test(bucket(F.col("pid"))), F.col("mask")).isNotNull())
+
+
 def token_table(documents: DataFrame) -> DataFrame:
     """``(pid, token, tf)``: each patient's words once, from one pass over the texts. Written to a table, it
-    serves the counts and the bag of words."""
-    return documents.select("pid", F.explode(tokens(F.col("text"))).alias("token")).groupBy("pid", "token").agg(F.count("*").alias("tf"))
+    serves the counts and the bag of words.
+
+    Words are counted where their text lies and nothing is moved; only the counts of patients with several rows are
+    added up. One pass over the ids finds those, and normally there are none.
+    """
+    several = cut_lineage(documents.groupBy("pid").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(F.col("pid").alias("_pid")))
+    counts = _counted_in_rows(documents)
+    if several.isEmpty():
+        return counts
+    same = F.col("pid").eqNullSafe(F.col("_pid"))
+    added = counts.join(several, same, "left_semi").groupBy("pid", "token").agg(F.sum("tf").alias("tf"))
+    return counts.join(several, same, "left_anti").unionByName(added)
+
+
+def _counted_in_rows(documents: DataFrame) -> DataFrame:
+    """``(pid, token, tf)`` for every row of the documents by itself."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, sizes, words, times = [], [], [], []
+            for i, text in enumerate(batch.column(1)):
+                found = Counter((text.as_py() or "").split())
+                at.append(i)
+                sizes.append(len(found))
+                words.extend(found)
+                times.extend(found.values())
+                if len(words) >= COUNTED_ROWS or i == len(batch) - 1:
+                    pids = batch.column(0).take(pa.array(np.repeat(at, sizes)))
+                    yield pa.RecordBatch.from_arrays([pids, pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["pid", "token", "tf"])
+                    at, sizes, words, times = [], [], [], []
+
+    schema = T.StructType([documents.schema["pid"], T.StructField("token", T.StringType()), T.StructField("tf", T.LongType())])
+    return documents.select("pid", token_text(F.col("text")).alias("words")).mapInArrow(counted, schema)
 
 
 def term_counts(documents: DataFrame, masks: DataFrame, scopes: Sequence[str]) -> DataFrame:
@@ -104,7 +152,8 @@ def term_counts(documents: DataFrame, masks: DataFrame, scopes: Sequence[str]) -
 
 def counts_of_tokens(table: DataFrame, masks: DataFrame, scopes: Sequence[str]) -> DataFrame:
     """``term_counts`` from a token table. The split is decided once per patient, on the masks."""
-    rows = table.join(masks.where(~is_test(bucket(F.col("pid")))), "pid")
+    # One row per patient against many: a hash of the few, and the words are not sorted.
+    rows = table.join(training_masks(masks).hint("shuffle_hash"), "pid")
     return _by_scope(rows.groupBy("mask", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), scopes)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.functions.keys import bucket_of
+from cohortlens.functions.keys import bucket, bucket_of, is_test
 from cohortlens.operators import documents, lsi, terms, vectors
 
 SCOPES = ["s1", "s2"]
@@ -169,3 +169,30 @@ def test_documents_without_tokens_count_as_patients(spark):
     masks = terms.membership_masks(spark.createDataFrame([("s", "p1", 1)], "scope string, pid string, label int"), ["s"])
     expected = [("s", 1, 0)] if bucket_of("p1") < 8000 else []
     assert [tuple(r) for r in terms.patient_counts(d, masks, ["s"]).collect()] == expected
+
+
+def plan_of(df, kind="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+def test_words_are_counted_where_their_text_lies(spark, monkeypatch):
+    monkeypatch.setattr(terms, "COUNTED_ROWS", 3)
+    rows = [("1", "alpha beta alpha"), ("2", None), ("3", "of to"), ("4", "gamma gamma delta beta alpha"), (None, "beta beta")]
+    docs = documents.whole(spark.createDataFrame(rows, "id string, text string"), F.col("id"), F.col("text"))
+    found = terms.token_table(docs)
+    assert "Exchange" not in plan_of(found, "executedPlan")
+    want = {("1", "alpha", 2), ("1", "beta", 1), ("4", "gamma", 2), ("4", "delta", 1), ("4", "beta", 1), ("4", "alpha", 1), (None, "beta", 2)}
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    again = terms.token_table(docs.unionByName(docs.where("pid = '4' or pid is null")))
+    doubled = {(p, t, n * (1 if p == "1" else 2)) for p, t, n in want}
+    assert sorted(map(str, map(tuple, again.collect()))) == sorted(map(str, doubled))
+
+
+def test_the_split_is_decided_per_patient_not_per_word(spark):
+    words = spark.createDataFrame([(str(i), "alpha", 2) for i in range(50)], "pid string, token string, tf bigint")
+    masks = spark.createDataFrame([(str(i), 1) for i in range(50)], "pid string, mask bigint")
+    counts = terms.counts_of_tokens(words, masks, ["all"])
+    # Where the condition is also inferred for the words, its digests are twice as many.
+    assert plan_of(counts).count("sha2(") == plan_of(terms.training_masks(masks)).count("sha2(")
+    want = sum(not bool(r[0]) for r in masks.select(is_test(bucket(F.col("pid")))).collect())
+    assert [(r.ctrl_df, r.ctrl_tf, r.case_df) for r in counts.collect()] == [(want, 2 * want, 0)]
