@@ -181,3 +181,16 @@ def test_no_lists(spark):
     none = spark.createDataFrame([], "list string, pid string")
     assert evaluate.list_overlap(none).count() == 0
     assert [tuple(r) for r in evaluate.list_overlap(none, spark.createDataFrame([("x",)], "list string")).collect()] == [("x", "x", None)]
+
+
+def test_cohorts_by_a_table_of_rules_are_found_where_the_patient_is(spark):
+    rows = [(p, s, c) for p in ("1", "2", None) for s, c in (("a", "I5.0"), ("a", "I50"), ("a", "I6"), ("b", "I50"), (None, "I5"))] * 20
+    codes = spark.createDataFrame(rows, "pid string, system string, code string")
+    rules = spark.createDataFrame([(f"c{i}", "a", p) for i in range(30) for p in ("I5", "I")] + [("other", "b", "I5"), ("none", "b", "")], "cohort string, system string, prefix string")
+    found = cohorts.prefix_join(codes, rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # The lists of cohorts are never shuffled: the only exchange of the result is the one by patient.
+    assert plan.count("Exchange hashpartitioning(") == 1 and "hashpartitioning(cohort" not in plan
+    want = {(c, p) for p in ("1", "2", None) for c in [f"c{i}" for i in range(30)] + ["other", "none"]}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
