@@ -106,3 +106,19 @@ def test_a_repeated_query_row_is_asked_once(spark):
     frame = vectors_of(spark, vectors)
     rows = pivot_search.top_k(frame.unionByName(frame.where("vec_id = 0")), "vec_id = 0", 5).collect()
     assert sorted((r["rank"], r.vec_id) for r in rows) == [(i, i) for i in range(1, 6)]
+
+
+@pytest.mark.parametrize("size", [1e5, 1e7, 1e12])
+def test_ranks_follow_products_that_no_long_holds(spark, size):
+    rng = np.random.default_rng(5)
+    vectors = [(rng.normal(size=16) * size * 10.0 ** (i % 3)).tolist() for i in range(60)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in pivot_search.top_k(vectors_of(spark, vectors), "vec_id % 5 = 0", 5).collect())
+    assert got == [(q, r, c, max(-(1 << 63), min((1 << 63) - 1, s))) for q, r, c, s in brute_top(vectors, 5, 5)]
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    vectors = [[float(i % 7), float(i % 5), 1.0] for i in range(30)]
+    frame = vectors_of(spark, vectors)
+    nameless = frame.selectExpr("cast(null as bigint) as vec_id", "embedding", "label")
+    got = sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in pivot_search.top_k(frame.union(nameless), "vec_id % 5 = 0", 5).collect())
+    assert got == brute_top(vectors, 5, 5)
