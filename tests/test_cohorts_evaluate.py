@@ -194,3 +194,14 @@ def test_cohorts_by_a_table_of_rules_are_found_where_the_patient_is(spark):
     want = {(c, p) for p in ("1", "2", None) for c in [f"c{i}" for i in range(30)] + ["other", "none"]}
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_passes_over_training_rows_have_a_bounded_number_of_tasks(spark, monkeypatch):
+    seen, kept = [], training.keep
+    monkeypatch.setattr(training, "keep", lambda df: seen.append(df.rdd.getNumPartitions()) or kept(df))
+    rows = spark.range(0, 300, numPartitions=100).select(
+        F.col("id").cast("string").alias("pid"), F.array((F.col("id") % 2).cast("double"), F.col("id").cast("double")).alias("features"))
+    flat = rows.withColumns({"label": F.element_at("features", 1).cast("int"), "weight": F.lit(1.0), "is_test": F.lit(False)}).withColumn("features", training.as_vector(F.col("features")))
+    model = training.fit(flat, "logistic")
+    assert seen == [training.PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism]
+    assert training.predict(model, flat).where("label <> prediction").count() == 0
