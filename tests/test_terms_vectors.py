@@ -196,3 +196,15 @@ def test_the_split_is_decided_per_patient_not_per_word(spark):
     assert plan_of(counts).count("sha2(") == plan_of(terms.training_masks(masks)).count("sha2(")
     want = sum(not bool(r[0]) for r in masks.select(is_test(bucket(F.col("pid")))).collect())
     assert [(r.ctrl_df, r.ctrl_tf, r.case_df) for r in counts.collect()] == [(want, 2 * want, 0)]
+
+
+def test_a_basis_of_many_terms_is_cut_to_the_vocabulary(spark):
+    keys = "scope string, odds double, term_id int"
+    basis = spark.createDataFrame([("s1", 3.5, i, t, float(i + t)) for i in range(40) for t in range(2)], f"{keys}, topic int, v double")
+    vocab = spark.createDataFrame([("s1", 3.5, i, f"w{i}", 1) for i in range(3)], f"{keys}, token string, cf bigint")
+    weights = spark.createDataFrame([("s1", 3.5, "p", 0, 0.5), ("s1", 3.5, "p", 2, 1.0), ("s1", 3.5, "q", 1, 2.0)], "scope string, odds double, pid string, term_id int, w double")
+    cut = vectors.basis_of_terms(basis, vocab)
+    assert cut.count() == 6
+    found = vectors.project(weights, cut, 2, 3)
+    assert sorted((r.pid, r.vec) for r in found.collect()) == [("p", [2.0, 3.5]), ("q", [2.0, 4.0])]
+    assert "BroadcastHashJoin" in plan_of(found, "executedPlan")
