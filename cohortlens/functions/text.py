@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import sys
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# Task functions travel with the job, so executors do not need this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The whitespace characters (the Unicode set), as the inside of a Java regex class.
 SPACE_CHARS = (
     r"\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0"
@@ -62,6 +68,17 @@ def token_text(text: Column) -> Column:
     return F.array_join(tokens(text), " ")
 
 
+def found_words(lowered: str) -> list[str]:
+    """The words that ``tokens`` takes from a text, for use inside a task, on the text as Spark's ``lower`` gives it.
+
+    Python divides at the same white space, and no word holds any, so only the texts that may hold a chunk to be left out are taken apart.
+    """
+    chunks = lowered.split()
+    if max(map(len, chunks), default=0) > MAX_TOKEN or any(mark in lowered for mark in (*WEB_STARTS, *WEB_ENDS)):
+        lowered = " ".join([c for c in chunks if len(c) <= MAX_TOKEN and not c.startswith(WEB_STARTS) and not c.endswith(WEB_ENDS)])
+    return re.findall(f"[a-z]{{{MIN_TOKEN},}}", lowered)
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Single words (n = 1) or neighbouring pairs joined by an underscore (n = 2).
 

@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.keys import BUCKETS_PER_FOLDER, FIRST_TEST_BUCKET, FOLDER, bucket, is_test
-from ..functions.text import token_text, tokens
+from ..functions.text import found_words, tokens
 from ..session import cut_lineage
 from .ordering import top_n
 
@@ -75,89 +76,114 @@ def scope_labels(mask: Column, scopes: Sequence[str]) -> Column:
     return F.array_compact(F.array(*cells))
 
 
-def document_tokens(documents: DataFrame) -> DataFrame:
-    """``(pid, parts, words)``: words leave the text before any join, so texts are not shuffled."""
-    return documents.select("pid", "parts", tokens(F.col("text")).alias("words"))
+def training_masks(masks: DataFrame) -> DataFrame:
+    """The masks of training patients, decided once per patient. As the condition names the mask, Spark does not infer
+    it for the other side of a join on the id, where it would be worked out for every word."""
+    return masks.where(F.when(~is_test(bucket(F.col("pid"))), F.col("mask")).isNotNull())
+
 
+def token_table(documents: DataFrame) -> DataFrame:
+    """``(pid, token, tf)``: each patient's words once, from one pass over the texts."""
+    return listed_tokens(_lists(documents))
 
-def _unit_counts(words: DataFrame) -> DataFrame:
-    """``(mask, token, df, tf)`` rows whose sums are the counts.
 
-    A patient in one row gives its document counts by a distinct inside the row, which
-    needs no shuffle by patient. Patients in several pieces need one, for document counts only.
+def token_lists(documents: DataFrame, masks: DataFrame) -> DataFrame:
+    """``(pid, words, times, mask, training)``: the token table with a patient's words in few rows, each beside the patient's mask
+    and whether it is a training patient. Written to a table, it serves the counts and the bag of words, and
+    no word has to be moved to its patient's mask again. Patients without a mask have none here.
     """
-    once = F.col("parts") == 1
-    both = words.select("mask", F.explode(F.concat(
-        F.transform("words", lambda w: F.struct(w.alias("token"), F.lit(0).alias("df"), F.lit(1).alias("tf"))),
-        F.transform(
-            F.when(once, F.array_distinct("words")).otherwise(F.array().cast("array<string>")),
-            lambda w: F.struct(w.alias("token"), F.lit(1).alias("df"), F.lit(0).alias("tf")),
-        ),
-    )).alias("u")).select("mask", "u.*")
-    pieced = (
-        words.where(~once).select("pid", "mask", F.explode(F.array_distinct("words")).alias("token")).distinct()
-        .select("mask", "token", F.lit(1).alias("df"), F.lit(0).alias("tf"))
-    )
-    return both.unionByName(pieced)
+    known = masks.select("pid", "mask", (~is_test(bucket(F.col("pid")))).alias("training"))
+    return _lists(documents).join(known.hint("shuffle_hash"), "pid", "left")
 
 
-def training_masks(masks: DataFrame) -> DataFrame:
-    """The masks of training patients, decided once per patient. As the condition names the mask, Spark does not infer
-    it for the other side of a join on the id, where it would be worked out for every word."""
-    return masks.where(F.when(~is_test(bucket(F.col("pid"))), F.col("mask")).isNotNull())
+def listed_tokens(lists: DataFrame) -> DataFrame:
+    """One row ``(token, tf)`` for each word of the lists, with all their other columns."""
+    others = [c for c in lists.columns if c not in ("words", "times")]
+    placed = lists.select(*others, "times", F.posexplode(F.split("words", " ")).alias("_at", "token"))
+    return placed.select(*others, "token", F.get("times", F.col("_at")).alias("tf"))
 
 
-def token_table(documents: DataFrame) -> DataFrame:
-    """``(pid, token, tf)``: each patient's words once, from one pass over the texts. Written to a table, it
-    serves the counts and the bag of words.
+def _lists(documents: DataFrame) -> DataFrame:
+    """``(pid, words, times)`` of each patient.
 
     Words are counted where their text lies and nothing is moved; only the counts of patients with several rows are
-    added up. One pass over the ids finds those, and normally there are none.
+    added up, and these then have a row for each word. One pass over the ids finds those, and normally there are none.
     """
     several = cut_lineage(documents.groupBy("pid").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(F.col("pid").alias("_pid")))
-    counts = _counted_in_rows(documents)
+    lists = _listed_in_rows(documents)
     if several.isEmpty():
-        return counts
+        return lists
     same = F.col("pid").eqNullSafe(F.col("_pid"))
-    added = counts.join(several, same, "left_semi").groupBy("pid", "token").agg(F.sum("tf").alias("tf"))
-    return counts.join(several, same, "left_anti").unionByName(added)
+    added = listed_tokens(lists.join(several, same, "left_semi")).groupBy("pid", "token").agg(F.sum("tf").alias("tf"))
+    return lists.join(several, same, "left_anti").unionByName(added.select("pid", F.col("token").alias("words"), F.array("tf").alias("times")))
 
 
-def _counted_in_rows(documents: DataFrame) -> DataFrame:
-    """``(pid, token, tf)`` for every row of the documents by itself."""
+def _listed_in_rows(documents: DataFrame) -> DataFrame:
+    """``(pid, words, times)`` for every row of the documents by itself: its distinct words, joined by spaces, and how often
+    each stands there. Rows without a word have none here."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, sizes, words, times = [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                found = Counter((text.as_py() or "").split())
-                at.append(i)
-                sizes.append(len(found))
-                words.extend(found)
-                times.extend(found.values())
-                if len(words) >= COUNTED_ROWS or i == len(batch) - 1:
-                    pids = batch.column(0).take(pa.array(np.repeat(at, sizes)))
-                    yield pa.RecordBatch.from_arrays([pids, pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["pid", "token", "tf"])
+                found = Counter(found_words(text.as_py() or ""))
+                if found:
+                    at.append(i)
+                    sizes.append(len(found))
+                    words.append(" ".join(found))
+                    times.extend(found.values())
+                if len(times) >= COUNTED_ROWS or i == len(batch) - 1:
+                    listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(times, pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string()), listed], names=["pid", "words", "times"])
                     at, sizes, words, times = [], [], [], []
 
-    schema = T.StructType([documents.schema["pid"], T.StructField("token", T.StringType()), T.StructField("tf", T.LongType())])
-    return documents.select("pid", token_text(F.col("text")).alias("words")).mapInArrow(counted, schema)
+    schema = T.StructType([documents.schema["pid"], T.StructField("words", T.StringType()), T.StructField("times", T.ArrayType(T.LongType()))])
+    return documents.select("pid", F.lower("text").alias("text")).mapInArrow(counted, schema)
 
 
 def term_counts(documents: DataFrame, masks: DataFrame, scopes: Sequence[str]) -> DataFrame:
-    """``(scope, token, case_df, case_tf, ctrl_df, ctrl_tf)`` over training documents of each scope."""
-    words = document_tokens(training(documents)).join(masks, "pid")
-    return _by_scope(_unit_counts(words).groupBy("mask", "token").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")), scopes)
+    """``(scope, token, case_df, case_tf, ctrl_df, ctrl_tf)`` over training documents of each scope.
+
+    A document in one row is counted in that row, and only its list of words moves to the mask. The words of documents in
+    several pieces are added up per patient first.
+    """
+    known = training(documents)
+    rows = _list_counts(_listed_in_rows(known.where(F.col("parts") == 1)).join(masks.hint("shuffle_hash"), "pid"))
+    words = known.where(F.col("parts") != 1).select("pid", F.explode(tokens(F.col("text"))).alias("token"))
+    pieced = words.groupBy("pid", "token").agg(F.count("*").alias("tf")).join(masks, "pid")
+    return _by_scope(rows.unionByName(pieced.select("mask", "token", F.lit(1).alias("df"), "tf")), scopes)
 
 
 def counts_of_tokens(table: DataFrame, masks: DataFrame, scopes: Sequence[str]) -> DataFrame:
-    """``term_counts`` from a token table. The split is decided once per patient, on the masks."""
+    """``term_counts`` from a token table, or from lists, which have the masks already. The split is decided once per patient, on the masks."""
+    if "words" in table.columns:
+        return _by_scope(_list_counts(table.where(F.col("training") & F.col("mask").isNotNull())), scopes)
     # One row per patient against many: a hash of the few, and the words are not sorted.
     rows = table.join(training_masks(masks).hint("shuffle_hash"), "pid")
-    return _by_scope(rows.groupBy("mask", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), scopes)
+    return _by_scope(rows.select("mask", "token", F.lit(1).alias("df"), "tf"), scopes)
+
+
+def _list_counts(lists: DataFrame) -> DataFrame:
+    """``(mask, token, df, tf)`` rows whose sums are the counts, added up for each batch of lists."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch["mask"].to_numpy()
+            for mask in np.unique(kinds).tolist():
+                part = batch.filter(pa.array(kinds == mask))
+                coded = pc.split_pattern(part["words"], " ").flatten().dictionary_encode()
+                at, n = coded.indices.to_numpy(), len(coded.dictionary)
+                # Sums of doubles are exact up to 2^53.
+                tf = np.bincount(at, part["times"].flatten().to_numpy(), n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, mask)), coded.dictionary, pa.array(np.bincount(at, minlength=n)), pa.array(tf)], names=["mask", "token", "df", "tf"])
+
+    return lists.select("mask", "words", "times").mapInArrow(added, "mask bigint, token string, df bigint, tf bigint")
 
 
-def _by_scope(by_mask: DataFrame, scopes: Sequence[str]) -> DataFrame:
+def _by_scope(parts: DataFrame, scopes: Sequence[str]) -> DataFrame:
+    by_mask = parts.groupBy("mask", "token").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
     rows = by_mask.select("token", "df", "tf", F.inline(scope_labels(F.col("mask"), scopes)))
     case, control = F.col("label") == 1, F.col("label") == 0
 

@@ -148,7 +148,7 @@ def build_features(docs: DataFrame, membership: DataFrame, scopes: Sequence[str]
     count; a smaller count is a prefix of it."""
     masks = keep(terms.membership_masks(membership, scopes))
     # Each text is read once; the counts and the bag come from its words.
-    words = store.save(terms.token_table(docs), f"{out}/tokens")
+    words = store.save(terms.token_lists(docs, masks), f"{out}/tokens")
     counts = store.save(terms.counts_of_tokens(words, masks, scopes), f"{out}/term_counts")
     people = store.save(terms.patient_counts(docs, masks, scopes), f"{out}/patient_counts")
     store.save(terms.odds_ratios(counts, people, config.rules), f"{out}/odds_ratios")

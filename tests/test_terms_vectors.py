@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions.keys import bucket, bucket_of, is_test
+from cohortlens.functions.text import found_words, tokens
 from cohortlens.operators import documents, lsi, terms, vectors
 
 SCOPES = ["s1", "s2"]
@@ -208,3 +209,26 @@ def test_a_basis_of_many_terms_is_cut_to_the_vocabulary(spark):
     found = vectors.project(weights, cut, 2, 3)
     assert sorted((r.pid, r.vec) for r in found.collect()) == [("p", [2.0, 3.5]), ("q", [2.0, 4.0])]
     assert "BroadcastHashJoin" in plan_of(found, "executedPlan")
+
+
+def test_lists_hold_their_masks_and_no_word_moves_to_one(spark):
+    rows = [("1", "alpha beta alpha"), ("2", "alpha gamma"), ("2", "gamma"), ("3", None), (None, "beta"), ("4", "beta")]
+    docs = documents.whole(spark.createDataFrame(rows, "id string, text string"), F.col("id"), F.col("text"))
+    masks = spark.createDataFrame([("1", 1), ("2", 2), ("3", 1)], "pid string, mask bigint")
+    lists, table = terms.token_lists(docs, masks).localCheckpoint(), terms.token_table(docs)
+    words = terms.listed_tokens(lists)
+    assert sorted(map(str, words.select("pid", "token", "tf").collect())) == sorted(map(str, table.collect()))
+    assert {(r.pid, r.mask) for r in words.collect()} == {("1", 1), ("2", 2), (None, None), ("4", None)}
+    vocab = spark.createDataFrame([("s", o, i, t) for o in (2.0, 3.5) for i, t in enumerate(("alpha", "gamma"))] + [("other", 2.0, 0, "beta")],
+                                  "scope string, odds double, term_id int, token string")
+    for f in (lambda t: terms.counts_of_tokens(t, masks, ["s"]), lambda t: vectors.bag_of_tokens(t, masks, ["s"], vocab, 10)):
+        assert sorted(map(tuple, f(lists).collect())) == sorted(map(tuple, f(table).collect()))
+        assert "Join" not in plan_of(f(lists)).replace("Join Inner, (token", "")
+    assert ("s", 2.0, "2", 1, 2) in set(map(tuple, vectors.bag_of_tokens(lists, masks, ["s"], vocab, 10).collect()))
+
+
+def test_words_found_in_a_task_are_those_of_the_column_function(spark):
+    odd = ["", "  x", "See www.a.org/abc or Mail@Server.COM, Abc.org!", "http://x.y abcdef", "a" * 64 + " " + "b" * 65 + " ok fine", "\x85abc\x1cdef​ghi　jkl",
+           "İstanbul KÅelvin Straße", "abc" + "\U0001F600" * 61 + " def", "abc" + "\U0001F600" * 62 + " def", "x.com\x0bcom.x"]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select(F.lower("t").alias("low"), tokens(F.col("t")).alias("w")).collect()
+    assert [found_words(r.low) for r in got] == [r.w for r in got]
