@@ -92,14 +92,13 @@ def _in_pieces(records: DataFrame, order: Sequence[str], separator: str, skip_em
     length = F.length("_joined")
     first_part = F.floor(F.col("_start") / piece_chars)
     last_part = F.floor((F.col("_start") + F.greatest(length, F.lit(1)) - 1) / piece_chars)
-    skip = F.greatest(F.col("part") * piece_chars - F.col("_start"), F.lit(0)).cast("int")
+    first_chars = ((first_part + 1) * piece_chars - F.col("_start")).cast("int")
+    # The rest is divided in one pass; a substring for each piece would count the characters before it again.
+    rest = F.regexp_extract_all(F.substring("_joined", first_chars + 1, length), F.lit(f"(?s).{{1,{piece_chars}}}"), F.lit(0))
     cut = (
-        placed.withColumn("part", F.explode(F.sequence(first_part, last_part)))
-        .select("pid", F.col("part").cast("int").alias("part"), "_before",
-                F.substring(
-                    F.col("_joined"), skip + 1,
-                    ((F.col("part") + 1) * piece_chars - F.col("_start")).cast("int") - skip,
-                ).alias("_chunk"))
+        placed.select("pid", "_before", first_part.alias("_first"), F.posexplode(F.concat(
+            F.array(F.substring("_joined", F.lit(1), first_chars)), rest)).alias("_at", "_chunk"))
+        .select("pid", (F.col("_first") + F.col("_at")).cast("int").alias("part"), "_before", "_chunk")
     )
     pieces = cut.groupBy("pid", "part").agg(
         F.sort_array(F.collect_list(F.struct("_before", "_chunk"))).alias("_entries")
@@ -121,14 +120,19 @@ def whole_words(documents: DataFrame) -> DataFrame:
     Pieces were cut at fixed lengths, which no word of a clean text exceeds, so a word lies in two
     pieces at most. The text as a whole stays the same; patients in one row are left alone.
     """
-    rest = documents.where(F.col("parts") > 1)
-    head = F.regexp_extract("text", "^[^ ]*", 0)
-    ends_inside = rest.where(F.col("text").rlike("[^ ]\\z")).select("pid", (F.col("part") + 1).alias("part"), F.lit(True).alias("_goes_on"))
-    marked = rest.join(ends_inside, ["pid", "part"], "left").withColumn("_head", F.when(F.col("_goes_on"), head).otherwise(F.lit("")))
-    given = marked.where(F.col("_head") != "").select("pid", (F.col("part") - 1).alias("part"), F.col("_head").alias("_tail"))
-    moved = marked.join(given, ["pid", "part"], "left").select(
+    # Read several times, so settled once. Only the beginnings of words that move meet other pieces.
+    rest = cut_lineage(documents.where(F.col("parts") > 1))
+    if rest.isEmpty():
+        return documents
+    ends_inside = rest.where(F.col("text").rlike("[^ ]\\z")).select("pid", (F.col("part") + 1).alias("part"))
+    heads = rest.select("pid", "part", F.regexp_extract("text", "^[^ ]*", 0).alias("_head")).where(F.col("_head") != "")
+    given = heads.join(ends_inside, ["pid", "part"]).select("pid", F.inline(F.array(
+        F.struct("part", F.length("_head").alias("_cut"), F.lit("").alias("_tail")),
+        F.struct((F.col("part") - 1).alias("part"), F.lit(0).alias("_cut"), F.col("_head").alias("_tail")))))
+    changes = given.groupBy("pid", "part").agg(F.max("_cut").alias("_cut"), F.max("_tail").alias("_tail"))
+    moved = rest.join(changes, ["pid", "part"], "left").select(
         "pid", "part", "parts",
-        F.concat(F.substring("text", F.length("_head") + 1, F.length("text")), F.coalesce("_tail", F.lit(""))).alias("text"))
+        F.concat(F.substring("text", F.coalesce("_cut", F.lit(0)) + 1, F.length("text")), F.coalesce("_tail", F.lit(""))).alias("text"))
     return documents.where(F.col("parts") == 1).unionByName(moved)
 
 

@@ -55,3 +55,16 @@ def test_token_table_serves_counts_and_bag(spark, forms):
         F.lit("all").alias("scope"), F.lit(3.5).alias("odds"), F.length("token").alias("term_id"), "token")
     assert flat(vectors.bag_of_tokens(words, masks, ["all"], known), "pid", "term_id", "tf") == flat(
         vectors.bag_of_words(whole, masks, ["all"], known), "pid", "term_id", "tf")
+
+
+def test_pieces_are_cut_in_one_pass_and_settled_before_words_move(spark):
+    texts = {"a": ["x\U0001F600y" * 7, "", "é" * 9 + "\n" + "z"], "b": ["q" * 5, "rs"], "c": ["w" * 11], "d": [""]}
+    rows = spark.createDataFrame([(p, i, t) for p, ts in texts.items() for i, t in enumerate(ts)], "id string, n int, t string")
+    pieces = documents.assemble(rows, F.col("id"), F.col("t"), [F.col("n")], row_chars=3, piece_chars=4)
+    found = {p: [(r.part, r.parts, r.text) for r in pieces.where(F.col("pid") == p).orderBy("part").collect()] for p in texts}
+    for p, ts in texts.items():
+        whole = "\n".join(ts)
+        cut = [whole[i:i + 4] for i in range(0, len(whole), 4)] if len(whole) > 2 else [whole]
+        assert found[p] == [(i, len(cut), c) for i, c in enumerate(cut)], p
+    plan = documents.whole_words(pieces).where("parts > 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "array_join" not in plan
