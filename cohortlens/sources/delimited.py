@@ -35,6 +35,8 @@ BLOCK = "_block_start"
 LINE = "_line"
 # Rows (one per block) that may be broadcast; with blocks of 128 MB these are 25 TB of one table.
 MOST_BLOCKS = 200_000
+# Smaller blocks are read several by one task, up to about so many bytes.
+TASK_BYTES = 1 << 27
 # A record is put together up to about this length; a longer one, in practice a quote that is never closed, is cut there and malformed.
 MOST_RECORD = 1 << 29
 FIELD_LIMIT = (1 << 31) - 1
@@ -100,6 +102,15 @@ def _lines(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK), value.alias("_text"))
 
 
+def _in_few_tasks(lines: DataFrame) -> DataFrame:
+    """The same blocks, each still read from its beginning to its end, in no more tasks than their bytes and the cores ask for."""
+    spark, blocks = lines.sparkSession, lines.rdd.getNumPartitions()
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    size = int(number) << 10 * " kmgtp".index(unit or " ")
+    tasks = max(-(-blocks * size // TASK_BYTES), 4 * spark.sparkContext.defaultParallelism)
+    return lines.coalesce(tasks) if tasks < blocks else lines
+
+
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
     """The stretches of a batch that lie in one block: file, block and rows."""
     if not len(batch):
@@ -236,7 +247,7 @@ def _without_mark(text: str, number: int) -> str:
 
 
 def _all(spark: SparkSession, path: str, spec: TableSpec, header: bool) -> tuple[DataFrame, DataFrame]:
-    lines = _lines(spark, path, spec)
+    lines = _in_few_tasks(_lines(spark, path, spec))
     # A few numbers per block, settled once and for all.
     blocks = cut_lineage(_blocks(lines, spec))
     count, spans = blocks.agg(F.count("*"), F.coalesce(F.max("_ends_open"), F.lit(False))).first()

@@ -355,3 +355,19 @@ def test_lookups_read_the_row_groups_of_their_patients(spark, tmp_path, monkeypa
     assert scanned_rows(unpruned) < 3000
     footer = spark.read.parquet(path).inputFiles()[0].removeprefix("file://").removeprefix("file:")
     assert pq.ParquetFile(footer).metadata.num_row_groups >= 1
+
+
+def test_small_blocks_are_read_several_by_one_task(spark, tmp_path):
+    from cohortlens.sources import delimited
+    from cohortlens.sources.catalog import TableSpec
+    from workload.queries import in_blocks_of
+
+    spec = TableSpec("T", ("id", "x"), (8, 8), id="id")
+    (tmp_path / "T.csv").write_text("".join(f'{i}|"{"a" * (i % 50)}\n|"\n' for i in range(3000)))
+    with in_blocks_of(spark, 512):
+        lines = delimited._lines(spark, str(tmp_path / "T.csv"), spec)
+        shared = delimited._in_few_tasks(lines)
+        assert shared.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < lines.rdd.getNumPartitions()
+        rows = delimited.read_table(spark, str(tmp_path / "T.csv"), spec, header=False, report=True).collect()
+    assert sorted((int(r.id), r.x) for r in rows) == [(i, "a" * (i % 50) + "\n|") for i in range(3000)]
+    assert sorted(r._line for r in rows) == list(range(1, 3001)) and len({r._block_start for r in rows}) > 100
