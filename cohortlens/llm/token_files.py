@@ -6,7 +6,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -106,13 +106,16 @@ class Encoder:
         ends = chunks.offsets.to_numpy()
         coded = chunks.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [c for c in distinct if c not in self.known]
+        # Each chunk is looked up once; new ones get the numbers that follow.
+        numbers = np.fromiter(map(self.known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        new = np.flatnonzero(numbers < 0)
         if len(self.known) + len(new) > CACHED_CHUNKS:
             self.forget()
-            new = distinct
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[coded.indices.to_numpy()]
+            new = np.arange(len(distinct))
+        if len(new):
+            numbers[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.learn([distinct[i] for i in new.tolist()])
+        at = numbers[coded.indices.to_numpy()]
         sizes = self.counts[at] if len(at) else np.zeros(0, dtype=np.int64)
         sums = np.append(0, np.cumsum(sizes))[ends - ends[0]]
         counts[plain] = np.diff(sums)
@@ -186,7 +189,7 @@ def read_texts(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame
         for batch in batches:
             for part, number, data in zip(batch.column(0), batch.column(1), batch.column(2)):
                 matrix = WaveletMatrix(data.as_py())
-                ids, ends = matrix.tokens().astype("<u4"), np.cumsum(matrix.counts)
+                ids, ends = matrix.tokens().astype("<u4", copy=False), np.cumsum(matrix.counts)
                 starts = ends - matrix.counts
                 sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)]
                 n = len(sums)

@@ -25,10 +25,11 @@ def build(ids: np.ndarray, bits: int, keys: list[int | None] = (), counts: list[
     press, now = zstandard.ZstdCompressor(level=1), np.asarray(ids)
     for bit in range(bits - 1, -1, -1):
         ones = (now & now.dtype.type(1 << bit)).astype(bool)
-        zeros = now[~ones]
+        # Places are faster than masks where bits change often.
+        zeros = now[np.flatnonzero(~ones)]
         plane = press.compress(np.packbits(ones, bitorder="little").tobytes())
         out += [struct.pack("<QQ", len(zeros), len(plane)), plane]
-        now = np.concatenate([zeros, now[ones]])
+        now = np.concatenate([zeros, now[np.flatnonzero(ones)]])
     return b"".join(out)
 
 
@@ -116,7 +117,7 @@ class WaveletMatrix:
         now = np.zeros(self.size, dtype=kind)
         for level in range(self.bits - 1, -1, -1):
             plane, above = self.planes[level], np.empty(self.size, dtype=kind)
-            above[~plane.ones] = now[:plane.zeros]
-            above[plane.ones] = now[plane.zeros:] | kind(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~plane.ones)] = now[:plane.zeros]
+            above[np.flatnonzero(plane.ones)] = now[plane.zeros:] | kind(1 << (self.bits - 1 - level))
             now = above
         return now.astype(np.uint32)

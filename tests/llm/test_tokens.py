@@ -72,3 +72,28 @@ def test_round_trip(spark, tmp_path, monkeypatch):
 def test_empty_table(spark, tmp_path):
     op.write_shards(docs_of(spark, []), FILE, str(tmp_path / "none"))
     assert op.read_texts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_each_distinct_chunk_is_looked_up_once():
+    class Counting(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            Counting.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+        def get(self, *args):
+            Counting.asked += 1
+            return super().get(*args)
+
+    with open(FILE, encoding="utf-8") as file:
+        encoder = op.Encoder(file.read())
+    encoder.known = Counting()
+    texts = ["one two, one Three", "two four one"]
+    found = [encoder.encode(pa.array([t]))[0].tolist() for t in texts]
+    assert Counting.asked == 3 + 3
+    assert found == [Tokenizer.from_file(FILE).encode(t, add_special_tokens=False).ids for t in texts]
