@@ -18,17 +18,20 @@ from tokenizers import Tokenizer
 
 from cohortlens.session import work_folder
 
-from .common import step, table
+from .common import ROW_GROUP_BYTES, step, table
 from .token_counts import Merges
 from .wavelet import WaveletMatrix, build
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-# A partition's distinct chunks are encoded once, so large partitions encode fewer.
-PARTITION_BYTES = 1 << 26
-CACHED_CHUNKS = 750_000
+# Of text: what a task sorts, and what its encoder sees, is no more.
+PARTITION_BYTES = 1 << 25
+# Chunks that an encoder remembers, some 200 bytes each.
+CACHED_CHUNKS = 250_000
 # Bytes of text encoded together.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 21
+# Rows are whole shards, so pages and row groups are looked at after each row; by default the first look is after a hundred.
+SHARD_OPTIONS = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 # Characters that the normaliser below only lower-cases, one by one.
 BEYOND_PLAIN = regex.compile(r"[^\s\x21-\x7EÀ-ÖØ-öø-įĲ-ňŊ-ž]")
 # The steps before the merges that make a chunk between white space independent of what stands around it (fixed values of such files).
@@ -45,6 +48,11 @@ def _ragged(data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndar
     return data[np.repeat(starts - before, counts) + np.arange(int(counts.sum()))]
 
 
+def _listed(values: pa.Array) -> list:
+    """The same as ``to_pylist`` for strings, faster."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of texts, many at a time.
 
@@ -78,21 +86,28 @@ class Encoder:
     def plain(self, text: str) -> bool:
         return self.by_chunk and (text.isascii() or not BEYOND_PLAIN.search(text)) and not any(s in text for s in self.apart)
 
-    def learn(self, chunks: list[str]) -> None:
-        """Chunks of letters are one piece each, the others as many as the splitter finds."""
+    def learn(self, chunks: list[str], lasting: int) -> None:
+        """Chunks of letters are one piece each, the others as many as the splitter finds. Only the first ``lasting`` of them get
+        into ``known``; the rest have their ids at the end of the arrays, until ``drop``."""
         listed = [[c] if c.isalpha() else self.pieces(c) for c in chunks]
-        number = {p: i for i, p in enumerate(set().union(*listed))}
-        counts, symbols = self.merges.merged(list(map(str.encode, number)), keep=True)
+        coded = pa.array(chain.from_iterable(listed), pa.string()).dictionary_encode()
+        pieces = coded.indices.to_numpy()
+        counts, symbols = self.merges.merged(_listed(coded.dictionary.cast(pa.binary())), keep=True)
         starts = np.cumsum(counts) - counts
         sizes = np.fromiter(map(len, listed), dtype=np.int64, count=len(listed))
-        pieces = np.fromiter(map(number.__getitem__, chain.from_iterable(listed)), dtype=np.int64, count=int(sizes.sum()))
         found = _ragged(self.merges.ids[symbols].astype(np.uint32), starts[pieces], counts[pieces])
         ends = np.append(0, np.cumsum(counts[pieces]))[np.append(0, np.cumsum(sizes))]
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+        self.known.update(zip(chunks[:lasting], range(len(self.known), len(self.known) + lasting)))
         self.starts = np.append(self.starts, ends[:-1] + len(self.ids))
         self.counts = np.append(self.counts, np.diff(ends))
         self.ids = np.append(self.ids, found)
 
+    def drop(self) -> None:
+        """The ids of chunks that are not in ``known`` go."""
+        n = len(self.known)
+        if n < len(self.starts):
+            self.starts, self.counts, self.ids = self.starts[:n].copy(), self.counts[:n].copy(), self.ids[:self.starts[n]].copy()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each has."""
         listed = texts.to_pylist()
@@ -105,25 +120,28 @@ class Encoder:
         chunks = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(pa.array(plain))))
         ends = chunks.offsets.to_numpy()
         coded = chunks.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        # Each chunk is looked up once; new ones get the numbers that follow.
+        distinct, places = _listed(coded.dictionary), coded.indices.to_numpy()
+        often = np.bincount(places, minlength=len(distinct)) > 1
+        # Each chunk is looked up once; new ones get the numbers that follow. Those that stand here once are not remembered: most never come again.
         numbers = np.fromiter(map(self.known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
         new = np.flatnonzero(numbers < 0)
-        if len(self.known) + len(new) > CACHED_CHUNKS:
+        if len(self.known) + np.count_nonzero(often[new]) > CACHED_CHUNKS:
             self.forget()
             new = np.arange(len(distinct))
         if len(new):
+            new = np.concatenate([new[often[new]], new[~often[new]]])
             numbers[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self.learn([distinct[i] for i in new.tolist()])
-        at = numbers[coded.indices.to_numpy()]
+            self.learn([distinct[i] for i in new.tolist()], np.count_nonzero(often[new]))
+        at = numbers[places]
         sizes = self.counts[at] if len(at) else np.zeros(0, dtype=np.int64)
         sums = np.append(0, np.cumsum(sizes))[ends - ends[0]]
         counts[plain] = np.diff(sums)
         data = _ragged(self.ids, self.starts[at], sizes) if len(at) else np.zeros(0, dtype=np.uint32)
+        self.drop()
         if not odd:
             return data, counts
-        places = np.cumsum(plain) - 1
-        return np.concatenate([odd[i] if i in odd else data[sums[places[i]]:sums[places[i] + 1]] for i in range(len(listed))]), counts
+        row = np.cumsum(plain) - 1
+        return np.concatenate([odd[i] if i in odd else data[sums[row[i]]:sums[row[i] + 1]] for i in range(len(listed))]), counts
 
 
 def write_shards(docs: DataFrame, tokenizer_file: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
@@ -178,7 +196,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, key: str = "do
             yield shard(keys, counts, data)
 
     with step(docs.sparkSession):
-        placed.mapInArrow(sharded, "part int, number int, n_tokens bigint, file binary").write.parquet(path)
+        placed.mapInArrow(sharded, "part int, number int, n_tokens bigint, file binary").write.options(**SHARD_OPTIONS).parquet(path)
 
 
 def read_texts(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
