@@ -74,14 +74,14 @@ class Merges:
         only the pairs beside the merged places. Words without a pair left drop out.
         """
         out = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ended = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        ended = [(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32))]
         short = np.flatnonzero((out > 0) & (out <= LONG))
         for i in np.flatnonzero(out > LONG):
             left = self.merge_long(words[i])
             out[i] = len(left)
-            ended.append((np.full(len(left), i), np.array(left, dtype=np.int64)))
-        owner = np.repeat(short, out[short])
-        symbols = np.frombuffer(b"".join([words[i] for i in short]), dtype=np.uint8).astype(np.int64)
+            ended.append((np.full(len(left), i, dtype=np.int32), np.array(left, dtype=np.int32)))
+        owner = np.repeat(short.astype(np.int32), out[short])
+        symbols = np.frombuffer(b"".join([words[i] for i in short.tolist()]), dtype=np.uint8).astype(np.int32)
         if self.ends:
             symbols[np.cumsum(out[short]) - 1] += self.ends
         rank = np.full(len(symbols), NONE, dtype=np.int32)
@@ -94,7 +94,8 @@ class Merges:
             lowest = np.repeat(least, np.diff(np.append(starts, len(owner))))
             going = lowest != NONE
             if keep:
-                ended.append((owner[~going], symbols[~going]))
+                done = np.flatnonzero(~going)
+                ended.append((owner[done], symbols[done]))
             at = np.flatnonzero((rank == lowest) & going)
             if not len(at):
                 break
@@ -107,13 +108,14 @@ class Merges:
             going[at + 1] = False
             changed = np.zeros(len(symbols), dtype=bool)
             changed[at] = True
-            symbols, owner, rank, changed = symbols[going], owner[going], rank[going], changed[going]
+            left = np.flatnonzero(going)
+            symbols, owner, rank, changed = symbols[left], owner[left], rank[left], changed[left]
             changed[:-1] |= changed[1:]
             look = np.flatnonzero(changed)
             inside = look[(look + 1 < len(owner))]
             inside = inside[owner[inside] == owner[inside + 1]]
             rank[look] = NONE
-            rank[inside] = self._look_up(symbols[inside] * self.width + symbols[inside + 1])
+            rank[inside] = self._look_up(symbols[inside].astype(np.int64) * self.width + symbols[inside + 1])
         owner, symbols = (np.concatenate(side) for side in zip(*ended))
         return out, symbols[np.argsort(owner, kind="stable")]
 

@@ -24,12 +24,12 @@ from .wavelet import WaveletMatrix, build
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-# Of text: what a task sorts, and what its encoder sees, is no more.
-PARTITION_BYTES = 1 << 25
+# A partition's recurring chunks are encoded once, so large partitions encode fewer.
+PARTITION_BYTES = 1 << 26
 # Chunks that an encoder remembers, some 200 bytes each.
 CACHED_CHUNKS = 250_000
 # Bytes of text encoded together.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 22
 # Rows are whole shards, so pages and row groups are looked at after each row; by default the first look is after a hundred.
 SHARD_OPTIONS = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 # Characters that the normaliser below only lower-cases, one by one.
@@ -87,9 +87,9 @@ class Encoder:
         return self.by_chunk and (text.isascii() or not BEYOND_PLAIN.search(text)) and not any(s in text for s in self.apart)
 
     def learn(self, chunks: list[str], lasting: int) -> None:
-        """Chunks of letters are one piece each, the others as many as the splitter finds. Only the first ``lasting`` of them get
+        """Chunks of letters are one piece each, with one other character behind them two, the others as many as the splitter finds. Only the first ``lasting`` of them get
         into ``known``; the rest have their ids at the end of the arrays, until ``drop``."""
-        listed = [[c] if c.isalpha() else self.pieces(c) for c in chunks]
+        listed = [[c] if c.isalpha() else [c[:-1], c[-1]] if c[:-1].isalpha() and c[-1].isascii() else self.pieces(c) for c in chunks]
         coded = pa.array(chain.from_iterable(listed), pa.string()).dictionary_encode()
         pieces = coded.indices.to_numpy()
         counts, symbols = self.merges.merged(_listed(coded.dictionary.cast(pa.binary())), keep=True)

@@ -16,6 +16,8 @@ import zstandard
 MAGIC = b"WVM1"
 SAMPLE_BITS = 512
 NO_KEY = -(1 << 63)
+# Planes are divided and joined this many places at a time, which stay in a core's cache.
+BLOCK = 1 << 15
 
 
 def build(ids: np.ndarray, bits: int, keys: list[int | None] = (), counts: list[int] = ()) -> bytes:
@@ -25,11 +27,17 @@ def build(ids: np.ndarray, bits: int, keys: list[int | None] = (), counts: list[
     press, now = zstandard.ZstdCompressor(level=1), np.asarray(ids)
     for bit in range(bits - 1, -1, -1):
         ones = (now & now.dtype.type(1 << bit)).astype(bool)
-        # Places are faster than masks where bits change often.
-        zeros = now[np.flatnonzero(~ones)]
+        zeros = len(now) - int(np.count_nonzero(ones))
         plane = press.compress(np.packbits(ones, bitorder="little").tobytes())
-        out += [struct.pack("<QQ", len(zeros), len(plane)), plane]
-        now = np.concatenate([zeros, now[np.flatnonzero(ones)]])
+        out += [struct.pack("<QQ", zeros, len(plane)), plane]
+        divided, a, b = np.empty_like(now), 0, zeros
+        for at in range(0, len(now), BLOCK):
+            # Places are faster than masks where bits change often.
+            part, here = now[at:at + BLOCK], ones[at:at + BLOCK]
+            low, high = np.flatnonzero(~here), np.flatnonzero(here)
+            divided[a:a + len(low)], divided[b:b + len(high)] = part[low], part[high]
+            a, b = a + len(low), b + len(high)
+        now = divided
     return b"".join(out)
 
 
@@ -117,7 +125,12 @@ class WaveletMatrix:
         now = np.zeros(self.size, dtype=kind)
         for level in range(self.bits - 1, -1, -1):
             plane, above = self.planes[level], np.empty(self.size, dtype=kind)
-            above[np.flatnonzero(~plane.ones)] = now[:plane.zeros]
-            above[np.flatnonzero(plane.ones)] = now[plane.zeros:] | kind(1 << (self.bits - 1 - level))
+            now[plane.zeros:] |= kind(1 << (self.bits - 1 - level))
+            a, b = 0, plane.zeros
+            for at in range(0, self.size, BLOCK):
+                part, here = above[at:at + BLOCK], plane.ones[at:at + BLOCK]
+                low, high = np.flatnonzero(~here), np.flatnonzero(here)
+                part[low], part[high] = now[a:a + len(low)], now[b:b + len(high)]
+                a, b = a + len(low), b + len(high)
             now = above
         return now.astype(np.uint32)

@@ -117,7 +117,7 @@ def test_chunks_that_stand_once_are_not_remembered():
 
 
 def test_large_partition_is_encoded_in_bounded_memory():
-    """What a fresh process holds after each slice of 24 MB of ever new words: 370 MB more than at its start when all were remembered, 150 now."""
+    """What a fresh process holds after each slice of 24 MB of ever new words: some 370 MB more than at its start when all were remembered, 95 now."""
     code = f'''
 import re, sys
 sys.path.insert(0, {str(Path(op.__file__).resolve().parents[2])!r})
