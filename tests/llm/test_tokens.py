@@ -12,7 +12,7 @@ import pytest
 from conftest_llm import docs_of
 from tokenizers import Tokenizer
 
-from cohortlens.llm import token_files as op
+from cohortlens.llm import token_files as op, wavelet
 from cohortlens.llm.wavelet import WaveletMatrix, build
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,14 @@ def test_wavelet_matrix(n, bits):
             assert m.count(token, a, b) == len(places) and m.occurrences(token, a, b) == places
 
 
+def test_wavelet_matrix_of_several_blocks(monkeypatch):
+    ids = np.random.default_rng(4).integers(0, 1 << 9, 5000).astype(np.uint16)
+    whole = build(ids, 9)
+    monkeypatch.setattr(wavelet, "BLOCK", 384)
+    assert build(ids, 9) == whole
+    assert WaveletMatrix(whole).tokens().tolist() == ids.tolist()
+
+
 def test_chunks_equal_whole_texts(monkeypatch):
     monkeypatch.setattr(op, "CACHED_CHUNKS", 3000)
     with open(FILE, encoding="utf-8") as file:
