@@ -12,13 +12,14 @@ from .ordering import top_n
 KEYS = ("scope", "odds")
 
 
-def fit_all_topics(weights: DataFrame, topics: int, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
-    """Fit every combination of ``keys`` on ``(keys, pid, term_id, w)`` of training patients, all in the same jobs.
+def fit_all_topics(weights: DataFrame, topics: int, keys: Sequence[str] = KEYS, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fit every combination of ``keys`` on ``(keys, pid, term_id, w)`` of training patients, all in the same jobs. Populations that draw on the
+    same weights ``(pid, term_id, w)`` are given by ``members`` ``(keys, pid)``, and no weight is repeated for them.
 
     Returns the bases ``(keys, term_id, topic, v)`` and the singular values ``(keys, topic, s)``. Fewer topics
     come back where a matrix has no more; the rows of the singular values tell how many. Each topic's largest loading is positive.
     """
-    return truncated_svd(weights, keys, topics)
+    return truncated_svd(weights, keys, topics, members)
 
 
 def fit_topics(weights: DataFrame, topics: int) -> tuple[DataFrame, DataFrame]:

@@ -30,6 +30,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_SCOPES = 31
 # Rows that the counting of words hands over at a time.
 COUNTED_ROWS = 1 << 17
+# Whether a row's patient is a training patient, where that has been decided.
+TRAINING = "training"
+
+
+def with_split(df: DataFrame) -> DataFrame:
+    """Add the column that ``training`` goes by, worked out once for each row of patients before they become many rows."""
+    return df.withColumn(TRAINING, ~is_test(bucket(F.col("pid"))))
 
 
 @dataclass(frozen=True)
@@ -45,7 +52,9 @@ class VocabularyRules:
 
 def training(df: DataFrame) -> DataFrame:
     """Rows of training patients; the split depends on the id alone. On a stored split table
-    the test folders are not even opened."""
+    the test folders are not even opened, and a table that has the split as a column ``training`` is not asked for it row by row."""
+    if TRAINING in df.columns:
+        return df.where(F.col(TRAINING))
     if FOLDER in df.columns:
         return df.where(F.col(FOLDER) < FIRST_TEST_BUCKET // BUCKETS_PER_FOLDER)
     return df.where(~is_test(bucket(F.col("pid"))))

@@ -1,8 +1,12 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import block_svd as op, lsi
+from cohortlens.session import cut_lineage
+from cohortlens.sources import store
 
 
 def table(spark, matrices):
@@ -58,3 +62,60 @@ def test_a_small_matrix_has_a_block_for_each_core(spark, monkeypatch):
     values = lsi.fit_topics(table(spark, {"a": a}).drop("scope"), 4)[1]
     assert cut[0].count() > 1
     assert np.allclose([r.s for r in values.orderBy("topic").collect()], np.linalg.svd(a, compute_uv=False)[:4], rtol=1e-9)
+
+
+def test_matrices_of_shared_rows(spark, monkeypatch):
+    monkeypatch.setattr(op, "SLICE_TERMS", 16)
+    monkeypatch.setattr(op, "BLOCK_ENTRIES", 200)
+    monkeypatch.setattr(op, "TASK_NUMBERS", 700)
+    monkeypatch.setattr(op, "ROW_NUMBERS", 40)
+    monkeypatch.setattr(op, "OVERSAMPLE", 4)
+    a = sparse(np.random.default_rng(5), 120, 40, 0.2)
+    rows = table(spark, {"a": a}).drop("scope")
+    listed = {"all": list(range(120)), "odd": list(range(1, 120, 2)), "twice": [*range(30), *range(20)], "nobody": [500], None: [1]}
+    members = spark.createDataFrame([(s, f"p{i}") for s, ids in listed.items() for i in ids] + [("odd", None)], "scope string, pid string")
+    basis, values = lsi.fit_all_topics(rows, 3, ("scope",), members)
+    found = {s: [r.s for r in values.where(F.col("scope") == s).orderBy("topic").collect()] for s in ("all", "odd", "twice")}
+    assert {r.scope for r in values.collect()} == set(found) == {r.scope for r in basis.select("scope").distinct().collect()}
+    for s, got in found.items():
+        times = np.bincount(listed[s], minlength=120)
+        v = np.zeros((40, 3))
+        for r in basis.where(F.col("scope") == s).collect():
+            v[r.term_id, r.topic] = r.v
+        own = a * times[:, None]
+        assert np.allclose(got, np.linalg.svd(own, compute_uv=False)[:3], rtol=1e-9), s
+        assert np.allclose(own.T @ (own @ v), v * np.array(got) ** 2, atol=1e-6 * got[0] ** 2)
+
+
+def test_products_move_sums_and_not_the_matrix(spark):
+    a = sparse(np.random.default_rng(3), 200, 30, 0.5)
+    plans, made = [], op._Kept.save
+
+    def seen(self, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return made(self, df)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(op._Kept, "save", seen)
+        lsi.fit_topics(table(spark, {"a": a}).drop("scope"), 4)
+    passes = [p for p in plans if "mapInArrow" in p or "MapInArrow" in p]
+    assert passes and not any("CoGroup" in p for p in plans)
+
+
+def test_shuffles_of_saved_results_are_freed(spark, tmp_path):
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("/shuffle_")
+
+    def grown(make):
+        before = files()
+        make()
+        for _ in range(50):
+            if files() <= before:
+                return 0
+            time.sleep(0.2)
+        return files() - before
+
+    counts = spark.range(50_000).groupBy((F.col("id") % 20_011).alias("k")).count()
+    assert grown(lambda: store.save(counts, str(tmp_path / "counts"))) == 0
+    assert grown(lambda: cut_lineage(counts)) == 0
+    assert sorted(r[0] for r in cut_lineage(counts).groupBy("count").count().collect()) == [2, 3]
