@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import ngrams, token_text, tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, settled, unsettle
 from .ordering import positions, running_total
 from .repeats import blank_in_row, blank_pieces
 
@@ -42,26 +42,28 @@ def assemble(rows: DataFrame, pid: Column, text: Column, order: Sequence[Column]
     long for one row; normally there are none and the plan is a single grouping.
     """
     order_names = [f"_o{i}" for i in range(len(order))]
-    records = rows.select(
+    measured = F.coalesce(F.length(text) if size is None else size, F.lit(0)).cast("bigint").alias("_size")
+    columns = [
         pid.cast("string").alias("pid"),
         *[c.alias(n) for c, n in zip(order, order_names)],
         F.coalesce(text, F.lit("")).alias("_text"),
-    )
-    sizes = rows.select(
-        pid.cast("string").alias("pid"),
-        F.coalesce(F.length(text) if size is None else size, F.lit(0)).cast("bigint").alias("_size"),
-    )
+    ]
+    records = rows.select(*columns)
+    sizes = rows.select(pid.cast("string").alias("pid"), measured)
     long_ids = cut_lineage(
         sizes.groupBy("pid").agg(F.sum(F.col("_size") + len(separator)).alias("_total"))
         .where(F.col("_total") > row_chars).select("pid")
     )
     if long_ids.isEmpty():
         return _in_rows(records, order_names, separator, skip_empty)
-    short = records.join(long_ids, "pid", "left_anti")
+    # A record that is too long by itself is no short patient's and need not be moved to find that out. Records without an id stay in one row.
+    able = F.col("pid").isNull() | (F.col("_size") + len(separator) <= row_chars)
+    short = rows.select(*columns, measured).where(able).drop("_size").join(long_ids, "pid", "left_anti")
     long = records.join(long_ids, "pid", "left_semi")
-    return _in_rows(short, order_names, separator, skip_empty).unionByName(
-        _in_pieces(long, order_names, separator, skip_empty, piece_chars)
-    )
+    pieces = _in_pieces(long, order_names, separator, skip_empty, piece_chars)
+    found = _in_rows(short, order_names, separator, skip_empty).unionByName(pieces)
+    found.pieces = pieces
+    return found
 
 
 def _in_rows(records: DataFrame, order: Sequence[str], separator: str, skip_empty: bool) -> DataFrame:
@@ -76,10 +78,12 @@ def _in_rows(records: DataFrame, order: Sequence[str], separator: str, skip_empt
 
 def _in_pieces(records: DataFrame, order: Sequence[str], separator: str, skip_empty: bool,
                piece_chars: int) -> DataFrame:
+    """The pieces, settled: later steps read them several times and must not cut the texts again."""
     counted = F.length("_text").cast("bigint") + len(separator)
     if skip_empty:
         counted = F.when(F.col("_text") == "", F.lit(0).cast("bigint")).otherwise(counted)
     placed = running_total(records, ["pid"], [*order, "_text"], counted, "_before")
+    slices = placed.slices
     joined = F.when(F.col("_before") == 0, F.col("_text")).otherwise(F.concat(F.lit(separator), F.col("_text")))
     if skip_empty:
         joined = F.when(F.col("_text") == "", F.lit("")).otherwise(joined)
@@ -104,7 +108,12 @@ def _in_pieces(records: DataFrame, order: Sequence[str], separator: str, skip_em
         F.sort_array(F.collect_list(F.struct("_before", "_chunk"))).alias("_entries")
     ).select("pid", "part", F.array_join("_entries._chunk", "").alias("text"))
     counts = placed.groupBy("pid").agg((F.max(last_part) + 1).cast("int").alias("parts"))
-    return pieces.join(counts, "pid").select(*SCHEMA)
+    # In two steps, so that the shuffle of the one is gone when the other moves the pieces.
+    alone, counted = settled(pieces), settled(counts)
+    unsettle(slices)
+    found = settled(alone.join(counted, "pid").select(*SCHEMA))
+    unsettle(alone, counted)
+    return found
 
 
 def blank_repeats(documents: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
@@ -120,9 +129,12 @@ def whole_words(documents: DataFrame) -> DataFrame:
     Pieces were cut at fixed lengths, which no word of a clean text exceeds, so a word lies in two
     pieces at most. The text as a whole stays the same; patients in one row are left alone.
     """
-    # Read several times, so settled once. Only the beginnings of words that move meet other pieces.
-    rest = cut_lineage(documents.where(F.col("parts") > 1))
+    # Read several times, so settled once, if ``assemble`` has not just done so. Only the beginnings of words that move meet other pieces.
+    known = getattr(documents, "pieces", None)
+    rest = settled(documents.where(F.col("parts") > 1)) if known is None else known.where(F.col("parts") > 1)
     if rest.isEmpty():
+        if known is None:
+            unsettle(rest)
         return documents
     ends_inside = rest.where(F.col("text").rlike("[^ ]\\z")).select("pid", (F.col("part") + 1).alias("part"))
     heads = rest.select("pid", "part", F.regexp_extract("text", "^[^ ]*", 0).alias("_head")).where(F.col("_head") != "")
@@ -133,7 +145,10 @@ def whole_words(documents: DataFrame) -> DataFrame:
     moved = rest.join(changes, ["pid", "part"], "left").select(
         "pid", "part", "parts",
         F.concat(F.substring("text", F.coalesce("_cut", F.lit(0)) + 1, F.length("text")), F.coalesce("_tail", F.lit(""))).alias("text"))
-    return documents.where(F.col("parts") == 1).unionByName(moved)
+    found = settled(moved)
+    if known is None:
+        unsettle(rest)
+    return documents.where(F.col("parts") == 1).unionByName(found)
 
 
 def document_bigrams(documents: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..session import cut_lineage
+from ..session import settled
 
 # Task functions travel with the job, so executors need numpy and pyarrow but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,14 +29,16 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
 
     Rows are range-partitioned by (keys, order), so a hot key spreads over many slices. Each slice
     adds up its own rows while they pass; a slice's starting value is the sum of the key's earlier slices, of which
-    there are at most as many as partitions. Rows equal in every column are interchangeable.
+    there are at most as many as partitions. Rows equal in every column are interchangeable. The slices are files, the attribute
+    ``slices`` of the result, which may be deleted (``unsettle``) once nothing reads the result any more.
     """
     marked = (
         df.withColumn("_weight", weight.cast("bigint"))
         .withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
         .withColumn("_same", F.monotonically_increasing_id())
     )
-    columns = marked.columns
+    # What only orders the rows is not needed after that.
+    columns = [*df.columns, "_weight"]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, held = TaskContext.get().partitionId(), None, 0
@@ -54,12 +58,12 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
             if tuple(batch[key][0].as_py() for key in keys) == last:
                 local[:sizes[0]] += held
             last, held = tuple(batch[key][n - 1].as_py() for key in keys), int(local[-1] + weights[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, dtype=np.int32)), pa.array(local, pa.int64())],
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(np.full(n, part, dtype=np.int32)), pa.array(local, pa.int64())],
                                              names=[*columns, "_slice", "_local"])
 
-    schema = T.StructType([*marked.schema.fields, T.StructField("_slice", T.IntegerType()), T.StructField("_local", T.LongType())])
+    schema = T.StructType([*(marked.schema[c] for c in columns), T.StructField("_slice", T.IntegerType()), T.StructField("_local", T.LongType())])
     by = [F.col(c) for c in (*keys, *order, "_tie", "_same")]
-    sliced = cut_lineage(marked.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(summed, schema))
+    sliced = settled(marked.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(summed, schema))
     group = [*keys, "_slice"]
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -68,9 +72,13 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
         .withColumn("_start", F.coalesce(F.sum("_slice_sum").over(earlier), F.lit(0)))
         .drop("_slice_sum")
     )
-    # Without keys there is one row per slice.
-    found = sliced.join(starts if keys else F.broadcast(starts), group)
-    return found.withColumn(name, F.col("_start") + F.col("_local")).drop("_weight", "_tie", "_same", "_slice", "_start", "_local")
+    # Only the first key of a slice can have begun in an earlier one, so there is at most one row for each slice that is not 0.
+    later = starts.where(F.col("_start") != 0)
+    placed = sliced.where(reduce(and_, [F.col(k).isNotNull() for k in keys], F.lit(True)))
+    found = placed.join(F.broadcast(later), group, "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
+    found = found.withColumn(name, F.col("_start") + F.col("_local")).drop("_weight", "_slice", "_start", "_local")
+    found.slices = sliced
+    return found
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

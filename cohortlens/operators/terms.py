@@ -30,6 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_SCOPES = 31
 # Rows that the counting of words hands over at a time.
 COUNTED_ROWS = 1 << 17
+# Pieces of a patient whose words are counted in one row; those of a longer text are counted word by word.
+ROW_PARTS = 1024
 # Whether a row's patient is a training patient, where that has been decided.
 TRAINING = "training"
 
@@ -127,14 +129,14 @@ def _lists(documents: DataFrame) -> DataFrame:
     return lists.join(several, same, "left_anti").unionByName(added.select("pid", F.col("token").alias("words"), F.array("tf").alias("times")))
 
 
-def _listed_in_rows(documents: DataFrame) -> DataFrame:
+def _listed_in_rows(documents: DataFrame, others: Sequence[str] = ()) -> DataFrame:
     """``(pid, words, times)`` for every row of the documents by itself: its distinct words, joined by spaces, and how often
-    each stands there. Rows without a word have none here."""
+    each stands there, and ``others`` of its columns. Rows without a word have none here."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, sizes, words, times = [], [], [], []
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch["text"]):
                 found = Counter(found_words(text.as_py() or ""))
                 if found:
                     at.append(i)
@@ -144,24 +146,29 @@ def _listed_in_rows(documents: DataFrame) -> DataFrame:
                 if len(times) >= COUNTED_ROWS or i == len(batch) - 1:
                     listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(times, pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string()), listed], names=["pid", "words", "times"])
+                        [*(batch[c].take(pa.array(at, pa.int64())) for c in kept), pa.array(words, pa.string()), listed], names=[*kept, "words", "times"])
                     at, sizes, words, times = [], [], [], []
 
-    schema = T.StructType([documents.schema["pid"], T.StructField("words", T.StringType()), T.StructField("times", T.ArrayType(T.LongType()))])
-    return documents.select("pid", F.lower("text").alias("text")).mapInArrow(counted, schema)
+    kept = ["pid", *others]
+    schema = T.StructType([*(documents.schema[c] for c in kept), T.StructField("words", T.StringType()), T.StructField("times", T.ArrayType(T.LongType()))])
+    return documents.select(*kept, F.lower("text").alias("text")).mapInArrow(counted, schema)
 
 
 def term_counts(documents: DataFrame, masks: DataFrame, scopes: Sequence[str]) -> DataFrame:
     """``(scope, token, case_df, case_tf, ctrl_df, ctrl_tf)`` over training documents of each scope.
 
-    A document in one row is counted in that row, and only its list of words moves to the mask. The words of documents in
-    several pieces are added up per patient first.
+    A document in one row is counted in that row, and only its list of words moves to the mask. The pieces of a document of up to ROW_PARTS
+    pieces move once, to its mask, and are counted there as one row. The words of a longer one are added up per patient first, so that
+    its pieces never meet in one task.
     """
     known = training(documents)
     rows = _list_counts(_listed_in_rows(known.where(F.col("parts") == 1)).join(masks.hint("shuffle_hash"), "pid"))
-    words = known.where(F.col("parts") != 1).select("pid", F.explode(tokens(F.col("text"))).alias("token"))
-    pieced = words.groupBy("pid", "token").agg(F.count("*").alias("tf")).join(masks, "pid")
-    return _by_scope(rows.unionByName(pieced.select("mask", "token", F.lit(1).alias("df"), "tf")), scopes)
+    pieces = known.where(F.col("parts") != 1)
+    texts = pieces.where(F.col("parts") <= ROW_PARTS).groupBy("pid").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    few = _list_counts(_listed_in_rows(texts.join(masks.hint("shuffle_hash"), "pid"), ("mask",)))
+    words = pieces.where(F.col("parts") > ROW_PARTS).select("pid", F.explode(tokens(F.col("text"))).alias("token"))
+    many = words.groupBy("pid", "token").agg(F.count("*").alias("tf")).join(masks, "pid")
+    return _by_scope(rows.unionByName(few).unionByName(many.select("mask", "token", F.lit(1).alias("df"), "tf")), scopes)
 
 
 def counts_of_tokens(table: DataFrame, masks: DataFrame, scopes: Sequence[str]) -> DataFrame:

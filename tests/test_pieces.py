@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions.text import ngrams, row_text, tokens
-from cohortlens.operators import documents, terms, vectors
+from cohortlens.operators import documents, ordering, terms, vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +68,29 @@ def test_pieces_are_cut_in_one_pass_and_settled_before_words_move(spark):
         assert found[p] == [(i, len(cut), c) for i, c in enumerate(cut)], p
     plan = documents.whole_words(pieces).where("parts > 1")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and "array_join" not in plan
+
+
+def test_pieces_are_settled_and_move_to_their_masks_once(spark, monkeypatch):
+    texts = {"a": "abc def abc " * 9, "b": "def ghi", "c": "abc", "d": "", None: "abc jkl mno pqr"}
+    rows = spark.createDataFrame([(p, t) for p, t in texts.items()] + [("c", "abcdefgh ijk")], "id string, t string")
+    masks = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2), ("d", 1)], "pid string, mask bigint")
+    monkeypatch.setattr(terms, "training", lambda df: df)
+    columns = ["scope", "token", "case_df", "case_tf", "ctrl_df", "ctrl_tf"]
+    want = flat(terms.term_counts(documents.assemble(rows, F.col("id"), F.col("t"), [F.col("t")], separator=" "), masks, ["s"]), *columns)
+    pieces = documents.whole_words(documents.assemble(rows, F.col("id"), F.col("t"), [F.col("t")], separator=" ", row_chars=8, piece_chars=12))
+    assert {r.parts for r in pieces.collect()} > {1, 2} and [r.text for r in pieces.where("pid is null").collect()] == [texts[None]]
+    for most in (1024, 2):
+        monkeypatch.setattr(terms, "ROW_PARTS", most)
+        counts = terms.term_counts(pieces, masks, ["s"])
+        assert flat(counts, *columns) == want and want
+        # The texts are not cut again for those of one piece.
+        assert "(?s)." not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_totals_of_keys_in_several_slices(spark):
+    rows = [("a", i, 2) for i in range(400)] + [("b", i, 0) for i in range(5)] + [(None, 1, 7)] + [("c", i, 1) for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, o int, v int").repartition(7)
+    found = ordering.running_total(df, ["k"], ["o"], F.col("v"), "before")
+    assert sorted((r.k, r.o, r.before) for r in found.collect()) == sorted((k, o, {"a": 2, "b": 0, "c": 1}[k] * o) for k, o, _ in rows if k)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
